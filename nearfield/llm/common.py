@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SHARD_BYTES = 4 << 20
 #: The separators between words, as in the class [\x20\x09-\x0D].
 WORD_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-#: Words of letters and digits: everything but ASCII marks, spaces and controls.
+#: Words of letters and digits of lower-cased text: everything but ASCII marks, spaces, controls and A-Z.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words between white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -197,11 +197,11 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each n consecutive values of h (for all of h, texts not told apart): len(h) - n + 1 of them."""
     if len(h) < n:
         return h[:0]
-    out = np.zeros(len(h) - n + 1, np.uint64)
+    up, down = _powers(len(h) + n)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = out * _BASE + h[k : len(h) - n + 1 + k]
-    return mix(out)
+        run = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[: len(h)], out=run[1:])
+        return mix((run[n:] - run[:-n]) * down[: len(h) - n + 1])
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from nearfield.llm import language
+from nearfield.llm.decontaminate import contamination
 from nearfield.llm.minhash import near_duplicates
+from nearfield.llm.mixing import mixture, taken_words, with_sizes
+from nearfield.llm.repeats import repeats_digest
+from nearfield.llm.sstable import read_digests, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +24,44 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as sorted string tables and read back."""
+    import public_tokenizers
+
+    return read_digests(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that 35-word repeats cover, removed from all documents."""
+    return repeats_digest(_table(spark, sf_dir, "documents"), window=35)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents by weight of their sources takes of each."""
+    mix = taken_words(*mixture(with_sizes(_table(spark, sf_dir, "documents"))))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose crc32 of the id as text is not 2 modulo 4."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 benchmark words in all documents."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_token_sstable": op4_token_sstable,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
