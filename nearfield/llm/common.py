@@ -16,10 +16,17 @@ from pyspark.sql import functions as F
 SHARD_BYTES = 4 << 20
 #: The separators between words, as in the class [\x20\x09-\x0D].
 WORD_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-#: Words of letters and digits of lower-cased text: everything but ASCII marks, spaces, controls and A-Z.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _class(*ranges: tuple[int, int]) -> str:
+    """A character class of single characters, which regular expressions look up in one table."""
+    return "".join(f"\\x{c:02X}" for a, b in ranges for c in range(a, b + 1))
+
+
+#: Words of letters and digits: everything but ASCII marks, spaces and controls. A-Z in capitals are letters here, which saves lower-casing whole texts.
+ALNUM_WORD = f"[^{_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))}]+"
 #: Words between white space.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
+SPACE_WORD = f"[^{_class((0x20, 0x20), (0x09, 0x0D))}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,10 +57,31 @@ def _shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Lists that take note of the scratch paths made while noted() is open.
+_NOTES: list[list[str]] = []
+
+
+@contextmanager
+def noted():
+    """A list of the scratch paths made inside."""
+    _NOTES.append(made := [])
+    try:
+        yield made
+    finally:
+        _NOTES.remove(made)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _NOTES:
+        made.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     with _shuffles_dropped(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,11 +92,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Remove scratch tables that nothing needs any more."""
     for t in tables:
-        path = getattr(t, "scratch_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        remove(t.sparkSession, t.scratch_path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 # ---------------------------------------------------------------- columns

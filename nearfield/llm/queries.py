@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import language
+from nearfield.llm import chat, language
 from nearfield.llm.decontaminate import contamination
+from nearfield.llm.knn_join import knn_join
+from nearfield.llm.licenses import scan
 from nearfield.llm.minhash import near_duplicates
 from nearfield.llm.mixing import mixture, taken_words, with_sizes
 from nearfield.llm.repeats import repeats_digest
 from nearfield.llm.sstable import read_digests, write_tokens
+from nearfield.llm.suffix_tree import score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a probabilistic suffix tree of those whose crc32 of the id as text is not 1 modulo 5."""
+    held_out = F.coalesce(language.remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    return score(_table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
+def op3_voronoi_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th embedding with all others."""
+    return knn_join(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as sorted string tables and read back."""
     import public_tokenizers
@@ -36,6 +50,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"), window=35)
 
 
+def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and checksum of every rendered conversation that begins no longer one."""
+    text = chat.rendered(_table(spark, sf_dir, "conversations"))
+    return text.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence detections in all documents."""
+    return scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents by weight of their sources takes of each."""
     mix = taken_words(*mixture(with_sizes(_table(spark, sf_dir, "documents"))))
@@ -57,11 +82,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_suffix_tree_scores": op2_suffix_tree_scores,
+    "op3_voronoi_knn_join": op3_voronoi_knn_join,
     "op4_token_sstable": op4_token_sstable,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_chat_snapshots": op6_chat_snapshots,
+    "op7_license_scan": op7_license_scan,
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE}

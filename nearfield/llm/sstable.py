@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, pieces, scratch_dir, words_of
+from nearfield.llm.common import cut, new_path, pieces, words_of
 
 BLOCK_BYTES = 64 << 10
 #: Text that a shard holds, about, in characters.
@@ -267,7 +267,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str | None = None, en
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
-    folder = _uri(f"{out_dir or scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}")
+    folder = _uri(f"{out_dir}/tokens-{uuid.uuid4().hex}" if out_dir else new_path(docs.sparkSession, "tokens"))
 
     def write(batches):
         enc, writer, out, first, last, path = encoder(tokenizer), None, None, None, None, ""
@@ -290,7 +290,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str | None = None, en
             row = {"shard": shard, "path": path, "docs": len(writer.keys), "tokens": writer.tokens, "first": first, "last": last, "bytes": size}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("bytes", pa.int64())]))
 
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return cut(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
