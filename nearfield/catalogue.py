@@ -1,6 +1,615 @@
-"""All queries of the library's own operators, by name, with their DuckDB SQL."""
+"""All queries of the library's own operators, by name, with their DuckDB SQL.
+
+Vector queries run on the embeddings table with two attributes made from vec_id and label, and with vectors moved towards their label's axis, so that cells and correlations have
+something to find. Every 25th row is a query, the others are the base.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import scalars
+from nearfield.functions.vectors import inner, l2, normalised
+from nearfield.operators import calibrate, catalog, search, stats, workload
+from nearfield.operators.search import SearchOptions
+from nearfield.plans import router
+
+K = 5
+OPTIONS = SearchOptions(k=K, max_fetch_k=200)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c: Column | str, name: str | None = None) -> Column:
+    """A double for comparison: six digits, and no negative zero."""
+    out = F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    return out.alias(name or c)
+
+
+# ---------------------------------------------------------------- the common tables
+
+E = """
+with e as (
+  select vec_id, label, embedding, (vec_id * 7919) % 1001 as attr_rand, label * 100 + (vec_id * 31) % 100 as attr,
+    list_transform(embedding, lambda x, i: x::double * 0.5 + case when i - 1 = label then 1.0::double else 0.0::double end) as vec
+  from embeddings
+), b as (select * from e where vec_id % 25 <> 0),
+q as (select vec_id as query_id, vec as qvec, label, attr as own, (vec_id * 37) % 900 as lo, (vec_id * 37) % 900 + 100 + vec_id % 150 as hi from e where vec_id % 25 = 0)
+"""
+D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))"
+IP = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double))"
+PAIRS = E + f", d as (select q.query_id, b.vec_id, b.attr, b.attr_rand, b.label, q.lo, q.hi, {D2.format(a='b.vec', b='q.qvec')} as d2 from b, q)"
+EXACT = PAIRS + f", pre as (select * from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from d where attr between lo and hi) where rank <= {K})"
+KNN = PAIRS + ", nn as (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from d)"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.transform("embedding", lambda x, i: x.cast("double") * 0.5 + F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", ((F.col("vec_id") * 7919) % 1001).alias("attr_rand"), (F.col("label") * 100 + (F.col("vec_id") * 31) % 100).alias("attr"), moved.alias("vec"))
+    return e.withColumn("cluster_id", F.col("label"))
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where("vec_id % 25 <> 0")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).where("vec_id % 25 = 0")
+    return v.selectExpr("vec_id as query_id", "vec as qvec", "label", "attr as own", "(vec_id * 37) % 900 as lo", "(vec_id * 37) % 900 + 100 + vec_id % 150 as hi")
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).select("query_id", "qvec", "lo", "hi")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.centroids(base(spark, sf_dir))
+
+
+CENTROIDS = "cen as (select label as cluster_id, list(x order by pos) as centroid from (select label, pos, avg(x) as x from (select label, unnest(vec) as x, unnest(range(len(vec))) as pos from b) group by label, pos) group by label)"
+
+# ---------------------------------------------------------------- search
+
+
+@_query(f"with p as (select q.vec_id as query_id, b.vec_id, {D2.format(a='b.embedding', b='q.embedding')} as d2 from embeddings b, embeddings q where b.vec_id % 25 <> 0 and q.vec_id % 25 = 0) select query_id, rank, vec_id, round(d2, 6) as d2 from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from p) where rank <= 5")
+def vec_d2_topk(spark, sf_dir):
+    e = vectors(spark, sf_dir).withColumn("vec", F.col("embedding"))
+    q = e.where("vec_id % 25 = 0").selectExpr("vec_id as query_id", "vec as qvec")
+    return search.knn(e.where("vec_id % 25 <> 0").select("vec_id", "vec"), q, K).select("query_id", "rank", "vec_id", _r("d2"))
+
+
+@_query(f"with p as (select q.vec_id as query_id, b.vec_id, {IP.format(a='b.embedding', b='q.embedding')} as ip from embeddings b, embeddings q where b.vec_id <> q.vec_id and q.vec_id % 25 = 0) select query_id, rank, vec_id, round(ip, 6) as ip from (select *, row_number() over (partition by query_id order by ip desc, vec_id) as rank from p) where rank <= 5")
+def vec_ip_knn_self(spark, sf_dir):
+    e = vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("vec"))
+    return search.knn_self_by_inner(e, e.where("vec_id % 25 = 0").selectExpr("vec_id as query_id", "vec as qvec"), K).select("query_id", "rank", "vec_id", _r("ip"))
+
+
+@_query(E + f", {CENTROIDS} select cluster_id, pos::bigint as pos, round(x, 6) as x from (select cluster_id, unnest(centroid) as x, unnest(range(len(centroid))) as pos from cen)")
+def centroids(spark, sf_dir):
+    return cells(spark, sf_dir).select("cluster_id", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", F.col("pos").cast("long").alias("pos"), _r("x"))
+
+
+NEAREST = f", {CENTROIDS}, near as (select query_id, cluster_id, d2 from (select q.query_id, c.cluster_id, {D2.format(a='q.qvec', b='c.centroid')} as d2, row_number() over (partition by q.query_id order by {D2.format(a='q.qvec', b='c.centroid')}, c.cluster_id) as r from q, cen c) where r = 1)"
+
+
+@_query(E + NEAREST + " select query_id, cluster_id, round(d2, 6) as d2 from near")
+def nearest_centroid(spark, sf_dir):
+    q = ranges(spark, sf_dir).select("query_id", F.col("qvec").alias("vec"))
+    return search.nearest_centroid(q, cells(spark, sf_dir), key="query_id").select("query_id", "cluster_id", _r("d2"))
+
+
+@_query(E + f" select vec_id, round(sqrt({IP.format(a='vec', b='vec')}), 6) as length, round(vec[1] / sqrt({IP.format(a='vec', b='vec')}), 6) as first from e")
+def l2_normalize(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", _r(F.sqrt(inner("vec", "vec")), "length"), _r(F.element_at(normalised("vec"), 1), "first"))
+
+
+@_query(EXACT + " select query_id, rank, vec_id, round(d2, 6) as d2 from pre")
+def pre_filter_topk(spark, sf_dir):
+    return search.pre_filter(base(spark, sf_dir), ranges(spark, sf_dir), K).select("query_id", "rank", "vec_id", _r("d2"))
+
+
+@_query(EXACT + " select query_id, rank, vec_id, round(d2, 6) as d2 from pre")
+def ground_truth_by_range(spark, sf_dir):
+    return search.ground_truth(base(spark, sf_dir), ranges(spark, sf_dir), K).select("query_id", "rank", "vec_id", _r("d2"))
+
+
+LADDER = KNN + f""", h as (select *, rank as pos from nn where attr between lo and hi),
+per as (select query_id, count(*) as m, (select count(*) from b) as n, list(pos) as places from h group by query_id),
+f as (select *, least(200, n) as cap, least(greatest({K}, least(ceil({K} / greatest(m::double / n, 1e-6) * 2.0), 200)), n)::bigint as f0, greatest({K}, least(m, ceil({K} * 2.0)))::bigint as t from per),
+g as (select *, i, case when i = 0 then f0 else least(cap, f0 * (2 ** i)::bigint) end as fetched from f, range(6) r(i)),
+v as (select *, len(list_filter(places, lambda p: p <= fetched)) as valid, len(list_filter(places, lambda p: p <= least({K}, fetched))) as head from g),
+s as (select *, least({K}, valid) as found, least(t, least({K}, valid) + valid - head) as seen from v),
+stop as (select query_id, min(i) as retries from s where (found >= {K} and seen >= t) or i >= 5 or fetched >= cap group by query_id),
+used as (select s.query_id, s.fetched, s.i as retries from s join stop on s.query_id = stop.query_id and s.i = stop.retries)
+"""
+
+
+@_query(LADDER + f" select query_id, rank, vec_id, round(d2, 6) as d2, fetched::bigint as fetched, retries::bigint as retries from (select h.query_id, h.vec_id, h.d2, u.fetched, u.retries, row_number() over (partition by h.query_id order by h.d2, h.vec_id) as rank from h join used u on h.query_id = u.query_id where h.pos <= u.fetched) where rank <= {K}")
+def post_filter_ladder(spark, sf_dir):
+    return search.post_filter(base(spark, sf_dir), ranges(spark, sf_dir), OPTIONS).select("query_id", "rank", "vec_id", _r("d2"), "fetched", "retries")
+
+
+PROBE = PAIRS + f", {CENTROIDS}, pr as (select * from (select q.query_id, c.cluster_id, row_number() over (partition by q.query_id order by {D2.format(a='q.qvec', b='c.centroid')}, c.cluster_id) as r from q, cen c) where r <= 3), ivf as (select * from (select d.query_id, d.vec_id, d.d2, row_number() over (partition by d.query_id order by d.d2, d.vec_id) as rank from d join pr on d.query_id = pr.query_id and d.label = pr.cluster_id where d.attr between d.lo and d.hi) where rank <= {K})"
+
+
+@_query(PROBE + " select query_id, rank, vec_id, round(d2, 6) as d2 from ivf")
+def ivf_probe_topk(spark, sf_dir):
+    return search.probe(base(spark, sf_dir), ranges(spark, sf_dir), cells(spark, sf_dir), K, 3).select("query_id", "rank", "vec_id", _r("d2"))
+
+
+@_query(KNN + f" select query_id, rank, vec_id, round(d2, 6) as d2 from (select query_id, vec_id, d2, row_number() over (partition by query_id order by rank) as rank from nn where rank <= 40 and attr between lo and hi) where rank <= {K}")
+def filter_topk(spark, sf_dir):
+    b, q = base(spark, sf_dir), ranges(spark, sf_dir)
+    candidates = search.knn(b, q, 40).withColumnRenamed("rank", "pos")
+    return search.filter_topk(candidates, b.select("vec_id", "attr"), q, K).select("query_id", "rank", "vec_id", _r("d2"))
+
+
+RECALL = PROBE + f", pre as (select * from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from d where attr between lo and hi) where rank <= {K}), rec as (select q.query_id, case when coalesce(t.n, 0) = 0 then case when coalesce(g.n, 0) = 0 then 1.0 else 0.0 end else coalesce(h.n, 0)::double / t.n end as recall from q left join (select query_id, count(*) as n from pre group by 1) t using (query_id) left join (select query_id, count(*) as n from ivf group by 1) g using (query_id) left join (select pre.query_id, count(*) as n from pre join ivf on pre.query_id = ivf.query_id and pre.vec_id = ivf.vec_id group by 1) h using (query_id))"
+
+
+def _recall(spark, sf_dir) -> DataFrame:
+    b, q = base(spark, sf_dir), ranges(spark, sf_dir)
+    return search.recall(search.probe(b, q, cells(spark, sf_dir), K, 3), search.pre_filter(b, q, K), q)
+
+
+@_query(RECALL + " select query_id, round(recall::double, 6) as recall from rec")
+def recall_at_k(spark, sf_dir):
+    return _recall(spark, sf_dir).select("query_id", _r("recall"))
+
+
+@_query(KNN + " select query_id, round(avg(case when attr between lo and hi then 1.0::double else 0.0::double end), 6) as overlap from nn where rank <= 20 group by query_id")
+def topk_interval_overlap(spark, sf_dir):
+    return search.interval_overlap(base(spark, sf_dir), ranges(spark, sf_dir), 20).select("query_id", _r("overlap"))
+
+
+@_query(KNN + " select nn.query_id, round(avg(nn.attr), 6) as neighbour_mean, round(avg(abs(nn.attr - q.own)), 6) as mean_abs_diff from nn join q on nn.query_id = q.query_id where rank <= 10 group by nn.query_id")
+def neighbor_attr_stats(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return search.neighbour_stats(b, asked(spark, sf_dir).select("query_id", "qvec", "own"), b.select("vec_id", "attr"), 10).select("query_id", _r("neighbour_mean"), _r("mean_abs_diff"))
+
+
+# ---------------------------------------------------------------- statistics and plans
+
+SEL = ", sel as (select q.query_id, count(b.vec_id) as m, count(b.vec_id)::double / (select count(*) from b) as selectivity from q left join b on b.attr between q.lo and q.hi group by q.query_id)"
+
+
+@_query(E + SEL + " select query_id, m, round(selectivity, 6) as selectivity from sel")
+def selectivity(spark, sf_dir):
+    return stats.selectivity(base(spark, sf_dir), ranges(spark, sf_dir)).select("query_id", "m", _r("selectivity"))
+
+
+@_query("with r as (select l_linenumber * 7 as query_id, l_linenumber * 2 as lo, l_linenumber * 2 + 15 as hi from lineitem where l_orderkey = (select min(l_orderkey) from lineitem)) select r.query_id::bigint as query_id, count(*) as m, round(count(*)::double / (select count(*) from lineitem), 6) as selectivity from r join lineitem on l_quantity between lo and hi group by r.query_id")
+def selectivity_large(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    first = li.agg(F.min("l_orderkey").alias("k"))
+    q = li.join(F.broadcast(first), F.col("l_orderkey") == F.col("k")).selectExpr("cast(l_linenumber * 7 as bigint) as query_id", "l_linenumber * 2 as lo", "l_linenumber * 2 + 15 as hi")
+    return stats.selectivity(li.select(F.col("l_quantity").alias("attr")), q).select("query_id", "m", _r("selectivity"))
+
+
+BINS = ", bins as (select n, low, case when high = low then low + 1 else high end as high, iqr, case when high = low then 1 else least(greatest(case when iqr > 0 then ceil((high - low) / (2 * iqr / cbrt(n))) else ceil(n / 50.0) end, 20), 200) end::bigint as bins from (select count(attr)::bigint as n, min(attr)::double as low, max(attr)::double as high, quantile_cont(attr, 0.75) - quantile_cont(attr, 0.25) as iqr from {t}))"
+
+
+@_query(E + BINS.format(t="b") + " select n, low, high, iqr, bins, 'vectors' as source from bins union all select * from (with t as (select n_chars as attr from documents)" + BINS.format(t="t") + " select n, low, high, iqr, bins, 'documents' as source from bins)")
+def choose_bins(spark, sf_dir):
+    a = stats.choose_bins(base(spark, sf_dir)).withColumn("source", F.lit("vectors"))
+    return a.unionByName(stats.choose_bins(_table(spark, sf_dir, "documents"), "n_chars").withColumn("source", F.lit("documents")))
+
+
+BIN = "greatest(0, least(floor((attr - low) / ((high - low) / bins)), bins - 1))::bigint"
+HIST = (
+    BINS.format(t="b")
+    + f""", gh as (select bin, d / sum(d) over () as p from (select g.bin, coalesce(c.c, 0) / (sum(coalesce(c.c, 0)) over () * (high - low) / bins) + 0.001 as d from (select low, high, bins, unnest(range(bins))::bigint as bin from bins) g left join (select {BIN} as bin, count(*) as c from b, bins group by 1) c on g.bin = c.bin)),
+g as (select bin, p, sum(p) over (order by bin) as cdf from gh),
+ch as (select cluster_id, bin, d / sum(d) over (partition by cluster_id) as p from (select g.cluster_id, g.bin, coalesce(c.c, 0) / (sum(coalesce(c.c, 0)) over (partition by g.cluster_id) * (high - low) / bins) + 0.001 as d from (select k.cluster_id, low, high, bins, unnest(range(bins))::bigint as bin from bins, (select distinct label as cluster_id from b) k) g left join (select label as cluster_id, {BIN} as bin, count(*) as c from b, bins group by 1, 2) c on g.bin = c.bin and g.cluster_id = c.cluster_id)),
+c as (select cluster_id, bin, p, sum(p) over (partition by cluster_id order by bin) as cdf from ch),
+js as (select cluster_id, sqrt(greatest(0.5 * sum(x * log2(x / ((x + y) / 2))) + 0.5 * sum(y * log2(y / ((x + y) / 2))), 0)) as js from (select c.cluster_id, (c.p + 1e-9) / sum(c.p + 1e-9) over (partition by c.cluster_id) as x, (g.p + 1e-9) / sum(g.p + 1e-9) over (partition by c.cluster_id) as y from c join g on c.bin = g.bin) group by cluster_id)"""
+)
+
+
+@_query(E + HIST + " select bin, round(p, 6) as p, round(cdf, 6) as cdf from g")
+def global_histogram_cdf(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return stats.histogram(b, stats.choose_bins(b)).select("bin", _r("p"), _r("cdf"))
+
+
+def _cluster_hist(spark, sf_dir) -> DataFrame:
+    b = base(spark, sf_dir)
+    inside = stats.within_radius(b, cells(spark, sf_dir)).select("cluster_id", "attr")
+    return stats.histogram(inside, stats.choose_bins(b), by="cluster_id")
+
+
+@_query(E + HIST + " select cluster_id, bin, round(p, 6) as p, round(cdf, 6) as cdf from c")
+def cluster_histogram_cdf(spark, sf_dir):
+    return _cluster_hist(spark, sf_dir).select("cluster_id", "bin", _r("p"), _r("cdf"))
+
+
+def _divergence(spark, sf_dir) -> DataFrame:
+    b = base(spark, sf_dir)
+    return stats.cluster_divergence(_cluster_hist(spark, sf_dir), stats.histogram(b, stats.choose_bins(b)))
+
+
+@_query(E + HIST + " select cluster_id, round(js, 6) as js from js")
+def cluster_js_distance(spark, sf_dir):
+    return _divergence(spark, sf_dir).select("cluster_id", _r("js"))
+
+
+AT = "greatest(0, least(floor((q.{v} - low) / ((high - low) / bins)), bins - 1))::bigint"
+CORR = (
+    NEAREST
+    + SEL
+    + HIST
+    + f""", m as (select q.query_id, near.cluster_id, js.js, ch_.cdf - coalesce(cl.cdf, 0) as p_c, gh_.cdf - coalesce(gl.cdf, 0) as p_g, sel.selectivity
+ from q join near using (query_id) join js using (cluster_id) join sel using (query_id), bins
+ join c ch_ on ch_.cluster_id = near.cluster_id and ch_.bin = {AT.format(v="hi")} left join c cl on cl.cluster_id = near.cluster_id and cl.bin = {AT.format(v="lo")} - 1
+ join g gh_ on gh_.bin = {AT.format(v="hi")} left join g gl on gl.bin = {AT.format(v="lo")} - 1),
+k as (select *, ln((p_c + 1e-9) / (p_g + 1e-9)) as lift from m), co as (select *, js * sign(lift) as heuristic, js * tanh(lift) as tanh_score, js * (p_c - p_g) as pgap from k)"""
+)
+
+
+def _tau_sql(s: str, metric: str) -> str:
+    """The threshold at a selectivity, as a CASE over the points."""
+    p, t = scalars.TAU_SELECTIVITIES, scalars.TAU_POINTS[metric]
+    mid = " ".join(f"when {s} <= {p[k]} then {t[k - 1]} + (log10({s}) - log10({p[k - 1]})) / (log10({p[k]}) - log10({p[k - 1]})) * ({t[k]} - {t[k - 1]})" for k in range(1, 4))
+    return f"(case when {s} <= 0 or {s} > 1 then null when {s} <= {p[0]} then {t[0]}::double {mid} else {t[3]}::double end)"
+
+
+def _planned(spark, sf_dir) -> DataFrame:
+    b, q = base(spark, sf_dir), ranges(spark, sf_dir)
+    c = router.correlation(q, cells(spark, sf_dir), _divergence(spark, sf_dir), stats.choose_bins(b))
+    return c.join(stats.selectivity(b, q).select("query_id", "selectivity"), "query_id")
+
+
+@_query(E + CORR + " select query_id, cluster_id, round(js, 6) as js, round(p_c, 6) as p_c, round(p_g, 6) as p_g, round(lift, 5) as lift, round(heuristic, 6) + 0.0 as heuristic, round(tanh_score, 6) + 0.0 as tanh, round(pgap, 6) + 0.0 as pgap from co")
+def correlation_components(spark, sf_dir):
+    return _planned(spark, sf_dir).select("query_id", "cluster_id", _r("js"), _r("p_c"), _r("p_g"), (F.round("lift", 5) + F.lit(0.0)).alias("lift"), _r("heuristic"), _r("tanh"), _r("pgap"))
+
+
+@_query("with s as (select l_linenumber, l_discount * l_linenumber / 7 as s from lineitem), u as (select distinct round(s, 4) as s from s) select s, " + ", ".join(f"round({_tau_sql('s', m)}, 6) as tau_{m}" for m in scalars.TAU_POINTS) + " from u")
+def tau_lookup(spark, sf_dir):
+    u = _table(spark, sf_dir, "lineitem").select(F.round(F.col("l_discount") * F.col("l_linenumber") / 7, 4).alias("s")).distinct()
+    return u.select("s", *[_r(scalars.tau(F.col("s"), m), f"tau_{m}") for m in scalars.TAU_POINTS])
+
+
+TWO = f"case when selectivity <= {_tau_sql('selectivity', 'true')} or (selectivity <= 0.30 and heuristic <= -{_tau_sql('selectivity', 'heuristic')}) then 'PRE' else 'ACORN' end"
+THREE = f"case when selectivity < 0.05 then 'PRE' when heuristic <= -{_tau_sql('selectivity', 'heuristic')} then 'ACORN' else 'POST' end"
+
+
+@_query(E + CORR + f" select query_id, round(selectivity, 6) as selectivity, round({_tau_sql('selectivity', 'heuristic')}, 6) as tau, {TWO} as plan from co")
+def plan_two_route(spark, sf_dir):
+    return router.two_route(_planned(spark, sf_dir)).select("query_id", _r("selectivity"), _r("tau"), "plan")
+
+
+@_query(E + CORR + f" select query_id, round(selectivity, 6) as selectivity, {THREE} as plan, case when heuristic <= -{_tau_sql('selectivity', 'heuristic')} then 'negative' when heuristic >= {_tau_sql('selectivity', 'heuristic')} then 'positive' else 'random' end as correlation_type from co")
+def plan_three_route(spark, sf_dir):
+    return router.three_route(_planned(spark, sf_dir)).select("query_id", _r("selectivity"), "plan", "correlation_type")
+
+
+ROUTED = E + CORR + f", plans as (select query_id, {THREE} as plan from co), d as (select q.query_id, b.vec_id, {D2.format(a='b.vec', b='q.qvec')} as d2 from b, q where b.attr between q.lo and q.hi), pre as (select * from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from d) where rank <= {K})"
+
+
+@_query(ROUTED + " select query_id, rank, vec_id, round(d2, 6) as d2, plan from pre join plans using (query_id)")
+def routed_topk(spark, sf_dir):
+    planned = router.three_route(_planned(spark, sf_dir))
+    return router.routed(base(spark, sf_dir), planned, cells(spark, sf_dir), SearchOptions(k=K), 10).select("query_id", "rank", "vec_id", _r("d2"), "plan")
+
+
+@_query(E + CORR + f" select plan, count(*) as queries, sum((heuristic > 0)::bigint)::bigint as above from (select *, {THREE} as plan from co) group by plan")
+def plan_counts(spark, sf_dir):
+    return router.three_route(_planned(spark, sf_dir)).groupBy("plan").agg(F.count("*").alias("queries"), F.count_if(F.col("heuristic") > 0).alias("above"))
+
+
+@_query(RECALL + " select sum(n)::bigint as n, round(sum(recall * n) / sum(n), 6) as recall from (select count(*) as n, avg(recall::double) as recall from rec group by query_id % 3)")
+def weighted_metrics(spark, sf_dir):
+    per = _recall(spark, sf_dir).groupBy((F.col("query_id") % 3).alias("g")).agg(F.count("*").alias("n"), F.avg("recall").alias("recall"))
+    return router.weighted(per).select("n", _r("recall"))
+
+
+# ---------------------------------------------------------------- workloads
+
+
+def _draw_sql(x: str, salt: int) -> str:
+    return f"((((({x}) + {salt * 7919}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648"
+
+
+SORTED = ", n as (select count(*) as n from b), srt as (select attr as v, row_number() over (order by attr) - 1 as i from b)"
+
+
+@_query(E + SORTED + f", t as (select query_id, n, greatest(1, least(n, floor(0.1 * n)))::bigint as t from q, n), s as (select *, ({_draw_sql('query_id', 0)}) % (n - t + 1) as start from t) select query_id, a.v as lo, z.v as hi from s join srt a on a.i = s.start join srt z on z.i = least(n - 1, start + t)")
+def random_ranges(spark, sf_dir):
+    return workload.random_ranges(base(spark, sf_dir), ranges(spark, sf_dir), 0.1)
+
+
+@_query(KNN + SORTED + """, ce as (select query_id, quantile_cont(attr, 0.5) as centre from nn where rank <= 10 group by query_id), me as (select quantile_cont(attr, 0.5) as median from b),
+p as (select query_id, centre, median, n, greatest(1, least(n, floor(0.1 * n)))::bigint as t, (select count(*) from b where b.attr < centre) as place from ce, me, n),
+x as (select *, greatest(0, place - t // 2) as a, least(n - 1, place + t // 2) as z, case when centre > median then 0 else n - t end as c, case when centre > median then t - 1 else n - 1 end as d from p)
+select query_id, round(centre, 6) as centre, sa.v as pos_lo, sz.v as pos_hi, sc.v as neg_lo, sd.v as neg_hi from x join srt sa on sa.i = a join srt sz on sz.i = z join srt sc on sc.i = c join srt sd on sd.i = d""")
+def pos_neg_ranges(spark, sf_dir):
+    return workload.correlated_ranges(base(spark, sf_dir), ranges(spark, sf_dir), 0.1, 10).withColumn("centre", _r("centre"))
+
+
+@_query(E + SORTED + f""", t as (select query_id, n, greatest(1, least(n, floor(0.05 * n)))::bigint as t, i as try from q, n, range(64) r(i)), s as (select *, ({_draw_sql('query_id * 64 + try', 3)}) % (n - t + 1) as start from t),
+x as (select s.*, a.v as lo, z.v as hi from s join srt a on a.i = start join srt z on z.i = start + t - 1), cnt as (select v, count(*) as c from srt group by v),
+cum as (select v, sum(c) over (order by v) as upto, c from cnt), y as (select x.*, (h.upto - l.upto + l.c)::double / n as actual from x join cum h on h.v = x.hi join cum l on l.v = x.lo),
+e2 as (select *, abs(actual - 0.05) as error, abs(actual - 0.05) <= greatest(1.0::double / n, 0.05 * 0.05) as good from y),
+k as (select *, row_number() over (partition by query_id order by case when good then 0 else error end, try) as r from e2)
+select query_id, try::bigint as try, lo, hi, round(actual, 6) as actual from k where r = 1""")
+def rejection_ranges(spark, sf_dir):
+    return workload.rejection_ranges(base(spark, sf_dir), ranges(spark, sf_dir), 0.05).withColumn("actual", _r("actual"))
+
+
+@_query(E + f""", co as (select o_orderpriority, count(*) as c, dense_rank() over (order by o_orderpriority) - 1 as code from orders group by o_orderpriority), s as (select code, abs(c::double / (select count(*) from orders) - 0.2) as gap from co),
+f as (select *, gap <= greatest(1.0::double / (select count(*) from orders), 0.35 * 0.2) as near from s), r as (select code, row_number() over (order by gap, code) as pick from f where near or not (select bool_or(near) from f)), p as (select * from r where pick <= 64)
+select query_id, code as lo, code as hi from (select query_id, ({_draw_sql('query_id', 5)}) % (select count(*) from p) + 1 as pick from q) join p using (pick)""")
+def category_ranges(spark, sf_dir):
+    return workload.category_ranges(_table(spark, sf_dir, "orders"), "o_orderpriority", ranges(spark, sf_dir), 0.2)
+
+
+@_query(E + f", r as (select query_id, row_number() over (order by {_draw_sql('query_id', 1)}, query_id) as r from q), l as (select query_id, case when r <= 6 then 'positive' when r <= 12 then 'negative' else 'random' end as label from r where r <= 17) select query_id, label, case when label = 'random' then 'rand' else 'corr' end as backend from l")
+def mixed_workload(spark, sf_dir):
+    return workload.mixed_set(ranges(spark, sf_dir), 17)
+
+
+@_query(f"select p_partkey, case when ({_draw_sql('p_partkey', 2)}) % 1000 < 100 then 'query' else 'base' end as part from part")
+def heldout_split(spark, sf_dir):
+    return workload.held_out(_table(spark, sf_dir, "part"), 0.1, "p_partkey").select("p_partkey", "part")
+
+
+@_query(E + f", r as (select query_id, row_number() over (order by query_id) - 1 as place from q) select i as draw, query_id from (select i, ({_draw_sql('i', 4)}) % (select count(*) from q) as place from range(50) t(i)) join r using (place)")
+def sample_with_replacement(spark, sf_dir):
+    return workload.sample_with_replacement(ranges(spark, sf_dir), 50)
+
+
+# ---------------------------------------------------------------- calibration
+
+GK = PAIRS + f", x as (select *, sqrt(d2) as dd from d), hit as (select * from x where attr between lo and hi), gk as (select query_id, avg(dd) as g, count(*) as kk from (select *, row_number() over (partition by query_id order by dd, vec_id) as r from hit) where r <= {K} group by query_id), sz as (select query_id, count(*) as s from hit group by query_id), ad as (select q.query_id, coalesce(s, 0) as s, coalesce(kk, 0) as kk, g from q left join sz using (query_id) left join gk using (query_id))"
+def _choose(n: str, k: str) -> str:
+    return f"(lgamma(({n}) + 1) - lgamma(({k}) + 1) - lgamma(({n}) - ({k}) + 1))"
+
+
+EXPECTED = GK + f""", rk as (select x.query_id, x.dd, row_number() over (partition by x.query_id order by dd, vec_id) as r, (select count(*) from b) as n, s, kk from x join ad using (query_id) where s > 0),
+jj as (select *, j from rk, range(1, 6) t(j) where j <= kk and r >= j and n - r >= s - j),
+ex as (select query_id, sum(dd * exp({_choose("r - 1", "j - 1")} + {_choose("n - r", "s - j")} - {_choose("n", "s")})) / min(kk) as e from jj group by query_id)"""
+
+
+@_query(GK + " select query_id, s, kk, round(g, 6) as g from ad")
+def gk_admissible(spark, sf_dir):
+    q = ranges(spark, sf_dir)
+    return calibrate.nearest_mean(calibrate.distances(base(spark, sf_dir), q), q, K).select("query_id", "s", "kk", _r("g"))
+
+
+@_query(EXPECTED + " select query_id, round(e, 6) as e from ex")
+def expected_gk_closed_form(spark, sf_dir):
+    q = ranges(spark, sf_dir)
+    d = calibrate.distances(base(spark, sf_dir), q)
+    return calibrate.expected_nearest_mean(d, calibrate.nearest_mean(d, q, K)).select("query_id", _r("e"))
+
+
+@_query(EXPECTED + " select query_id, s, kk, round(g, 6) as g, round(e, 6) as e, round((e - g) / e, 6) as corr from ad left join ex using (query_id)")
+def true_correlation(spark, sf_dir):
+    return calibrate.true_correlation(base(spark, sf_dir), ranges(spark, sf_dir), K).select("query_id", "s", "kk", _r("g"), _r("e"), _r("corr"))
+
+
+@_query(GK + f", u as (select x.query_id, x.vec_id, x.dd, ad.s, ad.g, i as subset, {_draw_sql('x.vec_id * 1009 + x.query_id * 9176 + i * 65537', 6)} as u from x join ad using (query_id), range(8) t(i) where ad.s > 0), k as (select *, row_number() over (partition by query_id, subset order by u, vec_id) as r from u), k2 as (select *, row_number() over (partition by query_id, subset order by dd, vec_id) as o from k where r <= s), mm as (select query_id, subset, avg(dd) as m, min(g) as g from k2 where o <= {K} group by query_id, subset), p as (select query_id, avg(m) as e, stddev_samp(m) / sqrt(count(*)) as stderr, min(g) as g from mm group by query_id) select query_id, round(e, 6) as e, round(stderr, 6) as stderr, round((e - g) / e, 6) as corr from p")
+def mc_true_correlation(spark, sf_dir):
+    return calibrate.sampled_correlation(base(spark, sf_dir), ranges(spark, sf_dir), K, 8).select("query_id", _r("e"), _r("stderr"), _r("corr"))
+
+
+SCORES = "with sc as (select event_id as query_id, ((event_id * 7919) % 2001 - 1000) / 1000.0::double as heuristic, ((event_id * 104729) % 2001 - 1000) / 2000.0::double as pgap from events), s as (select *, case when heuristic + pgap * 0.6 > 0.3 then 'positive' when heuristic + pgap * 0.6 < -0.3 then 'negative' else 'random' end as actual from sc)"
+
+
+def scores(spark, sf_dir) -> DataFrame:
+    s = _table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), (((F.col("event_id") * 7919) % 2001 - 1000) / 1000.0).alias("heuristic"), (((F.col("event_id") * 104729) % 2001 - 1000) / 2000.0).alias("pgap"))
+    mix = F.col("heuristic") + F.col("pgap") * 0.6
+    return s.withColumn("actual", F.when(mix > 0.3, "positive").when(mix < -0.3, "negative").otherwise("random"))
+
+
+METRICS = ["heuristic", "pgap"]
+LONG = SCORES + ", l as (select 'heuristic' as metric, query_id, heuristic as v from s union all select 'pgap', query_id, pgap from s)"
+
+
+@_query(LONG + " select metric, count(*) as n, round(quantile_cont(abs(v), 0.5), 6) as median, round(quantile_cont(abs(v), 0.9), 6) as q90, round(quantile_cont(abs(v), 0.95), 6) as q95, round(quantile_cont(abs(v), 0.99), 6) as q99, round(max(abs(v)), 6) as most from l group by metric")
+def null_quantiles(spark, sf_dir):
+    return calibrate.null_quantiles(scores(spark, sf_dir), METRICS).select("metric", "n", *[_r(c) for c in ("median", "q90", "q95", "q99", "most")])
+
+
+@_query(LONG + " select metric, rank, query_id, round(v, 6) as v from (select *, row_number() over (partition by metric order by abs(v) desc, query_id) as rank from l) where rank <= 10")
+def null_topn(spark, sf_dir):
+    return calibrate.largest_scores(scores(spark, sf_dir), METRICS).select("metric", "rank", "query_id", _r("v"))
+
+
+@_query(SCORES + ", r as (select abs(heuristic) as v, row_number() over (order by query_id) as r from s) select p.r as processed, round(quantile_cont(r.v, 0.99), 6) as tau from r p join r on r.r <= p.r where p.r % 500 = 0 group by p.r")
+def tau_history(spark, sf_dir):
+    return calibrate.tau_history(scores(spark, sf_dir), "heuristic", 500).select("processed", _r("tau"))
+
+
+@_query(SCORES + " select query_id, round(pgap, 6) as v, round(row_number() over (order by pgap, query_id)::double / count(*) over (), 6) as cdf from s")
+def empirical_cdf(spark, sf_dir):
+    return calibrate.empirical_cdf(scores(spark, sf_dir), "pgap").select("query_id", _r("v"), _r("cdf"))
+
+
+SWEEP = SCORES + ", grid as (select (select max(abs(heuristic)) from s) * i / 50.0 as tau from range(51) t(i)), pr as (select tau, actual, case when heuristic > tau then 'positive' when heuristic < -tau then 'negative' else 'random' end as predicted from s, grid), cl as (select unnest(['positive', 'negative', 'random']) as c), per as (select tau, c, sum((actual = c and predicted = c)::int) as tp, sum((actual = c)::int) as a, sum((predicted = c)::int) as p from pr, cl group by tau, c), sw as (select tau, sum(tp)::double / sum(a) as accuracy, avg(case when a > 0 then tp::double / a end) as balanced_accuracy, avg(case when a + p > 0 then 2.0::double * tp / (a + p) else 0 end) as macro_f1 from per group by tau)"
+
+
+@_query(SWEEP + " select round(tau, 6) as tau, round(accuracy, 6) as accuracy, round(balanced_accuracy, 6) as balanced_accuracy, round(macro_f1, 6) as macro_f1 from sw")
+def tau_sweep(spark, sf_dir):
+    return calibrate.sweep(scores(spark, sf_dir), "heuristic", 51).select(*[_r(c) for c in ("tau", "accuracy", "balanced_accuracy", "macro_f1")])
+
+
+@_query(SWEEP + " select round(tau, 6) as tau, round(balanced_accuracy, 6) as balanced_accuracy from sw where abs(balanced_accuracy - (select max(balanced_accuracy) from sw)) <= 1e-8 + 1e-5 * (select max(balanced_accuracy) from sw) order by tau limit 1")
+def best_tau(spark, sf_dir):
+    return calibrate.best_tau(calibrate.sweep(scores(spark, sf_dir), "heuristic", 51)).select(_r("tau"), _r("balanced_accuracy"))
+
+
+PREDICTED = SCORES + ", p as (select *, case when heuristic > 0.3 then 'positive' when heuristic < -0.3 then 'negative' else 'random' end as predicted from s)"
+
+
+@_query(PREDICTED + " select actual, sum((predicted = 'positive')::bigint)::bigint as positive, sum((predicted = 'negative')::bigint)::bigint as negative, sum((predicted = 'random')::bigint)::bigint as random from p group by actual")
+def confusion_matrix(spark, sf_dir):
+    return calibrate.confusion(router.classified(scores(spark, sf_dir), "heuristic", 0.3))
+
+
+@_query(SCORES + " select actual, count(*) as n, round(avg(pgap), 6) as mean, round(quantile_cont(pgap, 0.5), 6) + 0.0 as median, round(quantile_cont(pgap, 0.1), 6) as q10, round(quantile_cont(pgap, 0.25), 6) as q25, round(quantile_cont(pgap, 0.75), 6) as q75, round(quantile_cont(pgap, 0.9), 6) as q90, round(min(pgap), 6) as least, round(max(pgap), 6) as most from s group by actual")
+def class_distribution(spark, sf_dir):
+    return calibrate.class_distribution(scores(spark, sf_dir), "pgap").select("actual", "n", *[_r(c) for c in ("mean", "median", "q10", "q25", "q75", "q90", "least", "most")])
+
+
+@_query(SCORES + " select round(corr(heuristic, pgap), 6) as r from s")
+def pearson(spark, sf_dir):
+    return scores(spark, sf_dir).agg(_r(F.corr("heuristic", "pgap"), "r"))
+
+
+@_query("with p as (select o_orderpriority as source, (o_orderkey % 7 + 1) / 10.0::double as selectivity, max(o_totalprice) as tau from orders group by 1, 2) select source, selectivity, round(tau, 6) as tau from (select *, row_number() over (partition by selectivity order by source desc) as r from p) where r = 1")
+def tau_points_dedupe(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    p = o.groupBy(F.col("o_orderpriority").alias("source"), ((F.col("o_orderkey") % 7 + 1) / 10.0).alias("selectivity")).agg(F.max("o_totalprice").alias("tau"))
+    return calibrate.latest_points(p).select("source", "selectivity", _r("tau"))
+
+
+@_query()
+def tau_poly_fit(spark, sf_dir):
+    points = spark.createDataFrame(list(zip(scalars.TAU_SELECTIVITIES, scalars.TAU_POINTS["tanh"], strict=True)), "selectivity double, tau double")
+    return calibrate.interpolated(points.select("selectivity"), calibrate.fit_tau(points, 2)).select("selectivity", _r("log10_selectivity"), _r("interpolated_tau"))
+
+
+# ---------------------------------------------------------------- catalogues
+
+
+@_query("select p_partkey, p_name as title, p_brand as description, p_type as category, p_retailprice as price, p_size::double as rating, p_name || '. ' || p_brand as text_for_embedding from part")
+def clean_catalog(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").selectExpr("p_partkey as source_file", "p_name as Name", "p_brand as description", "p_type as Category", "concat('$', cast(p_retailprice as string)) as price", "concat(p_size, ' out of 50') as rating")
+    return catalog.clean(p).select(F.col("source_file").alias("p_partkey"), "title", "description", "category", "price", "rating", "text_for_embedding")
+
+
+@_query("select p_partkey, p_retailprice as price, p_size::double as rating from part")
+def parse_price_rating(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    return p.select("p_partkey", scalars.price(F.concat(F.lit("₹ "), F.col("p_retailprice").cast("string"), F.lit(" only"))).alias("price"), scalars.rating(F.concat("p_size", F.lit(" of 50 stars"))).alias("rating"))
+
+
+@_query("with t as (select p_partkey, case p_partkey % 5 when 0 then ' ' || p_type || ' > x' when 1 then '> ' || p_type || '|' || p_brand when 2 then p_type when 3 then '  ' else '>' end as c from part) select p_partkey, case when trim(c) = '' then null else coalesce(list_filter(list_transform(regexp_split_to_array(trim(c), '[>/\\\\|,:]'), lambda x: trim(x)), lambda x: x <> '')[1], trim(c)) end as category from t")
+def simplify_category(spark, sf_dir):
+    kind = F.expr("case p_partkey % 5 when 0 then concat(' ', p_type, ' > x') when 1 then concat('> ', p_type, '|', p_brand) when 2 then p_type when 3 then '  ' else '>' end")
+    return _table(spark, sf_dir, "part").select("p_partkey", scalars.top_category(kind).alias("category"))
+
+
+@_query("with t as (select p_brand, row_number() over (order by count(*) desc, p_brand) as r from part group by p_brand) select case when t.p_brand is null then 'Other' else part.p_brand end as label, count(*) as n from part left join t on t.p_brand = part.p_brand and r <= 10 group by 1")
+def category_top_other(spark, sf_dir):
+    return catalog.top_or_other(_table(spark, sf_dir, "part"), "p_brand").groupBy("label").agg(F.count("*").alias("n"))
+
+
+NEIGHBOURS = E + f", sn as (select query_id, vec_id from (select x.vec_id as query_id, y.vec_id, row_number() over (partition by x.vec_id order by {IP.format(a='x.vec', b='y.vec')} desc, y.vec_id) as r from e x, e y where x.vec_id <> y.vec_id and x.vec_id % 10 = 0) where r <= {K}), num as (select vec_id, p_retailprice as value from e join part on p_partkey = vec_id), cat as (select vec_id, p_type as value from e join part on p_partkey = vec_id)"
+
+
+def _neighbours(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = vectors(spark, sf_dir)
+    sn = search.knn_self_by_inner(e.select("vec_id", "vec"), e.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "vec as qvec"), K).select("query_id", "vec_id")
+    p = e.select("vec_id").join(_table(spark, sf_dir, "part"), F.col("vec_id") == F.col("p_partkey"))
+    return sn, p.select("vec_id", F.col("p_retailprice").alias("value")), p.select("vec_id", F.col("p_type").alias("value"))
+
+
+def _against(values: str, agg: str) -> str:
+    return f" select {agg}, count(*) as pairs from sn join {values} a on a.vec_id = sn.query_id join {values} z on z.vec_id = sn.vec_id"
+
+
+DIFF, MATCH = "round(avg(abs(a.value - z.value)), 6) as mean_abs_diff", "round(avg((a.value = z.value)::int), 6) as match_share"
+SHUFFLED = ", sh as (select i.vec_id, h.value from (select vec_id, row_number() over (order by vec_id) as r from {t}) i join (select value, row_number() over (order by " + _draw_sql("vec_id", 8) + ", vec_id) as r from {t}) h using (r))"
+
+
+@_query(NEIGHBOURS + _against("num", DIFF))
+def numeric_neighbor_diff(spark, sf_dir):
+    sn, num, _ = _neighbours(spark, sf_dir)
+    return catalog.numeric_difference(sn, num).select(_r("mean_abs_diff"), "pairs")
+
+
+@_query(NEIGHBOURS + _against("cat", MATCH))
+def categorical_neighbor_match(spark, sf_dir):
+    sn, _, cat = _neighbours(spark, sf_dir)
+    return catalog.categorical_match(sn, cat).select(_r("match_share"), "pairs")
+
+
+@_query(NEIGHBOURS + SHUFFLED.format(t="num") + _against("sh", DIFF))
+def shuffled_numeric_baseline(spark, sf_dir):
+    sn, num, _ = _neighbours(spark, sf_dir)
+    return catalog.numeric_difference(sn, catalog.shuffled(num)).select(_r("mean_abs_diff"), "pairs")
+
+
+@_query(NEIGHBOURS + SHUFFLED.format(t="cat") + _against("sh", MATCH))
+def shuffled_categorical_baseline(spark, sf_dir):
+    sn, _, cat = _neighbours(spark, sf_dir)
+    return catalog.categorical_match(sn, catalog.shuffled(cat)).select(_r("match_share"), "pairs")
+
+
+@_query()
+def attribute_locality(spark, sf_dir):
+    return catalog.locality(*_neighbours(spark, sf_dir)).select("attribute", _r("real"), _r("random"), "signal")
+
+
+@_query(E + " select label as cluster_id, count(*) as n, round(avg(attr), 6) as mean, round(stddev_samp(attr), 6) as std from e group by label")
+def cluster_mean_std(spark, sf_dir):
+    return catalog.group_spread(vectors(spark, sf_dir), "cluster_id", "attr").select("cluster_id", "n", _r("mean"), _r("std"))
+
+
+@_query("select p_partkey, substring(sha256(p_name || '|' || p_brand || '|' || p_type), 1, 16) as key from part")
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", scalars.content_key(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("key"))
+
+
+@_query("select query_id, code from (select l.doc_id as query_id, dense_rank() over (order by lang) - 1 as code from documents l where lang is not null)")
+def categorical_codes(spark, sf_dir):
+    return catalog.filter_metadata(_table(spark, sf_dir, "documents"), "lang", "doc_id", categorical=True).withColumnRenamed("doc_id", "query_id")
+
+
+# ---------------------------------------------------------------- models
+
+
+@_query()
+def kmeans_cells(spark, sf_dir):
+    from nearfield.operators.models import kmeans_cells as train
+
+    own, centres = train(base(spark, sf_dir).select("vec_id", "vec"), 10)
+    return own.groupBy("cluster_id").agg(F.count("*").alias("members")).join(centres.select("cluster_id", F.size("centroid").alias("width")), "cluster_id")
+
+
+@_query()
+def pca_projection(spark, sf_dir):
+    from nearfield.operators.models import principal_components
+
+    return principal_components(base(spark, sf_dir).select("vec_id", "vec"), 2)
+
+
+@_query(E + f""", cen as (select label as cluster_id, list(x order by pos) as centroid from (select label, pos, avg(x) as x from (select label, unnest(vec) as x, unnest(range(len(vec))) as pos from b) group by label, pos) group by label),
+an as (select cluster_id, centroid, cluster_id / 9.0::double as anchor from cen), dd as (select b.vec_id, anchor, {D2.format(a='b.vec', b='an.centroid')} as d2 from b, an),
+w as (select vec_id, sum(exp(-d2 / (2 * 0.8 * 0.8)) * anchor) / greatest(sum(exp(-d2 / (2 * 0.8 * 0.8))), 1e-12) as a from dd group by vec_id) select vec_id, round_even(1000 * (a - (select min(a) from w)) / ((select max(a) from w) - (select min(a) from w)), 0)::bigint as attr from w""")
+def rbf_attribute(spark, sf_dir):
+    from nearfield.operators.models import blended_attribute
+
+    anchors = cells(spark, sf_dir).withColumn("anchor", F.col("cluster_id") / 9.0)
+    return blended_attribute(base(spark, sf_dir).select("vec_id", "vec"), anchors, 0.8)
+
+
+@_query()
+def smoothed_anchors(spark, sf_dir):
+    from nearfield.operators.models import smoothed_anchors as smooth
+
+    return smooth(cells(spark, sf_dir)).select("cluster_id", _r("anchor"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "l2"]
