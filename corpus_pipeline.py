@@ -17,6 +17,7 @@ from nearfield.llm.language import without_rejected
 from nearfield.llm.minhash import near_duplicates
 from nearfield.llm.mixing import mixed_documents
 from nearfield.llm.sstable import read_digests, write_tokens
+from nearfield.session import ship
 
 #: Scratch tables of stages whose results have been written since.
 _DONE: list[str] = []
@@ -27,6 +28,7 @@ def _stage(f):
 
     @wraps(f)
     def of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         remove(spark, *_DONE)
         _DONE.clear()
         with noted() as made:

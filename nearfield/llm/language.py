@@ -21,6 +21,8 @@ CENTROIDS, ROUNDS = 4, 12
 #: A text is rejected if its similarity is below this share of what all but one in a hundred of its language's sample have.
 REJECT = 0.35
 UNKNOWN = "und"
+#: Fewer n-grams than this say less, and the least similarity shrinks in proportion: a text of a word or two is not unlike a language.
+REJECT_GRAMS = 120
 #: Rows of the dense matrix that a task holds at once.
 DENSE_ROWS = 1024
 
@@ -147,10 +149,12 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 known = has_letters(texts)
                 lang, score, out = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
                 if model is not None and known.any():
-                    which, sim = model.predict(counts(texts))
+                    c = counts(texts)
+                    which, sim = model.predict(c)
                     lang[known] = np.array(model.languages, object)[which[known]]
                     score[known] = sim[known]
-                    out[known] = sim[known] < REJECT * model.least[which[known]]
+                    least = REJECT * model.least[which] * np.minimum(1, c.sum(axis=1) / REJECT_GRAMS)
+                    out[known] = (sim < least)[known]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out)], [*names, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

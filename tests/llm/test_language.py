@@ -28,6 +28,11 @@ def test_odd_rows(spark):
     assert {3, 4, 5, 13}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_short_clean_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "This."), (2, "A."), (3, "De.")], "doc_id long, text string")
+    assert not any(r.rejected for r in predict(docs, fit(documents(spark))).collect())
+
+
 def test_nothing_to_learn_from(spark):
     docs = documents(spark)
     assert fit(docs.limit(0)) is None
@@ -37,5 +42,5 @@ def test_nothing_to_learn_from(spark):
 
 def test_foreign_text_is_rejected(spark):
     docs = documents(spark)
-    strange = spark.createDataFrame([(1, "Привет как дела сегодня хорошая погода")], "doc_id long, text string")
+    strange = spark.createDataFrame([(1, "Привет как дела сегодня хорошая погода и мы идём гулять в парк")], "doc_id long, text string")
     assert predict(strange, fit(docs)).first().rejected
