@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, language
+from nearfield.llm import chat, language, oracles
 from nearfield.llm.decontaminate import contamination
 from nearfield.llm.knn_join import knn_join
 from nearfield.llm.licenses import scan
@@ -93,4 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op3_voronoi_knn_join": oracles.KNN_JOIN,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_chat_snapshots": chat.ORACLE,
+    "op10_decontamination": oracles.CONTAMINATION,
+}
