@@ -22,9 +22,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(ALNUM_WORD), F.lit(0))
 
 
-def folded_words(text: Column) -> Column:
-    """The same words with all letters in lower case, which costs far less; words that words() holds equal are equal here."""
-    return F.regexp_extract_all(F.lower(text), F.lit(ALNUM_WORD), F.lit(0))
+def places(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, term) of every word of docs (doc_id, text), all letters in lower case, which costs less than A-Z alone; words that words() holds equal are equal here."""
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(ALNUM_WORD), F.lit(0))).alias("pos", "word")).select("doc_id", "pos", F.lower("word").alias("term"))
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -43,15 +43,14 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index: (term, doc_id, pos) for every place of a term of terms (term) in docs (doc_id, text)."""
-    places = docs.select("doc_id", F.posexplode(folded_words(F.col("text"))).alias("pos", "term"))
-    return places.join(_sent(terms), "term")
+    return places(docs).join(_sent(terms), "term")
 
 
 def rare_terms(docs: DataFrame, wins: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(term, win, offset, needed): the rarest terms of each window by their counts in docs, and how many different places of the window were chosen."""
     own = wins.select("win", F.posexplode(F.transform("words", lambda x: F.lower(x))).alias("offset", "term"))
     terms = own.select("term").distinct()
-    counted = docs.select(F.explode(folded_words(F.col("text"))).alias("term")).join(_sent(cut(terms, "terms")), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counted = postings(docs, cut(terms, "terms")).groupBy("term").agg(F.count("*").alias("n"))
     ranked = own.join(counted, "term", "left").groupBy("win").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "offset", "term"))).alias("t"))
     # a window with a term that no document has stands nowhere
     ranked = ranked.where(F.col("t")[0]["n"] > 0).select("win", F.slice("t", 1, rarest).alias("t"))
@@ -61,7 +60,7 @@ def rare_terms(docs: DataFrame, wins: DataFrame, rarest: int = RAREST) -> DataFr
 def phrase_matches(docs: DataFrame, wins: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(doc_id, found array<struct<win, start, words>>): where windows may stand in each document, by intersection of shifted posting lists."""
     looked_up = cut(rare_terms(docs, wins, rarest), "rare-terms")
-    hit = docs.select("doc_id", F.posexplode(folded_words(F.col("text"))).alias("pos", "term")).join(_sent(looked_up), "term")
+    hit = postings(docs, looked_up)
     at = hit.select("doc_id", "win", (F.col("pos") - F.col("offset")).alias("start"), "offset", "needed").where("start >= 0")
     both = at.groupBy("doc_id", "win", "start").agg(F.count_distinct("offset").alias("n"), F.max("needed").alias("needed")).where("n = needed")
     full = both.join(_sent(wins), "win")
@@ -73,8 +72,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, span: int = 30, rarest:
     whole = items.select(F.col("item_id"), F.array_distinct(words(F.col("text"))).alias("words")).where("size(words) > 0")
     whole = cut(whole.select("item_id", "words", F.monotonically_increasing_id().alias("win")), "items")
     terms = cut(rare_terms(docs, whole, rarest), "rare-terms")
-    places = docs.select("doc_id", F.posexplode(folded_words(F.col("text"))).alias("pos", "term")).join(_sent(terms), "term")
-    by_doc = places.groupBy("doc_id", "win").agg(F.sort_array(F.collect_list(F.struct("pos", "offset"))).alias("p"), F.max("needed").alias("needed"))
+    by_doc = postings(docs, terms).groupBy("doc_id", "win").agg(F.sort_array(F.collect_list(F.struct("pos", "offset"))).alias("p"), F.max("needed").alias("needed"))
     near = lambda x: F.size(F.array_distinct(F.transform(F.filter("p", lambda y: (y["pos"] >= x["pos"]) & (y["pos"] < x["pos"] + span)), lambda y: y["offset"])))
     first = by_doc.select("doc_id", "win", F.try_element_at(F.filter("p", lambda x: near(x) >= F.col("needed")), F.lit(1)).alias("first")).where("first is not null")
     return first.join(whole, "win").select("doc_id", "item_id", F.col("first.pos").alias("start"))
@@ -91,7 +89,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep:
     both = docs.select(*dict.fromkeys(["doc_id", "text", *keep])).join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     stands = let(words(F.col("text")), lambda w: F.filter("found", lambda f: F.slice(w, (f["start"] + 1).cast("int"), F.size(f["words"])) == f["words"]))
     hits = F.when(F.col("found").isNotNull() & F.col("text").isNotNull(), F.transform(stands, lambda f: F.struct(f["win"].alias("win"), f["start"].alias("start"), F.size(f["words"]).alias("n"))))
-    n_words = F.coalesce(F.regexp_count(F.lower("text"), F.lit(ALNUM_WORD)), F.lit(0)).cast("long")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(ALNUM_WORD)), F.lit(0)).cast("long")
     each = both.select("doc_id", *keep, n_words.alias("n_words"), F.coalesce(hits, F.array().cast("array<struct<win:bigint,start:int,n:int>>")).alias("hits"), F.monotonically_increasing_id().alias("row"))
     each = cut(each, "hits")
     drop(wins)
