@@ -65,7 +65,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int
 def drawn_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> DataFrame:
     """(s, shard, place, pass, block): every slot of the output with its shard, its place there, and the source's block that it takes in which pass."""
     chunk = targets.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_CHUNK).cast("long"))).alias("k0"))
-    chunk = chunk.repartition("s", "k0")
+    chunk = chunk.repartition(max(1, math.ceil((targets.agg(F.max("all_slots")).first()[0] or 0) / (64 * SLOT_CHUNK))), "s", "k0")
     slot = chunk.select("*", F.explode(F.sequence("k0", F.least(F.col("k0") + SLOT_CHUNK, "slots") - 1)).alias("k"))
     slot = slot.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long"))
     at = permuted(F.col("slot0") + F.col("k"), F.col("all_slots"), F.lit(seed))
@@ -106,7 +106,8 @@ def mixture(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOC
     laid = cut(packed(sized.select("row", "doc_id", "source", "size", "text_hash"), targets, block), "laid")
     own = laid.where("size > 0").select("row", "s", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     slots = drawn_slots(targets, seed=seed)
-    pieces = own.join(slots, ["s", "block"])
+    # the slots grow with the corpus; their chunks look small enough to be broadcast
+    pieces = own.join(slots.hint("merge"), ["s", "block"])
     first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     last = F.least((F.col("block") + 1) * block - F.col("start"), "size")
     return laid, pieces.select("row", "shard", "place", "pass", first.alias("first"), (last - first).alias("words"))
