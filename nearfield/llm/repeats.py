@@ -100,15 +100,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     # a row for every class: where its representative's anchors are shared
     reps = seeds.join(classes, (seeds.digest == classes.digest) & seeds.doc_id.eqNullSafe(classes.rep)).groupBy("class").agg(F.first("anchors").alias("anchors"))
     own = cut(reps.select("class", F.posexplode("anchors").alias("nth", "anchor")), "anchors")
-    shared = own.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    # tables of their own, so that both sides of the joins are plain shuffles, of which Spark splits the hot partitions
+    shared = cut(own.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "shared-anchors")
     found = cut(own.join(shared, "anchor").groupBy("class").agg(F.collect_list("nth").alias("seeds")), "shared")
-    drop(own)
+    drop(own, shared)
     wanted = classes.join(found, "class").select("class", F.col("rep").alias("doc_id"), "digest", "seeds")
     texts = wanted.withColumnRenamed("doc_id", "rep").join(docs, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("rep")
     windows = cut(texts.select("class", "digest", "seeds", "text").mapInArrow(_windows(window, anchor), "window long, class long, start int"), "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window")
+    twice = cut(windows.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window"), "repeated-windows")
     starts = cut(windows.join(twice, "window").groupBy("class").agg(F.array_distinct(F.collect_list("start")).alias("starts")), "starts")
-    drop(windows, found)
+    drop(windows, found, twice)
     starts = classes.join(starts, "class", "left").select("digest", (F.col("copies") > 1).alias("whole"), "starts")
     # copies carry no starts: all of their words are repeats
     starts = starts.select("digest", "whole", F.when(~F.col("whole"), F.col("starts")).alias("starts"))
