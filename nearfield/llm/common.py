@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -252,13 +253,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e, before = cut(e, "edges"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # a table of its own, so that both sides of the join are plain shuffles, of which Spark splits a hub's partition
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
         new = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        drop(e)
+        drop(e, low)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -273,6 +274,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # ---------------------------------------------------------------- Arrow batches
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers stay between tasks, and several share an executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches, column: str, limit: int = SHARD_BYTES):
     """Record batches cut into slices of at most about limit bytes of a text column (one row at least)."""
     for batch in batches:
@@ -286,6 +296,7 @@ def pieces(batches, column: str, limit: int = SHARD_BYTES):
             to = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def whole_runs(batches, key: str):
@@ -305,6 +316,7 @@ def whole_runs(batches, key: str):
         carry.append(batch.slice(last))
     if carry:
         yield pa.Table.from_batches(carry)
+    give_back()
 
 
 def run_bounds(k: np.ndarray) -> np.ndarray:

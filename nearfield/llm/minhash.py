@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("packed").alias("packed"), F.min("bands").alias("bands"))
     reps = cut(reps, "representatives")
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    # a table of its own, so that both sides of the join are plain shuffles, of which Spark splits the hot partitions
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "shared-bands")
     members = banded.join(shared, "band").select("rep", "band", F.ceil(F.col("m") / BAND_BLOCK).alias("blocks"))
     members = members.join(reps.select("rep", "packed"), "rep")
     members = _block_pairs(members, "band").select("run", "rep", "packed").repartition("run").sortWithinPartitions("run")
