@@ -15,18 +15,23 @@ from nearfield.llm.common import cut
 BUCKET_TURNS = 64
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").isNull(), "text")
+
+
 def _hash(pos: Column, seed: str) -> Column:
-    return F.xxhash64(F.lit(seed), pos, F.col("role").isNull(), "role", F.lit("|"), F.col("text").isNull(), "text")
+    return F.xxhash64(F.lit(seed), pos, F.col("role").isNull(), "role", F.lit("|"), f"text_{seed}")
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with pos (from 1) and h1, h2: the hash of all turns up to this one.
+    """(conv_id, pos, h1, h2) of turns (conv_id, turn, role, text): places from 1 and the hashes of all turns up to each; texts are hashed where they are read.
 
     The hash of a prefix is the exclusive or of its turns' hashes with their places, two of 64 bits; so it rolls in two levels, inside buckets of turn numbers and over
-    a conversation's buckets. Turns of equal number follow their role and text; null numbers come first; a null conv_id is a conversation.
+    a conversation's buckets. Turns of equal number follow their role and a hash of their text; null numbers come first; a null conv_id is a conversation.
     """
-    t = turns.select("conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / BUCKET_TURNS), F.lit(-(1 << 40))).cast("long").alias("bucket"))
-    inside = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bucket = F.coalesce(F.floor(F.col("turn") / BUCKET_TURNS), F.lit(-(1 << 40))).cast("long")
+    t = turns.select("conv_id", "turn", "role", _text_hash().alias("text_a"), F.xxhash64(F.lit("b"), F.col("text").isNull(), "text").alias("text_b"), bucket.alias("bucket"))
+    inside = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text_a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("local", F.row_number().over(inside))
     over = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -37,14 +42,14 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
         return a.join(b, F.col("conv_id").eqNullSafe(F.col("conv_")) & (F.col("bucket") == F.col("bucket_"))).drop("conv_", "bucket_")
 
     t = join(t, size.select("conv_id", "bucket", "before"))
-    t = t.withColumn("pos", F.col("before") + F.col("local"))
-    t = t.withColumn("h1", _hash(F.col("pos"), "a")).withColumn("h2", _hash(F.col("pos"), "b"))
+    pos = F.col("before") + F.col("local")
+    t = t.select("conv_id", "bucket", pos.alias("pos"), _hash(pos, "a").alias("h1"), _hash(pos, "b").alias("h2"))
     sums = t.groupBy("conv_id", "bucket").agg(F.bit_xor("h1").alias("s1"), F.bit_xor("h2").alias("s2"))
     sums = sums.select("conv_id", "bucket", F.coalesce(F.bit_xor("s1").over(over), zero).alias("b1"), F.coalesce(F.bit_xor("s2").over(over), zero).alias("b2"))
     by_pos = Window.partitionBy("conv_id", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("h1", F.bit_xor("h1").over(by_pos)).withColumn("h2", F.bit_xor("h2").over(by_pos))
     t = join(t, sums)
-    return t.select("conv_id", "turn", "role", "text", "pos", F.col("h1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("b2")).alias("h2"))
+    return t.select("conv_id", "pos", F.col("h1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("b2")).alias("h2"))
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
@@ -65,8 +70,8 @@ def rendered(turns: DataFrame) -> DataFrame:
     hashed = cut(prefix_hashes(turns), "prefixes")
     kept = maximal(hashed).withColumnRenamed("conv_id", "conv_")
     piece = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
-    both = hashed.join(kept, F.col("conv_id").eqNullSafe(F.col("conv_")))
-    lines = both.groupBy("conv_id", "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces"))
+    both = turns.select("conv_id", "turn", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("conv_")))
+    lines = both.groupBy("conv_id", "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("turn", "role", _text_hash().alias("text_a"), piece.alias("piece")))).alias("pieces"))
     return lines.select("conv_id", "n_turns", "copies", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
 
 
