@@ -1,32 +1,34 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The root's distribution is that of all training words, whole, counted and looked up by joins. Contexts are one or two words long; a candidate must make up a least share of
-the training text, and stays if its next-symbol distribution diverges from its shorter suffix's by more than sampling explains. Below the root the
-alphabet is the words of that same least share, the end of a text, and all rarer words as one symbol, whose members share its probability as at the root. A
-context's distribution is smoothed towards its suffix's. A text's score is the sum over its tokens of the log10 probability in the longest retained suffix of what precedes.
-By the least share the tree is bounded, whatever the corpus; the root's counts, which are not, never leave the executors.
+The root's distribution is that of all training words, whole. Contexts are one or two words long; a context that occurs a least number of times (LEAST_COUNT in op2, whatever
+the corpus) is a candidate, and stays if its next-symbol distribution diverges from its shorter suffix's by more than sampling explains. Below the root the alphabet is the words that
+occur as often, the end of a text, and all rarer words as one symbol, whose members share its probability as at the root. A context's distribution is smoothed
+towards its suffix's. A text's score is the sum over its tokens of the log10 probability in the longest retained suffix of what precedes.
+The tree grows with the corpus: it is Spark tables of n-gram counts, which the shards of the texts ask for by joins; none of it is gathered on the driver or broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, pieces, signed, words_of
+from nearfield.llm.common import cut, drop, mix, pieces, signed, words_of
 
-#: Least share of the training tokens that a context or symbol has: at most 1 / LEAST_SHARE of each.
+#: Least count of a context and of a symbol of the contexts' alphabet, so that the tree grows with the corpus.
+LEAST_COUNT = 5
+#: Without a least count: least share of the training tokens that a context or symbol has, which bounds the tree.
 LEAST_SHARE = 5e-4
 DEPTH = 2
 #: A context stays if it diverges by so many nats a token, beyond what as many draws from the suffix's distribution would.
 DIVERGENCE = 0.01
 #: Weight, in tokens, of the suffix's distribution in a context's.
 SMOOTHING = 50.0
-END = np.uint64(0x5EEDE5D0F7E87001)
+END, RARE = np.uint64(0x5EEDE5D0F7E87001), np.uint64(0x5EEDE5D0F7E87002)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Text of a shard, in characters, and the least number of shards.
 SHARD_CHARS, LEAST_SHARDS = 12 << 20, 12
 
@@ -44,197 +46,145 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-@dataclass
-class Tree:
-    """Symbols (sorted hashes; then the rare and the end), root's shares and the retained contexts' log10 ratios to the root."""
-
-    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    root: np.ndarray = field(default_factory=lambda: np.ones(2))
-    contexts: list[np.ndarray] = field(default_factory=list)
-    gains: list[np.ndarray] = field(default_factory=list)
-
-    @property
-    def base(self) -> int:
-        return len(self.symbols) + 2
-
-    def codes(self, h: np.ndarray) -> np.ndarray:
-        n = len(self.symbols)
-        at = np.searchsorted(self.symbols, h)
-        out = np.full(len(h), n, np.int64)
-        ok = at < n
-        ok[ok] = self.symbols[at[ok]] == h[ok]
-        out[ok] = at[ok]
-        out[h == END] = n + 1
-        return out
-
-    def context(self, codes: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-        """Key of the depth words before each token, or -1 where there are fewer or one is rare."""
-        out = np.zeros(len(codes), np.int64)
-        place = np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
-        bad = place < depth
-        for k in range(1, depth + 1):
-            before = np.roll(codes, k)
-            bad |= before >= len(self.symbols)
-            out += before * self.base ** (k - 1)  # the nearest word is the lowest digit
-        out[bad] = -1
-        return out
-
-    def gain(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 ratio of each token's probability in its longest retained context to that at the root."""
-        out, open_ = np.zeros(len(codes)), np.ones(len(codes), bool)
-        for depth in range(len(self.contexts), 0, -1):
-            keys, table = self.contexts[depth - 1], self.gains[depth - 1]
-            if not len(keys):
-                continue
-            c = self.context(codes, first, depth)
-            at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-            hit = open_ & (keys[at] == c)
-            out[hit] = table[at[hit], codes[hit]]
-            open_ &= ~hit
-        return out
-
-
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(word, c): how often each token's hash occurs in docs (text)."""
-
-    def of(batches):
-        held, n = [], 0
-
-        def flush():
-            h, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            u, at = np.unique(h, return_inverse=True)
-            held[:] = [(u, np.bincount(at, weights=c, minlength=len(u)).astype(np.int64))]
-
-        for b in pieces(batches, "text"):
-            u, c = np.unique(tokens(b.column("text"))[0], return_counts=True)
-            held.append((u, c))
-            n += len(u)
-            if n > 4_000_000:
-                flush()
-                n = len(held[0][0])
-                if n > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(held[0][0])), pa.array(held[0][1])], ["word", "c"])
-                    held, n = [], 0
-        if held:
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array(signed(held[0][0])), pa.array(held[0][1])], ["word", "c"])
-
-    return docs.select("text").mapInArrow(of, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _context_counts(docs: DataFrame, tree: Tree, depth: int, allowed: np.ndarray) -> np.ndarray:
-    """Allowed contexts' counts of next symbols, (contexts, symbols); at most as large as the least shares allow."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree, allowed))
-
-    def of(batches):
-        own, keys = shared.value
-        total: dict[int, int] = {}
-        for b in pieces(batches, "text"):
+class Counts:
+    """Training counts of n-grams by key, and which of them stay as contexts."""
+
+    def __init__(self, table: pa.Table) -> None:
+        keys = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.n, self.keep = keys[order], table.column("n").to_numpy()[order], table.column("keep").to_numpy()[order]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, and whether they stay as contexts, of keys; 0 and False where unknown."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.n[at], 0), hit & self.keep[at]
+
+
+class Walk:
+    """Tokens of whole texts in the contexts of up to depth words: at the end the n-grams of depth + 1 words and their contexts, as far as counts tell."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, counts: Counts, bottom: float, rare: float, least: float, depth: int) -> None:
+        self.times, stays = counts.of(h)
+        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        frequent = (self.times >= least) & (h != END)
+        symbol = np.where(frequent | (h == END), h, RARE)
+        root = np.where(symbol == RARE, rare, (self.times + 0.5) / bottom)
+        self.gain, self.p, self.key, n, self.open = np.zeros(len(h)), root, h, self.times, np.ones(len(h), bool)
+        for d in range(1, depth + 1):
+            # a gram's context is the gram that ends one word before
+            self.ctx, total, kept = np.roll(self.key, 1), np.roll(n, 1), np.roll(stays, 1)
+            self.open = np.roll(self.open & frequent, 1) & (total >= least) & (place >= d)
+            with np.errstate(over="ignore"):
+                self.key = mix(self.ctx * _BASE + symbol + np.uint64(d))
+            self.parent = self.p
+            n, stays = counts.of(self.key)
+            n = np.where(self.open, n, 0)
+            self.p = (n + SMOOTHING * self.parent) / (total + SMOOTHING)
+            use = self.open & kept
+            self.gain[use] = np.log10(self.p[use] / root[use])
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(key, n, further columns of the key) with each key once and its n summed."""
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    u, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
+    return u, np.bincount(back, weights=columns[1], minlength=len(u)).astype(np.int64), *(c[at] for c in columns[2:])
+
+
+def _asked_words(batches):
+    """The different tokens of each shard of a task, and how often they occur in its training texts."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for b in pieces(batches, "text"):
+        h, first = tokens(b.column("text"))
+        size = np.diff(first)
+        own, learn = np.repeat(b.column("shard").to_numpy(), size), np.repeat(b.column("learn").to_numpy(zero_copy_only=False), size)
+        for s in np.unique(own).tolist():
+            held.setdefault(s, []).append(_summed([(h[own == s], learn[own == s])]))
+    for s, parts in held.items():
+        u, n = _summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), s, np.int32)), pa.array(signed(u)), pa.array(n)], ["shard", "key", "n"])
+
+
+_GRAMS = "shard int, key long, n long, ctx long, parent float"
+
+
+def _asked_grams(bottom: float, rare: float, least: float, depth: int):
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The different n-grams of depth + 1 words of a shard, how often they occur in its training texts, and their contexts and their probability in the contexts' suffixes."""
+        counts, parts, shard = Counts(right), [], 0
+        for b in pieces(left.combine_chunks().to_batches(), "text"):
             h, first = tokens(b.column("text"))
-            codes = own.codes(h)
-            c = own.context(codes, first, depth)
-            at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-            hit = keys[at] == c
-            u, n = np.unique(at[hit] * own.base + codes[hit], return_counts=True)
-            for k, x in zip(u.tolist(), n.tolist(), strict=True):
-                total[k] = total.get(k, 0) + x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["k", "n"])
-
-    out = np.zeros((len(allowed), tree.base))
-    if len(allowed):
-        rows = docs.select("text").mapInArrow(of, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-        out.ravel()[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
-def learn(docs: DataFrame, counts: DataFrame, n_tokens: int, n_distinct: int, depth: int = DEPTH) -> Tree:
-    """The tree of docs (text), whose unigrams() are counts."""
-    least = max(2.0, LEAST_SHARE * n_tokens)
-    rows = counts.where(F.col("c") >= least).where(F.col("word") != int(signed(np.array([END]))[0])).collect()  # at most 1 / LEAST_SHARE
-    hashes = np.array([r.word for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    c = np.array([r.c for r in rows], np.float64)[order]
-    ends = counts.where(F.col("word") == int(signed(np.array([END]))[0])).first()
-    bottom = n_tokens + 0.5 * (n_distinct + 1)
-    known = np.concatenate([(c + 0.5) / bottom, [((ends.c if ends else 0) + 0.5) / bottom]])
-    rare = max(1.0 - known.sum(), 1e-12)
-    tree = Tree(hashes[order], np.concatenate([known[:-1], [rare], known[-1:]]))
-    allowed, before = np.arange(len(hashes), dtype=np.int64), None
-    for d in range(1, depth + 1):
-        n = _context_counts(docs, tree, d, allowed)
-        total = n.sum(axis=1)
-        full = total >= least
-        allowed, n, total = allowed[full], n[full], total[full]
-        if d == 1:
-            parent = np.broadcast_to(tree.root, n.shape)
-        else:
-            keys, dist = before
-            at = np.minimum(np.searchsorted(keys, allowed % tree.base ** (d - 1)), max(len(keys) - 1, 0))
-            parent = dist[at] if len(allowed) else np.zeros((0, tree.base))
-        smooth = (n + SMOOTHING * parent) / (total[:, None] + SMOOTHING) if len(allowed) else np.zeros((0, tree.base))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            kl = np.where(n > 0, n / total[:, None] * np.log(n / total[:, None] / parent), 0).sum(axis=1)
-        stays = kl - (n > 0).sum(axis=1) / (2 * np.maximum(total, 1)) >= DIVERGENCE
-        tree.contexts.append(allowed[stays])
-        tree.gains.append(np.log10(smooth[stays] / tree.root).astype(np.float64))
-        before = (allowed, smooth)
-        # longer contexts: a symbol before one whose pair is frequent enough
-        pairs = np.argwhere(n[:, : len(hashes)] >= least)
-        allowed = np.unique(before[0][pairs[:, 0]] * tree.base + pairs[:, 1])
-        if not len(allowed):
-            break
-    return tree
-
-
-def score(docs: DataFrame, is_training, depth: int = DEPTH) -> DataFrame:
+            shard = b.column("shard")[0].as_py()
+            w = Walk(h, first, counts, bottom, rare, least, depth)
+            learn = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), np.diff(first))
+            parts.append(_summed([(w.key[w.open], learn[w.open], w.ctx[w.open], w.parent[w.open].astype(np.float32))]))
+        key, n, ctx, parent = _summed(parts) if parts else [np.zeros(0, t) for t in (np.uint64, np.int64, np.uint64, np.float32)]
+        return pa.table({"shard": np.full(len(key), shard, np.int32), "key": signed(key), "n": n, "ctx": signed(ctx), "parent": parent})
+
+    return of
+
+
+def _staying(grams: DataFrame) -> DataFrame:
+    """(key, keep) of the contexts of grams that diverge from their suffixes."""
+    total = F.col("total")  # every context is followed by a symbol, the end at least
+    per = grams.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("parent").cast("double"))).alias("sum"), F.count("*").alias("m"), F.sum("n").alias("total"))
+    return per.where(F.col("sum") / total - F.log(total) - F.col("m") / (2 * total) >= DIVERGENCE).select(F.col("ctx").alias("key"), F.lit(True).alias("keep"))
+
+
+def _marked(found: DataFrame, staying: DataFrame) -> DataFrame:
+    """found, with keep where the n-gram stays as a context."""
+    return found.drop("keep").join(staying, "key", "left").select("shard", "key", "n", F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
+def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, *) of every row of docs (doc_id, text), learning from those where is_training, a condition on doc_id, holds.
 
     Null and empty texts are their end alone. base_score: the sum of log10((c + 0.5) / (N + 0.5 * (V + 1))); score: the same under the tree. Without
-    training rows every token's probability is 1. Repeated rows are scored and counted each for itself.
+    training rows every token's probability is 1. Repeated rows are scored and counted each for itself. least: how often a context or symbol must occur;
+    by default LEAST_SHARE of the training tokens, twice at least.
     """
-    docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    training = docs.where(is_training)
-    counts = cut(unigrams(training), "unigrams")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(learn(training, counts, n, v, depth))
+    docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("learn"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(chars / SHARD_CHARS))
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(shards)).cast("int"))
-
-    def asked(batches):
-        """The different tokens of each shard of a task."""
-        held: dict[int, list[np.ndarray]] = {}
-        for b in pieces(batches, "text"):
-            h, first = tokens(b.column("text"))
-            own = np.repeat(b.column("shard").to_numpy(), np.diff(first))
-            for s in np.unique(own).tolist():
-                held.setdefault(s, []).append(np.unique(h[own == s]))
-        for s, parts in held.items():
-            u = np.unique(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), s, np.int32)), pa.array(signed(u))], ["shard", "word"])
-
-    wanted = dealt.select("shard", "text").repartition(shards, "shard").mapInArrow(asked, "shard int, word long")
-    found = cut(wanted.join(counts, "word").select("shard", "word", "c"), "vocabulary")
+    texts = dealt.select("shard", "learn", "text")
+    asked = cut(texts.repartition(shards, "shard").mapInArrow(_asked_words, "shard int, key long, n long"), "asked-words")
+    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"), "unigrams")
+    end = F.col("key") == int(signed(np.array([END]))[0])
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least = max(2.0, LEAST_SHARE * n) if least is None else least
+    known = counts.where(end | (F.col("n") >= least)).agg(F.coalesce(F.sum(F.col("n") + 0.5), F.lit(0.0))).first()[0]
     bottom = n + 0.5 * (v + 1)
+    rare = max(1.0 - known / bottom, 1e-12)
+    levels = [cut(asked.select("shard", "key").join(counts, "key").select("shard", "key", "n", F.lit(False).alias("keep")), "vocabulary")]
+    drop(asked, counts)
+    for d in range(1, depth + 1):
+        known = levels[0]
+        for level in levels[1:]:
+            known = known.unionByName(level)
+        asked = cut(texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_asked_grams(bottom, rare, least, d), _GRAMS), "asked-grams")
+        grams = cut(asked.groupBy("key").agg(F.sum("n").alias("n"), F.first("ctx").alias("ctx"), F.first("parent").alias("parent")).where("n > 0"), "grams")
+        staying = cut(_staying(grams), "contexts")
+        levels[-1] = _marked(levels[-1], staying)
+        # the longest n-grams are asked for in contexts that stay alone
+        wanted = grams.select("key", "n") if d < depth else grams.join(staying.select(F.col("key").alias("ctx")), "ctx", "left_semi").select("key", "n")
+        levels.append(cut(asked.select("shard", "key").join(wanted, "key").select("shard", "key", "n", F.lit(False).alias("keep")), "found-grams"))
+        drop(asked, grams)
+    known = levels[0]
+    for level in levels[1:]:
+        known = known.unionByName(level)
 
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, c = right.column("word").to_numpy().view(np.uint64), right.column("c").to_numpy()
-        order = np.argsort(words)
-        words, c = words[order], c[order]
-        out = []
+        found, out = Counts(right), []
         for b in pieces(left.combine_chunks().to_batches(), "text"):
             h, first = tokens(b.column("text"))
-            times = np.zeros(len(h))
-            if len(words):
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                times = np.where(words[at] == h, c[at], 0)
-            base = np.log10((times + 0.5) / bottom)
-            gain = tree.value.gain(tree.value.codes(h), first)
-            own, known = np.add.reduceat(base, first[:-1]), np.add.reduceat((times > 0).astype(np.int64), first[:-1])
-            out.append(pa.table({"doc_id": b.column("doc_id"), "n_tokens": np.diff(first), "n_known": known, "base_score": own, "score": own + np.add.reduceat(gain, first[:-1])}))
+            w = Walk(h, first, found, bottom, rare, least, depth)
+            own, known = np.add.reduceat(np.log10((w.times + 0.5) / bottom), first[:-1]), np.add.reduceat((w.times > 0).astype(np.int64), first[:-1])
+            out.append(pa.table({"doc_id": b.column("doc_id"), "n_tokens": np.diff(first), "n_known": known, "base_score": own, "score": own + np.add.reduceat(w.gain, first[:-1])}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
-    done = dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    done = dealt.select("doc_id", "text", "shard").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(n).cast("long"))
-

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.llm.language import remainder
+from nearfield.llm.queries import op2_suffix_tree_scores
 from nearfield.llm.suffix_tree import DIVERGENCE, LEAST_SHARE, SMOOTHING, score
 
 from .fixtures import SPACE, documents, lower, odd_docs
@@ -90,3 +91,13 @@ def test_nothing_to_learn_from(spark):
     got = score(docs, F.lit(False)).collect()
     assert all(r.score == r.base_score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in got)
     assert score(docs.limit(0), F.lit(True)).collect() == []
+
+
+def test_query_keeps_rare_contexts_of_a_long_corpus(spark, tmp_path):
+    """A phrase that is 1/5000 of the training text is a context of op2, as it would be in a short one."""
+    rng = np.random.default_rng(8)
+    filler = [(i, " ".join(f"f{x}" for x in rng.integers(0, 20000, 1000))) for i in range(50)]
+    rows = [*filler, *((100 + i, "alpha beta gamma") for i in range(15)), *((200 + i, "alpha beta gamma") for i in range(10))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in op2_suffix_tree_scores(spark, str(tmp_path)).collect() if r.held_out and r.doc_id >= 100]
+    assert got and all(r.n_known == 4 and r.score > 0.8 * r.base_score for r in got)
