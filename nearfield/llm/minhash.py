@@ -1,14 +1,15 @@
 """Near-duplicate classes by b-bit MinHash with exact confirmation.
 
-Minima of 128 hash functions over 5-word shingles give 25 bands of 5 whole minima; documents that share a band's value are candidates. Of each
+Minima of 128 hash functions over 5-word shingles give bands of whole minima, 25 of 5 at similarity 0.85 and 28 of 4 at 0.80; documents that share a band's value are candidates. Of each
 minimum the low 4 bits stay, packed into eight 64-bit words; the similarity of two candidates is estimated from the number of equal fields, corrected for
 chance collisions. Candidates that pass join a candidate class; inside a class, block against block, the links are confirmed on the full shingle sets,
-and the confirmed links give the components. A pair at similarity 0.85 misses all bands with probability 4e-7 and falls below the estimate's margin with 3e-7.
+and the confirmed links give the components. A pair at the threshold misses all bands with probability MISSED at most and falls below the estimate's margin with about 1e-7.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import binaries, components, cut, drop, mix, ngram_hashes, pieces, run_bounds, signed, whole_runs, words_of
 
 SHINGLE = 5
-HASHES, BANDS, ROWS, BITS = 128, 25, 5, 4
-#: How far below the threshold an estimate may lie: five standard deviations at similarity 0.85.
-MARGIN = 0.17
+HASHES, BITS = 128, 4
+#: How far below the threshold an estimate may lie, in standard deviations at the threshold; how likely a pair at the threshold may miss all bands.
+MARGIN, MISSED = 5.2, 5e-7
 #: Members of a band's value that are compared in one block; documents of a class that are compared in one block at least and at most.
 BAND_BLOCK, CLASS_BLOCK, CLASS_BLOCK_MOST = 512, 128, 1024
 #: Shingles that a block of a class holds, about.
@@ -72,12 +73,30 @@ def pack(minima_: np.ndarray) -> np.ndarray:
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
-def band_values(minima_: np.ndarray) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and minima a band, as many a band as leave a pair at the threshold a chance of MISSED at most to share no band."""
+    for rows in range(HASHES, 0, -1):
+        same = min(max(percent / 100, 1e-9), 1 - 1e-9) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log1p(-same))
+        if bands * rows <= HASHES:
+            return bands, rows
+    return HASHES, 1
+
+
+def least_estimate(percent: int) -> float:
+    """What the estimate of a pair at the threshold is not below."""
+    s, chance = percent / 100, 1 / 2**BITS
+    equal = s + (1 - s) * chance
+    return s - MARGIN * math.sqrt(equal * (1 - equal) / HASHES) / (1 - chance)
+
+
+def band_values(minima_: np.ndarray, percent: int) -> np.ndarray:
     """A 64-bit value for each band."""
-    m = minima_[:, : BANDS * ROWS].astype(np.uint64).reshape(len(minima_), BANDS, ROWS)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), m.shape[:2])
+    bands, rows = banding(percent)
+    m = minima_[:, : bands * rows].astype(np.uint64).reshape(len(minima_), bands, rows)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), m.shape[:2])
     with np.errstate(over="ignore"):
-        for r in range(ROWS):
+        for r in range(rows):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
     return h
 
@@ -92,17 +111,20 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
-def _sign(batches):
-    for b in pieces(batches, "text"):
-        sets = shingle_sets(b.column("text"))
-        full = [i for i, s in enumerate(sets) if len(s)]
-        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        packed, bands = [None] * len(sets), [None] * len(sets)
-        if full:
-            m = minima([sets[i] for i in full])
-            for i, p, v in zip(full, pack(m), signed(band_values(m)), strict=True):
-                packed[i], bands[i] = p.tobytes(), v
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), binaries(digest), binaries(packed), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "packed", "bands"])
+def _sign(percent: int):
+    def of(batches):
+        for b in pieces(batches, "text"):
+            sets = shingle_sets(b.column("text"))
+            full = [i for i, s in enumerate(sets) if len(s)]
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            packed, bands = [None] * len(sets), [None] * len(sets)
+            if full:
+                m = minima([sets[i] for i in full])
+                for i, p, v in zip(full, pack(m), signed(band_values(m, percent)), strict=True):
+                    packed[i], bands[i] = p.tobytes(), v
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), binaries(digest), binaries(packed), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "packed", "bands"])
+
+    return of
 
 
 def _star(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -176,7 +198,7 @@ def confirm(ids, packed, sets, percent: int) -> list[tuple[int, int]]:
         j = np.arange(i + 1, len(ids))
         j = j[(label[j] != label[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
         if len(j):
-            j = j[estimate(sig[i], sig[j]) >= percent / 100 - MARGIN]
+            j = j[estimate(sig[i], sig[j]) >= least_estimate(percent)]
         if not len(j):
             continue
         own = local[first[i] : first[i + 1]]
@@ -206,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     and blank texts have no shingles and stay alone; a null doc_id takes no part: component_id is null and the row is kept. Rows that share text share a class.
     """
     docs = docs.select("doc_id", "text")
-    signed_ = cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, packed binary, bands array<long>"), "signatures")
+    signed_ = cut(docs.mapInArrow(_sign(percent), "doc_id long, n_shingles long, digest binary, packed binary, bands array<long>"), "signatures")
     full = signed_.where("digest is not null and doc_id is not null")
     # one representative for all documents with the same set
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("packed").alias("packed"), F.min("bands").alias("bands"))
@@ -217,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = banded.join(shared, "band").select("rep", "band", F.ceil(F.col("m") / BAND_BLOCK).alias("blocks"))
     members = members.join(reps.select("rep", "packed"), "rep")
     members = _block_pairs(members, "band").select("run", "rep", "packed").repartition("run").sortWithinPartitions("run")
-    classes = components(members.mapInArrow(_candidates(percent / 100 - MARGIN), "a long, b long")).withColumnRenamed("node", "rep")
+    classes = components(members.mapInArrow(_candidates(least_estimate(percent)), "a long, b long")).withColumnRenamed("node", "rep")
     classes = classes.join(reps.select("rep", "digest", "packed", "n"), "rep")
     classes = cut(classes, "classes")
     size = classes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))

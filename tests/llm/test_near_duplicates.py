@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from nearfield.llm.minhash import estimate, minima, near_duplicates, pack
+from nearfield.llm.minhash import banding, estimate, least_estimate, minima, near_duplicates, pack
 
 from .fixtures import brute_components, documents, key, odd_docs
 
@@ -41,3 +41,19 @@ def test_estimate_is_corrected_for_chance():
     assert estimate(p[0], p[1]) == 1
     assert abs(estimate(p[0], p[2])) < 0.12
     assert abs(estimate(p[0], p[3]) - 600 / 800) < 0.15
+
+
+def test_bands_and_margin_follow_the_threshold(spark):
+    """A pair at the threshold misses all bands or the margin hardly ever, at whatever threshold."""
+    for percent in (60, 80, 85, 95):
+        bands, rows = banding(percent)
+        s = percent / 100
+        equal = s + (1 - s) / 16
+        assert bands * rows <= 128 and (1 - s**rows) ** bands <= 5e-7
+        assert s - least_estimate(percent) >= 5 * (equal * (1 - equal) / 128) ** 0.5 / (15 / 16)
+    rows = []
+    for i in range(40):
+        w = [f"d{i}w{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:25], f"e{i}", *w[26:70], f"g{i}", *w[71:]]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert key(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows, 80))
