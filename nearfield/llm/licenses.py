@@ -35,7 +35,8 @@ FAMILIES = (
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?", "bsd 4 clause"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?", "bsd 3 clause"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd 2 clause"),
-    ("bsd-0-clause", "bsd", r"(?:zero clause bsd|0 clause bsd|free public license 1 0 0)", "0bsd"),
+    ("bsd-0-clause", "bsd", r"(?:zero clause bsd|0 clause bsd)", "0bsd"),
+    ("bsd-0-clause", "free public", r"free public license 1 0 0", "0bsd"),
     ("mit-0", "mit", r"mit no attribution(?: license)?", "mit 0"),
     ("mit", "mit", r"mit(?: x11| expat)? license", "mit"),
     ("x11", "x11", r"x11 license", "x11"),
@@ -121,10 +122,11 @@ FORMS = (
     ("{name}", 60, 0.85),
 )
 
-#: A text is looked at only if, in lower case, it holds one of these.
-TRIGGERS = ("licen", "spdx", "creativecommons", "creative commons", "public domain", "publicdomain", "hereby granted", "redistribut", "gnu", "rights reserved", "proprietary", "wtfpl", "mozilla", "opensource", "cc0", "bsd", "rail")
-#: Fixed value: "cc" and "by" as words in turn.
-CC_BY = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+#: A text is looked at only if, in lower case, it holds one of these, or both of two words in turn, whatever stands between words.
+TRIGGERS = ("licen", "spdx", "creativecommons", "publicdomain", "redistribut", "gnu", "proprietary", "wtfpl", "mozilla", "opensource", "cc0", "bsd", "rail")
+WORD_TRIGGERS = (("cc", "by"), ("creative", "commons"), ("public", "domain"), ("hereby", "granted"), ("rights", "reserved"), ("no", "attribution"))
+#: Fixed value: what stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -186,7 +188,8 @@ def scan(docs: DataFrame) -> DataFrame:
     triggered = F.lit(False)
     for t in TRIGGERS:
         triggered |= F.contains(low, F.lit(t))
-    triggered |= F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(CC_BY))
+    for a, b in WORD_TRIGGERS:
+        triggered |= F.contains(low, F.lit(max(a, b, key=len))) & F.rlike(low, F.lit(a + BETWEEN + b))
     d = docs.select("doc_id", "text")
     d = d.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(ALNUM_WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(triggered, F.col("text")).alias("text"))
     words = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(ALNUM_WORD), F.lit(0))

@@ -1,3 +1,6 @@
+import re._constants as kinds
+import re._parser as parser
+
 import pytest
 
 from nearfield.llm.licenses import BASE, rules, scan
@@ -55,3 +58,30 @@ def test_hundreds_of_rules():
 
 def test_empty_table(spark):
     assert scan(documents(spark).limit(0)).collect() == []
+
+
+def examples(tree):
+    """Texts that a signature matches: every alternative, with and without each optional part."""
+    out = [""]
+    for kind, arg in tree:
+        if kind is kinds.LITERAL:
+            more = [chr(arg)]
+        elif kind is kinds.IN:
+            more = [chr(arg[0][1][0] if arg[0][0] is kinds.RANGE else arg[0][1])]
+        elif kind is kinds.BRANCH:
+            more = [x for a in arg[1] for x in examples(a)]
+        elif kind is kinds.SUBPATTERN:
+            more = examples(arg[3])
+        else:
+            assert kind is kinds.MAX_REPEAT and arg[:2] == (0, 1)
+            more = ["", *examples(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_rule_fires_whatever_stands_between_words(spark):
+    rows = [(n, x.strip().replace(" ", sep)) for n, (x, sep) in enumerate(sorted({(x, sep) for r in rules() if r.priority in (60, 70, 100) for x in examples(parser.parse(r.pattern)) for sep in ("\n", "-", " \n ")}))]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, text in rows:
+        words = len(" ".join(ALNUM.findall(lower(text))))
+        assert any(x.s == 1 and x.e == 1 + words for x in got[n].found), text
