@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import pieces, utf8
 
 #: Features: hashed 2-, 3- and 4-grams of bytes.
-FEATURES, GRAMS = 2048, (2, 3, 4)
+FEATURES, GRAMS = 1 << 14, (2, 3, 4)
 #: The classifier is fitted on a sample of about this many labelled documents a language, and this many in all languages together.
 SAMPLE_PER_LANGUAGE, SAMPLE = 512, 16384
 CENTROIDS, ROUNDS = 4, 12
-#: A text is rejected if its similarity is below this share of what all but one in a hundred of its language's sample have.
-REJECT = 0.35
+#: One in so many of the sample is held out of the centroids. A text is rejected if its similarity is below this share of what all but one in a hundred of
+#: the held-out texts of about its length have; to have many of each length, they are also cut after so many characters.
+HELD_OUT, REJECT = 4, 0.85
+LENGTHS = (30, 60, 120, 250, 500, 1000, 2000, 4000)
+#: Held-out texts that a length band needs; bands are powers of two of the number of n-grams.
+BAND_TEXTS = 8
 UNKNOWN = "und"
 #: Fewer n-grams than this say less, and the least similarity shrinks in proportion: a text of a word or two is not unlike a language.
 REJECT_GRAMS = 120
 #: Rows of the dense matrix that a task holds at once.
-DENSE_ROWS = 1024
+DENSE_ROWS = 128
 
 
 def _bytes_of_letters() -> np.ndarray:
@@ -64,12 +68,13 @@ def has_letters(texts: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Centroids (of unit length), their languages, weights of the features and least similarities; of bounded size."""
+    """Centroids (of unit length), their languages, weights of the features, and least similarities at numbers of n-grams; of bounded size."""
 
     languages: tuple[str, ...]
     owner: np.ndarray
     centroids: np.ndarray
     idf: np.ndarray
+    grams: np.ndarray
     least: np.ndarray
 
     def vectors(self, c: np.ndarray) -> np.ndarray:
@@ -83,6 +88,11 @@ class LanguageModel:
         best = sim.argmax(axis=1)
         return self.owner[best], np.clip(sim[np.arange(len(sim)), best], 0, 1)
 
+    def limit(self, c: np.ndarray) -> np.ndarray:
+        """Similarity below which rows of counts are rejected."""
+        grams = c.sum(axis=1)
+        return REJECT * np.interp(np.log2(np.maximum(grams, 1)), self.grams, self.least) * np.minimum(1, grams / REJECT_GRAMS)
+
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:
     """k centroids of unit rows by cosine; starts are rows far from those before."""
@@ -98,10 +108,27 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _vector_rows(batches):
-    for b in pieces(batches, "text", 1 << 20):
-        c = counts(b.column("text"))
-        keep = np.flatnonzero(has_letters(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(keep)), pa.array([c[i].tobytes() for i in keep], pa.binary())], ["lang", "counts"])
+    """Sparse counts of whole texts, and of held-out ones cut at LENGTHS too."""
+    for whole in pieces(batches, "text", 1 << 20):
+        for at in range(0, whole.num_rows, DENSE_ROWS):
+            b = whole.slice(at, DENSE_ROWS)
+            long = pc.utf8_length(b.column("text"))
+            parts = [(b, b.column("text"))]
+            for n in LENGTHS:
+                some = b.filter(pc.and_(b.column("held"), pc.greater(long, n)))
+                parts.append((some, pc.utf8_slice_codeunits(some.column("text"), 0, n)))
+            for rows, texts in parts:
+                c, keep = counts(texts), np.flatnonzero(has_letters(texts))
+                at_ = [np.flatnonzero(c[i]) for i in keep]
+                take = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("lang").take(take), rows.column("held").take(take), pa.array([x.astype(np.uint16).tobytes() for x in at_], pa.binary()), pa.array([c[i, x].tobytes() for i, x in zip(keep, at_, strict=True)], pa.binary())], ["lang", "held", "at", "counts"])
+
+
+def _dense(rows: list) -> np.ndarray:
+    out = np.zeros((len(rows), FEATURES), np.float32)
+    for k, r in enumerate(rows):
+        out[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["counts"], np.float32)
+    return out
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
@@ -118,18 +145,32 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
     for lang, n in rows:
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, want / n) * (1 << 30)))).otherwise(share)
     picked = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) < share)
-    got = [(r["lang"], np.frombuffer(r["counts"], np.float32)) for r in picked.select("lang", "text").mapInArrow(_vector_rows, "lang string, counts binary").collect()]
+    picked = picked.select("lang", "text", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(HELD_OUT)) == 0).alias("held"))
+    got = picked.mapInArrow(_vector_rows, "lang string, held boolean, at binary, counts binary").collect()
     if not got:
         return None
-    got.sort(key=lambda r: (r[0], r[1].tobytes()))
-    lang, c = np.array([r[0] for r in got], object), np.array([r[1] for r in got])
-    languages = tuple(sorted(set(lang)))
-    idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = LanguageModel(languages, np.zeros(0, np.int64), np.zeros((0, FEATURES), np.float32), idf, np.zeros(0))
-    x = model.vectors(c)
+    got.sort(key=lambda r: (r["lang"], r["at"], r["counts"]))
+    languages = tuple(sorted({r["lang"] for r in got}))
+    taught = {r["lang"] for r in got if not r["held"]}
+    learn, held = [r for r in got if not r["held"] or r["lang"] not in taught], [r for r in got if r["held"]]
+    lang, x = np.array([r["lang"] for r in learn], object), _dense(learn)
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     parts = [_clusters(x[lang == name], CENTROIDS) for name in languages]
-    least = [np.quantile((x[lang == name] @ p.T).max(axis=1), 0.01) for name, p in zip(languages, parts, strict=True)]
-    return LanguageModel(languages, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), idf, np.array(least))
+    model = LanguageModel(languages, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), idf, np.zeros(1), np.zeros(1))
+    size, sim = [], []
+    for at in range(0, len(held), DENSE_ROWS):
+        c = _dense(held[at : at + DENSE_ROWS])
+        size.append(np.log2(np.maximum(c.sum(axis=1), 1)))
+        sim.append(model.predict(c)[1])
+    if not held:  # too few texts to hold one out
+        return model
+    size, sim = np.concatenate(size), np.concatenate(sim)
+    bands = [size.astype(int) == k for k in range(int(size.max()) + 1)]
+    points = [(size[b].mean(), np.quantile(sim[b], 0.01)) for b in bands if b.sum() >= BAND_TEXTS] or [(0.0, sim.min())]
+    return LanguageModel(languages, model.owner, model.centroids, idf, np.array([p[0] for p in points]), np.array([p[1] for p in points]))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -153,8 +194,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     which, sim = model.predict(c)
                     lang[known] = np.array(model.languages, object)[which[known]]
                     score[known] = sim[known]
-                    least = REJECT * model.least[which] * np.minimum(1, c.sum(axis=1) / REJECT_GRAMS)
-                    out[known] = (sim < least)[known]
+                    out[known] = (sim < model.limit(c))[known]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out)], [*names, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -1,3 +1,6 @@
+import base64
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearfield.llm.language import fit, predict, remainder, without_rejected
@@ -44,3 +47,20 @@ def test_foreign_text_is_rejected(spark):
     docs = documents(spark)
     strange = spark.createDataFrame([(1, "Привет как дела сегодня хорошая погода и мы идём гулять в парк")], "doc_id long, text string")
     assert predict(strange, fit(docs)).first().rejected
+
+
+FINNISH = """Suomen kieli kuuluu uralilaisten kielten itämerensuomalaiseen ryhmään ja sitä puhuu noin viisi miljoonaa ihmistä. Kesällä järvien rannoilla on hiljaista
+ja valoisaa, ja monet perheet viettävät lomansa mökillä uiden, kalastaen ja saunoen. Talvella lumi peittää metsät ja päivät ovat lyhyitä, mutta ihmiset hiihtävät ja
+luistelevat jäällä. Kaupungissa työt alkavat aikaisin aamulla ja lapset kävelevät kouluun pimeässä. Illalla keitetään kahvia ja luetaan kirjoja."""
+
+
+def test_latin_junk_and_an_unseen_language_are_rejected(spark):
+    """Beside test_held_out_accuracy, which holds how many clean texts are rejected."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = [(i, " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(200))) for i in range(5)]
+    rows += [(10 + i, base64.b64encode(rng.bytes(1125)).decode()) for i in range(5)]
+    rows += [(20, FINNISH)]
+    model = fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [r.doc_id for r in got if not r.rejected] == []
