@@ -1,22 +1,27 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The root's distribution is that of all training words, whole. Contexts are one or two words long; a context that occurs a least number of times (LEAST_COUNT in op2, whatever
+The root's distribution is that of all training words, whole. Contexts are one to depth words long; a context that occurs a least number of times (LEAST_COUNT in op2, whatever
 the corpus) is a candidate, and stays if its next-symbol distribution diverges from its shorter suffix's by more than sampling explains. Below the root the alphabet is the words that
 occur as often, the end of a text, and all rarer words as one symbol, whose members share its probability as at the root. A context's distribution is smoothed
 towards its suffix's. A text's score is the sum over its tokens of the log10 probability in the longest retained suffix of what precedes.
-The tree grows with the corpus: it is Spark tables of n-gram counts, which the shards of the texts ask for by joins; none of it is gathered on the driver or broadcast.
+
+The tree grows with the corpus, and none of it is gathered on the driver or broadcast. Texts are dealt into shards. For each depth a shard sends the different n-grams of its texts,
+with their counts in its training texts, to buckets by context; a bucket adds the counts up, judges its contexts and answers each shard with the totals, in the order in
+which the shard asked, so that an answer is counts alone. The next depth goes on from these. A context with more occurrences than a bucket should hold is dealt to several
+buckets by next symbol, and is judged from their sums.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, drop, mix, pieces, signed, words_of
+from nearfield.llm.common import cut, drop, give_back, mix, signed, words_of
 
 #: Least count of a context and of a symbol of the contexts' alphabet, so that the tree grows with the corpus.
 LEAST_COUNT = 5
@@ -29,8 +34,18 @@ DIVERGENCE = 0.01
 SMOOTHING = 50.0
 END, RARE = np.uint64(0x5EEDE5D0F7E87001), np.uint64(0x5EEDE5D0F7E87002)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Text of a shard, in characters, and the least number of shards.
+#: Text of a shard, in characters, and the least number of shards; there are as many buckets.
 SHARD_CHARS, LEAST_SHARDS = 12 << 20, 12
+#: Occurrences of a context that go to one bucket.
+BUCKET_TOKENS = 1 << 22
+#: Bytes of an n-gram's key that are sent: all for words; below the root the upper bytes tell the context, which is sent whole, and the lower ones the symbol.
+WORD_BYTES, GRAM_BYTES = 8, 5
+_LOW = np.uint64((1 << (8 * GRAM_BYTES)) - 1)
+
+_ASKED = "bucket int, shard int, m int, keys binary, n binary, ctx binary, runs binary, parents binary, hot binary"
+#: An answer: m counts, and for each run of n-grams with the same context whether it stays; hot: contexts of which several buckets hold parts. Or, with shard -1, figures of
+#: such a context (ctx) or, at the root, of words that occur equally often (ctx times).
+_TOLD = "shard int, bucket int, m int, counts binary, keep binary, hot array<long>, ctx long, entropy double, symbols long, total long"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,145 +61,269 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-class Counts:
-    """Training counts of n-grams by key, and which of them stay as contexts."""
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.astype(np.int64).tobytes(), "zstd", asbytes=True)
 
-    def __init__(self, table: pa.Table) -> None:
-        keys = table.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.n, self.keep = keys[order], table.column("n").to_numpy()[order], table.column("keep").to_numpy()[order]
 
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and whether they stay as contexts, of keys; 0 and False where unknown."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.where(hit, self.n[at], 0), hit & self.keep[at]
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * 8, "zstd", asbytes=True), np.int64)
 
 
-class Walk:
-    """Tokens of whole texts in the contexts of up to depth words: at the end the n-grams of depth + 1 words and their contexts, as far as counts tell."""
-
-    def __init__(self, h: np.ndarray, first: np.ndarray, counts: Counts, bottom: float, rare: float, least: float, depth: int) -> None:
-        self.times, stays = counts.of(h)
-        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-        frequent = (self.times >= least) & (h != END)
-        symbol = np.where(frequent | (h == END), h, RARE)
-        root = np.where(symbol == RARE, rare, (self.times + 0.5) / bottom)
-        self.gain, self.p, self.key, n, self.open = np.zeros(len(h)), root, h, self.times, np.ones(len(h), bool)
-        for d in range(1, depth + 1):
-            # a gram's context is the gram that ends one word before
-            self.ctx, total, kept = np.roll(self.key, 1), np.roll(n, 1), np.roll(stays, 1)
-            self.open = np.roll(self.open & frequent, 1) & (total >= least) & (place >= d)
-            with np.errstate(over="ignore"):
-                self.key = mix(self.ctx * _BASE + symbol + np.uint64(d))
-            self.parent = self.p
-            n, stays = counts.of(self.key)
-            n = np.where(self.open, n, 0)
-            self.p = (n + SMOOTHING * self.parent) / (total + SMOOTHING)
-            use = self.open & kept
-            self.gain[use] = np.log10(self.p[use] / root[use])
+def _narrow(keys: np.ndarray, width: int) -> bytes:
+    return keys.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(key, n, further columns of the key) with each key once and its n summed."""
-    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    u, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
-    return u, np.bincount(back, weights=columns[1], minlength=len(u)).astype(np.int64), *(c[at] for c in columns[2:])
+def _wide(x: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
 
 
-def _asked_words(batches):
-    """The different tokens of each shard of a task, and how often they occur in its training texts."""
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-    for b in pieces(batches, "text"):
-        h, first = tokens(b.column("text"))
-        size = np.diff(first)
-        own, learn = np.repeat(b.column("shard").to_numpy(), size), np.repeat(b.column("learn").to_numpy(zero_copy_only=False), size)
-        for s in np.unique(own).tolist():
-            held.setdefault(s, []).append(_summed([(h[own == s], learn[own == s])]))
-    for s, parts in held.items():
-        u, n = _summed(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), s, np.int32)), pa.array(signed(u)), pa.array(n)], ["shard", "key", "n"])
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of rows with equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
-_GRAMS = "shard int, key long, n long, ctx long, parent float"
+class Walk:
+    """Tokens of a shard's texts, in contexts that grow by a word a step.
 
+    At each depth asked() gives the different n-grams that want counts, in a fixed order, and told() takes the counts in that order.
+    """
 
-def _asked_grams(bottom: float, rare: float, least: float, depth: int):
-    def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The different n-grams of depth + 1 words of a shard, how often they occur in its training texts, and their contexts and their probability in the contexts' suffixes."""
-        counts, parts, shard = Counts(right), [], 0
-        for b in pieces(left.combine_chunks().to_batches(), "text"):
-            h, first = tokens(b.column("text"))
-            shard = b.column("shard")[0].as_py()
-            w = Walk(h, first, counts, bottom, rare, least, depth)
-            learn = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), np.diff(first))
-            parts.append(_summed([(w.key[w.open], learn[w.open], w.ctx[w.open], w.parent[w.open].astype(np.float32))]))
-        key, n, ctx, parent = _summed(parts) if parts else [np.zeros(0, t) for t in (np.uint64, np.int64, np.uint64, np.float32)]
-        return pa.table({"shard": np.full(len(key), shard, np.int32), "key": signed(key), "n": n, "ctx": signed(ctx), "parent": parent})
+    def __init__(self, h: np.ndarray, first: np.ndarray, buckets: int, most: int) -> None:
+        self.h, self.buckets, self.most = h, buckets, most
+        self.place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        self.key, self.open, self.depth = h, np.ones(len(h), bool), 0
+        self._sort()
+
+    def _sort(self) -> None:
+        """The different n-grams in order of buckets and keys; those of a context stand together, but for contexts whose keys begin alike."""
+        self.at = np.flatnonzero(self.open)
+        key = self.key[self.at]
+        perm = np.argsort(key)
+        key = key[perm]
+        new = _runs(key) if len(key) else np.zeros(0, np.int64)
+        self.u, one = key[new], self.at[perm[new]]
+        self.u_ctx = self.ctx[one] if self.depth else np.zeros(len(one), np.uint64)
+        parts = (-(-self.total[one] // self.most)).astype(np.uint64) if self.depth else np.ones(len(one), np.uint64)
+        self.u_hot = parts > 1
+        with np.errstate(over="ignore"):
+            home = mix(self.u_ctx + ((self.u & _LOW) % np.maximum(parts, np.uint64(1))) * _BASE) if self.depth else self.u
+        self.u_bucket = (home % np.uint64(self.buckets)).astype(np.int32)
+        self.order = np.argsort(self.u_bucket.astype(np.uint16) if self.buckets < 1 << 16 else self.u_bucket, kind="stable")
+        rank = np.empty(len(self.order), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        self.back = np.empty(len(perm), np.int64)  # of each open place, the n-gram as asked for
+        self.back[perm] = np.repeat(rank, np.diff(np.append(new, len(key))))
+
+    def asked(self, learn: np.ndarray) -> Iterator[dict]:
+        """A row for each bucket: n-grams, their counts where learn holds, and the runs of equal contexts with the sums of the logarithms of their suffixes' probabilities."""
+        o = self.order
+        learn = learn[self.at]
+        n = np.bincount(self.back[learn], minlength=len(o))
+        logs = np.bincount(self.back[learn], weights=np.log(self.parent[self.at[learn]]), minlength=len(o)) if self.depth else np.zeros(len(o))
+        bucket, ctx = self.u_bucket[o], self.u_ctx[o]
+        run = _runs(bucket, ctx) if len(o) else np.zeros(0, np.int64)
+        logs = np.add.reduceat(logs, run) if len(o) else logs
+        long = np.diff(np.append(run, len(o)))
+        edges = np.append(_runs(bucket), len(o)) if len(o) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            r = slice(*np.searchsorted(run, (a, b)))
+            yield {
+                "bucket": int(bucket[a]),
+                "m": int(b - a),
+                "keys": _narrow(self.u[o[a:b]], GRAM_BYTES if self.depth else WORD_BYTES),
+                "n": _packed(n[a:b]),
+                "ctx": ctx[run[r]].tobytes() if self.depth else b"",
+                "runs": _packed(long[r]) if self.depth else b"",
+                "parents": logs[r].astype(np.float32).tobytes() if self.depth else b"",
+                "hot": self.u_hot[o[run[r]]].tobytes() if self.depth else b"",
+            }
+
+    def told(self, answers: list[dict], root: dict) -> None:
+        """Take the counts of what asked() gave, and step on to contexts that are a word longer."""
+        o = self.order
+        counts = np.concatenate([_unpacked(a["counts"], a["m"]) for a in answers]) if answers else np.zeros(0, np.int64)
+        n = np.zeros(len(self.h), np.int64)
+        n[self.at] = counts[self.back]
+        if not self.depth:
+            self.times, self.frequent = n, (n >= root["least"]) & (self.h != END)
+            self.symbol = np.where(self.frequent | (self.h == END), self.h, RARE)
+            self.root = np.where(self.symbol == RARE, root["rare"], (n + 0.5) / root["bottom"])
+            self.gain, self.p = np.zeros(len(self.h)), self.root
+        else:
+            self.p = (n + SMOOTHING * self.parent) / (self.total + SMOOTHING)
+            run = _runs(self.u_bucket[o], self.u_ctx[o]) if len(o) else np.zeros(0, np.int64)
+            keep = np.concatenate([np.frombuffer(a["keep"], bool) for a in answers]) if answers else np.zeros(0, bool)
+            for a in answers:
+                if a["kept"]:
+                    keep = keep | ((self.u_bucket[o[run]] == a["bucket"]) & np.isin(self.u_ctx[o[run]], np.array(a["kept"], np.int64).view(np.uint64)))
+            use = self.at[np.repeat(keep, np.diff(np.append(run, len(o))))[self.back]]
+            self.gain[use] = np.log10(self.p[use] / self.root[use])
+        self.depth += 1
+        # a gram's context is the gram that ends one word before
+        self.ctx, self.total, self.parent = np.roll(self.key, 1), np.roll(n, 1), self.p
+        self.open = np.roll(self.open & self.frequent, 1) & (self.total >= root["least"]) & (self.place >= self.depth)
+        with np.errstate(over="ignore"):
+            self.key = mix(self.ctx) & ~_LOW | mix(self.ctx * _BASE + self.symbol + np.uint64(self.depth)) & _LOW
+
+
+def _walked(texts: pa.Table, answers: pa.Table | None, depth: int, buckets: int, most: int, root: dict) -> tuple[Walk, np.ndarray]:
+    """The walk of a shard's texts at depth, after the answers of all depths above, and where the texts begin."""
+    h, first = tokens(texts.column("text"))
+    w = Walk(h, first, buckets, most)
+    told = answers.select(["depth", "bucket", "m", "counts", "keep", "kept"]).to_pylist() if answers is not None else []
+    told.sort(key=lambda a: (a["depth"], a["bucket"]))
+    for d in range(depth):
+        w.told([a for a in told if a["depth"] == d], root)
+        if d < depth - 1:
+            w._sort()
+    return w, first
+
+
+def _ordered(texts: pa.Table) -> pa.Table:
+    return texts.sort_by("row").combine_chunks()
+
+
+def _ask(depth: int, buckets: int, most: int, root: dict):
+    def asked(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        left = _ordered(left)
+        w, first = _walked(left, right, depth, buckets, most, root)
+        if depth:
+            w._sort()
+        learn = np.repeat(left.column("learn").to_numpy(zero_copy_only=False) if len(left) else np.zeros(0, bool), np.diff(first))
+        shard = left.column("shard")[0].as_py() if len(left) else 0
+        rows = [{**r, "shard": shard} for r in w.asked(learn)]
+        names = [f.split()[0] for f in _ASKED.split(", ")]
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 6
+        out = pa.table({c: pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)})
+        give_back()
+        return out
+
+    def words(left: pa.Table) -> pa.Table:
+        return asked(left, None)
+
+    def grams(left: pa.Table, right: pa.Table) -> pa.Table:
+        return asked(left, right)
+
+    return grams if depth else words
+
+
+def _tell(depth: int):
+    width = GRAM_BYTES if depth else WORD_BYTES
+
+    def of(asked: pa.Table) -> pa.Table:
+        """A bucket's answers: totals of the n-grams, in each shard's order, and which contexts stay."""
+        rows = sorted(asked.to_pylist(), key=lambda r: r["shard"])
+        edges = np.cumsum([0, *(r["m"] for r in rows)])
+        key = np.concatenate([_wide(r["keys"], width) for r in rows])
+        n = np.concatenate([_unpacked(r["n"], r["m"]) for r in rows])
+        bucket, out, figures = rows[0]["bucket"], [], []
+        if depth:
+            run_ctx, run_log, run_hot = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("ctx", np.uint64), ("parents", np.float32), ("hot", bool)))
+            run_len = np.concatenate([_unpacked(r["runs"], len(r["ctx"]) // 8) for r in rows])
+            ctx = np.repeat(run_ctx, run_len)
+            with np.errstate(over="ignore"):
+                key = mix(ctx * _BASE + key)
+        perm = np.argsort(key)
+        new = _runs(key[perm])
+        u, one, total = key[perm[new]], perm[new], np.add.reduceat(n[perm], new)
+        told = np.empty(len(key), np.int64)
+        told[perm] = np.repeat(total, np.diff(np.append(new, len(key))))
+        if depth:
+            c, c_one, c_back = np.unique(run_ctx, return_index=True, return_inverse=True)
+            own = np.repeat(c_back, run_len)[one]
+            some = total > 0
+            entropy = np.bincount(own[some], weights=total[some] * np.log(total[some]), minlength=len(c)) - np.bincount(c_back, weights=run_log, minlength=len(c))
+            symbols, sums = np.bincount(own[some], minlength=len(c)), np.bincount(own, weights=total, minlength=len(c)).astype(np.int64)
+            stays, hot = diverges(entropy, symbols, np.maximum(sums, 1)) & (sums > 0), run_hot[c_one]
+            run_keep = (stays & ~hot)[c_back]
+            figures = list(zip(signed(c[hot]).tolist(), entropy[hot].tolist(), symbols[hot].tolist(), sums[hot].tolist(), strict=True))
+            run_edges = np.searchsorted(np.cumsum(np.append(0, run_len)), edges)
+        else:
+            end = u == END
+            for which, mark in ((end, 1.0), (~end, 0.0)):
+                times, words = np.unique(total[which & (total > 0)], return_counts=True)
+                figures += [(int(t), mark, int(w), int(t) * int(w)) for t, w in zip(times, words, strict=True)]
+        for i, r in enumerate(rows):
+            hots, keep = None, b""
+            if depth:
+                part = slice(run_edges[i], run_edges[i + 1])
+                keep, hots = run_keep[part].tobytes(), signed(run_ctx[part][run_hot[part]]).tolist() or None
+            out.append((r["shard"], bucket, r["m"], _packed(told[edges[i] : edges[i + 1]]), keep, hots, None, None, None, None))
+        out += [(-1, bucket, None, None, None, None, *f) for f in figures]
+        names = [f.split()[0] for f in _TOLD.split(", ")]
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        table = pa.table({name: pa.array(list(x), k) for name, x, k in zip(names, zip(*out, strict=True), kinds, strict=True)})
+        give_back()
+        return table
 
     return of
 
 
-def _staying(grams: DataFrame) -> DataFrame:
-    """(key, keep) of the contexts of grams that diverge from their suffixes."""
-    total = F.col("total")  # every context is followed by a symbol, the end at least
-    per = grams.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("parent").cast("double"))).alias("sum"), F.count("*").alias("m"), F.sum("n").alias("total"))
-    return per.where(F.col("sum") / total - F.log(total) - F.col("m") / (2 * total) >= DIVERGENCE).select(F.col("ctx").alias("key"), F.lit(True).alias("keep"))
+def diverges(entropy, symbols, total):
+    """Whether contexts stay; entropy: the sum of n * log(n / parent) over their symbols, total the sum of n."""
+    return entropy / total - np.log(total) - symbols / (2 * total) >= DIVERGENCE
 
 
-def _marked(found: DataFrame, staying: DataFrame) -> DataFrame:
-    """found, with keep where the n-gram stays as a context."""
-    return found.drop("keep").join(staying, "key", "left").select("shard", "key", "n", F.coalesce("keep", F.lit(False)).alias("keep"))
+def _told(asked: DataFrame, depth: int) -> DataFrame:
+    """The answers of a depth as a table, with the contexts of several buckets that stay in kept."""
+    told = cut(asked.groupBy("bucket").applyInArrow(_tell(depth), _TOLD).withColumn("depth", F.lit(depth)), "told")
+    hot = told.where("shard < 0") if depth else told.limit(0)
+    if not depth or not hot.limit(1).count():
+        return told.withColumn("kept", F.lit(None).cast("array<long>"))
+    sums = hot.groupBy("ctx").agg(F.sum("entropy").alias("entropy"), F.sum("symbols").alias("symbols"), F.sum("total").alias("total"))
+    stays = sums.where(F.col("entropy") / F.col("total") - F.log("total") - F.col("symbols") / (2 * F.col("total")) >= DIVERGENCE).select("ctx")
+    kept = told.where("shard >= 0 and hot is not null").select("shard", "bucket", F.explode("hot").alias("ctx")).join(stays, "ctx")
+    kept = kept.groupBy("shard", "bucket").agg(F.collect_list("ctx").alias("kept"))
+    out = cut(told.where("shard >= 0").join(kept, ["shard", "bucket"], "left"), "told")
+    drop(told)
+    return out
 
 
-def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float | None = None) -> DataFrame:
+def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float | None = None, most: int = BUCKET_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, *) of every row of docs (doc_id, text), learning from those where is_training, a condition on doc_id, holds.
 
     Null and empty texts are their end alone. base_score: the sum of log10((c + 0.5) / (N + 0.5 * (V + 1))); score: the same under the tree. Without
     training rows every token's probability is 1. Repeated rows are scored and counted each for itself. least: how often a context or symbol must occur;
-    by default LEAST_SHARE of the training tokens, twice at least.
+    by default LEAST_SHARE of the training tokens, twice at least. most: how many occurrences of a context go to one bucket; it changes no result.
     """
     docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("learn"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(chars / SHARD_CHARS))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(shards)).cast("int"))
-    texts = dealt.select("shard", "learn", "text")
-    asked = cut(texts.repartition(shards, "shard").mapInArrow(_asked_words, "shard int, key long, n long"), "asked-words")
-    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"), "unigrams")
-    end = F.col("key") == int(signed(np.array([END]))[0])
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2.0, LEAST_SHARE * n) if least is None else least
-    known = counts.where(end | (F.col("n") >= least)).agg(F.coalesce(F.sum(F.col("n") + 0.5), F.lit(0.0))).first()[0]
+    # a table, so that rows keep their shard and place; both go by row, as ids and texts may repeat
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    dealt = cut(dealt, "dealt")
+    texts, root = dealt.select("shard", "row", "learn", "text"), {"least": 0.0, "rare": 1.0, "bottom": 1.0}
+    told = [_told(texts.groupBy("shard").applyInArrow(_ask(0, shards, most, root), _ASKED), 0)]
+    words = told[0].where("shard < 0")
+    n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("symbols"), F.lit(0))).first()
+    least = max(2.0, LEAST_SHARE * n) if least is None else float(least)
+    known = words.where((F.col("entropy") == 1) | (F.col("ctx") >= least)).agg(F.coalesce(F.sum(F.col("symbols") * (F.col("ctx") + 0.5)), F.lit(0.0))).first()[0]
     bottom = n + 0.5 * (v + 1)
-    rare = max(1.0 - known / bottom, 1e-12)
-    levels = [cut(asked.select("shard", "key").join(counts, "key").select("shard", "key", "n", F.lit(False).alias("keep")), "vocabulary")]
-    drop(asked, counts)
+    root = {"least": least, "rare": max(1.0 - known / bottom, 1e-12), "bottom": bottom}
+
+    def answers() -> DataFrame:
+        out = told[0]
+        for t in told[1:]:
+            out = out.unionByName(t, allowMissingColumns=True)
+        return out.where("shard >= 0").select("shard", "depth", "bucket", "m", "counts", "keep", "kept").groupBy("shard")
+
     for d in range(1, depth + 1):
-        known = levels[0]
-        for level in levels[1:]:
-            known = known.unionByName(level)
-        asked = cut(texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_asked_grams(bottom, rare, least, d), _GRAMS), "asked-grams")
-        grams = cut(asked.groupBy("key").agg(F.sum("n").alias("n"), F.first("ctx").alias("ctx"), F.first("parent").alias("parent")).where("n > 0"), "grams")
-        staying = cut(_staying(grams), "contexts")
-        levels[-1] = _marked(levels[-1], staying)
-        # the longest n-grams are asked for in contexts that stay alone
-        wanted = grams.select("key", "n") if d < depth else grams.join(staying.select(F.col("key").alias("ctx")), "ctx", "left_semi").select("key", "n")
-        levels.append(cut(asked.select("shard", "key").join(wanted, "key").select("shard", "key", "n", F.lit(False).alias("keep")), "found-grams"))
-        drop(asked, grams)
-    known = levels[0]
-    for level in levels[1:]:
-        known = known.unionByName(level)
+        told.append(_told(texts.groupBy("shard").cogroup(answers()).applyInArrow(_ask(d, shards, most, root), _ASKED), d))
 
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        found, out = Counts(right), []
-        for b in pieces(left.combine_chunks().to_batches(), "text"):
-            h, first = tokens(b.column("text"))
-            w = Walk(h, first, found, bottom, rare, least, depth)
-            own, known = np.add.reduceat(np.log10((w.times + 0.5) / bottom), first[:-1]), np.add.reduceat((w.times > 0).astype(np.int64), first[:-1])
-            out.append(pa.table({"doc_id": b.column("doc_id"), "n_tokens": np.diff(first), "n_known": known, "base_score": own, "score": own + np.add.reduceat(w.gain, first[:-1])}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-    done = dealt.select("doc_id", "text", "shard").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        left = _ordered(left)
+        w, first = _walked(left, right, depth + 1, shards, most, root)
+        at, size = first[:-1], np.diff(first)
+        base = np.add.reduceat(np.log10((w.times + 0.5) / bottom), at) if len(at) else np.zeros(0)
+        gain = np.add.reduceat(w.gain, at) if len(at) else np.zeros(0)
+        known_ = np.add.reduceat((w.times > 0).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        out = pa.table({"doc_id": left.column("doc_id"), "n_tokens": size, "n_known": known_, "base_score": base, "score": base + gain})
+        give_back()
+        return out
+
+    done = dealt.select("doc_id", "text", "shard", "row").groupBy("shard").cogroup(answers()).applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(n).cast("long"))

@@ -14,21 +14,21 @@ from .fixtures import SPACE, documents, lower, odd_docs
 END = object()
 
 
-def brute(rows, training):
+def brute(rows, training, depth=2, least=None):
     """The model in plain dictionaries."""
     toks = [[*SPACE.findall(lower(t)), END] for _, t in rows]
     count = Counter(w for t, use in zip(toks, training, strict=True) if use for w in t)
     n, v = sum(count.values()), len(count)
     bottom = n + 0.5 * (v + 1)
     p0 = lambda w: (count[w] + 0.5) / bottom
-    least = max(2.0, LEAST_SHARE * n)
+    least = max(2.0, LEAST_SHARE * n) if least is None else least
     frequent = {w for w, c in count.items() if c >= least and w is not END}
     symbol = lambda w: w if w in frequent or w is END else None
     symbols = [*frequent, END]
     root = {w: p0(w) for w in symbols} | {None: max(1 - sum(p0(w) for w in symbols), 1e-12)}
     dists, kept = {(): root}, {}
     allowed = {(w,) for w in frequent}
-    for d in (1, 2):
+    for d in range(1, depth + 1):
         n_next = defaultdict(Counter)
         for t, use in zip(toks, training, strict=True):
             for i in range(d, len(t)) if use else []:
@@ -52,25 +52,28 @@ def brute(rows, training):
         base = total = 0.0
         for k, w in enumerate(t):
             b = math.log10(p0(w)) if n else 0.0
-            ctx = next((c for d in (2, 1) if k >= d and (c := tuple(t[k - d : k])) in kept), ())
+            ctx = next((c for d in range(depth, 0, -1) if k >= d and (c := tuple(t[k - d : k])) in kept), ())
             base += b
             total += b + (math.log10(kept[ctx][symbol(w)] / root[symbol(w)]) if ctx else 0.0)
         out.append((i, len(t), sum(count[w] > 0 for w in t), n, base, total))
     return out, kept
 
 
-@pytest.mark.parametrize("make", [documents, odd_docs])
-def test_as_brute_force(spark, make):
+@pytest.mark.parametrize(
+    ("make", "options"),
+    [(documents, {}), (odd_docs, {}), (documents, {"depth": 4, "least": 5, "most": 200}), (odd_docs, {"depth": 4, "least": 5, "most": 7})],
+)
+def test_as_brute_force(spark, make, options):
     docs = make(spark)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(False)).alias("use")).collect()]
     use = [r.use for r in docs.select(F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(False)).alias("use")).collect()]
-    expected, kept = brute(rows, use)
-    got = score(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(False))).collect()
+    expected, kept = brute(rows, use, **{k: v for k, v in options.items() if k != "most"})
+    got = score(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(False)), **options).collect()
     order = lambda t: (t[0] is None, t[0] or 0, t[1])
     a, b = sorted(expected, key=order), sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=order)
     assert [x[:4] for x in a] == [x[:4] for x in b]
     assert np.allclose([x[4] for x in a], [x[4] for x in b]) and np.allclose([x[5] for x in a], [x[5] for x in b])
-    assert kept
+    assert kept and (not options or max(map(len, kept)) > 2)
 
 
 def test_contexts_help_on_held_out_text(spark):
