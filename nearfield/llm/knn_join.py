@@ -1,8 +1,8 @@
 """Exact k nearest neighbours by inner product: a Voronoi join.
 
 Vectors are grouped by their nearest pivot. A summary of each group (its radius, its greatest norm and the distances of its k + 1 vectors nearest to the pivot)
-gives, for every query, a score that at least k vectors reach, and for every group of data the most that one of its vectors can score with it. Data go only to those blocks of
-queries for which some query's bound lets them in; each block and chunk of data is solved alone, and the best of the chunks are merged.
+gives, for every query, a score that at least k vectors reach, and for every group of data the most that one of its vectors can score with it. A query goes to the groups
+that its bound lets in and no others, and a group's data go to the blocks of queries that have such a query; each block and part of a group is solved alone, and the best are merged.
 """
 
 from __future__ import annotations
@@ -17,42 +17,69 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import cut
 
 SCALE = 256
-#: Queries of a block and vectors of a chunk, about; pivots are at least and at most so many.
-BLOCK_QUERIES, CHUNK_VECTORS, PIVOTS = 512, 32768, (8, 1024)
+#: Queries of a block and vectors of a part of a group, about; pivots are at least and at most so many; rows whose bounds are computed at once.
+BLOCK_QUERIES, PART_VECTORS, PIVOTS, BOUND_ROWS = 512, 32768, (8, 1024), 256
+#: Integers are exact in double precision below this; scores are given as a long's least or greatest value beyond it.
+EXACT, LONG = float(2**53), 2**63 - 1
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.int64)
+def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64)
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>) with floor(scale * x) of each component of vectors (vec_id, embedding).
+    """(vec_id, v array<double>) with floor(scale * x), which is an integer, of each component of vectors (vec_id, embedding).
 
-    Vectors that are null or empty or hold a null or non-finite component take no part, nor do rows with a null vec_id or with components beyond 2**31 after scaling.
+    Vectors that are null or empty or hold a null or a component that is not finite, as it is or scaled, take no part, nor do rows with a null vec_id.
     """
-    x = F.transform("embedding", lambda e: F.floor(e.cast("double") * scale))
+    scaled = F.transform("embedding", lambda e: e.cast("double") * scale)
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    fine = F.forall("embedding", lambda e: F.coalesce(e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * scale) < float(2**31)), F.lit(False)))
-    return vectors.select("vec_id", "embedding").where(good).where(fine).select("vec_id", x.alias("v"))
+    fine = F.forall("embedding", lambda e: F.coalesce(e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * scale) < float("inf")), F.lit(False)))
+    # beyond 2**52 all doubles are integers, and a long would end at 2**63
+    whole = F.transform(scaled, lambda y: F.when(F.abs(y) < float(2**52), F.floor(y).cast("double")).otherwise(y))
+    return vectors.select("vec_id", "embedding").where(good).where(fine).select("vec_id", whole.alias("v"))
 
 
-def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Inner products of the rows, exactly: in floating point where sums stay below 2**53, else in integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * max(1, q.shape[1])
-    if most < 2**53:
-        return (q.astype(np.float64) @ d.T.astype(np.float64)).astype(np.int64)
-    return q.astype(np.int64) @ d.T.astype(np.int64)
+def one_length(data: DataFrame) -> DataFrame:
+    """data (vec_id, v) with zeros after shorter vectors, so that a component that only one of two vectors has adds nothing to their score."""
+    least, most = data.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    return data if least == most else data.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("v"))).alias("v"))
 
 
-def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of one row, ties to the smaller id."""
+def _scores(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the rows in floating point, and how far each row of q may be off: nothing where all sums stay exact."""
+    width, q_most, d_most = max(1, q.shape[1]), np.abs(q).max(axis=1, initial=0), np.abs(d).max(initial=0)
+    if q_most.max(initial=0) > 1e140 or d_most > 1e140:  # products of these would leave the range of a double
+        q, d, q_most, d_most = q.astype(np.longdouble), d.astype(np.longdouble), q_most.astype(np.longdouble), np.longdouble(d_most)
+    bound = q_most * d_most * width
+    return q @ d.T, np.where(bound < EXACT, 0, bound * (width + 2) * 2.0**-52)
+
+
+def _top(score: np.ndarray, off: float, ids: np.ndarray, k: int, q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Columns of the k best of one row and their exact scores, ties to the smaller id."""
+    near = np.arange(len(score))
     if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.flatnonzero(score >= least)
-    else:
-        near = np.arange(len(score))
-    return near[np.lexsort((ids[near], -score[near]))][:k]
+        near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 2 * off)
+    if off:
+        own = [int(x) for x in q]
+        exact = [sum(a * int(b) for a, b in zip(own, d[j], strict=True)) for j in near]
+        best = sorted(range(len(near)), key=lambda i: (-exact[i], ids[near[i]]))[:k]
+        return near[best], [exact[i] for i in best]
+    best = near[np.lexsort((ids[near], -score[near]))][:k]
+    return best, score[best].astype(np.int64).tolist()
+
+
+def _beyond(score: int) -> str | None:
+    """Text that sorts as the score does where a long does not hold it; null for all others."""
+    if abs(score) < LONG:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):04}{digits}"
+    return f"{9999 - len(digits):04}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
 
 
 class _Groups:
@@ -68,31 +95,47 @@ class _Groups:
         own = d2.argmin(axis=1)
         return own, np.linalg.norm(x - self.pivots[own], axis=1)
 
+    def slack(self, norm: np.ndarray) -> np.ndarray:
+        """(queries, groups): more than rounding can take from a bound."""
+        reach = np.linalg.norm(self.pivots, axis=1) + np.where(np.isfinite(self.radius), self.radius, 0)
+        return 1e-6 + 1e-10 * norm[:, None] * reach
+
     def least(self, q: np.ndarray, k: int) -> np.ndarray:
         """For each query a score that k vectors other than its own reach, or minus infinity."""
         x = q.astype(np.float64)
-        at, norm = x @ self.pivots.T, np.linalg.norm(x, axis=1)
+        norm = np.linalg.norm(x, axis=1)
+        at = x @ self.pivots.T - self.slack(norm)
         low = (at[:, :, None] - norm[:, None, None] * self.near[None]).reshape(len(x), -1)
         if low.shape[1] <= k:
             return np.full(len(x), -np.inf)
+        low = np.where(np.isnan(low), -np.inf, low)
         got = -np.partition(-low, k, axis=1)[:, k]  # one more, as one may be the query's own row
-        return np.where(np.isfinite(got), got - 1e-6 * (1 + np.abs(got)), -np.inf)
+        return np.where(np.isfinite(got), got, -np.inf)
 
     def most(self, q: np.ndarray) -> np.ndarray:
-        """(queries, groups): no vector of the group scores more."""
+        """(queries, groups): no vector of the group scores more; not a number where that is beyond doubles."""
         x = q.astype(np.float64)
-        norm = np.linalg.norm(x, axis=1)[:, None]
-        out = np.minimum(x @ self.pivots.T + norm * self.radius, norm * self.norm)
-        return out + 1e-6 * (1 + np.abs(out))
+        norm = np.linalg.norm(x, axis=1)
+        return np.minimum(x @ self.pivots.T + norm[:, None] * self.radius, norm[:, None] * self.norm) + self.slack(norm)
+
+    def wanted(self, q: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the groups that may hold one of its k best."""
+        out = []
+        with np.errstate(over="ignore", invalid="ignore"):
+            for at in range(0, len(q), BOUND_ROWS):
+                rows = q[at : at + BOUND_ROWS]
+                out += [np.flatnonzero(~low & (self.radius >= 0)) for low in self.most(rows) < self.least(rows, k)[:, None]]
+        return out
 
 
 def knn_join(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with the rows of other vec_ids (all, if fewer), ties to the smaller vec_id.
 
-    vectors: vec_id, embedding; is_query: a condition on vec_id. Rows that integer_vectors() leaves out take no part, and vectors must be of one length.
-    Repeated vec_ids are rows of their own among the data and one query each; equal vectors are ties.
+    vectors: vec_id, embedding; is_query: a condition on vec_id. Rows that integer_vectors() leaves out take no part; shorter vectors end in zeros.
+    Repeated vec_ids are rows of their own among the data and one query each; equal vectors are ties. Bounds and scores are exact whatever the size of the components;
+    a score that a long does not hold is given as the nearest long. The result's attribute routes has the blocks of queries and the groups that each was sent to.
     """
-    data = cut(integer_vectors(vectors, scale), "vectors")
+    data = cut(one_length(integer_vectors(vectors, scale)), "vectors")
     queries = data.where(is_query).dropDuplicates(["vec_id"])
     n, n_queries = data.count(), queries.count()
     if not n or not n_queries:
@@ -110,7 +153,7 @@ def knn_join(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE) -> Da
                 v = _matrix(b.column("v"))
                 own, dist = groups.assign(v)
                 np.maximum.at(radius, own, dist)
-                np.maximum.at(norm, own, np.linalg.norm(v.astype(np.float64), axis=1))
+                np.maximum.at(norm, own, np.linalg.norm(v, axis=1))
                 for g in np.unique(own):
                     near[g] = np.sort(np.concatenate([near[g], dist[own == g]]))[: k + 1]
         full = np.flatnonzero(radius >= 0)
@@ -122,20 +165,13 @@ def knn_join(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE) -> Da
     for r in parts.groupBy("g").agg(F.max("radius").alias("radius"), F.max("norm").alias("norm"), nearest.alias("near")).collect():  # a row per pivot
         groups.radius[r.g], groups.norm[r.g], groups.near[r.g, : len(r.near)] = r.radius, r.norm, r.near
 
-    def to_blocks(batches):
-        """Queries with their group and, per group of data, whether it must be searched."""
+    def bounded(batches):
+        """Queries with their own group and the groups that must be searched for them."""
         for b in batches:
             if b.num_rows:
                 v = _matrix(b.column("v"))
                 own, _ = groups.assign(v)
-                least = groups.least(v, k)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(own), pa.array(least), pa.array([np.flatnonzero(m) for m in groups.most(v) >= least[:, None]], pa.list_(pa.int64()))], ["query_id", "q", "g", "least", "wanted"])
-
-    asked = cut(queries.mapInArrow(to_blocks, "query_id long, q array<long>, g long, least double, wanted array<long>"), "queries")
-    size = asked.groupBy("g").agg(F.count("*").alias("m")).select("g", F.ceil(F.col("m") / BLOCK_QUERIES).cast("long").alias("parts"))
-    asked = asked.join(size, "g").withColumn("block", F.concat_ws("-", "g", F.pmod(F.xxhash64("query_id"), F.col("parts"))))
-    blocks = cut(asked.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_set("wanted"))).alias("wanted")), "blocks")
-    routes = blocks.select("block", F.explode("wanted").alias("g"))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(own), pa.array(groups.wanted(v, k), pa.list_(pa.int64()))], ["query_id", "q", "home", "g"])
 
     def assigned(batches):
         for b in batches:
@@ -143,25 +179,34 @@ def knn_join(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE) -> Da
                 own, _ = groups.assign(_matrix(b.column("v")))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(own)], ["vec_id", "v", "g"])
 
-    chunks = max(1, math.ceil(n / CHUNK_VECTORS))
-    sent = data.mapInArrow(assigned, "vec_id long, v array<long>, g long").join(routes, "g").select("block", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"), "vec_id", "v")
-    copies = asked.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), "query_id", "q")
+    data = data.mapInArrow(assigned, "vec_id long, v array<double>, g long")
+    # a row per pivot: of how many parts a group is, and how many blocks its queries make
+    shape = data.groupBy("g").agg(F.ceil(F.count("*") / PART_VECTORS).cast("long").alias("parts"))
+    asked = cut(queries.mapInArrow(bounded, "query_id long, q array<double>, home long, g array<long>"), "queries")
+    homes = asked.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("long").alias("blocks"))
+    asked = asked.join(homes, "home").withColumn("block", F.concat_ws("-", "home", F.pmod(F.xxhash64("query_id"), F.col("blocks"))))
+    asked = asked.select("block", "query_id", "q", F.explode("g").alias("g")).join(shape, "g")
+    routes = cut(asked.select("block", "g", "parts").distinct(), "routes")
+    sent = data.join(routes, "g").select("block", "g", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "vec_id", "v")
+    copies = asked.select("block", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "query_id", "q")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, d = (np.vstack([np.array(x) for x in t.column(c).to_pylist()]) if t.num_rows else None for t, c in ((left, "q"), (right, "v")))
-        out: list[list[np.ndarray]] = [[], [], []]
-        if q is not None and d is not None:
-            query_ids, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            q, d, query_ids, ids = _matrix(left.column("q")), _matrix(right.column("v")), left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
             for at in range(0, len(q), 64):
-                for query, row in zip(query_ids[at : at + 64], _scores(q[at : at + 64], d), strict=True):
+                score, off = _scores(q[at : at + 64], d)
+                for i, query in enumerate(query_ids[at : at + 64]):
                     other = np.flatnonzero(ids != query)
-                    best = other[_top(row[other], ids[other], k)]
-                    out[0].append(np.full(len(best), query))
-                    out[1].append(ids[best])
-                    out[2].append(row[best])
-        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
-
-    near = copies.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                    best, exact = _top(score[i, other], off[i], ids[other], k, q[at + i], d[other] if off[i] else d)
+                    out[0] += [query] * len(best)
+                    out[1] += ids[other[best]].tolist()
+                    out[2] += exact
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([min(max(x, -LONG), LONG) for x in out[2]], pa.int64()), pa.array([_beyond(x) for x in out[2]], pa.string())]
+        return pa.table(columns, ["query_id", "vec_id", "score", "beyond"])
+
+    near = copies.groupBy("block", "g", "part").cogroup(sent.groupBy("block", "g", "part")).applyInArrow(solve, "query_id long, vec_id long, score long, beyond string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id"))
+    out = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out.routes = routes
+    return out

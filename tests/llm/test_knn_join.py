@@ -71,3 +71,41 @@ def test_bounds_prune_and_hold():
 def test_scaled_floor(spark):
     df = spark.createDataFrame([(1, [-0.001, 0.999, 0.5])], "vec_id long, embedding array<float>")
     assert integer_vectors(df).first().v == [-1, 255, 128]
+
+
+def exact(rows, k, step):
+    """Brute force in whole numbers of any size, zeros after shorter vectors, scores as longs."""
+    most = max(len(v) for _, v in rows)
+    good = [(i, [int(np.floor(x * 256)) if abs(x) < 2**40 else int(x * 256) for x in v] + [0] * (most - len(v))) for i, v in rows]
+    out = []
+    for q, v in good:
+        if q % step == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:k]
+            out += [(q, r + 1, i, max(min(-s, 2**63 - 1), 1 - 2**63)) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_no_finite_vector_is_left_out(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 1.0]), (1, [1e8, 1.0]), (2, [1.0, 2.0]), (3, [1e30, -1e30]), (4, [3e37, 1.0]), (5, [-3e37, 2.0]), (6, [1e200, 0.5]), (7, [1e30, 1e10]), (8, [1e30, 2e10])]
+    rows += [(i, [float(x) for x in rng.normal(size=2) * 10.0 ** rng.integers(0, 25)]) for i in range(9, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(knn_join(df, F.col("vec_id") % 5 == 0)) == exact(rows, 5, 5)
+
+
+def test_shorter_vectors_end_in_zeros(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=1 + i % 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(knn_join(df, F.col("vec_id") % 6 == 0)) == exact(rows, 5, 6)
+
+
+def test_clusters_far_away_are_not_searched(spark):
+    """End to end: queries go only to groups near them, and the result is the brute-force one."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 6)) * 100
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(size=6)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn_join(df, F.col("vec_id") % 50 == 0)
+    assert result(got) == brute(rows, 5, 50)
+    assert got.routes.count() <= 24  # of 64 pairs of a block and a group
