@@ -1,9 +1,10 @@
 """Mixing sources to target weights, on fixed-length blocks of words.
 
 Each source's documents, in a pseudorandom order, are one stream of words that is cut into blocks of a fixed length. A source gets as many slots of the output as
-make up its target. The slots of all sources are drawn into output shards without replacement: a pseudorandom permutation of all slots gives each its place, so
-the source counts of a shard are multinomial draws conditioned on totals that meet the targets. Slot k of a source with n blocks belongs to pass k div n
-and names, through that pass's own pseudorandom permutation of the source's block indexes, the block that it takes; slots and blocks meet in a join on the index.
+make up its target. Every slot of an output shard draws its source, with replacement and by the sources' shares, so the source counts of a shard are a multinomial draw.
+The few draws by which a source's total then exceeds its slots, a random choice of them, go to the sources that fall short, so totals meet the targets. The k-th draw of a
+source with n blocks belongs to pass k div n and names, through that pass's own pseudorandom permutation of the source's block indexes, the block that it takes; slots and
+blocks meet in a join on the index.
 A pass takes a block at most once and a target stops at three passes, so no document is taken more than three times.
 """
 
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import SPACE_WORD, cut, let
 
-#: Words of a block, slots of an output shard, slots that one row makes.
-BLOCK_WORDS, SHARD_SLOTS, SLOT_CHUNK = 64, 4096, 4096
+#: Words of a block, slots of an output shard, slots that a task makes or a bucket numbers, and stripes in which draws meet their sources, at most.
+BLOCK_WORDS, SHARD_SLOTS, TASK_SLOTS, STRIPES = 64, 4096, 1 << 18, 1 << 16
 WEIGHTS, CAP = (5, 2, 1), 3
-#: Primes, of which those that do not divide n are multipliers of permutations of 0..n-1.
-PRIMES = (998244353, 1000000007, 1000000009, 1000000021, 1000000033, 2147483587, 2147483629, 2147483647)
+#: Rounds of the permutation's cipher, and how often it goes on from outside 0..n-1; fewer than sqrt(n) values lie outside.
+ROUNDS, WALKS = 4, 16
 
 
 def n_words(text: Column) -> Column:
@@ -28,13 +29,25 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
+def _cipher(x: Column, a: Column, b: Column, seed: tuple[Column, ...]) -> Column:
+    """A bijection of 0..a*b-1: a Feistel network whose halves are the quotient and the remainder of b."""
+    high, low = F.floor(x / b), x % b
+    for r in range(ROUNDS // 2):
+        high = F.pmod(high + F.pmod(F.xxhash64(*seed, F.lit(2 * r), low), a), a)
+        low = F.pmod(low + F.pmod(F.xxhash64(*seed, F.lit(2 * r + 1), high), b), b)
+    return high * b + low
+
+
 def permuted(x: Column, n: Column, *seed: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1 that seed picks, at x."""
-    primes = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: n % p != 0)
-    a = F.element_at(primes, (F.pmod(F.xxhash64(*seed, F.lit("a")), F.size(primes)) + 1).cast("int")) % n
-    b = F.pmod(F.xxhash64(*seed, F.lit("b")), n)
-    wide = a.cast("decimal(19,0)") * x.cast("decimal(19,0)") + b.cast("decimal(19,0)")
-    return (wide % n.cast("decimal(19,0)")).cast("long")
+    """A pseudorandom permutation of 0..n-1 that seed picks, at x: a cipher of a little larger domain, applied until it comes back below n.
+
+    Up to n = 256, 16 steps are always enough; beyond, a value needs more with a chance of less than n ** -8.
+    """
+    a = F.ceil(F.sqrt(n)).cast("long")
+    b = F.ceil(n / a).cast("long")
+    once = _cipher(x, a, b, seed)
+    walk = let(once, lambda y: F.when(y < n, y).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), y, lambda acc, _: F.when(acc < n, acc).otherwise(_cipher(acc, a, b, seed)))))
+    return walk.cast("long")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK_WORDS) -> DataFrame:
@@ -62,15 +75,41 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int
     return t.withColumn("all_slots", F.sum("slots").over(everything)).select("source", "source_size", "target", "s", "blocks", "slots", "slot0", "all_slots")
 
 
+def numbered(df: DataFrame, rows: int, *by: str, name: str, seed: int) -> DataFrame:
+    """df (id, by) with name: numbers from 0 in a pseudorandom order of the ids of each group; rows is df's size.
+
+    A group's rows are numbered in buckets, which start where the smaller buckets' counts end, so that no group is one task's work.
+    """
+    h = F.xxhash64("id", F.lit(seed), F.lit(name))
+    df = df.withColumn("bucket", F.pmod(h, F.lit(max(1, math.ceil(rows / TASK_SLOTS)))))
+    before = F.sum("count").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = df.groupBy(*by, "bucket").count().select(*by, "bucket", F.coalesce(before, F.lit(0).cast("long")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(h, "id")) - 1
+    return df.withColumn("inside", inside).join(starts, [*by, "bucket"]).withColumn(name, F.col("before") + F.col("inside")).drop("bucket", "inside", "before")
+
+
 def drawn_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> DataFrame:
-    """(s, shard, place, pass, block): every slot of the output with its shard, its place there, and the source's block that it takes in which pass."""
-    chunk = targets.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_CHUNK).cast("long"))).alias("k0"))
-    chunk = chunk.repartition(max(1, math.ceil((targets.agg(F.max("all_slots")).first()[0] or 0) / (64 * SLOT_CHUNK))), "s", "k0")
-    slot = chunk.select("*", F.explode(F.sequence("k0", F.least(F.col("k0") + SLOT_CHUNK, "slots") - 1)).alias("k"))
+    """(s, shard, place, pass, block): every slot of the output with its shard, its place there, and the source's block that it takes in which pass.
+
+    The sources of slots are drawn alike and independently; draws beyond a source's slots, the last ones in a pseudorandom order, fill up sources with too few.
+    """
+    spark, t = targets.sparkSession, targets.where("slots > 0")
+    n = t.agg(F.sum("slots")).first()[0] or 0
+    stripe = max(1, math.ceil(n / STRIPES))
+    sources = t.select("s", "slots", "slot0", F.explode(F.sequence(F.floor(F.col("slot0") / stripe), F.floor((F.col("slot0") + F.col("slots") - 1) / stripe))).alias("stripe"))
+    drawn = spark.range(0, n, 1, max(1, math.ceil(n / TASK_SLOTS))).withColumn("draw", F.pmod(F.xxhash64("id", F.lit(seed), F.lit("draw")), F.lit(max(1, n))))
+    drawn = drawn.withColumn("stripe", F.floor(F.col("draw") / stripe)).join(sources, "stripe").where("draw >= slot0 and draw < slot0 + slots").select("id", "s", "slots")
+    drawn = cut(numbered(drawn, n, "s", "slots", name="k", seed=seed), "draws")
+    got = drawn.groupBy("s").agg(F.count("*").alias("drawn"))
+    short = t.join(got, "s", "left").select("s", F.coalesce("drawn", F.lit(0)).alias("k0"), (F.col("slots") - F.coalesce("drawn", F.lit(0))).alias("lack")).where("lack > 0")
+    short = short.withColumn("j0", F.coalesce(F.sum("lack").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    short = short.select("s", "k0", "j0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lack") - 1)).alias("i")).select("s", (F.col("k0") + F.col("i")).alias("k"), (F.col("j0") + F.col("i")).alias("j"))
+    over = drawn.where("k >= slots").select("id", F.lit(0).alias("one"))
+    moved = numbered(over, n, "one", name="j", seed=seed).join(short, "j").select("id", "s", "k")
+    slot = drawn.where("k < slots").select("id", "s", "k").unionByName(moved).join(t.select("s", "blocks"), "s")
     slot = slot.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long"))
-    at = permuted(F.col("slot0") + F.col("k"), F.col("all_slots"), F.lit(seed))
     block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("s"), F.col("pass"))
-    return slot.select("s", F.floor(at / shard_slots).cast("long").alias("shard"), (at % shard_slots).alias("place"), "pass", block.alias("block"))
+    return slot.select("s", F.floor(F.col("id") / shard_slots).cast("long").alias("shard"), (F.col("id") % shard_slots).alias("place"), "pass", block.alias("block"))
 
 
 def packed(sized: DataFrame, targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -79,13 +118,13 @@ def packed(sized: DataFrame, targets: DataFrame, block: int = BLOCK_WORDS) -> Da
     The order is that of a hash. Running sums go over two levels of about the square root of the number of documents each, so that no source is one task's work.
     """
     buckets = max(1, math.isqrt(sized.count()))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("bucket")), F.lit(buckets)))
     tops = sized.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.withColumn("before", F.coalesce(F.sum("sum").over(over), F.lit(0).cast("long")))
     t = targets.withColumnRenamed("source", "source_")
     tops = tops.join(t, F.col("source").eqNullSafe(F.col("source_"))).select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "before", "source_size", "target", "s")
-    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "text_hash", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "size", "text_hash", "row").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     both = sized.join(tops, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
     return both.withColumn("start", F.col("before") + F.col("inner")).drop("source_", "bucket_", "bucket", "inner", "before")
@@ -106,7 +145,7 @@ def mixture(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOC
     laid = cut(packed(sized.select("row", "doc_id", "source", "size", "text_hash"), targets, block), "laid")
     own = laid.where("size > 0").select("row", "s", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     slots = drawn_slots(targets, seed=seed)
-    # the slots grow with the corpus; their chunks look small enough to be broadcast
+    # the slots grow with the corpus, however small they look
     pieces = own.join(slots.hint("merge"), ["s", "block"])
     first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     last = F.least((F.col("block") + 1) * block - F.col("start"), "size")

@@ -1,3 +1,6 @@
+from collections import Counter, defaultdict
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,53 @@ def test_documents_of_the_mix(spark):
 def test_empty_table(spark):
     assert taken_words(*mixture(with_sizes(documents(spark).limit(0)))).collect() == []
     assert mixed_documents(documents(spark).limit(0)).collect() == []
+
+
+def test_counts_of_a_shard_are_multinomial(spark):
+    """Over many shards the counts of a source vary as a multinomial draw's do, while the totals meet the targets."""
+    sized = spark.createDataFrame([("a", 640_000), ("b", 640_000), ("c", 640_000), ("d", 64_000)], "source string, size long")
+    targets = source_targets(sized)
+    shards, slots = 64, {r.s: r.slots for r in targets.collect()}
+    n = sum(slots.values())
+    got = drawn_slots(targets, shard_slots=shards).collect()
+    assert Counter(r.s for r in got) == slots
+    counts = defaultdict(lambda: np.zeros(n // shards))
+    for r in got:
+        if r.shard < n // shards:
+            counts[r.s][r.shard] += 1
+    for s, c in counts.items():
+        p = slots[s] / n
+        assert abs(c.mean() - shards * p) < 4 * np.sqrt(shards * p / len(c))
+        assert 0.8 < c.var() / (shards * p * (1 - p)) < 1.25, s
+    a, b = counts[0], counts[1]
+    assert np.corrcoef(a, b)[0, 1] < -0.3  # what one source has the others lack
+
+
+def test_taken_as_brute_force(spark):
+    """Each document's words, counted from the blocks that the slots name and from the stream that the documents make."""
+    docs = documents(spark)
+    laid, pieces = mixture(with_sizes(docs))
+    rows = laid.collect()
+    drawn = Counter((r.s, r.block) for r in drawn_slots(source_targets(with_sizes(docs))).collect())
+    stream = {r.row: sum(drawn[r.s, w // 64] for w in range(r.start, r.start + r.size)) for r in rows}
+    assert {r.row: r.taken for r in taken_words(laid, pieces).collect()} == stream
+    for s in {r.s for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.s == s and r.size), key=lambda r: r.start):
+            assert r.start == at  # no gap and no overlap
+            at += r.size
+
+
+def test_permutations_differ_and_spread(spark):
+    n = 4096
+    got = [[r.x for r in spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(k)).alias("x")).collect()] for k in (1, 2)]
+    for x in got:
+        step = np.diff(np.array(x))
+        assert len(np.unique(step)) > n / 2 and abs(np.corrcoef(x, np.arange(n))[0, 1]) < 0.1
+    assert sum(a == b for a, b in zip(*got, strict=True)) < 20
+
+
+def test_equal_ids_are_dealt_over_buckets(spark):
+    docs = spark.createDataFrame([(None, f"text {i} of many words", "a") for i in range(3000)], "doc_id long, text string, source string")
+    laid, _ = mixture(with_sizes(docs))
+    assert sorted(r.start for r in laid.collect()) == [5 * i for i in range(3000)]
