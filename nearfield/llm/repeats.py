@@ -45,7 +45,7 @@ def _seeds(window: int, anchor: int):
             at = anchors(w.hash, w.first, window, anchor)
             g = ngram_hashes(w.hash, anchor)[at] if len(at) else np.zeros(0, np.uint64)
             of_doc = np.searchsorted(at, w.first)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), binaries(_digests(w)), pa.array(np.diff(w.first), pa.int64()), lists(signed(g), of_doc, pa.int64())], ["doc_id", "digest", "n_words", "anchors"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), binaries(_digests(w)), pa.array(np.diff(w.first), pa.int64()), lists(signed(g), of_doc, pa.int64())], ["doc_id", "text_hash", "digest", "n_words", "anchors"])
 
     return of
 
@@ -79,6 +79,10 @@ def _windows(window: int, anchor: int):
     return of
 
 
+def _text_hash():
+    return F.xxhash64("text").alias("text_hash")
+
+
 def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Spans (first word, end) that windows at these starts cover, merged where they touch."""
     starts = np.unique(starts)
@@ -89,23 +93,26 @@ def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, digest, n_words, whole, starts): for each different document, where repeated windows begin; whole: all of its words are repeated.
+    """(doc_id, text_hash, digest, n_words, whole, starts): for each different document, where repeated windows begin; whole: all of its words are repeated.
 
     docs: doc_id, text; further columns are ignored. Null and blank texts have no words. Rows with the same doc_id and words are one row here, and each is the other's repeat.
     """
-    docs = docs.select("doc_id", "text")
-    seeds = cut(docs.mapInArrow(_seeds(window, anchor), "doc_id long, digest binary, n_words long, anchors array<long>"), "seeds")
-    classes = seeds.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n_words").alias("n"))
-    classes = cut(classes.where(F.col("n") >= window).select("digest", "copies", "rep", F.monotonically_increasing_id().alias("class")), "classes")
+    docs = docs.select("doc_id", "text", _text_hash())
+    seeds = cut(docs.mapInArrow(_seeds(window, anchor), "doc_id long, text_hash long, digest binary, n_words long, anchors array<long>"), "seeds")
+    # a class's representative is a doc_id and a text, as ids may be null or repeat
+    classes = seeds.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("n_words").alias("n"))
+    classes = classes.where(F.col("n") >= window).select("digest", "copies", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), F.monotonically_increasing_id().alias("class"))
+    classes = cut(classes, "classes")
     # a row for every class: where its representative's anchors are shared
-    reps = seeds.join(classes, (seeds.digest == classes.digest) & seeds.doc_id.eqNullSafe(classes.rep)).groupBy("class").agg(F.first("anchors").alias("anchors"))
+    own = seeds.join(classes.select("digest", "rep", "rep_hash", "class"), "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
+    reps = own.groupBy("class").agg(F.first("anchors").alias("anchors"))
     own = cut(reps.select("class", F.posexplode("anchors").alias("nth", "anchor")), "anchors")
     # tables of their own, so that both sides of the joins are plain shuffles, of which Spark splits the hot partitions
     shared = cut(own.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "shared-anchors")
     found = cut(own.join(shared, "anchor").groupBy("class").agg(F.collect_list("nth").alias("seeds")), "shared")
     drop(own, shared)
-    wanted = classes.join(found, "class").select("class", F.col("rep").alias("doc_id"), "digest", "seeds")
-    texts = wanted.withColumnRenamed("doc_id", "rep").join(docs, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("rep")
+    wanted = classes.join(found, "class").select("class", "rep", "rep_hash", "digest", "seeds")
+    texts = wanted.join(docs, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
     windows = cut(texts.select("class", "digest", "seeds", "text").mapInArrow(_windows(window, anchor), "window long, class long, start int"), "windows")
     twice = cut(windows.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window"), "repeated-windows")
     starts = cut(windows.join(twice, "window").groupBy("class").agg(F.array_distinct(F.collect_list("start")).alias("starts")), "starts")
@@ -113,8 +120,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     starts = classes.join(starts, "class", "left").select("digest", (F.col("copies") > 1).alias("whole"), "starts")
     # copies carry no starts: all of their words are repeats
     starts = starts.select("digest", "whole", F.when(~F.col("whole"), F.col("starts")).alias("starts"))
-    each = seeds.select("doc_id", "digest", "n_words")
-    each = each.join(starts, "digest", "left").groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.first("whole").alias("whole"), F.first("starts").alias("starts"))
+    each = seeds.select("doc_id", "text_hash", "digest", "n_words")
+    each = each.join(starts, "digest", "left").groupBy("doc_id", "text_hash", "digest").agg(F.first("n_words").alias("n_words"), F.first("whole").alias("whole"), F.first("starts").alias("starts"))
     return each.withColumn("whole", F.coalesce("whole", F.lit(False)))
 
 
@@ -143,9 +150,11 @@ def _kept(window: int, texts: bool):
 
 
 def _applied(docs: DataFrame, window: int, anchor: int, texts: bool) -> DataFrame:
-    docs = docs.select("doc_id", "text")
-    found = cut(repeats(docs, window, anchor).select(F.col("doc_id").alias("id"), "digest", "whole", "starts"), "repeats")
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    docs = docs.select("doc_id", "text", _text_hash())
+    found = repeats(docs, window, anchor).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("id_hash"), "digest", "whole", "starts")
+    found = cut(found, "repeats")
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("id_hash")))
+    both = both.select("doc_id", "text", "digest", "whole", "starts")
     return both.mapInArrow(_kept(window, texts), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from nearfield.llm.repeats import repeat_spans, repeats_digest, without_repeats
+from nearfield.llm.repeats import repeat_spans, repeats, repeats_digest, without_repeats
 
 from .fixtures import brute_repeats, documents, key, odd_docs
 
@@ -30,3 +31,15 @@ def test_spans_and_texts(spark):
 
 def test_empty_table(spark):
     assert repeats_digest(documents(spark).limit(0)).collect() == []
+
+
+def test_many_equal_ids(spark):
+    """2,000 rows without an id and as many with one id: each meets its own result, so no more rows are joined than there are."""
+    passage = " ".join(f"p{i}" for i in range(36))
+    rows = [(i % 2 * 7 or None, f"text {i} {passage if i % 10 < 2 else 'alone'} end{i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats(docs).count() == len(rows)
+    names = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert key(repeats_digest(docs).collect(), *names) == key([dict(zip(names, e, strict=True)) for e in brute_repeats(rows)], *names)
+    joined = docs.join(repeats(docs).withColumnsRenamed({"doc_id": "id", "text_hash": "h"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h")))
+    assert joined.count() == len(rows)
