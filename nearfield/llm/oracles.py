@@ -39,7 +39,13 @@ g as (select distinct item_id, least(len(w), 10) as n, array_to_string(list_slic
 p as (select doc_id, s, n, array_to_string(list_slice(w, s + 1, s + n), ' ') as g from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as s from d, (select distinct n from g) k where len(w) >= n)),
 h as (select p.doc_id, p.s, p.n, g.item_id from p join g on g.n = p.n and g.g = p.g),
 c as (select doc_id, count(*) as n_hit from (select distinct doc_id, s + k as s from (select doc_id, s, unnest(range(n)) as k from h)) group by doc_id),
-i as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by doc_id)
-select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join c on c.doc_id = d.doc_id left join i on i.doc_id = d.doc_id
+i as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by doc_id),
+o as (select item_id, lower(word) as term, row_number() over (partition by item_id order by place) - 1 as off from (select item_id, word, min(place) as place from (select item_id, unnest(w) as word, unnest(range(len(w))) as place from b) group by item_id, word)),
+t as (select doc_id, unnest(w) as term, unnest(range(len(w))) as pos from (select doc_id, list_transform(w, lambda x: lower(x)) as w from d)),
+k as (select term, count(*) as n from t group by term),
+r as (select *, count(*) over (partition by item_id) as needed from (select o.*, coalesce(n, 0) as n, row_number() over (partition by item_id order by coalesce(n, 0), off) as nth from o left join k on k.term = o.term) where nth <= 3),
+a as (select doc_id, item_id, pos, off, needed from t join r on r.term = t.term where item_id not in (select item_id from r where n = 0)),
+m as (select doc_id, count(distinct item_id) as n_near from (select x.doc_id, x.item_id, x.pos from a x join a y on y.doc_id = x.doc_id and y.item_id = x.item_id and y.pos between x.pos and x.pos + 29 group by x.doc_id, x.item_id, x.pos having count(distinct y.off) = any_value(x.needed)) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+from d left join c on c.doc_id = d.doc_id left join i on i.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 """

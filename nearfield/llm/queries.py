@@ -77,7 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 benchmark words in all documents."""
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, proximity=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
