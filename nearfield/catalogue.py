@@ -18,7 +18,7 @@ from nearfield.operators.search import SearchOptions
 from nearfield.plans import router
 
 K = 5
-OPTIONS = SearchOptions(k=K, max_fetch_k=200)
+OPTIONS = SearchOptions(k=K)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -133,21 +133,22 @@ def ground_truth_by_range(spark, sf_dir):
 
 LADDER = KNN + f""", h as (select *, rank as pos from nn where attr between lo and hi),
 per as (select query_id, count(*) as m, (select count(*) from b) as n, list(pos) as places from h group by query_id),
-f as (select *, least(200, n) as cap, least(greatest({K}, least(ceil({K} / greatest(m::double / n, 1e-6) * 2.0), 200)), n)::bigint as f0, greatest({K}, least(m, ceil({K} * 2.0)))::bigint as t from per),
+f as (select *, least(4096, n) as cap, least(greatest({K}, least(ceil({K} / greatest(m::double / n, 1e-6) * 2.0), 4096)), n)::bigint as f0, greatest({K}, least(m, ceil({K} * 2.0)))::bigint as t from per),
 g as (select *, i, case when i = 0 then f0 else least(cap, f0 * (2 ** i)::bigint) end as fetched from f, range(6) r(i)),
 v as (select *, len(list_filter(places, lambda p: p <= fetched)) as valid, len(list_filter(places, lambda p: p <= least({K}, fetched))) as head from g),
 s as (select *, least({K}, valid) as found, least(t, least({K}, valid) + valid - head) as seen from v),
 stop as (select query_id, min(i) as retries from s where (found >= {K} and seen >= t) or i >= 5 or fetched >= cap group by query_id),
-used as (select s.query_id, s.fetched, s.i as retries from s join stop on s.query_id = stop.query_id and s.i = stop.retries)
+used as (select s.query_id, s.fetched, s.i as retries, s.valid < least({K}, s.m) as short from s join stop on s.query_id = stop.query_id and s.i = stop.retries)
 """
 
 
-@_query(LADDER + f" select query_id, rank, vec_id, round(d2, 6) as d2, fetched::bigint as fetched, retries::bigint as retries from (select h.query_id, h.vec_id, h.d2, u.fetched, u.retries, row_number() over (partition by h.query_id order by h.d2, h.vec_id) as rank from h join used u on h.query_id = u.query_id where h.pos <= u.fetched) where rank <= {K}")
+@_query(LADDER + f" select query_id, rank, vec_id, round(d2, 6) as d2, fetched::bigint as fetched, retries::bigint as retries from (select h.query_id, h.vec_id, h.d2, u.fetched, u.retries, row_number() over (partition by h.query_id order by h.d2, h.vec_id) as rank from h join used u on h.query_id = u.query_id where h.pos <= u.fetched or u.short) where rank <= {K}")
 def post_filter_ladder(spark, sf_dir):
     return search.post_filter(base(spark, sf_dir), ranges(spark, sf_dir), OPTIONS).select("query_id", "rank", "vec_id", _r("d2"), "fetched", "retries")
 
 
-PROBE = PAIRS + f", {CENTROIDS}, pr as (select * from (select q.query_id, c.cluster_id, row_number() over (partition by q.query_id order by {D2.format(a='q.qvec', b='c.centroid')}, c.cluster_id) as r from q, cen c) where r <= 3), ivf as (select * from (select d.query_id, d.vec_id, d.d2, row_number() over (partition by d.query_id order by d.d2, d.vec_id) as rank from d join pr on d.query_id = pr.query_id and d.label = pr.cluster_id where d.attr between d.lo and d.hi) where rank <= {K})"
+PROBE = PAIRS + f""", {CENTROIDS}, inr as (select query_id, label, count(*) as m from d where attr between lo and hi group by query_id, label),
+pr as (select query_id, cluster_id from (select i.query_id, i.label as cluster_id, row_number() over w as r, coalesce(sum(m) over (w rows between unbounded preceding and 1 preceding), 0) as before from inr i join q on q.query_id = i.query_id join cen c on c.cluster_id = i.label window w as (partition by i.query_id order by {D2.format(a='q.qvec', b='c.centroid')}, i.label)) where r <= 3 or before < {K}), ivf as (select * from (select d.query_id, d.vec_id, d.d2, row_number() over (partition by d.query_id order by d.d2, d.vec_id) as rank from d join pr on d.query_id = pr.query_id and d.label = pr.cluster_id where d.attr between d.lo and d.hi) where rank <= {K})"""
 
 
 @_query(PROBE + " select query_id, rank, vec_id, round(d2, 6) as d2 from ivf")
@@ -326,7 +327,10 @@ def weighted_metrics(spark, sf_dir):
 
 
 def _draw_sql(x: str, salt: int) -> str:
-    return f"((((({x}) + {salt * 7919}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648"
+    h = f"((({x}) + {salt * 7919}) % 2147483648)"
+    for shift in (16, 15):
+        h = f"((xor({h}, {h} >> {shift}) * 73244475) % 2147483648)"
+    return f"xor({h}, {h} >> 16)"
 
 
 SORTED = ", n as (select count(*) as n from b), srt as (select attr as v, row_number() over (order by attr) - 1 as i from b)"
@@ -407,7 +411,7 @@ def true_correlation(spark, sf_dir):
     return calibrate.true_correlation(base(spark, sf_dir), ranges(spark, sf_dir), K).select("query_id", "s", "kk", _r("g"), _r("e"), _r("corr"))
 
 
-@_query(GK + f", u as (select x.query_id, x.vec_id, x.dd, ad.s, ad.g, i as subset, {_draw_sql('x.vec_id * 1009 + x.query_id * 9176 + i * 65537', 6)} as u from x join ad using (query_id), range(8) t(i) where ad.s > 0), k as (select *, row_number() over (partition by query_id, subset order by u, vec_id) as r from u), k2 as (select *, row_number() over (partition by query_id, subset order by dd, vec_id) as o from k where r <= s), mm as (select query_id, subset, avg(dd) as m, min(g) as g from k2 where o <= {K} group by query_id, subset), p as (select query_id, avg(m) as e, stddev_samp(m) / sqrt(count(*)) as stderr, min(g) as g from mm group by query_id) select query_id, round(e, 6) as e, round(stderr, 6) as stderr, round((e - g) / e, 6) as corr from p")
+@_query(GK + f", w0 as (select i, {_draw_sql('i', 6)} as v from range(8) t(i)), w as (select q.query_id, i, {_draw_sql('q.query_id + w0.v', 6)} as v from q, w0), u as (select x.query_id, x.vec_id, x.dd, ad.s, ad.g, v.i as subset, {_draw_sql('x.vec_id + v.v', 6)} as u from x join ad using (query_id), w v where v.query_id = x.query_id and ad.s > 0), k as (select *, row_number() over (partition by query_id, subset order by u, vec_id) as r from u), k2 as (select *, row_number() over (partition by query_id, subset order by dd, vec_id) as o from k where r <= s), mm as (select query_id, subset, avg(dd) as m, min(g) as g from k2 where o <= {K} group by query_id, subset), p as (select query_id, avg(m) as e, stddev_samp(m) / sqrt(count(*)) as stderr, min(g) as g from mm group by query_id) select query_id, round(e, 6) as e, round(stderr, 6) as stderr, round((e - g) / e, 6) as corr from p")
 def mc_true_correlation(spark, sf_dir):
     return calibrate.sampled_correlation(base(spark, sf_dir), ranges(spark, sf_dir), K, 8).select("query_id", _r("e"), _r("stderr"), _r("corr"))
 

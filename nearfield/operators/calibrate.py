@@ -70,7 +70,7 @@ def sampled_correlation(base: DataFrame, queries: DataFrame, k: int, subsets: in
     n = F.count("*").over(Window.partitionBy("query_id"))
     d = dist.withColumn("n", n).join(small(near.select("query_id", "s", "g")), "query_id")
     d = d.withColumn("subset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(subsets - 1).cast("long"))))
-    d = d.withColumn("u", draw(F.col("vec_id") * 1009 + F.col("query_id") * 9176 + F.col("subset") * 65537, 6))
+    d = d.withColumn("u", draw(F.col("vec_id") + draw(F.col("query_id") + draw(F.col("subset"), 6), 6), 6))
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "subset").orderBy("u", "vec_id"))).where("r <= s")
     d = d.withColumn("q", F.row_number().over(Window.partitionBy("query_id", "subset").orderBy("d", "vec_id"))).where(F.col("q") <= k)
     each = d.groupBy("query_id", "subset").agg(F.avg("d").alias("m"), F.first("s").alias("s"), F.first("n").alias("n"), F.first("g").alias("g"))

@@ -15,13 +15,14 @@ BROADCAST_ROWS = 100_000
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """k, and the over-fetch ladder's settings."""
+    """k, and the over-fetch ladder's settings; complete: queries for which the ladder ends too early are answered by the exact search."""
 
     k: int = 10
     fetch_mult: float = 2.0
     min_valid_mult: float = 2.0
     max_fetch_k: int = 4096
     max_retries: int = 5
+    complete: bool = True
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -95,17 +96,23 @@ def centroids(vectors: DataFrame, label: str = "cluster_id") -> DataFrame:
 def post_filter(base: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), attr: str = "attr", ranked: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Over-fetch and filter: rank rows by distance, fetch a number that the selectivity suggests, and double it until enough of them are in range.
 
-    The ladder is settled in one pass: in-range rows keep their overall rank, each rung's fetch size follows from the counts, and the first rung that suffices is taken.
-    Rows in range beyond the k-th are counted twice, as the rule does; strict counts them once. ranked: query_id, vec_id, d2 of candidates,
-    by default all rows. Adds fetched and retries of the query.
+    The ladder is settled in one pass: rows keep their overall rank up to the most that is ever fetched, each rung's fetch size follows from the counts, and the first rung
+    that suffices is taken. Where the last rung has fewer than min(k, rows in range), options.complete answers the query exactly. Rows in range beyond the k-th are counted
+    twice, as the rule does; strict counts them once. ranked: query_id, vec_id, d2, attr of candidates, by default all rows. Adds fetched and retries of the query.
     """
     o = options
+    asked = queries.select("query_id", "lo", "hi")
     pairs = ranked if ranked is not None else all_pairs(base, queries.select("query_id", "qvec")).select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2"), F.col(attr).alias("attr"))
-    order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
-    pairs = pairs.withColumn("pos", F.row_number().over(order)).join(small(queries.select("query_id", "lo", "hi")), "query_id")
-    n = F.count("*").over(Window.partitionBy("query_id"))
-    hits = pairs.withColumn("n", n).where(F.col("attr").between(F.col("lo"), F.col("hi")))
-    per = hits.groupBy("query_id").agg(F.first("n").alias("n"), F.count("*").alias("m"), F.array_sort(F.collect_list("pos")).alias("at"))
+    fetchable = top_k(pairs, o.max_fetch_k).withColumnRenamed("rank", "pos")
+    if ranked is None:
+        rows, sizes = base.select(F.col(attr).alias("attr")), base.agg(F.count("*").alias("n"))
+        in_range = range_join(rows.groupBy("attr").agg(F.count("*").alias("c")), asked).groupBy("query_id").agg(F.sum("c").alias("m")).crossJoin(F.broadcast(sizes))
+    else:
+        sizes = pairs.groupBy("query_id").agg(F.count("*").alias("n"))
+        in_range = pairs.join(asked, "query_id").where("attr between lo and hi").groupBy("query_id").agg(F.count("*").alias("m")).join(sizes, "query_id")
+    hits = fetchable.join(small(asked), "query_id").where("attr between lo and hi").drop("lo", "hi")
+    places = hits.groupBy("query_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    per = in_range.join(places, "query_id", "left").withColumn("at", F.coalesce("at", F.array().cast("array<bigint>")))
     k = o.k
     cap = F.least(F.lit(o.max_fetch_k), F.col("n"))
     first = F.ceil(k / F.greatest(F.col("m") / F.col("n"), F.lit(1e-6)) * o.fetch_mult)
@@ -122,22 +129,32 @@ def post_filter(base: DataFrame, queries: DataFrame, options: SearchOptions = Se
         beyond = valid - (in_first(F.least(F.lit(k), fetch)) if not strict else found)
         seen = F.least(F.col("t"), found + beyond)
         done = ((found >= k) & (seen >= F.col("t"))) | (i >= o.max_retries) | (fetch >= F.col("cap"))
-        return F.struct(done.alias("done"), fetch.alias("fetched"), i.cast("long").alias("retries"))
+        return F.struct(done.alias("done"), fetch.alias("fetched"), i.cast("long").alias("retries"), (valid < F.least(F.lit(k), F.col("m"))).alias("short"))
 
     rungs = F.transform(F.sequence(F.lit(0), F.lit(o.max_retries)), rung)
     per = per.withColumn("stop", F.element_at(F.filter(rungs, lambda r: r["done"]), 1))
-    kept = hits.join(per.select("query_id", "stop.fetched", "stop.retries"), "query_id").where("pos <= fetched")
+    per = per.select("query_id", "stop.fetched", "stop.retries", "stop.short")
+    kept = hits.join(per, "query_id").where("pos <= fetched").select("query_id", "vec_id", "d2", "fetched", "retries", "short")
+    if o.complete:
+        rest = range_join(base, queries.join(per.where("short"), "query_id"), attr).select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2"), "fetched", "retries", "short")
+        if ranked is not None:
+            rest = pairs.join(asked, "query_id").where("attr between lo and hi").join(per.where("short"), "query_id").select("query_id", "vec_id", "d2", "fetched", "retries", "short")
+        kept = kept.where("not short").unionByName(rest)
     return top_k(kept, k).select("query_id", "rank", "vec_id", "d2", "fetched", "retries")
 
 
 def probe(base: DataFrame, queries: DataFrame, cells: DataFrame, k: int, n_probe: int, attr: str = "attr") -> DataFrame:
-    """Approximate search: the n_probe cells whose centroids are nearest, with the predicate applied inside them.
+    """Approximate search: the cells whose centroids are nearest among those that hold rows in range, with the predicate applied inside them.
 
-    base: vec_id, vec, attr, cluster_id; cells: cluster_id, centroid. An equi-join on the cell; with all cells probed it is the exact search.
+    n_probe such cells are probed, and more until they hold k rows in range, so a query gets k rows where there are as many. Which cells hold how many comes from counts of
+    values per cell. base: vec_id, vec, attr, cluster_id; cells: cluster_id, centroid. An equi-join on the cell; with all cells probed it is the exact search.
     """
-    near = queries.crossJoin(small(cells)).select("query_id", "qvec", "lo", "hi", "cluster_id", squared_l2("qvec", "centroid").alias("c2"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("c2", "cluster_id"))
-    near = near.withColumn("r", rank).where(F.col("r") <= n_probe).drop("r", "c2")
+    counts = base.groupBy("cluster_id", F.col(attr).alias("attr")).agg(F.count("*").alias("c"))
+    held = range_join(counts, queries.select("query_id", "lo", "hi")).groupBy("query_id", "cluster_id").agg(F.sum("c").alias("m"))
+    near = held.join(queries, "query_id").join(small(cells), "cluster_id").withColumn("c2", squared_l2("qvec", "centroid"))
+    order = Window.partitionBy("query_id").orderBy("c2", "cluster_id")
+    near = near.withColumn("r", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = near.where((F.col("r") <= n_probe) | (F.col("before") < k)).select("query_id", "qvec", "lo", "hi", "cluster_id")
     pairs = base.join(near, "cluster_id").where(F.col(attr).between(F.col("lo"), F.col("hi")))
     return top_k(pairs.select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2")), k)
 

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from nearfield.operators.search import knn, small
 
-#: Multiplier, increment and modulus of the hash.
-MUL, ADD, MOD = 1103515245, 12345, 2147483648
+#: Multiplier and modulus of the hash.
+MUL, MOD = 73244475, 2147483648
+#: Stripes in which positions meet the values that stand there, at most.
+STRIPES = 1 << 16
 
 
 def draw(x: Column, salt: int = 0) -> Column:
-    """A pseudorandom integer below 2**31 from an integer: two steps of a linear congruence."""
-    one = ((x + salt * 7919) * MUL + ADD) % MOD
-    return (one * MUL + ADD) % MOD
+    """A pseudorandom integer below 2**31 from an integer: shifts and products that mix upper bits into lower ones, so remainders by any number are spread alike."""
+    h = F.pmod(x + salt * 7919, F.lit(MOD))
+    for shift in (16, 15):
+        h = (h.bitwiseXOR(F.shiftright(h, shift)) * MUL) % MOD
+    return h.bitwiseXOR(F.shiftright(h, 16))
 
 
 def positions(base: DataFrame, attr: str = "attr") -> DataFrame:
@@ -25,9 +29,12 @@ def positions(base: DataFrame, attr: str = "attr") -> DataFrame:
 
 
 def value_at(queries: DataFrame, pos: DataFrame, at: str, name: str) -> DataFrame:
-    """queries with name: the sorted attribute's value at position at."""
-    p = pos.select(F.col("v").alias(name), F.col("first").alias("_a"), F.col("last").alias("_b"))
-    return small(queries).join(p, F.col(at).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    """queries with name: the sorted attribute's value at position at; both meet on stripes of the positions."""
+    n = F.broadcast(pos.agg(F.greatest(F.lit(1), F.ceil((F.max("last") + 1) / STRIPES)).alias("_w")))
+    stripes = F.sequence(F.floor(F.col("first") / F.col("_w")), F.floor(F.col("last") / F.col("_w")))
+    p = pos.crossJoin(n).select(F.col("v").alias(name), F.col("first").alias("_a"), F.col("last").alias("_b"), F.explode(stripes).alias("_s"))
+    q = queries.crossJoin(n).withColumn("_s", F.floor(F.col(at) / F.col("_w")))
+    return q.join(p, "_s").where(F.col(at).between(F.col("_a"), F.col("_b"))).drop("_a", "_b", "_s", "_w")
 
 
 def random_ranges(base: DataFrame, queries: DataFrame, share: float, salt: int = 0) -> DataFrame:
@@ -64,9 +71,8 @@ def rejection_ranges(base: DataFrame, queries: DataFrame, share: float, tries: i
     q = q.withColumn("try", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))))
     q = q.withColumn("start", draw(F.col("query_id") * 64 + F.col("try"), 3) % (F.col("n") - F.col("t") + 1)).withColumn("end", F.col("start") + F.col("t") - 1)
     pos = positions(base)
-    a = pos.select(F.col("v").alias("lo"), F.col("first").alias("lo_first"), F.col("last").alias("lo_last"))
-    b = pos.select(F.col("v").alias("hi"), F.col("first").alias("hi_first"), F.col("last").alias("hi_last"))
-    q = q.join(small(a), F.col("start").between(F.col("lo_first"), F.col("lo_last"))).join(small(b), F.col("end").between(F.col("hi_first"), F.col("hi_last")))
+    q = value_at(value_at(q, pos, "start", "lo"), pos, "end", "hi")
+    q = q.join(pos.select(F.col("v").alias("lo"), F.col("first").alias("lo_first")), "lo").join(pos.select(F.col("v").alias("hi"), F.col("last").alias("hi_last")), "hi")
     q = q.withColumn("actual", (F.col("hi_last") - F.col("lo_first") + 1) / F.col("n")).withColumn("error", F.abs(F.col("actual") - share))
     good = F.col("error") <= F.greatest(1 / F.col("n"), F.lit(tolerance * share))
     best = F.coalesce(F.min(F.when(good, F.struct(F.lit(0.0).alias("e"), "try", "lo", "hi", "actual"))), F.min(F.struct(F.col("error").alias("e"), "try", "lo", "hi", "actual")))
