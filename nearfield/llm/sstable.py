@@ -51,15 +51,20 @@ MANIFEST = "shard int, path string, docs long, tokens long, first long, last lon
 class Encoder:
     """Encodes whole texts with a public tokenizer word by word, each distinct word once.
 
-    Right only for tokenizers in which no token spans white space and nothing looks across it: those that drop white space before their merges.
+    That is right only for tokenizers in which no token spans white space and nothing looks across it: those that drop white space before their merges. A tokenizer
+    that doesn't encode PROBE so is given whole texts instead.
     """
 
+    PROBE = "ab  cd\n\tAb 12 x1, y.\r\nf\u00fcr \u4e2d\u6587 ' s"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        whole, *each = [e.ids for e in self.tokenizer.encode_batch([self.PROBE, *self.PROBE.split()], add_special_tokens=False)]
+        self.by_word = whole == [i for ids in each for i in ids]
         self.forget()
 
     def forget(self) -> None:
@@ -93,6 +98,8 @@ class Encoder:
         return self.at[p]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         w = words_of(texts, lower=False)
         codes, distinct = pd.factorize(w.hash)
         place = self.places(w, codes, distinct)[codes] if len(codes) else np.zeros(0, np.int64)
@@ -261,7 +268,8 @@ def _uri(path: str) -> str:
 def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode every text of docs (doc_id, text) and write the shards; the manifest, a row per shard in ascending ranges of doc_id.
 
-    A null or empty text is its end id alone; a null doc_id sorts first; repeated doc_ids stay side by side; no documents make no shard.
+    A null or empty text is its end id alone; a null doc_id sorts first; repeated doc_ids stay side by side, in order of a hash of their texts, by which many are
+    dealt over several shards; no documents make no shard.
     tokenizer: path of a tokenizers file, there on every executor. out_dir: a folder that all executors share, by default in the scratch folder.
     """
     docs = docs.select("doc_id", "text")
@@ -290,7 +298,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str | None = None, en
             row = {"shard": shard, "path": path, "docs": len(writer.keys), "tokens": writer.tokens, "first": first, "last": last, "bytes": size}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("bytes", pa.int64())]))
 
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return cut(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
@@ -351,16 +359,18 @@ def _chunks(rows, most: int = 2048):
 def lookup_tokens(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, ids array<int>) of the documents whose doc_id is in keys (doc_id), by Bloom filter and binary search in their shards."""
     bounds = sorted((r.shard, r.path, r.first, r.last) for r in manifest.select("shard", "path", "first", "last").collect())  # a row per shard
-    low = np.array([-(1 << 63) if b[2] is None else b[2] for b in bounds], np.int64)
+    low, high = (np.array([-(1 << 63) if b[i] is None else b[i] for b in bounds], np.int64) for i in (2, 3))
 
     def read(batches):
         tables: dict[str, TableReader] = {}
         for b in batches:
             rows = []
             for doc_id in b.column("doc_id").to_pylist():
-                at = int(np.searchsorted(low, -(1 << 63) if doc_id is None else doc_id, "right")) - 1
-                if at >= 0:
+                value = -(1 << 63) if doc_id is None else doc_id
+                at = int(np.searchsorted(low, value, "right")) - 1
+                while at >= 0 and high[at] >= value:  # an id's rows may go over several shards
                     path = bounds[at][1]
+                    at -= 1
                     if path not in tables:
                         if len(tables) >= 16:
                             tables.pop(next(iter(tables))).close()

@@ -70,3 +70,25 @@ def test_blocks_and_bloom(tmp_path):
 def test_empty_table(spark):
     manifest = write_tokens(documents(spark).limit(0), PATH)
     assert read_digests(manifest).collect() == []
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """Rows without an id and rows of one id go over several shards; starts follow and all rows are found."""
+    monkeypatch.setattr(sstable, "SHARD_CHARS", 4000)
+    rows = [(i % 2 * 7 or None, f"text number {i} of many") for i in range(2000)] + [(9, "alone")]
+    manifest = write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    sizes = [r.docs for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 5 and max(sizes) < 1000
+    at = 0
+    for r in sorted(read_digests(manifest).collect(), key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    got = lookup_tokens(manifest, spark.createDataFrame([(7,), (9,), (8,)], "doc_id long")).collect()
+    assert [sum(r.doc_id == i for r in got) for i in (7, 8, 9)] == [1000, 0, 1]
+
+
+def test_tokenizers_that_look_across_white_space_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok, texts = encoder(path), Tokenizer.from_file(path), ["two  words\nhere", "", " lead", "x"]
+    assert not enc.by_word and encoder(PATH).by_word
+    assert [x.tolist() for x in enc(pa.array(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
