@@ -64,3 +64,37 @@ def test_latin_junk_and_an_unseen_language_are_rejected(spark):
     model = fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     got = predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     assert [r.doc_id for r in got if not r.rejected] == []
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    texts = [r.text for r in documents(spark).where("lang = 'en' and text is not null").limit(50).collect()]
+    rows = [(None, f"{texts[i % len(texts)]} {i}", "en") for i in range(3000)] + [(i, t, "en") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs, per_language=16)
+    assert model is not None and {r.lang_pred for r in predict(docs.limit(20), model).collect()} == {"en"}
+
+
+def brute_predict(model, text):
+    """Nearest centroid by plain dictionaries of n-grams."""
+    raw = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode())
+    grams = {}
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            g = raw[i : i + n]
+            if g.strip(b" "):
+                h = (((int.from_bytes(g, "big") + n) * 0x9E3779B1) & 0xFFFFFFFF) >> 18
+                grams[h] = grams.get(h, 0) + 1
+    v = {h: np.log1p(c) * float(model.idf[h]) for h, c in grams.items()}
+    size = np.sqrt(sum(x * x for x in v.values()))
+    sims = [sum(x * float(c[h]) for h, x in v.items()) / size if size else 0 for c in model.centroids]
+    best = int(np.argmax(sims))
+    return model.languages[model.owner[best]], min(max(sims[best], 0), 1)
+
+
+def test_predictions_as_brute_force(spark):
+    docs = documents(spark)
+    model = fit(docs)
+    for r in predict(docs.select("doc_id", "text").limit(60), model).collect():
+        if r.lang_pred != "und":
+            lang, score = brute_predict(model, r.text)
+            assert lang == r.lang_pred and abs(score - r.score) < 1e-4
