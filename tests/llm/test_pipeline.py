@@ -14,7 +14,7 @@ def test_stages_against_brute_force(spark):
         if k < 4:
             assert out.columns == documents(spark).columns
         if k == 1:
-            expected = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in before]) if i == c}
+            expected = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in before], 80) if i == c}
             assert sorted(r.doc_id for r in rows) == sorted(expected)
         if k == 2:
             items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
