@@ -19,22 +19,25 @@ from nearfield.llm.mixing import mixed_documents
 from nearfield.llm.sstable import read_digests, write_tokens
 from nearfield.session import ship
 
-#: Scratch tables of stages whose results have been written since.
-_DONE: list[str] = []
+#: Scratch tables of stages whose results have been written since, by application.
+_DONE: dict[str, list[str]] = {}
 
 
 def _stage(f):
-    """f, which first removes the scratch tables that earlier stages needed."""
+    """f, which first removes the scratch tables of earlier stages, unless docs are read from one of them: stages may be called without writing between."""
 
     @wraps(f)
     def of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        remove(spark, *_DONE)
-        _DONE.clear()
+        done = _DONE.setdefault(spark.sparkContext.applicationId, [])
+        read = docs.inputFiles()
+        if not any(path.rsplit("/", 1)[-1] in file for path in done for file in read):
+            remove(spark, *done)
+            done.clear()
         with noted() as made:
             out = f(spark, docs, sf_dir)
         if f is not token_shards.__wrapped__:
-            _DONE.extend(made)
+            done.extend(made)
         return out
 
     return of
@@ -48,8 +51,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates, that of the smallest doc_id; of rows with equal doc_id and text one. Null doc_ids stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """Keeps one document of each class of near-duplicates at similarity 0.8, that of the smallest doc_id; of rows with equal doc_id and text one. Null doc_ids stay."""
+    kept = near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = cut(kept, "kept")
     both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source"))
@@ -82,7 +85,7 @@ STAGES = [
     ("token shards", token_shards),
 ]
 
-#: The stages hash, classify and tokenize; SQL can't express them. Tests hold each against a brute-force version.
+#: The stages hash, classify and tokenize; SQL can't express them. Tests hold each stage, or its operator, against a brute-force version.
 ORACLE_SQL = None
 
 
