@@ -132,23 +132,23 @@ def _dense(rows: list) -> np.ndarray:
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """Fit on labelled rows of docs (doc_id, text, lang): a sample by a hash of doc_id and text, of about per_language rows a language. None if there are none.
+    """Fit on labelled rows of docs (doc_id, text, lang): a sample by a hash of doc_id, or of the text where that is null, of about per_language rows a language. None if there are none.
 
-    Rows with a null text or lang, or without letters, teach nothing. Equal rows are in the sample together, but never more than twice per_language.
+    Rows with a null text or lang, or without letters, teach nothing. Rows with the same doc_id are in the sample together, but never more than twice per_language.
     """
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     rows = sorted((r["lang"], r["n"]) for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect())  # a row per language
     if not rows:
         return None
     want = max(8, min(per_language, SAMPLE // len(rows)))
-    share = F.lit(0)
+    share, key = F.lit(0), F.coalesce("doc_id", F.xxhash64("text"))
     for lang, n in rows:
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, want / n) * (1 << 30)))).otherwise(share)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("fit")), F.lit(1 << 30)) < share)
-    # rows that are alike are in it together; twice the wanted number is far beyond what chance gives else
+    picked = docs.where(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) < share)
+    # rows of one id are in it together; twice the wanted number is far beyond what chance gives else
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id"))
     picked = picked.withColumn("nth", nth).where(F.col("nth") <= 2 * want)
-    picked = picked.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("held")), F.lit(HELD_OUT)) == 0).alias("held"))
+    picked = picked.select("lang", "text", (F.pmod(F.xxhash64(key, F.lit("held")), F.lit(HELD_OUT)) == 0).alias("held"))
     got = picked.mapInArrow(_vector_rows, "lang string, held boolean, at binary, counts binary").collect()
     if not got:
         return None
