@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import pieces, utf8
+from nearfield.llm.common import give_back, pieces, utf8
 
 #: Features: hashed 2-, 3- and 4-grams of bytes.
 FEATURES, GRAMS = 1 << 14, (2, 3, 4)
@@ -156,19 +156,27 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
     languages = tuple(sorted({r["lang"] for r in got}))
     taught = {r["lang"] for r in got if not r["held"]}
     learn, held = [r for r in got if not r["held"] or r["lang"] not in taught], [r for r in got if r["held"]]
-    lang, x = np.array([r["lang"] for r in learn], object), _dense(learn)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    np.log1p(x, out=x)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    parts = [_clusters(x[lang == name], CENTROIDS) for name in languages]
+    texts = np.zeros(FEATURES, np.int64)
+    for r in learn:
+        texts[np.frombuffer(r["at"], np.uint16)] += 1
+    idf = (np.log((1 + len(learn)) / (1 + texts)) + 1).astype(np.float32)
+    parts = []
+    for name in languages:  # one language's matrix at a time
+        x = _dense([r for r in learn if r["lang"] == name])
+        np.log1p(x, out=x)
+        x *= idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+        parts.append(_clusters(x, CENTROIDS))
+        del x
     model = LanguageModel(languages, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), idf, np.zeros(1), np.zeros(1))
     size, sim = [], []
     for at in range(0, len(held), DENSE_ROWS):
         c = _dense(held[at : at + DENSE_ROWS])
         size.append(np.log2(np.maximum(c.sum(axis=1), 1)))
         sim.append(model.predict(c)[1])
-    if not held:  # too few texts to hold one out
+    del got, learn, held
+    give_back()
+    if not size:  # too few texts to hold one out
         return model
     size, sim = np.concatenate(size), np.concatenate(sim)
     bands = [size.astype(int) == k for k in range(int(size.max()) + 1)]
