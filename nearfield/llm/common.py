@@ -79,12 +79,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared scratch folder and read it back: cuts lineage and survives lost executors."""
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write df as a table in the shared scratch folder and read it back: cuts lineage and survives lost executors. codec: zstd for texts that are read often."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with _shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

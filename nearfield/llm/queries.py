@@ -30,7 +30,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under a probabilistic suffix tree of those whose crc32 of the id as text is not 1 modulo 5."""
     held_out = F.coalesce(language.remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    return score(_table(spark, sf_dir, "documents"), ~held_out, depth=4, least=LEAST_COUNT).withColumn("held_out", held_out)
+    return score(_table(spark, sf_dir, "documents"), ~held_out, depth=3, least=LEAST_COUNT).withColumn("held_out", held_out)
 
 
 def op3_voronoi_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,7 +295,7 @@ def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float | None
     shards = max(LEAST_SHARDS, math.ceil(chars / SHARD_CHARS))
     # a table, so that rows keep their shard and place; both go by row, as ids and texts may repeat
     dealt = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    dealt = cut(dealt, "dealt")
+    dealt = cut(dealt, "dealt", "zstd")
     texts, root = dealt.select("shard", "row", "learn", "text"), {"least": 0.0, "rare": 1.0, "bottom": 1.0}
     told = [_told(texts.groupBy("shard").applyInArrow(_ask(0, shards, most, root), _ASKED), 0)]
     words = told[0].where("shard < 0")
