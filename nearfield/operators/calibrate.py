@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import class_of, finite
 from nearfield.functions.vectors import squared_l2
+from nearfield.operators.ranks import running
 from nearfield.operators.search import all_pairs, small, top_k
 from nearfield.operators.workload import draw
 
@@ -95,15 +96,18 @@ def largest_scores(scores: DataFrame, metrics: list[str], n: int = 10) -> DataFr
 
 def tau_history(scores: DataFrame, metric: str, every: int, share: float = 0.99) -> DataFrame:
     """(processed, tau): the quantile of the first rows' absolute scores, in order of query_id, at each multiple of every."""
-    r = scores.where(finite(F.col(metric))).select(F.abs(metric).alias("v"), F.row_number().over(Window.orderBy("query_id")).cast("long").alias("r"))
-    points = r.where(F.col("r") % every == 0).select(F.col("r").alias("processed"))
-    return small(points).join(r, F.col("r") <= F.col("processed")).groupBy("processed").agg(F.percentile("v", share).alias("tau"))
+    kept = scores.where(finite(F.col(metric))).select("query_id", F.abs(metric).alias("v"))
+    last = kept.agg((F.floor(F.count("*") / every) * every).alias("last"))
+    r = running(kept, "query_id", "r").crossJoin(F.broadcast(last)).withColumn("first", F.ceil(F.col("r") / every) * every).where("first <= last")
+    each = r.select("v", F.explode(F.sequence("first", "last", F.lit(every).cast("long"))).alias("processed"))
+    return each.groupBy("processed").agg(F.percentile("v", share).alias("tau"))
 
 
 def empirical_cdf(scores: DataFrame, metric: str) -> DataFrame:
     """(query_id, v, cdf): share of rows up to each, in order of score and id."""
-    w = Window.orderBy(metric, "query_id")
-    return scores.where(finite(F.col(metric))).select("query_id", F.col(metric).alias("v"), (F.row_number().over(w) / F.count("*").over(Window.partitionBy())).alias("cdf"))
+    kept = scores.where(finite(F.col(metric))).select("query_id", F.col(metric).alias("v"))
+    total = kept.agg(F.count("*").alias("total"))
+    return running(kept, "v", "r", ("query_id",)).crossJoin(F.broadcast(total)).select("query_id", "v", (F.col("r") / F.col("total")).alias("cdf"))
 
 
 def tau_grid(scores: DataFrame, metric: str, n: int) -> DataFrame:
@@ -149,8 +153,10 @@ def class_distribution(scores: DataFrame, metric: str) -> DataFrame:
 
 
 def fit_tau(points: DataFrame, degree: int) -> list[float]:
-    """Coefficients, highest power first, of tau over log10(selectivity); points (selectivity, tau) are a few rows."""
-    rows = points.select("selectivity", "tau").orderBy("selectivity").limit(1000).collect()
+    """Coefficients, highest power first, of tau over log10(selectivity); points (selectivity, tau) are a few rows, more than 1000 an error."""
+    rows = points.select("selectivity", "tau").orderBy("selectivity").limit(1001).collect()
+    if not 0 < len(rows) <= 1000:
+        raise ValueError("a fit takes from 1 to 1000 points")
     x, y = np.log10([r.selectivity for r in rows]), np.array([r.tau for r in rows])
     return np.polyfit(x, y, min(degree, len(rows) - 1)).tolist()
 

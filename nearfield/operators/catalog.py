@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import scalars
+from nearfield.operators.ranks import running
 from nearfield.operators.search import small
 from nearfield.operators.workload import draw
 
@@ -72,8 +73,8 @@ def categorical_match(neighbours: DataFrame, values: DataFrame) -> DataFrame:
 def shuffled(values: DataFrame, salt: int = 8) -> DataFrame:
     """values (vec_id, value) with the values that are there dealt anew: the row at a place in order of ids gets the value at that place in order of a hash."""
     v = values.where("value is not null")
-    by_id = v.select("vec_id", F.row_number().over(Window.orderBy("vec_id")).alias("r"))
-    by_hash = v.select("value", F.row_number().over(Window.orderBy(draw(F.col("vec_id"), salt), "vec_id")).alias("r"))
+    by_id = running(v.select("vec_id"), "vec_id", "r")
+    by_hash = running(v.withColumn("u", draw(F.col("vec_id"), salt)), "u", "r", ("vec_id",)).select("value", "r")
     return by_id.join(by_hash, "r").select("vec_id", "value")
 
 

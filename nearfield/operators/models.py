@@ -61,8 +61,10 @@ def blended_attribute(vectors: DataFrame, anchors: DataFrame, sigma: float, most
 
 
 def smoothed_anchors(centres: DataFrame, seed: int = 0, steps: int = SMOOTHING_STEPS, keep: float = KEEP) -> DataFrame:
-    """(cluster_id, centroid, anchor): pseudorandom anchors smoothed over the nearest centroids' graph. At most some hundred centroids, so the steps run on the driver."""
-    rows = sorted(centres.limit(4096).collect(), key=lambda r: r.cluster_id)
+    """(cluster_id, centroid, anchor): pseudorandom anchors smoothed over the nearest centroids' graph. The steps run on the driver: more than 4096 centroids are an error."""
+    rows = sorted(centres.limit(4097).collect(), key=lambda r: r.cluster_id)
+    if len(rows) > 4096:
+        raise ValueError("more than 4096 centroids")
     x = np.array([r.centroid for r in rows])
     k = len(x)
     start = np.random.default_rng(seed).random(k)

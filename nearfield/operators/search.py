@@ -24,6 +24,12 @@ class SearchOptions:
     max_retries: int = 5
     complete: bool = True
 
+    def __post_init__(self):
+        if self.k < 1 or self.max_fetch_k < 1 or self.max_retries < 0:
+            raise ValueError("k and max_fetch_k must be positive, max_retries not negative")
+        if not (self.fetch_mult > 0 and self.min_valid_mult > 0):
+            raise ValueError("multipliers must be positive")
+
 
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it has at most BROADCAST_ROWS rows; df as it is otherwise."""
@@ -86,11 +92,21 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "vec_i
     return best.select(key, "b.cluster_id", "b.d2")
 
 
-def centroids(vectors: DataFrame, label: str = "cluster_id") -> DataFrame:
-    """(cluster_id, centroid): means of the members' components."""
+def centroids(vectors: DataFrame, label: str = "cluster_id", clusters: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, centroid): means of the members' components. clusters (cluster_id): those to return, zeros for one without members; by default those that have some."""
     each = vectors.select(F.col(label).alias("cluster_id"), F.posexplode("vec").alias("pos", "x"))
     mean = each.groupBy("cluster_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return mean.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c")).select("cluster_id", F.transform("c", lambda p: p["x"]).alias("centroid"))
+    out = mean.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c")).select("cluster_id", F.transform("c", lambda p: p["x"]).alias("centroid"))
+    if clusters is None:
+        return out
+    width = out.agg(F.coalesce(F.max(F.size("centroid")), F.lit(0)).alias("width"))
+    zeros = F.array_repeat(F.lit(0.0), F.col("width"))
+    return clusters.select("cluster_id").distinct().join(out, "cluster_id", "left").crossJoin(F.broadcast(width)).select("cluster_id", F.coalesce("centroid", zeros).alias("centroid"))
+
+
+def first_queries(queries: DataFrame, n: int) -> DataFrame:
+    """The queries with ids from 0 to n - 1: a shorter run of the same workload."""
+    return queries.where(F.col("query_id").between(0, n - 1))
 
 
 def post_filter(base: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), attr: str = "attr", ranked: DataFrame | None = None, strict: bool = False) -> DataFrame:

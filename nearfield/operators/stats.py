@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import bin_index, freedman_diaconis, js_distance
+from nearfield.operators.ranks import counted_up_to
 from nearfield.operators.search import small
 
 SMOOTH = 1e-3
@@ -17,14 +18,20 @@ def value_counts(base: DataFrame, attr: str = "attr") -> DataFrame:
 
 
 def selectivity(base: DataFrame, queries: DataFrame, attr: str = "attr") -> DataFrame:
-    """(query_id, m, selectivity): exact share of rows in each query's [lo, hi], from counts of values, so rows are read once and shuffled as counts."""
+    """(query_id, m, selectivity): exact share of rows in each query's [lo, hi], as the difference of two lookups in counts of values. query_id is distinct; reversed or null ends hold no rows."""
     counts = value_counts(base, attr)
     total = base.agg(F.count("*").alias("total"))
-    hit = small(queries.select("query_id", "lo", "hi")).join(counts, F.col("v").between(F.col("lo"), F.col("hi")), "left")
-    m = hit.groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("m"))
+    q = queries.select(F.col("query_id").alias("_p"), "lo", "hi")
+    q = counted_up_to(counted_up_to(q, counts, "hi", "upto", True), counts, "lo", "below", False)
+    m = q.select(F.col("_p").alias("query_id"), F.when(F.col("lo") <= F.col("hi"), F.col("upto") - F.col("below")).otherwise(F.lit(0)).cast("long").alias("m"))
     return m.crossJoin(F.broadcast(total)).select("query_id", "m", F.when(F.col("total") > 0, F.col("m") / F.col("total")).otherwise(F.lit(0.0)).alias("selectivity"))
 
 
+def realised(ranges: DataFrame, selectivity: str = "actual") -> DataFrame:
+    """One row (n, mean, least, most) of the selectivities that ranges really have."""
+    return ranges.agg(F.count(selectivity).alias("n"), F.avg(selectivity).alias("mean"), F.min(selectivity).alias("least"), F.max(selectivity).alias("most"))
+
+
 def choose_bins(base: DataFrame, attr: str = "attr") -> DataFrame:
     """One row (n, low, high, iqr, bins): a number of bins by spread and size, between 20 and 200."""
     q = base.agg(F.count(attr).alias("n"), F.min(attr).cast("double").alias("low"), F.max(attr).cast("double").alias("high"), F.percentile(attr, [0.25, 0.75]).alias("q"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.ranks import counted_up_to, running
 from nearfield.operators.search import knn, small
 
 #: Multiplier and modulus of the hash.
@@ -22,10 +23,9 @@ def draw(x: Column, salt: int = 0) -> Column:
 
 
 def positions(base: DataFrame, attr: str = "attr") -> DataFrame:
-    """(v, first, last): where each value stands in the sorted attribute, from 0; a row per value, so the sort is of counts."""
+    """(v, first, last): where each value of a numeric attribute stands in its order, from 0; a row per value, so the sort is of counts."""
     counts = base.groupBy(F.col(attr).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counts.withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("n") + 1).select("v", "first", "last")
+    return running(counts, "v", "upto", of="n").withColumn("last", F.col("upto") - 1).withColumn("first", F.col("last") - F.col("n") + 1).select("v", "first", "last")
 
 
 def value_at(queries: DataFrame, pos: DataFrame, at: str, name: str) -> DataFrame:
@@ -54,8 +54,8 @@ def correlated_ranges(base: DataFrame, queries: DataFrame, share: float, k: int)
     whole = base.agg(F.count("*").alias("n"), F.percentile("attr", 0.5).alias("median"))
     q = centre.crossJoin(F.broadcast(whole)).withColumn("t", F.greatest(F.lit(1), F.least(F.col("n"), F.floor(share * F.col("n")))))
     pos = positions(base)
-    below = small(q.select("query_id", "centre")).join(pos, F.col("v") < F.col("centre"), "left").groupBy("query_id").agg(F.coalesce(F.max("last") + 1, F.lit(0).cast("long")).alias("at"))
-    q = q.join(below, "query_id").withColumn("half", F.floor(F.col("t") / 2))
+    counts = base.groupBy(F.col("attr").alias("v")).agg(F.count("*").alias("n"))
+    q = counted_up_to(q.withColumnRenamed("query_id", "_p"), counts, "centre", "at", False).withColumnRenamed("_p", "query_id").withColumn("half", F.floor(F.col("t") / 2))
     q = q.withColumn("a", F.greatest(F.lit(0), F.col("at") - F.col("half"))).withColumn("b", F.least(F.col("n") - 1, F.col("at") + F.col("half")))
     left = F.col("centre") > F.col("median")
     q = q.withColumn("c", F.when(left, F.lit(0)).otherwise(F.col("n") - F.col("t"))).withColumn("d", F.when(left, F.col("t") - 1).otherwise(F.col("n") - 1))
@@ -79,6 +79,22 @@ def rejection_ranges(base: DataFrame, queries: DataFrame, share: float, tries: i
     return q.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.try", "b.lo", "b.hi", "b.actual")
 
 
+def uniform_selectivities(queries: DataFrame, low: float = 1e-4, high: float = 0.4, salt: int = 10) -> DataFrame:
+    """queries with target_selectivity: pseudorandom, uniform between low and high."""
+    return queries.withColumn("target_selectivity", low + (high - low) * draw(F.col("query_id"), salt) / MOD)
+
+
+def drawn_queries(pool: DataFrame, n: int, salt: int = 11) -> DataFrame:
+    """(query_id, source_id, qvec): n queries of pool (query_id, qvec) by hash, numbered anew from 0; with replacement where the pool has fewer."""
+    named = pool.select(F.col("query_id").alias("source_id"), "qvec")
+    if pool.count() < n:
+        picked = sample_with_replacement(pool, n, salt).select(F.col("draw").alias("query_id"), F.col("query_id").alias("source_id"))
+    else:
+        first = pool.select("query_id", draw(F.col("query_id"), salt).alias("u")).orderBy("u", "query_id").limit(n)
+        picked = running(first, "u", "r", ("query_id",)).select((F.col("r") - 1).alias("query_id"), F.col("query_id").alias("source_id"))
+    return picked.join(named, "source_id").select("query_id", "source_id", "qvec")
+
+
 def category_ranges(rows: DataFrame, category: str, queries: DataFrame, share: float) -> DataFrame:
     """(query_id, lo, hi): a code with a share near the wanted one, drawn per query; codes are dense in order of the categories' names."""
     counts = rows.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("c"))
@@ -102,7 +118,7 @@ def split_evenly(n: int, parts: int) -> list[int]:
 def mixed_set(queries: DataFrame, n: int, salt: int = 1) -> DataFrame:
     """(query_id, label, backend): disjoint classes of positive, negative and random queries in a pseudorandom order."""
     pos, neg, _ = split_evenly(n, 3)
-    r = queries.select("query_id", F.row_number().over(Window.orderBy(draw(F.col("query_id"), salt), "query_id")).alias("r")).where(F.col("r") <= n)
+    r = running(queries.select("query_id", draw(F.col("query_id"), salt).alias("u")), "u", "r", ("query_id",)).where(F.col("r") <= n)
     label = F.when(F.col("r") <= pos, F.lit("positive")).when(F.col("r") <= pos + neg, F.lit("negative")).otherwise(F.lit("random"))
     return r.select("query_id", label.alias("label")).withColumn("backend", F.when(F.col("label") == "random", F.lit("rand")).otherwise(F.lit("corr")))
 
@@ -114,7 +130,7 @@ def held_out(rows: DataFrame, share: float, key: str = "vec_id", salt: int = 2)
 
 def sample_with_replacement(pool: DataFrame, n: int, salt: int = 4) -> DataFrame:
     """(draw, query_id): n draws from a pool of fewer."""
-    ranked = pool.select("query_id", (F.row_number().over(Window.orderBy("query_id")).cast("long") - 1).alias("at"))
+    ranked = running(pool.select("query_id"), "query_id", "place").select("query_id", (F.col("place") - 1).alias("at"))
     size = pool.agg(F.count("*").alias("size"))
     draws = pool.sparkSession.range(n).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size)).withColumn("at", draw(F.col("draw"), salt) % F.col("size"))
     return draws.join(small(ranked), "at").select("draw", "query_id")
