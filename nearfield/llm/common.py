@@ -38,9 +38,11 @@ _MASK = (1 << 64) - 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder for tables between stages: spark.checkpoint.dir; where that is unset (tests), a new folder."""
+    """The folder for tables between stages: spark.checkpoint.dir; where that is unset, a new folder in local mode (tests), an error on a cluster, whose executors share no such folder."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: stages need a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
