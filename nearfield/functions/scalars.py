@@ -100,6 +100,17 @@ def class_of(score: Column, threshold: Column) -> Column:
     return F.when(score > threshold, F.lit("positive")).when(score < -threshold, F.lit("negative")).otherwise(F.lit("random"))
 
 
+def json_of(**columns: Column) -> Column:
+    """A JSON object of the columns, keys in order."""
+    return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]))
+
+
+def numbers_of(c: Column) -> Column:
+    """The numbers of a list with commas; blanks are passed over, and what is no number is null."""
+    parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.transform(parts, _try_double)
+
+
 def content_key(*c: Column) -> Column:
     """First 16 hex digits of the SHA-256 of the parts joined by '|'."""
     return F.substring(F.sha2(F.concat_ws("|", *c), 256), 1, 16)

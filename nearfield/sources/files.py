@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from functools import reduce
 
@@ -51,6 +52,60 @@ def read_ivecs(spark: SparkSession, path: str) -> DataFrame:
     return _vectors(spark, path, "<i4", "int")
 
 
+#: Element types of raw files.
+RAW = {"i32": ("<i4", "int"), "i64": ("<i8", "long"), "f32": ("<f4", "float")}
+
+
+def _values(spark: SparkSession, path: str, element: str, rows: int | None, parse) -> DataFrame:
+    """(row, value) of a file of one array, which parse makes of its bytes; a count other than rows is an error. A file is one task's work, as the format has no index."""
+
+    def of(batches):
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                x = parse(name, data)
+                if rows is not None and len(x) != rows:
+                    raise ValueError(f"{name}: {len(x)} values, not {rows}")
+                for at in range(0, len(x), 1 << 16):
+                    part = x[at : at + (1 << 16)]
+                    yield pd.DataFrame({"row": np.arange(at, at + len(part)), "value": part})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(of, f"row long, value {element}")
+
+
+def read_raw(spark: SparkSession, path: str, kind: str, rows: int | None = None) -> DataFrame:
+    """(row, value) of a file of little-endian i32, i64 or f32 values without a header; a part of a value is an error."""
+    dtype, element = RAW[kind]
+
+    def parse(name, data):
+        if len(data) % np.dtype(dtype).itemsize:
+            raise ValueError(f"{name}: not a whole number of {kind} values")
+        return np.frombuffer(data, dtype)
+
+    return _values(spark, path, element, rows, parse)
+
+
+def raw_bytes(values: list, kind: str) -> bytes:
+    """Values as the bytes of a raw file."""
+    return np.asarray(values, RAW[kind][0]).tobytes()
+
+
+def read_npy(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """(row, value) of a .npy file of one dimension of 32-bit integers; other types, orders and shapes are errors."""
+
+    def parse(name, data):
+        x = np.load(io.BytesIO(data), allow_pickle=False)
+        if x.dtype != np.dtype("<i4") or x.ndim != 1:
+            raise ValueError(f"{name}: not one dimension of 32-bit integers")
+        return x
+
+    return _values(spark, path, "int", rows, parse)
+
+
+def read_attribute(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """(row, value) of an attribute: .npy by its suffix, else raw 32-bit integers."""
+    return read_npy(spark, path, rows) if path.endswith(".npy") else read_raw(spark, path, "i32", rows)
+
+
 def fvecs_bytes(rows: list[list[float]]) -> bytes:
     """Vectors as the bytes of an .fvecs file."""
     m = np.asarray(rows, "<f4")
@@ -93,7 +148,9 @@ MANIFEST_FIELDS = ("version", "dimension", "num_vectors", "post_index", "pre_ind
 def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
     """key=value lines; missing fields are errors."""
     lines = spark.read.text(path).where("value like '%=%'").select(F.trim(F.substring_index("value", "=", 1)).alias("k"), F.trim(F.expr("substring(value, locate('=', value) + 1)")).alias("v"))
-    out = {r.k: r.v for r in lines.limit(1000).collect()}
+    out = {r.k: r.v for r in lines.limit(1001).collect()}
+    if len(out) > 1000:
+        raise ValueError("more than 1000 lines in a manifest")
     if missing := [f for f in MANIFEST_FIELDS if f not in out]:
         raise ValueError(f"manifest without {', '.join(missing)}")
     return out
@@ -106,10 +163,14 @@ def write_manifest(spark: SparkSession, fields: dict[str, str], path: str) -> No
 
 
 def read_catalogues(spark: SparkSession, paths: list[str], most_rows: int | None = None) -> DataFrame:
-    """The union of CSV files by column name, with source_file; files without rows are passed over. most_rows: rows of each file, all by default."""
+    """The union of CSV files by column name, with source_file; files without rows are passed over. most_rows: rows of each file, all by default.
+
+    Files are UTF-8, or Latin-1 where they are not valid UTF-8.
+    """
     frames = []
     for p in sorted(paths):
-        df = spark.read.csv(p, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
+        broken = spark.read.text(p).where(~F.is_valid_utf8("value")).limit(1).count()
+        df = spark.read.csv(p, header=True, multiLine=True, escape='"', mode="PERMISSIVE", encoding="ISO-8859-1" if broken else "UTF-8")
         if most_rows is not None:
             df = df.limit(most_rows)
         if df.columns and df.limit(1).count():
@@ -148,6 +209,23 @@ def read_mixed_set(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("backend", F.coalesce(F.col("backend"), backend) if "backend" in df.columns else backend)
 
 
+def write_mixed_set(queries: DataFrame, path: str) -> None:
+    """A workload as Parquet in order of query_id, for read_mixed_set."""
+    queries.repartitionByRange("query_id").sortWithinPartitions("query_id").write.mode("overwrite").parquet(path)
+
+
+def numbered_folder(spark: SparkSession, root: str, prefix: str = "exp") -> str:
+    """A new folder <root>/<prefix>N, with N one more than the largest that is there, from 1."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    taken = [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdecimal()]
+    out = f"{root}/{prefix}{max(taken, default=0) + 1}"
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(out))
+    return out
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A small report as one CSV file with a header."""
     report.coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -1,5 +1,8 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from nearfield.functions import scalars
 from nearfield.sources import files
 from nearfield.streaming.routing import answer_stream
 
@@ -62,3 +65,34 @@ def test_stream(spark, tmp_path):
     run = answer_stream(stream, lambda b: b.selectExpr("query_id", "hi - lo as width"), str(tmp_path / "out"), str(tmp_path / "state"))
     run.awaitTermination(60)
     assert sorted((r.query_id, r.width) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 5), (2, 4)]
+
+
+def test_arrays(spark, tmp_path):
+    x = np.arange(-3, 5, dtype="<i4")
+    np.save(tmp_path / "a.npy", x)
+    (tmp_path / "a.bin").write_bytes(files.raw_bytes(x.tolist(), "i32"))
+    for name in ("a.npy", "a.bin"):
+        assert [r.value for r in files.read_attribute(spark, str(tmp_path / name), 8).orderBy("row").collect()] == x.tolist()
+        with pytest.raises(Exception, match="not 7"):
+            files.read_attribute(spark, str(tmp_path / name), 7).collect()
+    for kind, values in (("i64", [1 << 40, -2]), ("f32", [0.5, -1.25])):
+        (tmp_path / kind).write_bytes(files.raw_bytes(values, kind))
+        assert [r.value for r in files.read_raw(spark, str(tmp_path / kind), kind).orderBy("row").collect()] == values
+    (tmp_path / "bad").write_bytes(b"12345")
+    with pytest.raises(Exception, match="whole number"):
+        files.read_raw(spark, str(tmp_path / "bad"), "i32").collect()
+    np.save(tmp_path / "b.npy", x.astype("<i8"))
+    with pytest.raises(Exception, match="32-bit"):
+        files.read_npy(spark, str(tmp_path / "b.npy")).collect()
+
+
+def test_encodings_folders_and_json(spark, tmp_path):
+    (tmp_path / "l.csv").write_bytes("title\nCafé\n".encode("latin-1"))
+    (tmp_path / "u.csv").write_bytes("title\nThé\n".encode())
+    assert {r.title for r in files.read_catalogues(spark, [str(tmp_path / "l.csv"), str(tmp_path / "u.csv")]).collect()} == {"Café", "Thé"}
+    assert [files.numbered_folder(spark, str(tmp_path / "runs")).rsplit("/", 1)[1] for _ in range(2)] == ["exp1", "exp2"]
+    row = spark.createDataFrame([(1, " 0.5, x,,2 ")], "a long, s string").select(scalars.json_of(b=F.lit(True), a=F.col("a")).alias("j"), scalars.numbers_of(F.col("s")).alias("n")).first()
+    assert row.j == '{"a":1,"b":true}' and row.n == [0.5, None, 2.0]
+    q = spark.createDataFrame([(2, "random"), (1, "positive")], "query_id long, label string")
+    files.write_mixed_set(q, str(tmp_path / "m"))
+    assert {(r.query_id, r.backend) for r in files.read_mixed_set(spark, str(tmp_path / "m")).collect()} == {(1, "corr"), (2, "rand")}
