@@ -561,7 +561,16 @@ def shuffled_categorical_baseline(spark, sf_dir):
     return catalog.categorical_match(sn, catalog.shuffled(cat)).select(_r("match_share"), "pairs")
 
 
-@_query()
+def _locality_sql(name: str, values: str, agg: str, better: str) -> str:
+    """A row of the locality table: agreement over real values, over values dealt anew, and which is better."""
+    pairs = "(select {agg} as a from sn join {t} a on a.vec_id = sn.query_id join {t} z on z.vec_id = sn.vec_id)"
+    return f"select '{name}' as attribute, round(r.a, 6) as real, round(s.a, 6) as random, case when r.a {better} s.a then 'signal' else 'none' end as signal from {pairs.format(agg=agg, t=values)} r, {pairs.format(agg=agg, t=values + '_sh')} s"
+
+
+LOCALITY = NEIGHBOURS + "".join(SHUFFLED.format(t=t).replace(", sh as", f", {t}_sh as") for t in ("num", "cat"))
+
+
+@_query(LOCALITY + " " + _locality_sql("numeric", "num", "avg(abs(a.value - z.value))", "<") + " union all " + _locality_sql("categorical", "cat", "avg((a.value = z.value)::int)", ">"))
 def attribute_locality(spark, sf_dir):
     return catalog.locality(*_neighbours(spark, sf_dir)).select("attribute", _r("real"), _r("random"), "signal")
 
