@@ -1,3 +1,4 @@
+import re
 import re._constants as kinds
 import re._parser as parser
 
@@ -85,3 +86,36 @@ def test_every_rule_fires_whatever_stands_between_words(spark):
     for n, text in rows:
         words = len(" ".join(ALNUM.findall(lower(text))))
         assert any(x.s == 1 and x.e == 1 + words for x in got[n].found), text
+
+
+def brute_rules(text):
+    """(spans and labels that stand, all labels, score): every rule on every text, whatever its keyword, then all pairs of detections."""
+    norm = " " + " ".join(ALNUM.findall(lower(text))) + " "
+    all_ = [(m.start(), m.end(), -r.priority, i, r.label, r.weight) for i, r in enumerate(rules()) for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", norm)]
+
+    def beaten(d, by):
+        return by[0] <= d[0] and by[1] >= d[1] and (by[1] - by[0] > d[1] - d[0] or by[2:4] < d[2:4])
+
+    stand = sorted(d for d in all_ if not any(beaten(d, by) for by in all_))
+    base = brute(text)[4]
+    labels = sorted({d[4] for d in stand} | set(filter(None, base.split(","))))
+    return [(d[0], d[1], d[4]) for d in stand], ",".join(labels), max([d[5] for d in stand] + [0.9] * bool(base), default=0)
+
+
+def hard_docs(spark):
+    """Rules' own texts, run together, line-wrapped, in other cases and spellings, overlapping and often repeated in one text."""
+    texts = [x for r in rules() for x in examples(parser.parse(r.pattern))[:1] + examples(parser.parse(r.pattern))[-1:]]
+    rows = [sep.join(texts[k : k + 9]).replace(" ", gap) for k in range(0, len(texts), 5) for sep, gap in ((" ", " "), ("\n", "\n * "))]
+    rows += [x.upper() for x in rows[::7]] + [x.replace("license", "licence") for x in rows[::5]]
+    rows += ["MIT License, " * 300 + "in the public\ndomain", "MIT No Attribution", "hereby\ngranted", "All rights\n  reserved.", "Licenced under the MIT licence", "the unlicence", "licensed under the terms of the the MIT License"]
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("make", [documents, odd_docs, hard_docs])
+def test_rules_as_brute_force(spark, make):
+    docs = make(spark)
+    text = {}
+    for r in docs.collect():
+        text.setdefault(r.doc_id, r.text)
+    for r in scan(docs).collect():
+        assert ([(x.s, x.e, x.label) for x in r.found], r.labels, r.score) == brute_rules(text[r.doc_id]), text[r.doc_id]
