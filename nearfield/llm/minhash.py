@@ -3,7 +3,8 @@
 Minima of 128 hash functions over 5-word shingles give bands of whole minima, 25 of 5 at similarity 0.85 and 28 of 4 at 0.80; documents that share a band's value are candidates. Of each
 minimum the low 4 bits stay, packed into eight 64-bit words; the similarity of two candidates is estimated from the number of equal fields, corrected for
 chance collisions. Candidates that pass join a candidate class; inside a class, block against block, the links are confirmed on the full shingle sets,
-and the confirmed links give the components. A pair at the threshold misses all bands with probability MISSED at most and falls below the estimate's margin with about 1e-7.
+and the confirmed links give the components. In a hot band or class all members first meet its hub, the best of HUBS members; those linked to it need not meet each other,
+so that block pairs have a stray on one side at least. A pair at the threshold misses all bands with probability MISSED at most and falls below the estimate's margin with about 1e-7.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ HASHES, BITS = 128, 4
 MARGIN, MISSED = 5.2, 5e-7
 #: Members of a band's value that are compared in one block; documents of a class that are compared in one block at least and at most.
 BAND_BLOCK, CLASS_BLOCK, CLASS_BLOCK_MOST = 512, 128, 1024
+#: Members of a hot band or class that are tried as its hub.
+HUBS = 4
 #: Shingles that a block of a class holds, about.
 BLOCK_SHINGLES = 1 << 18
 
@@ -163,13 +166,64 @@ def _candidates(least: float):
     return of
 
 
+def _bits(least: float):
+    """Of each row's signature, a bit for each of the key's hubs that it is near to."""
+
+    def of(batches):
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("packed").to_pylist()), np.uint64).reshape(b.num_rows, 1, -1)
+            hubs = np.frombuffer(b"".join(b.column("signatures").to_pylist()), np.uint64).reshape(b.num_rows, HUBS, -1)
+            near = (estimate(sig, hubs) >= least) @ (1 << np.arange(HUBS))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("rep"), b.column("packed"), b.column("hubs"), pa.array(near, pa.int64())], ["key", "rep", "packed", "hubs", "near"])
+
+    return of
+
+
+def _near_hubs(members: DataFrame, least: float) -> DataFrame:
+    """members (key, rep, packed) of hot keys with hub, that of HUBS members which most are near to, and near: whether the row is; hub itself is. A scratch table below."""
+    picked = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("by"), "rep", "packed")).alias(f"p{i}") for i in range(HUBS)])
+    picked = picked.select("key", F.array(*[f"p{i}.rep" for i in range(HUBS)]).alias("hubs"), F.concat(*[f"p{i}.packed" for i in range(HUBS)]).alias("signatures"))
+    tried = cut(members.select("key", "rep", "packed").join(picked, "key").mapInArrow(_bits(least), "key long, rep long, packed binary, hubs array<long>, near long"), "hubs")
+    bit = [F.getbit("near", F.lit(i)).cast("long") for i in range(HUBS)]
+    best = tried.groupBy("key").agg(*[F.sum(b).alias(f"n{i}") for i, b in enumerate(bit)])
+    best = best.select("key", F.array_position(F.array(*[f"n{i}" for i in range(HUBS)]), F.greatest(*[f"n{i}" for i in range(HUBS)])).cast("int").alias("best"))
+    out = tried.join(best, "key").select("key", "rep", "packed", F.element_at("hubs", F.col("best")).alias("hub"), (F.getbit("near", F.col("best") - 1) == 1).alias("near"))
+    out.scratch_path = tried.scratch_path
+    return out
+
+
 def _class_sets(batches):
     for b in pieces(batches, "text"):
         sets = shingle_sets(b.column("text"))
         keep = [i for i, (s, d) in enumerate(zip(sets, b.column("digest").to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d]
         out = b.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([out.column("rep"), out.column("component"), out.column("blocks"), out.column("packed"), binaries([sets[i].tobytes() for i in keep])], ["rep", "component", "blocks", "packed", "shingles"])
+        yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("rep", "component", "blocks", "hub", "packed")), binaries([sets[i].tobytes() for i in keep])], ["rep", "component", "blocks", "hub", "packed", "shingles"])
+
 
+def linked_to(hub: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets have 100 * intersection >= percent * union with hub; all sorted, distinct and not empty."""
+    size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+    same = hub[np.minimum(np.searchsorted(hub, flat), len(hub) - 1)] == flat
+    both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
+    return 100 * both >= percent * (size + len(hub) - both)
+
+
+def _beside_hub(percent: int):
+    """Rows of runs that each hold their class's hub, with near: whether the row is linked to it. The hub's copies, not at home in a run, are left out."""
+
+    def of(batches):
+        for t in whole_runs(batches, "run"):
+            bounds, ids = run_bounds(t.column("run").to_numpy()), t.column("rep").to_numpy()
+            hubs, home = t.column("hub").to_numpy(), np.asarray(t.column("home"))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                part = t.slice(a, b - a)
+                sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+                at = np.flatnonzero(ids[a:b] == hubs[a:b])
+                near = linked_to(sets[at[0]], sets, percent) if len(at) else np.zeros(b - a, bool)
+                out = part.append_column("near", pa.array(near)).filter(pa.array(home[a:b]))
+                yield from out.select(["rep", "component", "blocks", "hub", "packed", "shingles", "near"]).combine_chunks().to_batches()
+
+    return of
 
 def _confirmed(percent: int):
     def of(batches):
@@ -214,11 +268,27 @@ def confirm(ids, packed, sets, percent: int) -> list[tuple[int, int]]:
     return links
 
 
+def _upto(n, body):
+    """body of 0 to n - 1, as an array; empty for 0."""
+    return F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: i < n), body)
+
+
 def _block_pairs(df: DataFrame, key: str) -> DataFrame:
-    """Each row once for every pair of its block with another of the key's blocks; run: the pair."""
-    own, n = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.col("blocks")
-    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    return df.withColumn("run", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
+    """Each row once for every pair of blocks in which it meets others; run: the pair. Blocks of strays meet each other and those of the rest (near), which don't meet each other.
+
+    stray_blocks and near_blocks: how many of either the key has; near: of which kind the row is.
+    """
+    s, n = F.col("stray_blocks"), F.col("near_blocks")
+    own = F.pmod(F.xxhash64("rep"), F.greatest(F.when(F.col("near"), n).otherwise(s), F.lit(1).cast("long")))
+    df = df.withColumn("own", own)
+    among = _upto(s, lambda i: F.xxhash64(key, F.lit("strays"), F.least("own", i), F.greatest("own", i)))
+    with_near = _upto(n, lambda i: F.xxhash64(key, F.lit("near"), "own", i))
+    with_strays = _upto(s, lambda i: F.xxhash64(key, F.lit("near"), i, "own"))
+    return df.withColumn("run", F.explode(F.when(F.col("near"), with_strays).otherwise(F.concat(among, with_near)))).drop("own")
+
+
+def _whole_runs_of(df: DataFrame) -> DataFrame:
+    return df.repartition("run").sortWithinPartitions("run")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -236,21 +306,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     banded = reps.select("rep", F.explode("bands").alias("band"))
     # a table of its own, so that both sides of the join are plain shuffles, of which Spark splits the hot partitions
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "shared-bands")
-    members = banded.join(shared, "band").select("rep", "band", F.ceil(F.col("m") / BAND_BLOCK).alias("blocks"))
-    members = members.join(reps.select("rep", "packed"), "rep")
-    members = _block_pairs(members, "band").select("run", "rep", "packed").repartition("run").sortWithinPartitions("run")
-    classes = components(members.mapInArrow(_candidates(least_estimate(percent)), "a long, b long")).withColumnRenamed("node", "rep")
+    members = cut(banded.join(shared, "band").join(reps.select("rep", "packed"), "rep").select(F.col("band").alias("key"), "rep", "packed", "m"), "members")
+    hot = _near_hubs(members.where(F.col("m") > BAND_BLOCK), least_estimate(percent))
+    counts = hot.groupBy("key").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("strays"), F.count("*").alias("m"))
+    counts = counts.select("key", F.ceil(F.col("strays") / BAND_BLOCK).alias("stray_blocks"), F.ceil((F.col("m") - F.col("strays")) / BAND_BLOCK).alias("near_blocks"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    cold = members.where(F.col("m") <= BAND_BLOCK).select("key", "rep", "packed", F.lit(False).alias("near"), one.alias("stray_blocks"), none.alias("near_blocks"))
+    met = cold.unionByName(hot.drop("hub").join(counts, "key"))
+    met = _whole_runs_of(_block_pairs(met, "key").select("run", "rep", "packed"))
+    alike = met.mapInArrow(_candidates(least_estimate(percent)), "a long, b long")
+    classes = components(alike.unionByName(hot.where("near").select(F.col("rep").alias("a"), F.col("hub").alias("b")))).withColumnRenamed("node", "rep")
     classes = classes.join(reps.select("rep", "digest", "packed", "n"), "rep")
     classes = cut(classes, "classes")
+    drop(members, hot, shared)
     size = classes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     per = F.least(F.greatest(3 * F.sqrt("m"), F.lit(CLASS_BLOCK)), F.lit(CLASS_BLOCK_MOST))
     size = size.select("component", F.ceil(F.greatest(F.col("m") / per, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    wanted = classes.join(size, "component").select("rep", "component", "digest", "packed", "blocks")
-    sets = docs.join(wanted, docs.doc_id == wanted.rep).drop("doc_id").mapInArrow(_class_sets, "rep long, component long, blocks long, packed binary, shingles binary")
-    blocks = _block_pairs(sets, "component").select("run", "rep", "packed", "shingles").repartition("run").sortWithinPartitions("run")
-    linked = components(blocks.mapInArrow(_confirmed(percent), "a long, b long")).withColumnRenamed("node", "rep")
+    classed = classes.join(size, "component").select("rep", "component", "digest", "packed", "blocks")
+    tried = _near_hubs(classed.where("blocks > 1").select(F.col("component").alias("key"), "rep", "packed"), percent / 100)
+    hubs = tried.groupBy("key").agg(F.min("hub").alias("hub")).withColumnRenamed("key", "component")
+    wanted = classed.join(hubs, "component", "left")
+    sets = docs.join(wanted, docs.doc_id == wanted.rep).drop("doc_id").mapInArrow(_class_sets, "rep long, component long, blocks long, hub long, packed binary, shingles binary")
+    sets = cut(sets, "class-sets")
+    # the hub goes to every block of its class
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    beside = sets.where("blocks > 1").withColumn("own", own).withColumn("at", F.explode(F.when(F.col("rep") == F.col("hub"), _upto(F.col("blocks"), lambda i: i)).otherwise(F.array("own"))))
+    beside = _whole_runs_of(beside.withColumn("run", F.xxhash64("component", "at")).withColumn("home", F.col("own") == F.col("at")).drop("own", "at"))
+    beside = cut(beside.mapInArrow(_beside_hub(percent), "rep long, component long, blocks long, hub long, packed binary, shingles binary, near boolean"), "beside-hubs")
+    counts = beside.groupBy("component").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("strays"), F.count("*").alias("m"), F.min("blocks").alias("of"))
+    share = F.col("of") / F.col("m")
+    counts = counts.select("component", F.ceil(F.col("strays") * share).alias("stray_blocks"), F.ceil((F.col("m") - F.col("strays")) * share).alias("near_blocks"))
+    cold = sets.where("blocks = 1").select("rep", "component", "packed", "shingles", F.lit(False).alias("near"), one.alias("stray_blocks"), none.alias("near_blocks"))
+    met = cold.unionByName(beside.drop("blocks", "hub").join(counts, "component"))
+    blocks = _whole_runs_of(_block_pairs(met, "component").select("run", "rep", "packed", "shingles"))
+    to_hub = beside.where("near and rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    linked = components(blocks.mapInArrow(_confirmed(percent), "a long, b long").unionByName(to_hub)).withColumnRenamed("node", "rep")
     linked = cut(reps.select("digest", "rep").join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "components")
-    drop(classes, reps)
+    drop(classes, reps, tried, sets, beside)
     out = signed_.select("doc_id", "n_shingles", "digest").join(linked, "digest", "left")
     return out.select(
         "doc_id",

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from nearfield.llm import minhash
 from nearfield.llm.minhash import banding, estimate, least_estimate, minima, near_duplicates, pack
 
 from .fixtures import brute_components, documents, key, odd_docs
@@ -57,3 +58,31 @@ def test_bands_and_margin_follow_the_threshold(spark):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:25], f"e{i}", *w[26:70], f"g{i}", *w[71:]]))]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
     assert key(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows, 80))
+
+
+@pytest.mark.parametrize("far", [0, 40])
+def test_hot_bands_and_classes(spark, monkeypatch, far):
+    """Bands and classes of many blocks give the components of all pairs, whether members are near a hub, near each other alone, or far from all."""
+    monkeypatch.setattr(minhash, "BAND_BLOCK", 8)
+    monkeypatch.setattr(minhash, "CLASS_BLOCK", 6)
+    monkeypatch.setattr(minhash, "CLASS_BLOCK_MOST", 12)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(150):
+        w = list(base)
+        for k in rng.choice(150, int(rng.integers(0, 4 if i < 110 else 14)), replace=False):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(far):  # a second group, which shares 60 % of the first's words
+        w = base[:110] + [f"q{k}" for k in range(70)]
+        w[int(rng.integers(180))] = f"f{i}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += rows[3:6]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert key(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows))
+
+
+def test_linked_to():
+    hub = np.arange(10, 110, dtype=np.uint64)
+    sets = [hub, hub[:85], hub[:84], np.array([5], np.uint64), np.array([500], np.uint64), np.concatenate([hub, np.arange(200, 217, dtype=np.uint64)])]
+    assert minhash.linked_to(hub, sets, 85).tolist() == [True, True, False, False, False, True]
