@@ -30,13 +30,13 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+def integer_vectors(vectors: DataFrame, scale: int = SCALE, null_ids: bool = False) -> DataFrame:
     """(vec_id, v array<double>) with floor(scale * x), which is an integer, of each component of vectors (vec_id, embedding).
 
-    Vectors that are null or empty or hold a null or a component that is not finite, as it is or scaled, take no part, nor do rows with a null vec_id.
+    Vectors that are null or empty or hold a null or a component that is not finite, as it is or scaled, take no part, nor do rows with a null vec_id unless null_ids.
     """
     scaled = F.transform("embedding", lambda e: e.cast("double") * scale)
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    good = (F.col("vec_id").isNotNull() | F.lit(null_ids)) & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall("embedding", lambda e: F.coalesce(e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * scale) < float("inf")), F.lit(False)))
     # beyond 2**52 all doubles are integers, and a long would end at 2**63
     whole = F.transform(scaled, lambda y: F.when(F.abs(y) < float(2**52), F.floor(y).cast("double")).otherwise(y))

@@ -49,3 +49,35 @@ m as (select doc_id, count(distinct item_id) as n_near from (select x.doc_id, x.
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
 from d left join c on c.doc_id = d.doc_id left join i on i.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 """
+
+
+def sort_means_sql(k: int = 8, rounds: int = 10, width: int = 64, scale: int = 1024, seed: str = "3") -> str:
+    """Plain k-means: every distance of every round."""
+    def nearest(r):
+        return f"a{r} as materialized (select i, c, d from (select v.i, c{r}.c, list_sum(list_transform(list_zip(v.v, c{r}.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d, row_number() over (partition by v.i order by d, c) as nth from v, c{r}) where nth = 1)"
+
+    def moved(r):
+        each = f"select a.c, e.dim, sum(e.x)::bigint as s, count(*) as n from a{r} a join e on e.i = a.i group by a.c, e.dim"
+        return f"c{r + 1} as materialized (select o.c, coalesce(m.m, o.m) as m from c{r} o left join (select c, list((s - ((s % n) + n) % n) // n order by dim) as m from ({each}) group by c) m on m.c = o.c)"
+
+    steps = ", ".join(f"{nearest(r)}, {moved(r)}" for r in range(rounds))
+    return f"""
+with v as materialized (select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings where len(embedding) = {width} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {width}),
+e as materialized (select i, unnest(v) as x, unnest(range({width})) as dim from v),
+c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as c, v as m from v order by sha256('{seed}:' || vec_id) limit {k}),
+{steps}, {nearest(rounds)},
+t as (select c, sum(d)::bigint as w from a{rounds} group by c)
+select v.vec_id, a.c::integer as cluster, a.d as distance, t.w as cluster_inertia, (select sum(w) from t)::bigint as inertia, sha256(array_to_string(o.m, ',')) as centroid_sha256
+from v join a{rounds} a on a.i = v.i join t on t.c = a.c join c{rounds} o on o.c = a.c
+"""
+
+
+SORT_MEANS = sort_means_sql()
+
+COSINE_DUPLICATES = """
+with recursive v as materialized (select vec_id, embedding::double[] as v from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on len(a.v) = len(b.v) and a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.9),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, e.b from r join e on r.b = e.a),
+c as (select a as vec_id, min(b) as component_id from r group by a), n as (select a as vec_id, count(*) as n from e group by a)
+select d.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, d.vec_id = c.component_id as kept from embeddings d left join n on n.vec_id = d.vec_id left join c on c.vec_id = d.vec_id
+"""

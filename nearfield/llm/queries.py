@@ -14,6 +14,7 @@ from nearfield.llm.licenses import scan
 from nearfield.llm.minhash import near_duplicates
 from nearfield.llm.mixing import mixture, taken_words, with_sizes
 from nearfield.llm.repeats import repeats_digest
+from nearfield.llm.sort_means import sort_means
 from nearfield.llm.sstable import read_digests, write_tokens
 from nearfield.llm.suffix_tree import LEAST_COUNT, score
 
@@ -80,6 +81,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, proximity=True)
 
 
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of k-means with 8 clusters over all embeddings, in whole numbers."""
+    return sort_means(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_suffix_tree_scores": op2_suffix_tree_scores,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op13_sort_means": op13_sort_means,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +106,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_chat_snapshots": chat.ORACLE,
     "op10_decontamination": oracles.CONTAMINATION,
+    "op13_sort_means": oracles.SORT_MEANS,
 }
