@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import chat, language, oracles
 from nearfield.llm.decontaminate import contamination
+from nearfield.llm.hyperplanes import cosine_duplicates
 from nearfield.llm.knn_join import knn_join
 from nearfield.llm.licenses import scan
 from nearfield.llm.minhash import near_duplicates
@@ -81,6 +82,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, proximity=True)
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings at cosine 0.9."""
+    return cosine_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten rounds of k-means with 8 clusters over all embeddings, in whole numbers."""
     return sort_means(_table(spark, sf_dir, "embeddings"))
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_sort_means": op13_sort_means,
 }
 
@@ -106,5 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_chat_snapshots": chat.ORACLE,
     "op10_decontamination": oracles.CONTAMINATION,
+    "op12_embedding_near_dedup": oracles.COSINE_DUPLICATES,
     "op13_sort_means": oracles.SORT_MEANS,
 }
