@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import chat, language, oracles
+from nearfield.llm.alignment import alignment
 from nearfield.llm.decontaminate import contamination
 from nearfield.llm.hyperplanes import cosine_duplicates
 from nearfield.llm.knn_join import knn_join
@@ -82,6 +83,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, proximity=True)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and piece tokens of all documents, aligned, with how many documents link each pair of ids."""
+    import public_tokenizers
+
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all embeddings at cosine 0.9."""
     return cosine_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
@@ -103,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_sort_means": op13_sort_means,
 }
