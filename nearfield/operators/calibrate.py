@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import class_of, finite
 from nearfield.functions.vectors import squared_l2
-from nearfield.operators.ranks import running
+from nearfield.operators.prefixes import prefix_quantiles
+from nearfield.operators.ranks import STRIPES, _quantiles, running, stripe
 from nearfield.operators.search import all_pairs, small, top_k
 from nearfield.operators.workload import draw
 
 CLASSES = ("positive", "negative", "random")
+#: Of how many rows by hash one gives its distances to the boundaries of stripes.
+SAMPLE = 8
 
 
 def distances(base: DataFrame, queries: DataFrame) -> DataFrame:
@@ -43,20 +46,85 @@ def log_binomial(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
+def rank_starts(dist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """dist with stripe, that of its distance, and (query_id, stripe, start, n): how many rows of the query stand in stripes before, and in all.
+
+    Boundaries are quantiles of the distances of every SAMPLE-th row by hash: they settle how rows are dealt, not what is counted.
+    """
+    picked = F.when(F.pmod(F.xxhash64("vec_id"), F.lit(SAMPLE)) == 0, F.col("d"))
+    bounds = dist.agg(F.coalesce(_quantiles(picked), F.array_repeat(F.lit(float("inf")), STRIPES - 1)).alias("_bounds"))
+    dealt = dist.crossJoin(F.broadcast(bounds)).withColumn("stripe", stripe(F.col("d"))).drop("_bounds")
+    query = Window.partitionBy("query_id")
+    # a row per query and stripe
+    before = F.coalesce(F.sum("c").over(query.orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    counts = dealt.groupBy("query_id", "stripe").agg(F.count("*").alias("c"))
+    return dealt, counts.select("query_id", "stripe", before.alias("start"), F.sum("c").over(query).alias("n"))
+
+
 def expected_nearest_mean(dist: DataFrame, near: DataFrame) -> DataFrame:
     """(query_id, e): mean distance that the kk nearest of s rows drawn at random would have, in closed form by order statistics.
 
-    Each of the first kk places j falls on the row of overall rank r with probability C(r-1, j-1) C(N-r, s-j) / C(N, s).
+    Each of the first kk places j falls on the row of overall rank r with probability C(r-1, j-1) C(N-r, s-j) / C(N, s). Rows are ranked inside stripes of the distance, and only as far as that
+    matters: with mu = R s / N, the chance that fewer than kk of the s are among the R nearest is below exp(-(mu - kk)^2 / (2 mu)), and stripes that begin beyond the R at which this is e^-37 are left out.
     """
     n, s, r, j = (F.col(c) for c in "nsrj")
-    order = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    ranked = dist.select("query_id", "vec_id", "d").withColumn("r", F.row_number().over(order).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    ranked = ranked.join(near.where("s > 0").select("query_id", "s", "kk"), "query_id")
+    dealt, starts = rank_starts(dist)
+    kk = F.col("kk").cast("double")
+    reach = F.ceil((kk + 37 + F.sqrt(37.0 * 37 + 74 * kk)) * n / s)
+    wanted = starts.join(near.where("s > 0").select("query_id", "s", "kk"), "query_id").where(F.col("start") < reach)
+    order = Window.partitionBy("query_id", "stripe").orderBy("d", "vec_id")
+    ranked = dealt.select("query_id", "stripe", "vec_id", "d").join(wanted, ["query_id", "stripe"]).withColumn("r", (F.col("start") + F.row_number().over(order)).cast("long")).where(F.col("r") <= reach)
     each = ranked.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), "kk"))).where("r >= j and n - r >= s - j")
     p = F.exp(log_binomial(r - 1, j - 1) + log_binomial(n - r, s - j) - log_binomial(n, s))
     return each.groupBy("query_id").agg((F.sum(F.col("d") * p) / F.first("kk")).alias("e"))
 
 
+def drawn_ranks(sizes: DataFrame, subsets: int, salt: int = 8) -> DataFrame:
+    """(query_id, subset, r): the overall ranks of the kk nearest of s rows drawn at random out of n, one after the other; sizes: query_id, n, s, kk, with 0 < kk <= s <= n.
+
+    After a rank, m rows are left of which t are drawn: the next one lies more than g on with probability C(m - g, t) / C(m, t), which a search for the drawn number inverts. No row but these is made.
+    """
+
+    def step(state, j):
+        """The next rank: the least g with C(m - g, t) / C(m, t) <= u, by bisection."""
+        m, t = state["n"] - state["at"], state["s"] - j
+        u = (draw(state["seed"] + j, salt).cast("double") + 0.5) / 2.0**31
+
+        def halve(ends, _):
+            mid = ((ends["a"] + ends["b"]) / 2).cast("long")
+            past = F.when(m - mid < t, F.lit(True)).otherwise(log_binomial(m - mid, t) - log_binomial(m, t) <= F.ln(u))
+            return F.struct(F.when(past, ends["a"]).otherwise(mid).alias("a"), F.when(past, mid).otherwise(ends["b"]).alias("b"))
+
+        ends = F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.struct(F.lit(0).cast("long").alias("a"), (m - t + 1).alias("b")), lambda e, x: F.when(e["b"] - e["a"] > 1, halve(e, x)).otherwise(e))
+        at = state["at"] + ends["b"]
+        return F.struct(state["n"].alias("n"), state["s"].alias("s"), state["seed"].alias("seed"), at.alias("at"), F.concat(state["ranks"], F.array(at)).alias("ranks"))
+
+    each = sizes.withColumn("subset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(subsets - 1).cast("long")))).repartition("query_id", "subset")
+    seed = draw(F.col("query_id") + draw(F.col("subset"), salt), salt) * 64
+    first = F.struct(F.col("n").cast("long").alias("n"), F.col("s").cast("long").alias("s"), seed.cast("long").alias("seed"), F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ranks"))
+    ranks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("kk").cast("long") - 1), first, step, lambda s: s["ranks"])
+    return each.select("query_id", "subset", F.explode(ranks).alias("r"))
+
+
+def drawn_correlation(base: DataFrame, queries: DataFrame, k: int, subsets: int = 32) -> DataFrame:
+    """(query_id, e, stderr, corr) as sampled_correlation() gives them, from subsets of which only the nearest rows' ranks are drawn; rows are ranked in stripes, and those that hold no drawn rank are left out."""
+    dist = distances(base, queries)
+    near = nearest_mean(dist, queries, k).where("s > 0")
+    dealt, starts = rank_starts(dist)
+    sizes = starts.groupBy("query_id").agg(F.max("n").alias("n")).join(near, "query_id")
+    drawn = drawn_ranks(sizes, subsets)
+    # (query_id, r) with how often it was drawn, by subset; the stripe that holds each
+    ends = starts.withColumn("end", F.lead("start").over(Window.partitionBy("query_id").orderBy("stripe")))
+    placed = drawn.join(ends, "query_id").where((F.col("r") > F.col("start")) & (F.col("r") <= F.coalesce("end", "n"))).select("query_id", "subset", "r", "stripe", "start")
+    held = placed.select("query_id", "stripe", "start").distinct()
+    order = Window.partitionBy("query_id", "stripe").orderBy("d", "vec_id")
+    ranked = dealt.select("query_id", "stripe", "vec_id", "d").join(held, ["query_id", "stripe"]).withColumn("r", (F.col("start") + F.row_number().over(order)).cast("long"))
+    each = placed.join(ranked.select("query_id", "r", "d"), ["query_id", "r"]).groupBy("query_id", "subset").agg(F.avg("d").alias("m"))
+    per = each.groupBy("query_id").agg(F.avg("m").alias("e"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("stderr")).join(sizes, "query_id")
+    corr = F.when(F.col("s") >= F.col("n"), F.when(F.col("g") != 0, F.lit(0.0))).when(F.col("e") != 0, (F.col("e") - F.col("g")) / F.col("e"))
+    return per.select("query_id", "e", "stderr", corr.alias("corr"))
+
+
 def true_correlation(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, s, kk, g, e, corr): how much nearer the rows in range are than as many drawn at random: (e - g) / e."""
     dist = distances(base, queries)
@@ -97,17 +165,16 @@ def largest_scores(scores: DataFrame, metrics: list[str], n: int = 10) -> DataFr
 def tau_history(scores: DataFrame, metric: str, every: int, share: float = 0.99) -> DataFrame:
     """(processed, tau): the quantile of the first rows' absolute scores, in order of query_id, at each multiple of every."""
     kept = scores.where(finite(F.col(metric))).select("query_id", F.abs(metric).alias("v"))
-    last = kept.agg((F.floor(F.count("*") / every) * every).alias("last"))
-    r = running(kept, "query_id", "r").crossJoin(F.broadcast(last)).withColumn("first", F.ceil(F.col("r") / every) * every).where("first <= last")
-    each = r.select("v", F.explode(F.sequence("first", "last", F.lit(every).cast("long"))).alias("processed"))
-    return each.groupBy("processed").agg(F.percentile("v", share).alias("tau"))
+    rows = running(kept, "query_id", "at").select(F.lit(metric).alias("series"), "at", "v")
+    points = kept.agg(F.count("*").alias("n")).where(F.col("n") >= every).select(F.lit(metric).alias("series"), F.explode(F.sequence(F.lit(every).cast("long"), "n", F.lit(every).cast("long"))).alias("at"))
+    return prefix_quantiles(rows, points, share).select(F.col("at").alias("processed"), "tau")
 
 
 def empirical_cdf(scores: DataFrame, metric: str) -> DataFrame:
     """(query_id, v, cdf): share of rows up to each, in order of score and id."""
     kept = scores.where(finite(F.col(metric))).select("query_id", F.col(metric).alias("v"))
     total = kept.agg(F.count("*").alias("total"))
-    return running(kept, "v", "r", ("query_id",)).crossJoin(F.broadcast(total)).select("query_id", "v", (F.col("r") / F.col("total")).alias("cdf"))
+    return running(kept, "v", "r", ("query_id",), split_ties=True).crossJoin(F.broadcast(total)).select("query_id", "v", (F.col("r") / F.col("total")).alias("cdf"))
 
 
 def tau_grid(scores: DataFrame, metric: str, n: int) -> DataFrame:

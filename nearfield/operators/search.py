@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions.vectors import inner, squared_l2
+from nearfield.operators.intervals import range_join
 
-#: Rows up to which a side that is known to be small is broadcast; beyond, the join is a shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a side that is expected to be small is broadcast; beyond, the join is a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Parts of the rows that each block of queries meets, where queries are not broadcast; queries of one range that meet its rows in one block.
+PARTS, RANGE_QUERIES = 64, 256
 
 
 @dataclass(frozen=True)
@@ -31,9 +36,25 @@ class SearchOptions:
             raise ValueError("multipliers must be positive")
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: eight a number, and what strings and arrays hold."""
+    def of(c: Column, kind) -> Column:
+        if isinstance(kind, T.ArrayType):
+            each = F.lit(8) if not isinstance(kind.elementType, (T.ArrayType, T.StringType, T.StructType)) else F.lit(64)
+            return F.coalesce(F.size(c), F.lit(0)) * each + 16
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16 if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(8)
+
+    return reduce(Column.__add__, [of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; df as it is otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it has at most BROADCAST_BYTES, as it is otherwise. Runs a job over df, so df should be cheap to compute twice."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
+
+
+def bytes_of(df: DataFrame) -> int:
+    """How many bytes df takes, about."""
+    return df.agg(F.coalesce(F.sum(row_bytes(df).cast("long")), F.lit(0).cast("long"))).first()[0]
 
 
 def top_k(pairs: DataFrame, k: int, by: Column | str = "d2", of: str = "query_id", tie: str = "vec_id") -> DataFrame:
@@ -43,35 +64,36 @@ def top_k(pairs: DataFrame, k: int, by: Column | str = "d2", of: str = "query_id
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def range_join(base: DataFrame, queries: DataFrame, attr: str = "attr", width: int = 16) -> DataFrame:
-    """base rows joined to the queries whose [lo, hi] holds their attribute.
-
-    Attributes and ranges meet on stripes of the attribute, so this is an equi-join with a residual predicate, whatever the sizes.
-    A query is copied to each stripe that its range touches; width should be near the usual width of a range.
-    """
-    stripes = queries.withColumn("stripe", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    return base.withColumn("stripe", F.floor(F.col(attr) / width)).join(stripes, "stripe").where(F.col(attr).between(F.col("lo"), F.col("hi"))).drop("stripe")
-
-
-def pre_filter(base: DataFrame, queries: DataFrame, k: int, attr: str = "attr", width: int = 16) -> DataFrame:
+def pre_filter(base: DataFrame, queries: DataFrame, k: int, attr: str = "attr") -> DataFrame:
     """Exact search: filter by range, then distances, then the k nearest. An empty range gives no rows.
 
     base: vec_id, vec, attr; queries: query_id, qvec, lo, hi.
     """
-    pairs = range_join(base, queries, attr, width).select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2"))
+    pairs = range_join(base, queries, attr).select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2"))
     return top_k(pairs, k)
 
 
 def ground_truth(base: DataFrame, queries: DataFrame, k: int, attr: str = "attr") -> DataFrame:
-    """Exact filtered neighbours with each different range looked up once: queries of equal range share the rows that it holds."""
-    ranges = queries.groupBy("lo", "hi").agg(F.collect_list(F.struct("query_id", "qvec")).alias("qs"))
-    rows = range_join(base, ranges, attr).select("vec_id", "vec", F.explode("qs").alias("q"))
-    return top_k(rows.select("q.query_id", "vec_id", squared_l2("vec", "q.qvec").alias("d2")), k)
+    """Exact filtered neighbours with each different range looked up once: the rows that it holds are found by their ids, and meet the range's queries by the range and a block of these."""
+    blocks = queries.groupBy("lo", "hi").agg(F.ceil(F.count("*") / RANGE_QUERIES).cast("int").alias("_blocks"))
+    held = range_join(base.select("vec_id", "vec", F.col(attr).alias("attr")), blocks).select("lo", "hi", "vec_id", "vec", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    asked = queries.join(blocks, ["lo", "hi"]).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int"))
+    pairs = held.join(asked.select("query_id", "qvec", "lo", "hi", "_block"), ["lo", "hi", "_block"])
+    return top_k(pairs.select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2")), k)
 
 
 def all_pairs(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query against every row, the queries sent to the rows in one block: what an unfiltered exact search scores."""
-    return base.crossJoin(small(queries))
+    """Every query against every row: what an unfiltered exact search scores. Queries go to the rows in one broadcast block where they are small.
+
+    Where they are not, queries are cut into blocks of about BROADCAST_BYTES and rows into PARTS parts, and each block meets each part.
+    """
+    size = bytes_of(queries)
+    if size <= BROADCAST_BYTES:
+        return base.crossJoin(F.broadcast(queries))
+    blocks = -(-size // BROADCAST_BYTES)
+    rows = base.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return rows.join(asked, ["_block", "_part"]).drop("_block", "_part")
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -18,12 +18,12 @@ def value_counts(base: DataFrame, attr: str = "attr") -> DataFrame:
 
 
 def selectivity(base: DataFrame, queries: DataFrame, attr: str = "attr") -> DataFrame:
-    """(query_id, m, selectivity): exact share of rows in each query's [lo, hi], as the difference of two lookups in counts of values. query_id is distinct; reversed or null ends hold no rows."""
+    """(query_id, m, selectivity): exact share of rows in each query's [lo, hi], as the difference of two lookups in counts of values. Reversed or null ends hold no rows."""
     counts = value_counts(base, attr)
     total = base.agg(F.count("*").alias("total"))
-    q = queries.select(F.col("query_id").alias("_p"), "lo", "hi")
+    q = queries.select("query_id", "lo", "hi")
     q = counted_up_to(counted_up_to(q, counts, "hi", "upto", True), counts, "lo", "below", False)
-    m = q.select(F.col("_p").alias("query_id"), F.when(F.col("lo") <= F.col("hi"), F.col("upto") - F.col("below")).otherwise(F.lit(0)).cast("long").alias("m"))
+    m = q.select("query_id", F.when(F.col("lo") <= F.col("hi"), F.col("upto") - F.col("below")).otherwise(F.lit(0)).cast("long").alias("m"))
     return m.crossJoin(F.broadcast(total)).select("query_id", "m", F.when(F.col("total") > 0, F.col("m") / F.col("total")).otherwise(F.lit(0.0)).alias("selectivity"))
 
 

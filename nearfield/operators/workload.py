@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators.ranks import counted_up_to, running
+from nearfield.operators.ranks import counted_up_to, latest, running
 from nearfield.operators.search import knn, small
 
 #: Multiplier and modulus of the hash.
 MUL, MOD = 73244475, 2147483648
-#: Stripes in which positions meet the values that stand there, at most.
-STRIPES = 1 << 16
 
 
 def draw(x: Column, salt: int = 0) -> Column:
@@ -29,12 +27,9 @@ def positions(base: DataFrame, attr: str = "attr") -> DataFrame:
 
 
 def value_at(queries: DataFrame, pos: DataFrame, at: str, name: str) -> DataFrame:
-    """queries with name: the sorted attribute's value at position at; both meet on stripes of the positions."""
-    n = F.broadcast(pos.agg(F.greatest(F.lit(1), F.ceil((F.max("last") + 1) / STRIPES)).alias("_w")))
-    stripes = F.sequence(F.floor(F.col("first") / F.col("_w")), F.floor(F.col("last") / F.col("_w")))
-    p = pos.crossJoin(n).select(F.col("v").alias(name), F.col("first").alias("_a"), F.col("last").alias("_b"), F.explode(stripes).alias("_s"))
-    q = queries.crossJoin(n).withColumn("_s", F.floor(F.col(at) / F.col("_w")))
-    return q.join(p, "_s").where(F.col(at).between(F.col("_a"), F.col("_b"))).drop("_a", "_b", "_s", "_w")
+    """queries with name: the sorted attribute's value at position at; beyond the last position there is none, and no row."""
+    v = pos.select(F.col("v").alias(name), F.col("first").alias("_first"), F.col("last").alias("_last"))
+    return latest(queries, v, at, "_first").where(F.col(at) <= F.col("_last")).drop("_first", "_last")
 
 
 def random_ranges(base: DataFrame, queries: DataFrame, share: float, salt: int = 0) -> DataFrame:
@@ -55,7 +50,7 @@ def correlated_ranges(base: DataFrame, queries: DataFrame, share: float, k: int)
     q = centre.crossJoin(F.broadcast(whole)).withColumn("t", F.greatest(F.lit(1), F.least(F.col("n"), F.floor(share * F.col("n")))))
     pos = positions(base)
     counts = base.groupBy(F.col("attr").alias("v")).agg(F.count("*").alias("n"))
-    q = counted_up_to(q.withColumnRenamed("query_id", "_p"), counts, "centre", "at", False).withColumnRenamed("_p", "query_id").withColumn("half", F.floor(F.col("t") / 2))
+    q = counted_up_to(q, counts, "centre", "at", False).withColumn("half", F.floor(F.col("t") / 2))
     q = q.withColumn("a", F.greatest(F.lit(0), F.col("at") - F.col("half"))).withColumn("b", F.least(F.col("n") - 1, F.col("at") + F.col("half")))
     left = F.col("centre") > F.col("median")
     q = q.withColumn("c", F.when(left, F.lit(0)).otherwise(F.col("n") - F.col("t"))).withColumn("d", F.when(left, F.col("t") - 1).otherwise(F.col("n") - 1))

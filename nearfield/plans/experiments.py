@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import class_of, finite, tau
 from nearfield.operators import calibrate, search, stats, workload
+from nearfield.operators.prefixes import prefix_quantiles
 from nearfield.operators.search import SearchOptions
 from nearfield.plans import evaluate, router
 from nearfield.plans.states import State
@@ -53,7 +54,7 @@ def scores(state: State, queries: DataFrame, k: int, subsets: int | None = None)
         truth = calibrate.true_correlation(base, q, k).withColumn("stderr", F.lit(None).cast("double"))
     else:
         near = calibrate.nearest_mean(calibrate.distances(base, q), q, k)
-        truth = near.join(calibrate.sampled_correlation(base, q, k, subsets), "query_id", "left")
+        truth = near.join(calibrate.drawn_correlation(base, q, k, subsets), "query_id", "left")
     named = {"s": "subset_size", "kk": "k_used", "corr": METRICS["true"], "heuristic": METRICS["heuristic"], "tanh": METRICS["tanh"], "pgap": METRICS["pgap"], "js": "js_divergence", "lift": "lift", "p_c": "p_c", "p_g": "p_g", "e": "expected_random_gk", "g": "admissible_gk", "stderr": "expected_random_gk_stderr"}
     both = parts.join(truth, "query_id")
     return both.select("query_id", F.col("lo").alias("range_lo"), F.col("hi").alias("range_hi"), *[F.col(a).alias(b) for a, b in named.items()])
@@ -68,11 +69,14 @@ def null_scores(state: State, queries: DataFrame, selectivity: float, k: int, su
 
 def null_history(scored: DataFrame, every: int) -> DataFrame:
     """(selectivity, processed, and the 0.99 quantile of each metric's absolute score so far) at each multiple of every, and at the end; queries are numbered from 0."""
-    last = scored.groupBy("selectivity").agg((F.max("query_id") + 1).alias("n"))
-    r = scored.join(F.broadcast(last), "selectivity").withColumn("first", F.least(F.col("n"), F.ceil((F.col("query_id") + 1) / every) * every))
-    points = F.array_distinct(F.concat(F.when(F.col("first") < F.col("n"), F.sequence("first", F.col("n") - 1, F.lit(every).cast("long"))).otherwise(F.array().cast("array<bigint>")), F.array("n")))
-    each = r.withColumn("processed", F.explode(points)).groupBy("selectivity", "processed")
-    return each.agg(*[F.percentile(F.when(finite(F.col(c)), F.abs(c)), 0.99).alias(m) for m, c in METRICS.items()])
+    long = scored.select("selectivity", (F.col("query_id") + 1).alias("at"), *[F.when(finite(F.col(c)), F.abs(c)).alias(m) for m, c in METRICS.items()])
+    long = long.unpivot(["selectivity", "at"], list(METRICS), "metric", "v").withColumn("series", F.concat_ws(" ", "metric", F.col("selectivity").cast("string")))
+    last = long.groupBy("series", "metric", "selectivity").agg(F.max("at").alias("n"))
+    every_ = F.lit(every).cast("long")
+    points = F.array_distinct(F.concat(F.when(F.col("n") >= every_, F.sequence(every_, "n", every_)).otherwise(F.array().cast("array<bigint>")), F.array("n")))
+    points = last.select("series", "metric", "selectivity", F.explode(points).alias("at"))
+    tau = points.join(prefix_quantiles(long.select("series", "at", "v"), points, 0.99), ["series", "at"], "left")
+    return tau.groupBy("selectivity", F.col("at").alias("processed")).pivot("metric", list(METRICS)).agg(F.first("tau"))
 
 
 def null_experiment(state: State, pool: DataFrame, selectivities: list[float], n: int, k: int, subsets: int = 32, every: int = 100, salt: int = 11) -> NullRun:
