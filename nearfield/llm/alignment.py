@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut, drop, lists, pieces, run_bounds, whole_runs
 
-#: Bytes of a shard's texts, about.
-SHARD = 8 << 20
+#: Bytes of a shard's texts, and of those that are aligned at once, about.
+SHARD, PIECE = 8 << 20, 1 << 20
 #: Fixed value: how byte-level vocabularies split a text before merging.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts with so long a run of white space are left to the slower of the two encoders, as the faster one backtracks over it.
@@ -45,19 +45,14 @@ class ByteLevel:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.whole.no_truncation()
         alphabet = byte_level_alphabet()
-        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        vocabulary = dict(spec["model"].get("vocab", {})) | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
-            known = all(c in alphabet for c in piece)
-            self.bytes[i] = bytes(alphabet[c] for c in piece) if known else piece.encode()
+            self.bytes[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
         self.fast = self._fast(spec, alphabet)
 
     @staticmethod
@@ -75,13 +70,16 @@ class ByteLevel:
 
         return tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(alphabet[c] for c in piece): i for piece, i in ranks.items()}, special_tokens={})
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        slow = [k for k, t in enumerate(texts) if self.fast is None or _WHITE.search(t)]
-        out = [[] if self.fast is None else self.fast.encode_ordinary(t) if not _WHITE.search(t) else [] for t in texts]
-        if slow:
-            for k, e in zip(slow, self.whole.encode_batch([texts[k] for k in slow], add_special_tokens=False), strict=True):
-                out[k] = e.ids
-        return out
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is not None and not _WHITE.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = True
+            self.library.no_truncation()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
 
 
 class Pieces:
@@ -94,29 +92,48 @@ class Pieces:
         n = range(self.model.get_piece_size())
         self.bytes = [bytes([int(self.model.id_to_piece(i)[3:-1], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in n]
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def __call__(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int64)
+
+
+class Spelling:
+    """Bytes of a vocabulary's tokens in one array."""
+
+    def __init__(self, each: list[bytes]) -> None:
+        self.length = np.array([len(x) for x in each], np.int64)
+        self.start, self.flat = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(each), np.uint8)
+
+    def spells(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the tokens' bytes, joined, are raw."""
+        at = 0
+        for k in range(0, len(ids), 1 << 16):
+            length = self.length[ids[k : k + (1 << 16)]]
+            end = np.cumsum(length)
+            index = np.repeat(self.start[ids[k : k + (1 << 16)]] - end + length, length) + np.arange(end[-1])
+            part = self.flat[index]
+            if at + len(part) > len(raw) or part.tobytes() != raw[at : at + len(part)]:
+                return False
+            at += len(part)
+        return at == len(raw)
 
 
 class Pair:
-    """Both vocabularies with what the alignment looks up of each: token lengths, and ids as text before each mark."""
+    """Both vocabularies with what the alignment looks up of each: the tokens' bytes, and ids as text before each mark."""
 
     def __init__(self, a: str, b: str) -> None:
-        self.a, self.b = ByteLevel(a), Pieces(b)
-        self.length = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
-        self.text = [{mark: np.array([f"{i}{mark}" for i in range(len(t.bytes))], object) for mark in marks} for t, marks in ((self.a, ",|"), (self.b, ",;"))]
-        self.width = len(self.b.bytes)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Both sides' ids of each text, none where the bytes of either differ from the text's after a space, or the text is null or empty."""
-        full = [k for k, t in enumerate(texts) if t]
-        spaced = [" " + texts[k] for k in full]
-        out: list = [([], [])] * len(texts)
-        for k, t, a, b in zip(full, spaced, self.a(spaced), self.b([texts[k] for k in full]), strict=True):
-            raw = t.encode()
-            if b"".join(map(self.a.bytes.__getitem__, a)) == raw and b"".join(map(self.b.bytes.__getitem__, b)) == raw:
-                out[k] = (a, b)
-        return out
+        self.sides = [ByteLevel(a), Pieces(b)]
+        self.spelling = [Spelling(t.bytes) for t in self.sides]
+        self.length = [s.length for s in self.spelling]
+        self.text = [{mark: np.array([f"{i}{mark}" for i in range(len(t.bytes))], object) for mark in marks} for t, marks in zip(self.sides, (",|", ",;"), strict=True)]
+        self.width, self.codes = len(self.length[1]), len(self.length[0]) * len(self.length[1])
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Both sides' ids of a text, none where the bytes of either differ from the text's after a space, or the text is null or empty."""
+        if text:
+            raw, ids = (" " + text).encode(), (self.sides[0](" " + text), self.sides[1](text))
+            if all(s.spells(i, raw) for s, i in zip(self.spelling, ids, strict=True)):
+                return ids
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -156,10 +173,9 @@ def _group_text(iv: Intervals, a_ids: np.ndarray, b_ids: np.ndarray, text) -> np
 
 def _encoded(vocabularies: Pair, texts: list[str | None]):
     """Ids of both sides of all texts, one after the other, and where each text's begin."""
-    ids = vocabularies.encode(texts)
+    ids = [vocabularies.encode(t) for t in texts]
     first = [np.concatenate([[0], np.cumsum([len(x[side]) for x in ids])]).astype(np.int64) for side in (0, 1)]
-    flat = [np.fromiter((i for x in ids for i in x[side]), np.int64, first[side][-1]) for side in (0, 1)]
-    return flat, first
+    return [np.concatenate([x[side] for x in ids]) for side in (0, 1)], first
 
 
 def _aligned(a: str, b: str):
@@ -167,7 +183,7 @@ def _aligned(a: str, b: str):
 
     def of(batches):
         p, task, chunk, used = pair(a, b), TaskContext.get().partitionId(), 0, 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             texts = batch.column("text").to_pylist()
             (a_ids, b_ids), (a_first, b_first) = _encoded(p, texts)
             iv = Intervals(a_ids, b_ids, *p.length)
@@ -178,16 +194,15 @@ def _aligned(a: str, b: str):
                 digest.append(hashlib.sha256(s[:-1].encode()).hexdigest() if s else "")
             doc = np.searchsorted(a_first, iv.a, "right") - 1
             ends = np.searchsorted(a_first, np.searchsorted(iv.a_end, iv.shared), "right") - 1
-            space = len(p.a.bytes) * p.width
-            code, times = np.unique(doc * space + a_ids[iv.a] * p.width + b_ids[iv.b], return_counts=True)
-            first = np.searchsorted(code, np.arange(len(texts) + 1) * space)
+            code, times = np.unique(doc * p.codes + a_ids[iv.a] * p.width + b_ids[iv.b], return_counts=True)
+            first = np.searchsorted(code, np.arange(len(texts) + 1) * p.codes)
             if used > SHARD:
                 chunk, used = chunk + 1, 0
             used += batch.column("text").nbytes
             counts = [np.diff(a_first), np.diff(b_first), np.bincount(ends, minlength=len(texts)), np.bincount(doc, minlength=len(texts))]
             shard = np.full(len(texts), (task << 32) + chunk, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest), lists(code % space, first, pa.int64()), lists(times, first, pa.int32())],
+                [pa.array(shard), batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest), lists(code % p.codes, first, pa.int64()), lists(times, first, pa.int32())],
                 ["shard", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
             )
 
@@ -261,7 +276,7 @@ def alignment_groups(docs: DataFrame, a: str, b: str) -> DataFrame:
 
     def of(batches):
         p = pair(a, b)
-        for batch in pieces(batches, "text", SHARD // 16):
+        for batch in pieces(batches, "text", PIECE):
             (a_ids, b_ids), (a_first, b_first) = _encoded(p, batch.column("text").to_pylist())
             iv, n = Intervals(a_ids, b_ids, *p.length), None
             n = len(iv.shared)
