@@ -17,6 +17,8 @@ from nearfield.llm.common import give_back, pieces, utf8
 FEATURES, GRAMS = 1 << 14, (2, 3, 4)
 #: The classifier is fitted on a sample of about this many labelled documents a language, and this many in all languages together.
 SAMPLE_PER_LANGUAGE, SAMPLE = 512, 16384
+#: Languages that a model learns at most, the most frequent values of lang.
+LANGUAGES = 128
 CENTROIDS, ROUNDS = 4, 12
 #: One in so many of the sample is held out of the centroids. A text is rejected if its similarity is below this share of what all but one in a hundred of
 #: the held-out texts of about its length have; to have many of each length, they are also cut after so many characters.
@@ -131,20 +133,19 @@ def _dense(rows: list) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
+def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel | None:
     """Fit on labelled rows of docs (doc_id, text, lang): a sample by a hash of doc_id, or of the text where that is null, of about per_language rows a language. None if there are none.
 
-    Rows with a null text or lang, or without letters, teach nothing. Rows with the same doc_id are in the sample together, but never more than twice per_language.
+    Rows with a null text or lang, or without letters, teach nothing, nor do those of other than the languages most frequent values of lang (ties by name), which bound the model. Rows with the same doc_id are in the sample together, but never more than twice per_language.
     """
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    rows = sorted((r["lang"], r["n"]) for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect())  # a row per language
-    if not rows:
+    per = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()  # a row per language
+    if not per:
         return None
-    want = max(8, min(per_language, SAMPLE // len(rows)))
-    share, key = F.lit(0), F.coalesce("doc_id", F.xxhash64("text"))
-    for lang, n in rows:
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, want / n) * (1 << 30)))).otherwise(share)
-    picked = docs.where(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) < share)
+    want, key = max(8, min(per_language, SAMPLE // len(per))), F.coalesce("doc_id", F.xxhash64("text"))
+    share = [(r["lang"], int(min(1.0, want / r["n"]) * (1 << 30))) for r in per]
+    share = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))
+    picked = docs.join(share, "lang").where(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) < F.col("share"))
     # rows of one id are in it together; twice the wanted number is far beyond what chance gives else
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id"))
     picked = picked.withColumn("nth", nth).where(F.col("nth") <= 2 * want)
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["at"], r["counts"]))
-    languages = tuple(sorted({r["lang"] for r in got}))
+    names = tuple(sorted({r["lang"] for r in got}))
     taught = {r["lang"] for r in got if not r["held"]}
     learn, held = [r for r in got if not r["held"] or r["lang"] not in taught], [r for r in got if r["held"]]
     texts = np.zeros(FEATURES, np.int64)
@@ -161,14 +162,14 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
         texts[np.frombuffer(r["at"], np.uint16)] += 1
     idf = (np.log((1 + len(learn)) / (1 + texts)) + 1).astype(np.float32)
     parts = []
-    for name in languages:  # one language's matrix at a time
+    for name in names:  # one language's matrix at a time
         x = _dense([r for r in learn if r["lang"] == name])
         np.log1p(x, out=x)
         x *= idf
         x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
         parts.append(_clusters(x, CENTROIDS))
         del x
-    model = LanguageModel(languages, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), idf, np.zeros(1), np.zeros(1))
+    model = LanguageModel(names, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), idf, np.zeros(1), np.zeros(1))
     size, sim = [], []
     for at in range(0, len(held), DENSE_ROWS):
         c = _dense(held[at : at + DENSE_ROWS])
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
     size, sim = np.concatenate(size), np.concatenate(sim)
     bands = [size.astype(int) == k for k in range(int(size.max()) + 1)]
     points = [(size[b].mean(), np.quantile(sim[b], 0.01)) for b in bands if b.sum() >= BAND_TEXTS] or [(0.0, sim.min())]
-    return LanguageModel(languages, model.owner, model.centroids, idf, np.array([p[0] for p in points]), np.array([p[1] for p in points]))
+    return LanguageModel(names, model.owner, model.centroids, idf, np.array([p[0] for p in points]), np.array([p[1] for p in points]))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

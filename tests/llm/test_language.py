@@ -98,3 +98,12 @@ def test_predictions_as_brute_force(spark):
         if r.lang_pred != "und":
             lang, score = brute_predict(model, r.text)
             assert lang == r.lang_pred and abs(score - r.score) < 1e-4
+
+
+def test_thousands_of_languages(spark):
+    """Dirty values of lang teach nothing beyond the most frequent ones, and break nothing."""
+    rows = [(i, "the cat sat on the mat with the other cats " * 3, f"x{i}") for i in range(3000)] + [(10_000 + i, "der Hund lag auf der Matte neben den anderen Hunden " * 3, "de") for i in range(40)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=5)
+    assert len(model.languages) <= 5 and "de" in model.languages
+    got = predict(spark.createDataFrame([(1, "auf der Matte lag der Hund")], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "de"
