@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, drop, give_back, mix, signed, words_of
+from nearfield.llm.common import cut, drop, give_back, mix, noted, remove, signed, words_of
 
 #: Least count of a context and of a symbol of the contexts' alphabet, so that the tree grows with the corpus.
 LEAST_COUNT = 5
-#: Without a least count: least share of the training tokens that a context or symbol has, which bounds the tree.
-LEAST_SHARE = 5e-4
-DEPTH = 2
+#: Words of the longest contexts.
+DEPTH = 4
 #: A context stays if it diverges by so many nats a token, beyond what as many draws from the suffix's distribution would.
 DIVERGENCE = 0.01
 #: Weight, in tokens, of the suffix's distribution in a context's.
@@ -283,13 +282,20 @@ def _told(asked: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float | None = None, most: int = BUCKET_TOKENS) -> DataFrame:
+def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float = LEAST_COUNT, most: int = BUCKET_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, *) of every row of docs (doc_id, text), learning from those where is_training, a condition on doc_id, holds.
 
     Null and empty texts are their end alone. base_score: the sum of log10((c + 0.5) / (N + 0.5 * (V + 1))); score: the same under the tree. Without
-    training rows every token's probability is 1. Repeated rows are scored and counted each for itself. least: how often a context or symbol must occur;
-    by default LEAST_SHARE of the training tokens, twice at least. most: how many occurrences of a context go to one bucket; it changes no result.
+    training rows every token's probability is 1. Repeated rows are scored and counted each for itself. least: how often a context or symbol must occur,
+    twice at least. most: how many occurrences of a context go to one bucket; it changes no result.
     """
+    with noted() as made:
+        out = _scored(docs, is_training, depth, least, most)
+        remove(docs.sparkSession, *[path for path in made if path != out.scratch_path])
+    return out
+
+
+def _scored(docs: DataFrame, is_training, depth: int, least: float, most: int) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("learn"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(chars / SHARD_CHARS))
@@ -300,7 +306,7 @@ def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float | None
     told = [_told(texts.groupBy("shard").applyInArrow(_ask(0, shards, most, root), _ASKED), 0)]
     words = told[0].where("shard < 0")
     n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("symbols"), F.lit(0))).first()
-    least = max(2.0, LEAST_SHARE * n) if least is None else float(least)
+    least = max(2.0, float(least))
     known = words.where((F.col("entropy") == 1) | (F.col("ctx") >= least)).agg(F.coalesce(F.sum(F.col("symbols") * (F.col("ctx") + 0.5)), F.lit(0.0))).first()[0]
     bottom = n + 0.5 * (v + 1)
     root = {"least": least, "rare": max(1.0 - known / bottom, 1e-12), "bottom": bottom}
@@ -326,4 +332,4 @@ def score(docs: DataFrame, is_training, depth: int = DEPTH, least: float | None
         return out
 
     done = dealt.select("doc_id", "text", "shard", "row").groupBy("shard").cogroup(answers()).applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return done.withColumn("train_tokens", F.lit(n).cast("long"))
+    return cut(done.withColumn("train_tokens", F.lit(n).cast("long")), "scores")

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.language import remainder
 from nearfield.llm.queries import op2_suffix_tree_scores
-from nearfield.llm.suffix_tree import DIVERGENCE, LEAST_SHARE, SMOOTHING, score
+from nearfield.llm.suffix_tree import DIVERGENCE, LEAST_COUNT, SMOOTHING, score
 
 from .fixtures import SPACE, documents, lower, odd_docs
 
 END = object()
 
 
-def brute(rows, training, depth=2, least=None):
+def brute(rows, training, depth=4, least=None):
     """The model in plain dictionaries."""
     toks = [[*SPACE.findall(lower(t)), END] for _, t in rows]
     count = Counter(w for t, use in zip(toks, training, strict=True) if use for w in t)
     n, v = sum(count.values()), len(count)
     bottom = n + 0.5 * (v + 1)
     p0 = lambda w: (count[w] + 0.5) / bottom
-    least = max(2.0, LEAST_SHARE * n) if least is None else least
+    least = LEAST_COUNT if least is None else least
     frequent = {w for w, c in count.items() if c >= least and w is not END}
     symbol = lambda w: w if w in frequent or w is END else None
     symbols = [*frequent, END]
