@@ -71,7 +71,7 @@ def noted():
     try:
         yield made
     finally:
-        _NOTES.remove(made)
+        _NOTES[:] = [other for other in _NOTES if other is not made]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

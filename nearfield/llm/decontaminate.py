@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ALNUM_WORD, cut, drop, let, lower_ascii
+from nearfield.llm.common import ALNUM_WORD, cut, drop, let, lower_ascii, noted, remove
 
 WINDOW, RAREST = 10, 2
 #: Words of a stretch in which the rarest terms of an item stand near each other, and how many terms.
@@ -124,6 +124,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no window of an item stands; columns as they are, whatever their names."""
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
-    return contamination(whole, items, window, ("whole_row",)).where("not contaminated").select("whole_row.*")
+    """The documents in which no window of an item stands; columns as they are, whatever their names. What is left in the scratch folder is the table of the contaminated documents' keys."""
+    with noted() as made:
+        keyed = docs.select("doc_id", "text", document_key().alias("key"))
+        bad = cut(contamination(keyed, items, window, ("key",)).where("contaminated").select("key").distinct(), "contaminated")
+        remove(docs.sparkSession, *[path for path in made if path != bad.scratch_path])
+    rows = docs.select(document_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+    return rows.join(bad, "key", "left_anti").select("whole_row.*")

@@ -14,10 +14,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import binaries, components, cut, drop, mix, ngram_hashes, pieces, run_bounds, signed, whole_runs, words_of
+from nearfield.llm.common import binaries, components, cut, drop, mix, ngram_hashes, noted, pieces, remove, run_bounds, signed, whole_runs, words_of
 
 SHINGLE = 5
 HASHES, BITS = 128, 4
@@ -125,7 +125,7 @@ def _sign(percent: int):
                 m = minima([sets[i] for i in full])
                 for i, p, v in zip(full, pack(m), signed(band_values(m, percent)), strict=True):
                     packed[i], bands[i] = p.tobytes(), v
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), binaries(digest), binaries(packed), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "packed", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), binaries(digest), binaries(packed), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "digest", "packed", "bands"])
 
     return of
 
@@ -292,13 +292,13 @@ def _whole_runs_of(df: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text; further columns are ignored).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of docs (doc_id, text; further columns are ignored); text_hash: F.xxhash64("text"), which tells rows of one doc_id apart.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id reachable. Null, empty
     and blank texts have no shingles and stay alone; a null doc_id takes no part: component_id is null and the row is kept. Rows that share text share a class.
     """
     docs = docs.select("doc_id", "text")
-    signed_ = cut(docs.mapInArrow(_sign(percent), "doc_id long, n_shingles long, digest binary, packed binary, bands array<long>"), "signatures")
+    signed_ = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sign(percent), "doc_id long, text_hash long, n_shingles long, digest binary, packed binary, bands array<long>"), "signatures")
     full = signed_.where("digest is not null and doc_id is not null")
     # one representative for all documents with the same set
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("packed").alias("packed"), F.min("bands").alias("bands"))
@@ -343,10 +343,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     linked = components(blocks.mapInArrow(_confirmed(percent), "a long, b long").unionByName(to_hub)).withColumnRenamed("node", "rep")
     linked = cut(reps.select("digest", "rep").join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "components")
     drop(classes, reps, tried, sets, beside)
-    out = signed_.select("doc_id", "n_shingles", "digest").join(linked, "digest", "left")
+    out = signed_.select("doc_id", "text_hash", "n_shingles", "digest").join(linked, "digest", "left")
     return out.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
+        "text_hash",
     )
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest doc_id; of rows with equal doc_id and text one. Columns as they are, whatever their names.
+
+    A row is kept or left out by its doc_id and text, so that rows of one doc_id are judged each by its own text. Rows with a null doc_id stay. What is left in the scratch folder is the table of kept rows.
+    """
+    with noted() as made:
+        kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+        kept = cut(kept, "kept")
+        remove(docs.sparkSession, *[path for path in made if path != kept.scratch_path])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("source"))
+    return rows.withColumn("nth", nth).where("nth = 1 or doc_id is null").select("whole_row.*")

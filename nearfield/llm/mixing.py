@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import SPACE_WORD, cut, let
+from nearfield.llm.common import SPACE_WORD, cut, let, noted, remove
 
 #: Words of a block, slots of an output shard, slots that a task makes or a bucket numbers, and stripes in which draws meet their sources, at most.
 BLOCK_WORDS, SHARD_SLOTS, TASK_SLOTS, STRIPES = 64, 4096, 1 << 18, 1 << 16
@@ -158,15 +158,22 @@ def taken_words(laid: DataFrame, pieces: DataFrame) -> DataFrame:
     return laid.join(took, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
+def _passes(pieces: DataFrame) -> DataFrame:
+    """(row, passes): what each pass takes of a row, in order of its words."""
+    parts = pieces.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))
+    return parts.groupBy("row").agg(F.collect_list(F.struct("pass", "taken", "parts")).alias("passes"))  # three at most
+
+
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 1) -> DataFrame:
     """The mix as documents: for each pass that takes words of a document, a row with the words it takes, the text itself where that is all of them.
 
-    Columns doc_id, text, lang, source, n_chars. A document that no pass takes is left out; one that several take is there several times.
+    Columns doc_id, text, lang, source, n_chars. A document that no pass takes is left out; one that several take is there several times. Left in the scratch folder: the documents with their sizes, from
+    which the result is read, and the passes.
     """
-    sized = with_sizes(docs, "text", "lang")
-    _, pieces = mixture(sized, weights, cap, seed=seed)
-    parts = pieces.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))
-    parts = parts.groupBy("row").agg(F.collect_list(F.struct("pass", "taken", "parts")).alias("passes"))  # three at most
+    with noted() as made:
+        sized = with_sizes(docs, "text", "lang")
+        parts = cut(_passes(mixture(sized, weights, cap, seed=seed)[1]), "passes")
+        remove(docs.sparkSession, *[path for path in made if path not in (sized.scratch_path, parts.scratch_path)])
     whole = sized.join(parts, "row")
 
     def text_of(p: Column, words: Column) -> Column:
