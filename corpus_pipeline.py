@@ -8,37 +8,24 @@ from __future__ import annotations
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm.common import cut, noted, remove
+from nearfield.llm.common import cut, drop, noted, remove
 from nearfield.llm.decontaminate import without_contaminated
 from nearfield.llm.language import without_rejected
-from nearfield.llm.minhash import near_duplicates
+from nearfield.llm.minhash import without_near_duplicates
 from nearfield.llm.mixing import mixed_documents
 from nearfield.llm.sstable import read_digests, write_tokens
 from nearfield.session import ship
 
-#: Scratch tables of stages whose results have been written since, by application.
-_DONE: dict[str, list[str]] = {}
-
 
 def _stage(f):
-    """f, which first removes the scratch tables of earlier stages, unless docs are read from one of them: stages may be called without writing between."""
+    """f, after the library's modules have gone to the executors."""
 
     @wraps(f)
     def of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        done = _DONE.setdefault(spark.sparkContext.applicationId, [])
-        read = docs.inputFiles()
-        if not any(path.rsplit("/", 1)[-1] in file for path in done for file in read):
-            remove(spark, *done)
-            done.clear()
-        with noted() as made:
-            out = f(spark, docs, sf_dir)
-        if f is not token_shards.__wrapped__:
-            done.extend(made)
-        return out
+        return f(spark, docs, sf_dir)
 
     return of
 
@@ -51,12 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates at similarity 0.8, that of the smallest doc_id; of rows with equal doc_id and text one. Null doc_ids stay."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = cut(kept, "kept")
-    both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source"))
-    return both.withColumn("__nth_copy__", nth).where("`__nth_copy__` = 1 or doc_id is null").select(*docs.columns)
+    """Keeps one document of each class of near-duplicates at similarity 0.8, that of the smallest doc_id; of rows with equal doc_id and text one. Rows of one doc_id are judged each by its own text; null doc_ids stay."""
+    return without_near_duplicates(docs, percent=80)
 
 
 @_stage
@@ -90,10 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the rows of the last."""
+    """All stages over documents; the rows of the last. A stage's scratch tables go as soon as what it gives is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with noted() as made:
+            before, docs = docs, cut(stage(spark, docs, sf_dir), "stage")
+            remove(spark, *[path for path in made if path != docs.scratch_path])
+        if hasattr(before, "scratch_path"):
+            drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
