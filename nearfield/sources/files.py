@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import finite, selectivity_of_name
+from nearfield.session import ship
+from nearfield.sources.vecfiles import VectorFiles, reaches
 
 CLASSES = ("positive", "negative", "random")
 
@@ -42,14 +44,43 @@ def _vectors(spark: SparkSession, path: str, kind: str, element: str) -> DataFra
     return rows.join(start.select("path", "start"), "path").select((F.col("start") + F.col("row")).alias("vec_id"), "embedding")
 
 
+def _by_bytes(spark: SparkSession, path: str, kind: str, rows: int | None = None) -> DataFrame:
+    """A file, or a folder's files, split by bytes."""
+    ship(spark)
+    spark.dataSource.register(VectorFiles)
+    options = {"path": path, "kind": kind} | ({} if rows is None else {"rows": str(rows)})
+    return spark.read.format("vecfiles").options(**options).load()
+
+
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
-    """(vec_id, embedding array<float>) of .fvecs files; wrong lengths are errors. A file is one task's work, as the format has no index."""
-    return _vectors(spark, path, "<f4", "float")
+    """(vec_id, embedding array<float>) of .fvecs files; wrong lengths are errors. Files are split by bytes over tasks; on a file system that only Spark reaches, a file is one task's work."""
+    return _by_bytes(spark, path, "fvecs") if reaches(path) else _vectors(spark, path, "<f4", "float")
 
 
 def read_ivecs(spark: SparkSession, path: str) -> DataFrame:
-    """(vec_id, embedding array<int>) of .ivecs files."""
-    return _vectors(spark, path, "<i4", "int")
+    """(vec_id, embedding array<int>) of .ivecs files, as read_fvecs() does."""
+    return _by_bytes(spark, path, "ivecs") if reaches(path) else _vectors(spark, path, "<i4", "int")
+
+
+def _write_by_bytes(rows: DataFrame, path: str, kind: str, mode: str) -> None:
+    ship(rows.sparkSession)
+    rows.sparkSession.dataSource.register(VectorFiles)
+    rows.write.format("vecfiles").option("kind", kind).option("path", path).mode(mode).save()
+
+
+def write_fvecs(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """vectors (vec_id, embedding) as .fvecs parts in order of vec_id, which reading then numbers from 0. Parts become visible when all are written."""
+    _write_by_bytes(vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("vec_id", F.col("embedding").cast("array<float>")), path, "fvecs", mode)
+
+
+def write_ivecs(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """vectors (vec_id, embedding) of integers as .ivecs parts, as write_fvecs() does."""
+    _write_by_bytes(vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("vec_id", F.col("embedding").cast("array<int>")), path, "ivecs", mode)
+
+
+def write_raw(values: DataFrame, path: str, kind: str, mode: str = "overwrite") -> None:
+    """values (row, value) as parts of bare i32, i64 or f32 values in order of row."""
+    _write_by_bytes(values.repartitionByRange("row").sortWithinPartitions("row").select("row", F.col("value").cast(RAW[kind][1])), path, kind, mode)
 
 
 #: Element types of raw files.
@@ -73,7 +104,9 @@ def _values(spark: SparkSession, path: str, element: str, rows: int | None, pars
 
 
 def read_raw(spark: SparkSession, path: str, kind: str, rows: int | None = None) -> DataFrame:
-    """(row, value) of a file of little-endian i32, i64 or f32 values without a header; a part of a value is an error."""
+    """(row, value) of files of little-endian i32, i64 or f32 values without a header, split by bytes; a part of a value, or a number of values other than rows, is an error."""
+    if reaches(path):
+        return _by_bytes(spark, path, kind, rows)
     dtype, element = RAW[kind]
 
     def parse(name, data):
