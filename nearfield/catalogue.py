@@ -1,7 +1,7 @@
 """All queries of the library's own operators, by name, with their DuckDB SQL.
 
 Vector queries run on the embeddings table with two attributes made from vec_id and label, and with vectors moved towards their label's axis, so that cells and correlations have
-something to find. Every 25th row is a query, the others are the base.
+something to find. All rows are the base, and every 25th is a query too.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import scalars
-from nearfield.functions.vectors import inner, l2, normalised
-from nearfield.operators import calibrate, catalog, search, stats, workload
+from nearfield.functions.vectors import cosine_distance, inner, l2, normalised
+from nearfield.operators import calibrate, catalog, graph, intervals, search, stats, workload
 from nearfield.operators.search import SearchOptions
 from nearfield.plans import router
 
@@ -51,7 +51,7 @@ with e as (
   select vec_id, label, embedding, (vec_id * 7919) % 1001 as attr_rand, label * 100 + (vec_id * 31) % 100 as attr,
     list_transform(embedding, lambda x, i: x::double * 0.5 + case when i - 1 = label then 1.0::double else 0.0::double end) as vec
   from embeddings
-), b as (select * from e where vec_id % 25 <> 0),
+), b as (select * from e),
 q as (select vec_id as query_id, vec as qvec, label, attr as own, (vec_id * 37) % 900 as lo, (vec_id * 37) % 900 + 100 + vec_id % 150 as hi from e where vec_id % 25 = 0)
 """
 D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))"
@@ -68,7 +68,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("vec_id % 25 <> 0")
+    return vectors(spark, sf_dir)
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +89,11 @@ CENTROIDS = "cen as (select label as cluster_id, list(x order by pos) as centroi
 # ---------------------------------------------------------------- search
 
 
-@_query(f"with p as (select q.vec_id as query_id, b.vec_id, {D2.format(a='b.embedding', b='q.embedding')} as d2 from embeddings b, embeddings q where b.vec_id % 25 <> 0 and q.vec_id % 25 = 0) select query_id, rank, vec_id, round(d2, 6) as d2 from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from p) where rank <= 5")
+@_query(f"with p as (select q.vec_id as query_id, b.vec_id, {D2.format(a='b.embedding', b='q.embedding')} as d2 from embeddings b, embeddings q where q.vec_id % 25 = 0) select query_id, rank, vec_id, round(d2, 6) as d2 from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from p) where rank <= 5")
 def vec_d2_topk(spark, sf_dir):
     e = vectors(spark, sf_dir).withColumn("vec", F.col("embedding"))
     q = e.where("vec_id % 25 = 0").selectExpr("vec_id as query_id", "vec as qvec")
-    return search.knn(e.where("vec_id % 25 <> 0").select("vec_id", "vec"), q, K).select("query_id", "rank", "vec_id", _r("d2"))
+    return search.knn(e.select("vec_id", "vec"), q, K).select("query_id", "rank", "vec_id", _r("d2"))
 
 
 @_query(f"with p as (select q.vec_id as query_id, b.vec_id, {IP.format(a='b.embedding', b='q.embedding')} as ip from embeddings b, embeddings q where b.vec_id <> q.vec_id and q.vec_id % 25 = 0) select query_id, rank, vec_id, round(ip, 6) as ip from (select *, row_number() over (partition by query_id order by ip desc, vec_id) as rank from p) where rank <= 5")
@@ -121,6 +121,13 @@ def l2_normalize(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", _r(F.sqrt(inner("vec", "vec")), "length"), _r(F.element_at(normalised("vec"), 1), "first"))
 
 
+@_query(E + f" select e.vec_id, round(1 - {IP.format(a='e.vec', b='o.vec')} / (sqrt({IP.format(a='e.vec', b='e.vec')}) * sqrt({IP.format(a='o.vec', b='o.vec')})), 6) + 0.0 as distance from e join e o on o.vec_id = e.vec_id - e.vec_id % 10")
+def cosine_distance_to_tenth(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", normalised("vec").alias("vec"))
+    other = v.select(F.col("vec_id").alias("tenth"), F.col("vec").alias("other"))
+    return v.withColumn("tenth", F.col("vec_id") - F.col("vec_id") % 10).join(other, "tenth").select("vec_id", _r(cosine_distance("vec", "other"), "distance"))
+
+
 @_query(EXACT + " select query_id, rank, vec_id, round(d2, 6) as d2 from pre")
 def pre_filter_topk(spark, sf_dir):
     return search.pre_filter(base(spark, sf_dir), ranges(spark, sf_dir), K).select("query_id", "rank", "vec_id", _r("d2"))
@@ -205,6 +212,19 @@ def selectivity_large(spark, sf_dir):
     return stats.selectivity(li.select(F.col("l_quantity").alias("attr")), q).select("query_id", "m", _r("selectivity"))
 
 
+OPEN = "with r as (select c_custkey as query_id, case when c_custkey % 3 = 0 then '-infinity'::double else c_acctbal * 20 end as lo, case when c_custkey % 5 = 0 then 'infinity'::double else c_acctbal * 20 + 1e3 * (c_custkey % 400) end as hi from customer where c_custkey % 20 = 0)"
+
+
+@_query(OPEN + " select r.query_id, count(*) as n, round(min(o_totalprice), 6) as least, round(max(o_totalprice), 6) as most, sum(o_orderkey)::bigint as keys from r join orders on o_totalprice between lo and hi group by r.query_id")
+def range_join_open(spark, sf_dir):
+    """Ranges from narrow to unbounded on a skewed price: what each holds of all orders."""
+    c = _table(spark, sf_dir, "customer").where("c_custkey % 20 = 0")
+    lo = F.when(F.col("c_custkey") % 3 == 0, F.lit(float("-inf"))).otherwise(F.col("c_acctbal") * 20)
+    hi = F.when(F.col("c_custkey") % 5 == 0, F.lit(float("inf"))).otherwise(F.col("c_acctbal") * 20 + 1e3 * (F.col("c_custkey") % 400))
+    held = intervals.range_join(_table(spark, sf_dir, "orders"), c.select(F.col("c_custkey").alias("query_id"), lo.alias("lo"), hi.alias("hi")), "o_totalprice")
+    return held.groupBy("query_id").agg(F.count("*").alias("n"), _r(F.min("o_totalprice"), "least"), _r(F.max("o_totalprice"), "most"), F.sum("o_orderkey").cast("long").alias("keys"))
+
+
 BINS = ", bins as (select n, low, case when high = low then low + 1 else high end as high, iqr, case when high = low then 1 else least(greatest(case when iqr > 0 then ceil((high - low) / (2 * iqr / cbrt(n))) else ceil(n / 50.0) end, 20), 200) end::bigint as bins from (select count(attr)::bigint as n, min(attr)::double as low, max(attr)::double as high, quantile_cont(attr, 0.75) - quantile_cont(attr, 0.25) as iqr from {t}))"
 
 
@@ -303,13 +323,13 @@ def plan_three_route(spark, sf_dir):
     return router.three_route(_planned(spark, sf_dir)).select("query_id", _r("selectivity"), "plan", "correlation_type")
 
 
-ROUTED = E + CORR + f", plans as (select query_id, {THREE} as plan from co), d as (select q.query_id, b.vec_id, {D2.format(a='b.vec', b='q.qvec')} as d2 from b, q where b.attr between q.lo and q.hi), pre as (select * from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from d) where rank <= {K})"
+ROUTED = E + CORR + PROBE[len(PAIRS) :].replace(f", {CENTROIDS}", "", 1).join((f", d as (select q.query_id, b.vec_id, b.attr, b.label, q.lo, q.hi, {D2.format(a='b.vec', b='q.qvec')} as d2 from b, q)", f", plans as (select query_id, {THREE} as plan from co), pre as (select query_id, rank, vec_id, d2 from (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from d where attr between lo and hi) where rank <= {K})"))
 
 
-@_query(ROUTED + " select query_id, rank, vec_id, round(d2, 6) as d2, plan from pre join plans using (query_id)")
+@_query(ROUTED + " select query_id, rank, vec_id, round(d2, 6) as d2, plan from pre join plans using (query_id) where plan <> 'ACORN' union all select query_id, rank, vec_id, round(d2, 6) as d2, plan from ivf join plans using (query_id) where plan = 'ACORN'")
 def routed_topk(spark, sf_dir):
     planned = router.three_route(_planned(spark, sf_dir))
-    return router.routed(base(spark, sf_dir), planned, cells(spark, sf_dir), SearchOptions(k=K), 10).select("query_id", "rank", "vec_id", _r("d2"), "plan")
+    return router.routed(base(spark, sf_dir), planned, cells(spark, sf_dir), SearchOptions(k=K), 3).select("query_id", "rank", "vec_id", _r("d2"), "plan")
 
 
 @_query(E + CORR + f" select plan, count(*) as queries, sum((heuristic > 0)::bigint)::bigint as above from (select *, {THREE} as plan from co) group by plan")
@@ -487,9 +507,17 @@ def tau_points_dedupe(spark, sf_dir):
     return calibrate.latest_points(p).select("source", "selectivity", _r("tau"))
 
 
-@_query()
+FIT = """with p as (select l_linenumber / 10.0::double as selectivity, log10(l_linenumber / 10.0::double) as x, avg(l_discount * l_linenumber) as tau from lineitem group by l_linenumber),
+s as (select count(*)::double as s0, sum(x) as s1, sum(x * x) as s2, sum(x * x * x) as s3, sum(x * x * x * x) as s4, sum(tau) as t0, sum(x * tau) as t1, sum(x * x * tau) as t2 from p),
+d as (select *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) as det from s),
+c as (select (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det as c0, (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - t1 * s2)) / det as c1, (s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det as c2 from d)
+select selectivity, round(x, 6) as log10_selectivity, round(c0 + c1 * x + c2 * x * x, 6) + 0.0 as interpolated_tau from p, c"""
+
+
+@_query(FIT)
 def tau_poly_fit(spark, sf_dir):
-    points = spark.createDataFrame(list(zip(scalars.TAU_SELECTIVITIES, scalars.TAU_POINTS["tanh"], strict=True)), "selectivity double, tau double")
+    li = _table(spark, sf_dir, "lineitem")
+    points = li.groupBy((F.col("l_linenumber") / 10.0).alias("selectivity")).agg(F.avg(F.col("l_discount") * F.col("l_linenumber")).alias("tau"))
     return calibrate.interpolated(points.select("selectivity"), calibrate.fit_tau(points, 2)).select("selectivity", _r("log10_selectivity"), _r("interpolated_tau"))
 
 
@@ -618,11 +646,27 @@ def rbf_attribute(spark, sf_dir):
     return blended_attribute(base(spark, sf_dir).select("vec_id", "vec"), anchors, 0.8)
 
 
-@_query()
+def _smoothed_sql(steps: int = 12, keep: float = 0.2) -> str:
+    turns = "".join(f", a{t + 1} as materialized (select s.cluster_id, {1 - keep} * sum(w.w * a.a) + {keep} * min(s.a) as a from a0 s join w on w.cluster_id = s.cluster_id join a{t} a on a.cluster_id = w.nbr group by s.cluster_id)" for t in range(steps))
+    return f""", pd as (select x.cluster_id, y.cluster_id as nbr, {D2.format(a='x.centroid', b='y.centroid')} as d2, row_number() over (partition by x.cluster_id order by {D2.format(a='x.centroid', b='y.centroid')}, y.cluster_id) as r from cen x join cen y on x.cluster_id <> y.cluster_id),
+k as (select count(*) as k from cen), sg as (select greatest(quantile_cont(g, 0.5), 1e-9) as sigma from (select sqrt(min(d2)) as g from pd group by cluster_id)),
+raw as (select cluster_id, nbr, exp(-d2 / (2 * sigma * sigma)) as w from pd, k, sg where r <= least(greatest(3, least(k - 1, ceil(sqrt(k)))), k - 1) union all select cluster_id, cluster_id, 1.0 from cen),
+w as materialized (select cluster_id, nbr, w / sum(w) over (partition by cluster_id) as w from raw), a0 as materialized (select cluster_id, ({_draw_sql('cluster_id', 12)} + 0.5::double) / 2147483648 as a from cen){turns},
+z as (select min(a) as low, max(a) as high from a{steps}) select cluster_id, round((a - low) / (high - low), 6) as anchor from a{steps}, z"""
+
+
+@_query(E + ", " + CENTROIDS + _smoothed_sql())
 def smoothed_anchors(spark, sf_dir):
     from nearfield.operators.models import smoothed_anchors as smooth
 
     return smooth(cells(spark, sf_dir)).select("cluster_id", _r("anchor"))
 
 
+@_query()
+def graph_filtered_topk(spark, sf_dir):
+    """Filtered search along a neighbour graph of all vectors; approximate, tests hold its recall."""
+    b = base(spark, sf_dir).select("vec_id", "vec", "attr")
+    return graph.filtered_search(b, graph.knn_graph(b), ranges(spark, sf_dir), K).select("query_id", "rank", "vec_id", _r("d2"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "l2"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import gaussian, l2, squared_l2
-from nearfield.operators.search import small
-from nearfield.operators.workload import draw
+from nearfield.operators.search import all_pairs, small
+from nearfield.operators.workload import MOD, draw
+from nearfield.tables import written
 
 SMOOTHING_STEPS, KEEP = 12, 0.2
 
@@ -60,29 +60,36 @@ def blended_attribute(vectors: DataFrame, anchors: DataFrame, sigma: float, most
     return a.crossJoin(F.broadcast(ends)).select("vec_id", F.bround(most * unit).cast("long").alias("attr"))
 
 
-def smoothed_anchors(centres: DataFrame, seed: int = 0, steps: int = SMOOTHING_STEPS, keep: float = KEEP) -> DataFrame:
-    """(cluster_id, centroid, anchor): pseudorandom anchors smoothed over the nearest centroids' graph. The steps run on the driver: more than 4096 centroids are an error."""
-    rows = sorted(centres.limit(4097).collect(), key=lambda r: r.cluster_id)
-    if len(rows) > 4096:
-        raise ValueError("more than 4096 centroids")
-    x = np.array([r.centroid for r in rows])
-    k = len(x)
-    start = np.random.default_rng(seed).random(k)
-    if k > 1:
-        d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
-        gaps = np.sqrt(np.where(np.eye(k, dtype=bool), np.inf, d2).min(1))
-        sigma = max(float(np.median(gaps)), 1e-9)
-        n = min(max(3, min(k - 1, math.ceil(math.sqrt(k)))), k - 1)
-        near = np.argsort(np.where(np.eye(k, dtype=bool), np.inf, d2), axis=1)[:, :n]
-        w = np.eye(k)
-        at = np.arange(k)[:, None]
-        w[at, near] = np.exp(-d2[at, near] / (2 * sigma**2))
-        w /= w.sum(1, keepdims=True)
-        a = start
-        for _ in range(steps):
-            a = (1 - keep) * (w @ a) + keep * start
-        start = (a - a.min()) / (a.max() - a.min()) if a.max() > a.min() else np.full(k, 0.5)
-    return centres.sparkSession.createDataFrame([(r.cluster_id, r.centroid, float(v)) for r, v in zip(rows, start, strict=True)], "cluster_id int, centroid array<double>, anchor double")
+def smoothing_graph(centres: DataFrame) -> DataFrame:
+    """(cluster_id, nbr, w): each centroid's nearest others, about the root of their number, with Gaussian weights of the distance, and itself with 1, made shares. Ties go to the smaller cluster."""
+    x = centres.select(F.col("cluster_id").alias("vec_id"), F.col("centroid").alias("vec"))
+    pairs = all_pairs(x, x.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))).where("vec_id <> query_id")
+    k = F.count("*").cast("long")
+    some = F.least(F.greatest(F.lit(3), F.least(F.col("k") - 1, F.ceil(F.sqrt("k")))), F.col("k") - 1)
+    size = centres.agg(k.alias("k")).select(some.alias("some"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
+    near = pairs.select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2")).withColumn("r", rank).crossJoin(F.broadcast(size)).where(F.col("r") <= F.greatest("some", F.lit(1))).drop("some")
+    near = written(near, "near-centroids")
+    sigma = near.where("r = 1").agg(F.greatest(F.percentile(F.sqrt("d2"), 0.5), F.lit(1e-9)).alias("sigma"))
+    w = near.crossJoin(F.broadcast(sigma)).select(F.col("query_id").alias("cluster_id"), F.col("vec_id").alias("nbr"), F.exp(-F.col("d2") / (2 * F.col("sigma") ** 2)).alias("w"))
+    w = w.unionByName(centres.select("cluster_id", F.col("cluster_id").alias("nbr"), F.lit(1.0).alias("w")))
+    return w.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("cluster_id")))
+
+
+def smoothed_anchors(centres: DataFrame, seed: int = 12, steps: int = SMOOTHING_STEPS, keep: float = KEEP) -> DataFrame:
+    """(cluster_id, centroid, anchor): anchors drawn by a hash of cluster_id, smoothed over the nearest centroids' graph and spread over 0..1; all alike gives the middle, one alone its draw.
+
+    A step is a join with the edges and a sum. Runs jobs: the edges and every third step are tables.
+    """
+    start = centres.select("cluster_id", ((draw(F.col("cluster_id"), seed) + 0.5) / MOD).alias("start"))
+    edges, a = written(smoothing_graph(centres), "edges"), start.withColumnRenamed("start", "a")
+    for t in range(steps):
+        sent = edges.join(a.select(F.col("cluster_id").alias("nbr"), "a"), "nbr").groupBy("cluster_id").agg(F.sum(F.col("w") * F.col("a")).alias("a"))
+        a = sent.join(start, "cluster_id").select("cluster_id", ((1 - keep) * F.col("a") + keep * F.col("start")).alias("a"))
+        a = written(a, "anchors") if t % 3 == 2 else a
+    ends = a.agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("k"))
+    unit = F.when(F.col("k") == 1, F.col("start")).when(F.col("high") > F.col("low"), (F.col("a") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(0.5))
+    return centres.join(a.join(start, "cluster_id").crossJoin(F.broadcast(ends)).select("cluster_id", unit.alias("anchor")), "cluster_id").select("cluster_id", "centroid", "anchor")
 
 
 def linked_correlated_attribute(vectors: DataFrame, k: int = 10, seed: int = 0, sigma_scale: float = 1.0) -> DataFrame:

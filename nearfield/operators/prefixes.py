@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.ranks import STRIPES, _quantiles, stripe
+from nearfield.tables import written
 
 #: Places of a block, and rows that are merged at once into a stripe's sorted values.
 BLOCK, CHUNK = 1 << 16, 4096
@@ -82,8 +83,9 @@ def prefix_quantiles(rows: DataFrame, points: DataFrame, share: float) -> DataFr
     """(series, at, tau) for points (series, at): the quantile, interpolated, of the values of the series' rows whose place is not above at. A point before all values gives no row.
 
     rows: series, at (a place from 1 on), v; nulls of v are left out, and there are no infinities or NaN. The number of series is small: each has a row of boundaries.
+    Runs a job: the rows are read several times, from a table.
     """
-    rows = rows.where("v is not null").select("series", F.col("at").cast("long").alias("at"), F.col("v").cast("double").alias("v"))
+    rows = written(rows.where("v is not null").select("series", F.col("at").cast("long").alias("at"), F.col("v").cast("double").alias("v")), "prefix-rows")
     bounds = rows.groupBy("series").agg(_quantiles(F.col("v")).alias("_bounds"))
     block = F.floor((F.col("at") - 1) / BLOCK).cast("long")
     dealt = fine_stripes(rows, bounds, ["series"], "v").withColumn("g", block)

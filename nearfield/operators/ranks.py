@@ -5,9 +5,13 @@ No window over all rows and no inequality join. Boundaries come from a mergeable
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.tables import written
+
 #: Stripes of an order, a power of two, and the sketch's accuracy (a stripe's share of rows is right to one part in ACCURACY).
 STRIPES, ACCURACY = 1024, 10_000
 
@@ -62,30 +66,39 @@ def running(rows: DataFrame, by: str, name: str, then: tuple[str, ...] = (), of:
     return dealt.join(F.broadcast(starts), ["_s", "_t"]).withColumn(name, (F.col("_at") + inside).cast("long")).drop("_s", "_t", "_at")
 
 
-def counted_up_to(points: DataFrame, counts: DataFrame, at: str, name: str, inclusive: bool) -> DataFrame:
-    """points with name: how many rows have values below at, or up to it. counts: (v, n). Null at counts none.
+def counted(points: DataFrame, counts: DataFrame, wanted: dict[str, tuple[str, bool]]) -> DataFrame:
+    """points with, for each column at of wanted, its name: how many rows have values below at, or up to it where inclusive; wanted: at -> (name, inclusive). counts: (v, n). Null at counts none.
 
-    The points' different values stand among the counted ones in one order, whose running sum is read off: work is linear in both.
+    The points' different values stand among the counted ones in one order, whose running sum is read off: work is linear in both. Runs a job: what was read off is a table.
     """
     values = counts.where("v is not null and not isnan(cast(v as double))").select(F.col("v").alias("_v"), F.col("n").cast("long").alias("_c"), F.lit(1).alias("_kind"))
-    asked = points.where(F.col(at).isNotNull()).select(F.col(at).alias("_v")).distinct().select("_v", F.lit(0).cast("long").alias("_c"), F.lit(2 if inclusive else 0).alias("_kind"))
-    found = running(values.unionByName(asked), "_v", "_upto", ("_kind",), of="_c").where("_kind <> 1").select("_v", "_upto")
-    out = points.withColumn("_v", F.col(at)).join(found, "_v", "left")
-    return out.withColumn(name, F.coalesce("_upto", F.lit(0).cast("long"))).drop("_v", "_upto")
+    asked = reduce(DataFrame.union, [points.where(F.col(at).isNotNull()).select(F.col(at).alias("_v"), F.lit(0).cast("long").alias("_c"), F.lit(2 if inclusive else 0).alias("_kind")) for at, (_, inclusive) in wanted.items()])
+    found = written(running(values.unionByName(asked.distinct()), "_v", "_upto", ("_kind",), of="_c").where("_kind <> 1").select("_v", "_upto", "_kind"), "counted")
+    for at, (name, inclusive) in wanted.items():
+        of = found.where(F.col("_kind") == (2 if inclusive else 0)).select("_v", "_upto")
+        points = points.withColumn("_v", F.col(at)).join(of, "_v", "left").withColumn(name, F.coalesce("_upto", F.lit(0).cast("long"))).drop("_v", "_upto")
+    return points
+
+
+def counted_up_to(points: DataFrame, counts: DataFrame, at: str, name: str, inclusive: bool) -> DataFrame:
+    """counted() for one column."""
+    return counted(points, counts, {at: (name, inclusive)})
 
 
-def latest(points: DataFrame, values: DataFrame, at: str, by: str) -> DataFrame:
-    """points with the columns of the row of values whose by is the last at or before at; none where there is no such row. An as-of join: by is distinct, names are too.
+def latest(points: DataFrame, values: DataFrame, wanted: dict[str, str], by: str) -> DataFrame:
+    """points with, for each column at of wanted, its name: a struct of the row of values whose by is the last at or before at; a point is left out where one has no such row. An as-of join; by is distinct.
 
-    Both stand in one order; each point takes the last row before it in its stripe, or else the last row of the stripes before.
+    Points and values stand in one order; each point takes the last row before it in its stripe, or else the last row of the stripes before. Runs a job: what the points take is a table.
     """
     held = F.struct(*[F.col(c) for c in values.columns])
     rows = values.where(F.col(by).isNotNull()).select(F.col(by).alias("_v"), F.lit(0).alias("_kind"), held.alias("_row"))
-    asked = points.where(F.col(at).isNotNull()).select(F.col(at).alias("_v")).distinct()
+    asked = reduce(DataFrame.union, [points.where(F.col(at).isNotNull()).select(F.col(at).alias("_v")) for at in wanted]).distinct()
     both = _dealt(rows.unionByName(asked.select("_v", F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))), "_v", None)
     before = F.last("_last", ignorenulls=True).over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
     carried = both.groupBy("_s").agg(F.max_by("_row", F.when(F.col("_kind") == 0, F.col("_v"))).alias("_last")).select("_s", before.alias("_before"))
     inside = F.last("_row", ignorenulls=True).over(Window.partitionBy("_s").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = both.withColumn("_found", inside).where("_kind = 1").join(F.broadcast(carried), "_s").select("_v", F.coalesce("_found", "_before").alias("_found"))
-    out = points.withColumn("_v", F.col(at)).join(found.where("_found is not null"), "_v").drop("_v")
-    return out.select("*", "_found.*").drop("_found")
+    found = written(found.where("_found is not null"), "latest")
+    for at, name in wanted.items():
+        points = points.withColumn("_v", F.col(at)).join(found.withColumnRenamed("_found", name), "_v").drop("_v")
+    return points

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import bin_index, freedman_diaconis, js_distance
-from nearfield.operators.ranks import counted_up_to
+from nearfield.operators.ranks import counted
 from nearfield.operators.search import small
 
 SMOOTH = 1e-3
@@ -18,11 +18,11 @@ def value_counts(base: DataFrame, attr: str = "attr") -> DataFrame:
 
 
 def selectivity(base: DataFrame, queries: DataFrame, attr: str = "attr") -> DataFrame:
-    """(query_id, m, selectivity): exact share of rows in each query's [lo, hi], as the difference of two lookups in counts of values. Reversed or null ends hold no rows."""
+    """(query_id, m, selectivity): exact share of rows in each query's [lo, hi], as the difference of two lookups in counts of values, which are a table: it runs a job. Reversed or null ends hold no rows."""
     counts = value_counts(base, attr)
     total = base.agg(F.count("*").alias("total"))
     q = queries.select("query_id", "lo", "hi")
-    q = counted_up_to(counted_up_to(q, counts, "hi", "upto", True), counts, "lo", "below", False)
+    q = counted(q, counts, {"hi": ("upto", True), "lo": ("below", False)})
     m = q.select("query_id", F.when(F.col("lo") <= F.col("hi"), F.col("upto") - F.col("below")).otherwise(F.lit(0)).cast("long").alias("m"))
     return m.crossJoin(F.broadcast(total)).select("query_id", "m", F.when(F.col("total") > 0, F.col("m") / F.col("total")).otherwise(F.lit(0.0)).alias("selectivity"))
 
@@ -60,9 +60,9 @@ def within_radius(vectors: DataFrame, centres: DataFrame, slack: float = 1.3) ->
     """The members (vec_id, vec, cluster_id) no farther from their centroid than slack times the farthest."""
     from nearfield.functions.vectors import l2
 
-    d = vectors.join(small(centres), "cluster_id").withColumn("dist", l2("vec", "centroid"))
-    most = F.max("dist").over(Window.partitionBy("cluster_id"))
-    return d.withColumn("radius", slack * most).where("dist <= radius").drop("centroid", "radius", "dist")
+    d = vectors.join(small(centres), "cluster_id").withColumn("dist", l2("vec", "centroid")).drop("centroid")
+    most = d.groupBy("cluster_id").agg((slack * F.max("dist")).alias("radius"))
+    return d.join(F.broadcast(most), "cluster_id").where("dist <= radius").drop("radius", "dist")  # a row per cluster
 
 
 def as_arrays(hist: DataFrame, by: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators.ranks import counted_up_to, latest, running
 from nearfield.operators.search import knn, small
+from nearfield.tables import written
 
 #: Multiplier and modulus of the hash.
 MUL, MOD = 73244475, 2147483648
@@ -26,10 +27,17 @@ def positions(base: DataFrame, attr: str = "attr") -> DataFrame:
     return running(counts, "v", "upto", of="n").withColumn("last", F.col("upto") - 1).withColumn("first", F.col("last") - F.col("n") + 1).select("v", "first", "last")
 
 
+def values_at(queries: DataFrame, pos: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """queries with, for each column at of wanted, its name: the sorted attribute's value at that position; beyond the last position there is none, and no row. Runs a job."""
+    out = latest(queries, pos.select("v", "first", "last"), {at: f"_row_{name}" for at, name in wanted.items()}, "first")
+    for at, name in wanted.items():
+        out = out.where(F.col(at) <= F.col(f"_row_{name}.last")).withColumn(name, F.col(f"_row_{name}.v")).drop(f"_row_{name}")
+    return out
+
+
 def value_at(queries: DataFrame, pos: DataFrame, at: str, name: str) -> DataFrame:
-    """queries with name: the sorted attribute's value at position at; beyond the last position there is none, and no row."""
-    v = pos.select(F.col("v").alias(name), F.col("first").alias("_first"), F.col("last").alias("_last"))
-    return latest(queries, v, at, "_first").where(F.col(at) <= F.col("_last")).drop("_first", "_last")
+    """values_at() for one column."""
+    return values_at(queries, pos, {at: name})
 
 
 def random_ranges(base: DataFrame, queries: DataFrame, share: float, salt: int = 0) -> DataFrame:
@@ -39,7 +47,7 @@ def random_ranges(base: DataFrame, queries: DataFrame, share: float, salt: int =
     q = q.withColumn("t", F.greatest(F.lit(1), F.least(F.col("n"), F.floor(share * F.col("n")))))
     q = q.withColumn("start", draw(F.col("query_id"), salt) % (F.col("n") - F.col("t") + 1)).withColumn("end", F.least(F.col("n") - 1, F.col("start") + F.col("t")))
     pos = positions(base)
-    return value_at(value_at(q, pos, "start", "lo"), pos, "end", "hi").select("query_id", "lo", "hi")
+    return values_at(q, pos, {"start": "lo", "end": "hi"}).select("query_id", "lo", "hi")
 
 
 def correlated_ranges(base: DataFrame, queries: DataFrame, share: float, k: int) -> DataFrame:
@@ -54,8 +62,7 @@ def correlated_ranges(base: DataFrame, queries: DataFrame, share: float, k: int)
     q = q.withColumn("a", F.greatest(F.lit(0), F.col("at") - F.col("half"))).withColumn("b", F.least(F.col("n") - 1, F.col("at") + F.col("half")))
     left = F.col("centre") > F.col("median")
     q = q.withColumn("c", F.when(left, F.lit(0)).otherwise(F.col("n") - F.col("t"))).withColumn("d", F.when(left, F.col("t") - 1).otherwise(F.col("n") - 1))
-    for at, name in (("a", "pos_lo"), ("b", "pos_hi"), ("c", "neg_lo"), ("d", "neg_hi")):
-        q = value_at(q, pos, at, name)
+    q = values_at(q, pos, {"a": "pos_lo", "b": "pos_hi", "c": "neg_lo", "d": "neg_hi"})
     return q.select("query_id", "centre", "pos_lo", "pos_hi", "neg_lo", "neg_hi")
 
 
@@ -65,8 +72,8 @@ def rejection_ranges(base: DataFrame, queries: DataFrame, share: float, tries: i
     q = queries.select("query_id").crossJoin(F.broadcast(n)).withColumn("t", F.greatest(F.lit(1), F.least(F.col("n"), F.floor(share * F.col("n")))))
     q = q.withColumn("try", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))))
     q = q.withColumn("start", draw(F.col("query_id") * 64 + F.col("try"), 3) % (F.col("n") - F.col("t") + 1)).withColumn("end", F.col("start") + F.col("t") - 1)
-    pos = positions(base)
-    q = value_at(value_at(q, pos, "start", "lo"), pos, "end", "hi")
+    pos = written(positions(base), "positions")
+    q = values_at(q, pos, {"start": "lo", "end": "hi"})
     q = q.join(pos.select(F.col("v").alias("lo"), F.col("first").alias("lo_first")), "lo").join(pos.select(F.col("v").alias("hi"), F.col("last").alias("hi_last")), "hi")
     q = q.withColumn("actual", (F.col("hi_last") - F.col("lo_first") + 1) / F.col("n")).withColumn("error", F.abs(F.col("actual") - share))
     good = F.col("error") <= F.greatest(1 / F.col("n"), F.lit(tolerance * share))

@@ -15,6 +15,7 @@ from nearfield.operators.prefixes import prefix_quantiles
 from nearfield.operators.search import SearchOptions
 from nearfield.plans import evaluate, router
 from nearfield.plans.states import State
+from nearfield.tables import written
 
 METRICS = {"true": "true_correlation", "heuristic": "heuristic_correlation", "tanh": "tanh_correlation", "pgap": "pgap_correlation"}
 #: Order of the classes in tables of predictions.
@@ -82,11 +83,11 @@ def null_history(scored: DataFrame, every: int) -> DataFrame:
 def null_experiment(state: State, pool: DataFrame, selectivities: list[float], n: int, k: int, subsets: int = 32, every: int = 100, salt: int = 11) -> NullRun:
     """What the scores are where range and query have nothing to do with each other: n queries of pool (query_id, qvec), ranges at random, for each selectivity.
 
-    The thresholds are the 0.99 quantiles of summary (selectivity, queries, actual_mean, actual_least, actual_most, and <metric>_tau_q99). All tables are lazy; write scores first where several are used.
+    The thresholds are the 0.99 quantiles of summary (selectivity, queries, actual_mean, actual_least, actual_most, and <metric>_tau_q99). Scores are written once, the tables made of them are lazy.
     """
     queries = workload.drawn_queries(pool, n, salt).select("query_id", "qvec")
     each = [null_scores(state, queries, s, k, subsets).withColumn("selectivity", F.lit(s)) for s in selectivities]
-    return null_tables(reduce(DataFrame.unionByName, each), every)
+    return null_tables(written(reduce(DataFrame.unionByName, each), "null-scores"), every)
 
 
 def null_tables(scored: DataFrame, every: int = 100) -> NullRun:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.scalars import bin_index, class_of, tau
 from nearfield.operators import search
 from nearfield.operators.search import SearchOptions, small
+from nearfield.tables import written
 
 EPS = 1e-9
 
@@ -50,7 +51,8 @@ def classified(scores: DataFrame, metric: str, threshold: float) -> DataFrame:
 
 
 def routed(base: DataFrame, planned: DataFrame, cells: DataFrame, options: SearchOptions, n_probe: int) -> DataFrame:
-    """(query_id, rank, vec_id, d2, plan): each query answered by its plan's strategy; the routes are branches of one lazy plan."""
+    """(query_id, rank, vec_id, d2, plan): each query answered by its plan's strategy. The planned queries and the cells are written once, and the routes are branches of one plan over them."""
+    planned, cells = written(planned.select("query_id", "qvec", "lo", "hi", "plan"), "planned"), written(cells, "cells")
     of = lambda p: planned.where(F.col("plan") == p).select("query_id", "qvec", "lo", "hi")
     cols = ["query_id", "rank", "vec_id", "d2"]
     pre = search.pre_filter(base, of("PRE"), options.k).select(*cols, F.lit("PRE").alias("plan"))

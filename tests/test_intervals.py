@@ -71,7 +71,7 @@ def test_as_of(spark):
     rnd = random.Random(4)
     values = [(float(v), f"n{v}") for v in rnd.sample(range(-500, 5000), 700)]
     points = [(k, rnd.choice([rnd.uniform(-700, 6000), rnd.choice(values)[0]])) for k in range(400)] + [(1000, None), (1001, INF), (1002, -INF)]
-    got = {r.id: r.name for r in ranks.latest(spark.createDataFrame(points, "id long, x double"), spark.createDataFrame(values, "at double, name string"), "x", "at").collect()}
+    got = {r.id: r.name for r in ranks.latest(spark.createDataFrame(points, "id long, x double"), spark.createDataFrame(values, "at double, name string"), {"x": "row"}, "at").select("id", "row.name").collect()}
     want = {}
     for k, x in points:
         before = [(v, n) for v, n in values if x is not None and v <= x]
