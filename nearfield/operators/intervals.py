@@ -44,10 +44,10 @@ def range_join(base: DataFrame, queries: DataFrame, attr: str = "attr") -> DataF
     """base rows joined to the queries whose [lo, hi] holds their attribute: ranges of any width, with infinite ends, on any scale.
 
     Nulls, and ranges whose ends are in reverse, match nothing. A query is copied to LEVELS * 2 + ROOTS nodes at most, however wide its range; a row to LEVELS nodes, without a shuffle where Spark
-    broadcasts the queries. Queries with ends that differ in type from the attribute are compared as Spark compares them.
+    broadcasts the queries. Runs a job, for the stripes' boundaries. Queries with ends that differ in type from the attribute are compared as Spark compares them.
     """
-    bounds = F.broadcast(boundaries(base, attr))  # one row
-    asked = queries.where("lo <= hi").crossJoin(bounds)
-    asked = asked.withColumn("_node", F.explode(cover(stripe(F.col("lo")), stripe(F.col("hi"))))).drop("_bounds")
-    rows = base.where(F.col(attr).isNotNull()).crossJoin(bounds).withColumn("_node", F.explode(nodes_above(stripe(F.col(attr))))).drop("_bounds")
+    # one row of STRIPES - 1 numbers, as a constant of the plan
+    bounds = F.split(F.lit(",".join(map(repr, boundaries(base, attr).first()[0]))), ",").cast("array<double>")
+    asked = queries.where("lo <= hi").withColumn("_node", F.explode(cover(stripe(F.col("lo"), bounds), stripe(F.col("hi"), bounds))))
+    rows = base.where(F.col(attr).isNotNull()).withColumn("_node", F.explode(nodes_above(stripe(F.col(attr), bounds))))
     return rows.join(asked, "_node").where(F.col(attr).between(F.col("lo"), F.col("hi"))).drop("_node")
