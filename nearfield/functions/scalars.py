@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,6 +107,26 @@ def json_of(**columns: Column) -> Column:
     return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]))
 
 
+def parsed_json(c: Column, fields: str) -> Column:
+    """A JSON object's fields, by a schema such as "a long, s string"; what is no JSON object has null fields, and so has a missing one."""
+    return F.from_json(c, fields)
+
+
+def spaced(kind: str, start: float, stop: float, n: int) -> Column:
+    """An array of n numbers: linspace from start to stop; logspace, powers of ten between these exponents; geomspace, a constant ratio from start to stop, both above 0; one number is start."""
+    if n < 1 or kind not in ("linspace", "logspace", "geomspace") or kind == "geomspace" and not (start > 0 and stop > 0):
+        raise ValueError(f"no {kind} of {n} numbers from {start} to {stop}")
+    a, b = (math.log10(start), math.log10(stop)) if kind == "geomspace" else (start, stop)
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(a)) + i * ((b - a) / max(n - 1, 1)))
+    return at if kind == "linspace" else F.transform(at, lambda x: F.pow(F.lit(10.0), x))
+
+
+def stepped(start: float, stop: float, step: float) -> Column:
+    """An array from start to before stop by a step above 0; empty if stop is not beyond start."""
+    n = max(0, math.ceil((stop - start) / step))
+    return F.transform(F.slice(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), 1, n), lambda i: F.lit(float(start)) + i * float(step))
+
+
 def numbers_of(c: Column) -> Column:
     """The numbers of a list with commas; blanks are passed over, and what is no number is null."""
     parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")

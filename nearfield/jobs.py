@@ -1,4 +1,4 @@
-"""Jobs for spark-submit: python -m nearfield.jobs {null,plan,estimate,interpolate} ... Tables are Parquet, reports CSV and Markdown."""
+"""Jobs for spark-submit: python -m nearfield.jobs {null,plan,compare,estimate,interpolate} ... Tables are Parquet, reports CSV and Markdown."""
 
 from __future__ import annotations
 
@@ -12,14 +12,17 @@ from nearfield.operators.search import SearchOptions
 from nearfield.plans import experiments, states
 from nearfield.session import ship
 from nearfield.sources import files
+from nearfield.tables import written
 
 
+# Names, choices and defaults of the options that runs are called with.
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description=__doc__)
     jobs = parser.add_subparsers(dest="job", required=True)
     null = jobs.add_parser("null", help="null scores, and thresholds by selectivity")
     plan = jobs.add_parser("plan", help="strategies and planner over a workload of random ranges")
-    for p in (null, plan):
+    compare = jobs.add_parser("compare", help="correlations of ranges near, away from and regardless of the queries, predictions counted, strategies by class")
+    for p in (null, plan, compare):
         p.add_argument("--vectors", required=True, help="Parquet of (vec_id, vec)")
         p.add_argument("--queries", required=True, help="Parquet of (query_id, qvec)")
         p.add_argument("--out", required=True)
@@ -33,6 +36,11 @@ def _arguments() -> argparse.ArgumentParser:
     plan.add_argument("--n-queries", type=int, default=100)
     plan.add_argument("--n-probe", type=int, default=4)
     plan.add_argument("--backend", choices=("corr", "rand"), default="corr")
+    compare.add_argument("--sel", type=float, default=0.01)
+    compare.add_argument("--n-queries", type=int, default=10, help="queries of each class")
+    compare.add_argument("--neighbours", type=int, default=100)
+    compare.add_argument("--n-probe", type=int, default=4)
+    compare.add_argument("--performance", action="store_true", help="also run every strategy on every class")
     estimate = jobs.add_parser("estimate", help="thresholds that tell the classes of a comparison apart")
     estimate.add_argument("--input", required=True, help="comparison CSV")
     estimate.add_argument("--out", required=True)
@@ -73,6 +81,25 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return report
 
 
+def compare(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Writes the comparison of the classes, the counts of each metric's predictions and, if wanted, a table of strategies for each class; returns the counts."""
+    both = states.vector_states(spark.read.parquet(a.vectors))
+    pool = written(workload.drawn_queries(spark.read.parquet(a.queries), a.n_queries).select("query_id", "qvec"), "compared-queries")
+    near = written(workload.correlated_ranges(both["corr"].base, pool, a.sel, a.neighbours), "correlated-ranges")
+    of = {"positive": near.selectExpr("query_id", "pos_lo as lo", "pos_hi as hi"), "negative": near.selectExpr("query_id", "neg_lo as lo", "neg_hi as hi"), "random": workload.random_ranges(both["rand"].base, pool, a.sel)}
+    ranges = {name: pool.join(r, "query_id") for name, r in of.items()}
+    compared = written(experiments.correlation_comparison(both, ranges, a.k_eval), "comparison")
+    files.write_report(compared.orderBy("correlation_type", "query_id"), f"{a.out}/comparison")
+    counts = written(experiments.classification(compared, a.sel), "classification")
+    files.write_report(counts.orderBy("metric", "actual_class"), f"{a.out}/classification")
+    for m in (m for m in experiments.METRICS if m != "true"):
+        files.write_report(counts.where(F.col("metric") == m).select("actual_class", *experiments.CLASSES).orderBy("actual_class"), f"{a.out}/matrix_{m}")
+    if a.performance:
+        for name, q in ranges.items():
+            files.write_report(experiments.strategy_report(both["rand" if name == "random" else "corr"], q, SearchOptions(k=a.k_eval), a.n_probe), f"{a.out}/performance_{name}")
+    return counts
+
+
 def estimate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Writes the sweep of each metric and the table of the best thresholds; returns the latter."""
     wanted = {m: c for m, c in experiments.METRICS.items() if a.metric in ("all", m)}
@@ -101,7 +128,7 @@ def main(argv: list[str] | None = None) -> None:
     a = _arguments().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
-    job = {"null": null, "plan": plan, "estimate": estimate, "interpolate": interpolate}[a.job]
+    job = {"null": null, "plan": plan, "compare": compare, "estimate": estimate, "interpolate": interpolate}[a.job]
     print(files.markdown(job(spark, a)))
 
 

@@ -129,3 +129,14 @@ def test_options_and_empty_clusters(spark, backend):
     got = {r.cluster_id: r.centroid for r in search.centroids(state.base, clusters=wanted).collect()}
     assert set(got) == {0, 9} and got[9] == [0.0] * 3 and any(got[0])
     assert search.first_queries(pool, 3).count() == 3
+
+
+def test_compare_job(spark, backend, tmp_path):
+    state, pool, _, _ = backend
+    state.base.select("vec_id", "vec").write.parquet(str(tmp_path / "v"))
+    pool.select("query_id", "qvec").write.parquet(str(tmp_path / "q"))
+    jobs.main(["compare", "--vectors", str(tmp_path / "v"), "--queries", str(tmp_path / "q"), "--out", str(tmp_path / "o"), "--sel", "0.2", "--n-queries", "4", "--neighbours", "5", "--k-eval", "3"])
+    compared = spark.read.csv(str(tmp_path / "o" / "comparison"), header=True)
+    assert {r.correlation_type: r["count"] for r in compared.groupBy("correlation_type").count().collect()} == {"positive": 4, "negative": 4, "random": 4}
+    matrix = spark.read.csv(str(tmp_path / "o" / "matrix_tanh"), header=True).collect()
+    assert sum(int(r.negative) + int(r.random) + int(r.positive) for r in matrix) == 12

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,13 @@ def test_fit_meets_its_points(spark):
     points = spark.createDataFrame([(0.001, 0.1), (0.01, 0.3), (0.1, 0.2)], "selectivity double, tau double")
     got = calibrate.interpolated(points.select("selectivity"), calibrate.fit_tau(points, 5)).collect()
     assert [r.interpolated_tau for r in got] == pytest.approx([0.1, 0.3, 0.2])
+
+
+def test_spaced_numbers_and_json(spark):
+    one = spark.range(1)
+    for kind, args in (("linspace", (0.0, 3.0, 7)), ("logspace", (-3.0, 0.0, 4)), ("geomspace", (0.001, 0.5, 9)), ("linspace", (2.0, 9.0, 1))):
+        assert np.allclose(one.select(scalars.spaced(kind, *args).alias("x")).first().x, getattr(np, kind)(*args))
+    for args in ((0.0, 1.0, 0.3), (5.0, 5.0, 1.0), (1.0, 4.0, 1.0)):
+        assert np.allclose(one.select(scalars.stepped(*args).alias("x")).first().x, np.arange(*args))
+    rows = spark.createDataFrame([('{"b": "x", "a": 3}',), ("{",), (None,)], "j string").select(scalars.parsed_json(F.col("j"), "a long, b string").alias("o")).select("o.*").collect()
+    assert [tuple(r) for r in rows] == [(3, "x"), (None, None), (None, None)]
