@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at similarity 0.85 on 5-word shingles."""
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
