@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from nearfield.functions.scalars import class_of, finite
 from nearfield.functions.vectors import squared_l2
 from nearfield.operators.prefixes import prefix_quantiles
-from nearfield.operators.ranks import STRIPES, _quantiles, running, stripe
+from nearfield.operators.quantiles import quantiles
+from nearfield.operators.ranks import STRIPES, running, sketched, stripe
 from nearfield.operators.search import all_pairs, small, top_k
 from nearfield.operators.workload import draw
 
@@ -52,7 +53,7 @@ def rank_starts(dist: DataFrame) -> tuple[DataFrame, DataFrame]:
     Boundaries are quantiles of the distances of every SAMPLE-th row by hash: they settle how rows are dealt, not what is counted.
     """
     picked = F.when(F.pmod(F.xxhash64("vec_id"), F.lit(SAMPLE)) == 0, F.col("d"))
-    bounds = dist.agg(F.coalesce(_quantiles(picked), F.array_repeat(F.lit(float("inf")), STRIPES - 1)).alias("_bounds"))
+    bounds = dist.agg(F.coalesce(sketched(picked), F.array_repeat(F.lit(float("inf")), STRIPES - 1)).alias("_bounds"))
     dealt = dist.crossJoin(F.broadcast(bounds)).withColumn("stripe", stripe(F.col("d"))).drop("_bounds")
     query = Window.partitionBy("query_id")
     # a row per query and stripe
@@ -149,9 +150,9 @@ def sampled_correlation(base: DataFrame, queries: DataFrame, k: int, subsets: in
 
 
 def null_quantiles(scores: DataFrame, metrics: list[str]) -> DataFrame:
-    """(metric, n, median, q90, q95, q99, most) of each metric's absolute finite values."""
+    """(metric, n, median, q90, q95, q99, most) of each metric's absolute finite values. Runs a job, as quantiles() does."""
     long = scores.unpivot([], metrics, "metric", "v").where(finite(F.col("v"))).withColumn("v", F.abs("v"))
-    q = long.groupBy("metric").agg(F.count("*").alias("n"), F.percentile("v", [0.5, 0.9, 0.95, 0.99]).alias("q"), F.max("v").alias("most"))
+    q = quantiles(long, "v", [0.5, 0.9, 0.95, 0.99, 1.0], ("metric",)).withColumn("most", F.col("q")[4])
     return q.select("metric", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("median", "q90", "q95", "q99"))], "most")
 
 
@@ -215,7 +216,9 @@ def confusion(predicted: DataFrame) -> DataFrame:
 
 def class_distribution(scores: DataFrame, metric: str) -> DataFrame:
     """(actual, n, mean, median, q10, q25, q75, q90, least, most)."""
-    q = scores.where(finite(F.col(metric))).groupBy("actual").agg(F.count("*").alias("n"), F.avg(metric).alias("mean"), F.percentile(metric, [0.5, 0.1, 0.25, 0.75, 0.9]).alias("q"), F.min(metric).alias("least"), F.max(metric).alias("most"))
+    kept = scores.where(finite(F.col(metric)))
+    means = kept.groupBy(F.col("actual").alias("_actual")).agg(F.avg(metric).alias("mean"))
+    q = quantiles(kept, metric, [0.5, 0.1, 0.25, 0.75, 0.9, 0.0, 1.0], ("actual",)).join(means, F.col("actual").eqNullSafe(F.col("_actual"))).withColumns({"least": F.col("q")[5], "most": F.col("q")[6]})
     return q.select("actual", "n", "mean", *[F.col("q")[i].alias(c) for i, c in enumerate(("median", "q10", "q25", "q75", "q90"))], "least", "most")
 
 

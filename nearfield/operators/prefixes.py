@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators.ranks import STRIPES, _quantiles, stripe
+from nearfield.operators.ranks import STRIPES, sketched, stripe
 from nearfield.tables import written
 
 #: Places of a block, and rows that are merged at once into a stripe's sorted values.
@@ -86,7 +86,7 @@ def prefix_quantiles(rows: DataFrame, points: DataFrame, share: float) -> DataFr
     Runs a job: the rows are read several times, from a table.
     """
     rows = written(rows.where("v is not null").select("series", F.col("at").cast("long").alias("at"), F.col("v").cast("double").alias("v")), "prefix-rows")
-    bounds = rows.groupBy("series").agg(_quantiles(F.col("v")).alias("_bounds"))
+    bounds = rows.groupBy("series").agg(sketched(F.col("v")).alias("_bounds"))
     block = F.floor((F.col("at") - 1) / BLOCK).cast("long")
     dealt = fine_stripes(rows, bounds, ["series"], "v").withColumn("g", block)
     counts = dealt.groupBy("series", "g", "_s").agg(F.count("*").alias("c"))

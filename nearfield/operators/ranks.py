@@ -20,7 +20,7 @@ def _number(c: Column) -> Column:
     return c.cast("double")
 
 
-def _quantiles(c: Column) -> Column:
+def sketched(c: Column) -> Column:
     """STRIPES - 1 boundaries of a column's finite values."""
     inside = F.when(~F.isnan(_number(c)) & (F.abs(_number(c)) != float("inf")), _number(c))
     return F.percentile_approx(inside, [i / STRIPES for i in range(1, STRIPES)], ACCURACY)
@@ -28,7 +28,7 @@ def _quantiles(c: Column) -> Column:
 
 def boundaries(rows: DataFrame, by: str) -> DataFrame:
     """One row (_bounds): the values at which stripes of the number by begin, but the first; a value that many rows have is there several times. Infinities, NaN and null count as none."""
-    return rows.agg(F.coalesce(_quantiles(F.col(by)), F.array_repeat(F.lit(float("inf")), STRIPES - 1)).alias("_bounds"))
+    return rows.agg(F.coalesce(sketched(F.col(by)), F.array_repeat(F.lit(float("inf")), STRIPES - 1)).alias("_bounds"))
 
 
 def stripe(v: Column, bounds: Column | str = "_bounds") -> Column:
@@ -46,7 +46,7 @@ def _dealt(rows: DataFrame, by: str, ties: str | None) -> DataFrame:
         return dealt.withColumn("_t", F.lit(0))
     # a value that stands twice among the boundaries has a stripe's share of rows or more: at most STRIPES / 2 of them
     full = bounds.select(F.explode(F.array_distinct(F.filter("_bounds", lambda b, i: (i > 0) & (b == F.get(F.col("_bounds"), i - 1)))))).toDF("_full")
-    inside = rows.select(_number(F.col(by)).alias("_full"), F.col(ties).alias("_tie")).join(F.broadcast(full), "_full").groupBy("_full").agg(_quantiles(F.col("_tie")).alias("_inner"))
+    inside = rows.select(_number(F.col(by)).alias("_full"), F.col(ties).alias("_tie")).join(F.broadcast(full), "_full").groupBy("_full").agg(sketched(F.col("_tie")).alias("_inner"))
     dealt = dealt.withColumn("_full", _number(F.col(by))).join(F.broadcast(inside), "_full", "left")
     return dealt.withColumn("_t", F.when(F.col("_inner").isNotNull(), stripe(F.col(ties), "_inner")).otherwise(F.lit(0))).drop("_full", "_inner")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import bin_index, freedman_diaconis, js_distance
+from nearfield.operators.quantiles import quantiles
 from nearfield.operators.ranks import counted
 from nearfield.operators.search import small
 
@@ -33,8 +34,9 @@ def realised(ranges: DataFrame, selectivity: str = "actual") -> DataFrame:
 
 
 def choose_bins(base: DataFrame, attr: str = "attr") -> DataFrame:
-    """One row (n, low, high, iqr, bins): a number of bins by spread and size, between 20 and 200."""
-    q = base.agg(F.count(attr).alias("n"), F.min(attr).cast("double").alias("low"), F.max(attr).cast("double").alias("high"), F.percentile(attr, [0.25, 0.75]).alias("q"))
+    """One row (n, low, high, iqr, bins): a number of bins by spread and size, between 20 and 200. Runs a job; without values n is 0 and the rest null."""
+    q = base.agg(F.count(attr).alias("n"), F.min(attr).cast("double").alias("low"), F.max(attr).cast("double").alias("high"))
+    q = q.join(F.broadcast(quantiles(base, attr, [0.25, 0.75]).select("q")), how="left")  # one row, or none
     q = q.select("n", "low", F.when(F.col("high") == F.col("low"), F.col("low") + 1).otherwise(F.col("high")).alias("high"), (F.col("high") - F.col("low")).alias("span"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     bins = F.when(F.col("span") == 0, F.lit(1)).otherwise(freedman_diaconis(F.col("n"), F.col("low"), F.col("high"), F.col("iqr")))
     return q.select("n", "low", "high", "iqr", bins.cast("long").alias("bins"))

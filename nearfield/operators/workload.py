@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.quantiles import quantiles
 from nearfield.operators.ranks import counted_up_to, latest, running
 from nearfield.operators.search import knn, small
 from nearfield.tables import written
@@ -54,7 +55,7 @@ def correlated_ranges(base: DataFrame, queries: DataFrame, share: float, k: int)
     """(query_id, centre, pos_lo, pos_hi, neg_lo, neg_hi): ranges around the median attribute of the k nearest, and in the tail away from it."""
     near = knn(base, queries, k).join(base.select("vec_id", "attr"), "vec_id")
     centre = near.groupBy("query_id").agg(F.percentile("attr", 0.5).alias("centre"))
-    whole = base.agg(F.count("*").alias("n"), F.percentile("attr", 0.5).alias("median"))
+    whole = base.agg(F.count("*").alias("n")).join(F.broadcast(quantiles(base, "attr", [0.5]).select(F.col("q")[0].alias("median"))), how="left")  # one row, or none
     q = centre.crossJoin(F.broadcast(whole)).withColumn("t", F.greatest(F.lit(1), F.least(F.col("n"), F.floor(share * F.col("n")))))
     pos = positions(base)
     counts = base.groupBy(F.col("attr").alias("v")).agg(F.count("*").alias("n"))

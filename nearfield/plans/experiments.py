@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.scalars import class_of, finite, tau
 from nearfield.operators import calibrate, search, stats, workload
 from nearfield.operators.prefixes import prefix_quantiles
+from nearfield.operators.quantiles import quantiles
 from nearfield.operators.search import SearchOptions
 from nearfield.plans import evaluate, router
 from nearfield.plans.states import State
@@ -93,13 +94,13 @@ def null_experiment(state: State, pool: DataFrame, selectivities: list[float], n
 def null_tables(scored: DataFrame, every: int = 100) -> NullRun:
     """The tables of a null experiment from its scores, which may have been written and read again."""
     long = scored.unpivot(["selectivity", "query_id", "actual_selectivity", "subset_size"], list(METRICS.values()), "metric", "score").where(finite(F.col("score"))).withColumn("size", F.abs("score"))
-    q = long.groupBy("selectivity", "metric").agg(F.count("*").alias("n"), F.percentile("size", [0.5, 0.9, 0.95, 0.99]).alias("q"), F.max("size").alias("most"))
-    quantiles = q.select("selectivity", "metric", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("median", "q90", "q95", "q99"))], "most")
+    q = quantiles(long, "size", [0.5, 0.9, 0.95, 0.99, 1.0], ("selectivity", "metric")).withColumn("most", F.col("q")[4])
+    sizes = q.select("selectivity", "metric", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("median", "q90", "q95", "q99"))], "most")
     largest = search.top_k(long.withColumn("of", F.struct("selectivity", "metric")), 10, by=F.col("size").desc(), of="of", tie="query_id").select("selectivity", "metric", "rank", "query_id", "size", "score", "actual_selectivity", "subset_size")
     actual = scored.groupBy("selectivity").agg(F.count("*").alias("queries"), F.avg("actual_selectivity").alias("actual_mean"), F.min("actual_selectivity").alias("actual_least"), F.max("actual_selectivity").alias("actual_most"))
-    thresholds = quantiles.groupBy("selectivity").pivot("metric", list(METRICS.values())).agg(F.first("q99"))
+    thresholds = sizes.groupBy("selectivity").pivot("metric", list(METRICS.values())).agg(F.first("q99"))
     summary = actual.join(thresholds, "selectivity", "left").withColumnsRenamed({c: f"{m}_tau_q99" for m, c in METRICS.items()})
-    return NullRun(scored, summary, quantiles, largest, null_history(scored, every))
+    return NullRun(scored, summary, sizes, largest, null_history(scored, every))
 
 
 def correlation_comparison(states: dict[str, State], ranges: dict[str, DataFrame], k: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +25,40 @@ class State:
 
 
 def kept(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of that key below folder, made and written on first use; the key should be a hash of all that the table depends on."""
-    path = f"{folder}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    """The table of that key below folder, made and written on first use; the key should be a hash of all that the table depends on.
+
+    A table is written to a folder of its own and published by a manifest, <key>.json, that names it, so that a write that broke off is never read and writers at the
+    same time don't touch each other's files: the first to publish has its table read by all. A manifest that names no table is an error, not an absent one.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+    manifest = jvm.Path(f"{folder}/{key}.json")
+    fs = manifest.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def published() -> DataFrame:
+        stream = fs.open(manifest)
+        try:
+            line = stream.readLine()
+        finally:
+            stream.close()
+        try:
+            named = json.loads(line or "")["table"]
+        except (ValueError, KeyError, TypeError) as e:
+            raise ValueError(f"{manifest.toString()} names no table") from e
+        return spark.read.parquet(f"{folder}/{named}")
+
+    if fs.exists(manifest):
+        return published()
+    table = f"{key}-{uuid.uuid4().hex}"
+    make().write.parquet(f"{folder}/{table}")
+    # the manifest gets its name when it is whole
+    draft = jvm.Path(f"{folder}/_{table}.json")
+    stream = fs.create(draft, False)
+    stream.writeBytes(json.dumps({"key": key, "table": table}))
+    stream.close()
+    if fs.exists(manifest) or not fs.rename(draft, manifest):
+        fs.delete(draft, False)
+        fs.delete(jvm.Path(f"{folder}/{table}"), True)
+    return published()
 
 
 def vector_states(vectors: DataFrame, k: int | None = None, salt: int = 42, most: int = 1000) -> dict[str, State]:

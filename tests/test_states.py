@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from nearfield.operators import workload
@@ -33,3 +34,30 @@ def test_catalogue_state_and_kept_tables(spark, tmp_path):
         t = states.kept(spark, str(tmp_path), "k1", lambda: (made.append(1), rows)[1])
         assert t.count() == 80
     assert made == [1]
+
+
+def test_tables_are_read_only_when_published(spark, tmp_path):
+    rows = spark.range(5)
+    # a write that broke off: files without a manifest
+    rows.write.parquet(str(tmp_path / "k-broken"))
+    (tmp_path / "k-broken" / "_SUCCESS").unlink()
+
+    def fails():
+        raise RuntimeError("no table")
+
+    with pytest.raises(RuntimeError):
+        states.kept(spark, str(tmp_path), "k", fails)
+    assert states.kept(spark, str(tmp_path), "k", lambda: rows).count() == 5
+    assert states.kept(spark, str(tmp_path), "k", fails).count() == 5
+
+    def late():
+        """Another writer publishes while this one writes."""
+        states.kept(spark, str(tmp_path), "m", lambda: spark.range(7))
+        return spark.range(9)
+
+    assert states.kept(spark, str(tmp_path), "m", late).count() == 7
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("m-")]) == 1
+    (tmp_path / "n.json").write_text("{")
+    (tmp_path / ".n.json.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="names no table"):
+        states.kept(spark, str(tmp_path), "n", lambda: rows)
