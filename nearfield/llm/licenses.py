@@ -114,17 +114,103 @@ SENTENCES = (
     ("proprietary", "proprietary", r"proprietary and confidential", 0.6),
 )
 
+#: Label, keyword, signature of short names, unversioned families, exceptions and paragraphs; weight. The longest that stands counts, so a version beats none.
+SHORT = (
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: license)?(?: version)? ?v?3(?: 0)?(?: only| or later)?", 0.85),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: license)?(?: version)? ?v?2(?: 0)?(?: only| or later)?", 0.85),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version)? ?v?1(?: 0)?(?: only| or later)?", 0.85),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: license)?(?: version)? ?v?3(?: 0)?(?: only| or later)?", 0.85),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: license)?(?: version)? ?v?2 1(?: only| or later)?", 0.85),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl(?: license)?(?: version)? ?v?2(?: 0)?(?: only| or later)?", 0.85),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: license)?(?: version)? ?v?3(?: 0)?(?: only| or later)?", 0.85),
+    ("gpl", "gpl", r"(?:gnu )?gpl(?: licensed| license)?", 0.7),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: licensed| license)?", 0.7),
+    ("agpl", "agpl", r"(?:gnu )?agpl(?: licensed| license)?", 0.7),
+    ("lgpl", "lesser", r"(?:gnu )?lesser general public license", 0.85),
+    ("lgpl", "library", r"(?:gnu )?library general public license", 0.85),
+    ("agpl", "affero", r"(?:gnu )?affero general public license", 0.85),
+    ("gfdl", "free documentation", r"(?:gnu )?free documentation license", 0.85),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl(?: v?1 [1-3])?", 0.8),
+    ("bsd", "bsd", r"bsd(?: style| type)? licensed?", 0.8),
+    ("bsd", "berkeley", r"berkeley software distribution license", 0.85),
+    ("bsd-3-clause", "bsd", r"(?:bsd3|bsd 3|three clause bsd|3 clause bsd)(?: license)?", 0.85),
+    ("bsd-2-clause", "bsd", r"(?:bsd2|bsd 2|two clause bsd|2 clause bsd)(?: license)?", 0.85),
+    ("bsd-4-clause", "bsd", r"(?:bsd4|four clause bsd|old bsd)(?: license)?", 0.85),
+    ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission", 0.9),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment", 0.9),
+    ("bsd", "as is and any", r"this software is provided by (?:the|its) (?:copyright holders?|authors?|regents)(?: and contributors)? as is and any express or implied warranties", 0.85),
+    ("mit", "warranty of any kind", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 0.85),
+    ("isc", "the author disclaims", r"the software is provided as is and the author disclaims all warranties with regard to this software", 0.85),
+    ("zlib", "in no event", r"this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software", 0.9),
+    ("apache-2.0", "warranties or conditions", r"distributed on an as is basis without warranties or conditions of any kind either express or implied", 0.85),
+    ("gpl", "hope that it", r"this program is distributed in the hope that it will be useful but without any warranty", 0.85),
+    ("lgpl", "hope that it", r"this library is distributed in the hope that it will be useful but without any warranty", 0.85),
+    ("gpl", "received a copy", r"you should have received a copy of the gnu general public license", 0.9),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license v 2 0", 0.95),
+    ("mpl-2.0", "secondary", r"incompatible with secondary licenses", 0.85),
+    ("mpl", "mozilla", r"mozilla public license", 0.85),
+    ("mpl-2.0", "mpl", r"mpl(?: version)? ?v?2(?: 0)?", 0.85),
+    ("mpl-1.1", "mpl", r"mpl(?: version)? ?v?1 1", 0.85),
+    ("epl", "eclipse", r"eclipse public license", 0.85),
+    ("epl-2.0", "epl", r"epl ?v?2 0", 0.8),
+    ("epl-1.0", "epl", r"epl ?v?1 0", 0.8),
+    ("edl-1.0", "eclipse", r"eclipse distribution license(?: version| v)?(?: v?1 0)?", 0.85),
+    ("cddl", "distribution", r"common development and distribution license", 0.85),
+    ("cddl-1.0", "cddl", r"cddl(?: license)?(?: version)? ?v?1 0", 0.85),
+    ("cddl-1.1", "cddl", r"cddl(?: license)?(?: version)? ?v?1 1", 0.85),
+    ("cpl", "common public", r"common public license", 0.8),
+    ("ipl-1.0", "ibm", r"ibm public license(?: version| v)?(?: v?1 0)?", 0.85),
+    ("eupl", "european", r"european union public license", 0.85),
+    ("eupl-1.2", "eupl", r"eupl ?v?1 2", 0.85),
+    ("artistic", "artistic", r"(?:perl )?artistic license", 0.8),
+    ("artistic-1.0-or-gpl", "same terms as perl", r"under the same terms as perl(?: itself)?", 0.85),
+    ("apache-2.0", "apache", r"apache(?: license)? ?v?2(?: 0)?(?: licensed| license)?", 0.8),
+    ("apache", "apache", r"apache(?: software| style)? license(?:d)?", 0.8),
+    ("apache-2.0-llvm", "llvm", r"apache(?: license)?(?: v)? ?v?2 0 with llvm exceptions?", 0.95),
+    ("ncsa", "illinois", r"university of illinois(?: ncsa)? open source license", 0.9),
+    ("ncsa", "ncsa", r"ncsa open source license", 0.85),
+    ("gpl-classpath-exception", "classpath", r"(?:gnu )?classpath exception(?: 2 0)?", 0.85),
+    ("gcc-exception", "runtime library exception", r"gcc runtime library exception(?: 3 1)?", 0.85),
+    ("bsl-1.0", "boost", r"boost(?: software)? license", 0.8),
+    ("mit", "mit", r"mit(?: style)? licensed?", 0.8),
+    ("mit", "expat", r"expat license", 0.8),
+    ("mit", "shall be included in all", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
+    ("cc0-1.0", "creative commons zero", r"creative commons zero(?: v?1 0)?(?: universal)?", 0.9),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [0-9])?(?: international)?(?: license)?", 0.85),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:atives|s)(?: [1-4] [0-9])?(?: international)?(?: license)?", 0.85),
+    ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain", 0.95),
+    ("wtfpl", "wtfpl", r"wtfpl(?: license)?(?: version 2)?", 0.85),
+    ("sspl-1.0", "sspl", r"sspl(?: v?1(?: 0)?)?(?: license)?", 0.8),
+    ("busl-1.1", "busl", r"busl(?: 1 1)?(?: license)?", 0.8),
+    ("ofl-1.1", "open font", r"(?:sil )?open font license", 0.85),
+    ("postgresql", "postgresql", r"postgresql license", 0.85),
+    ("curl", "curl", r"curl license", 0.8),
+    ("ms-pl", "microsoft", r"microsoft public license", 0.85),
+    ("ms-rl", "microsoft", r"microsoft reciprocal license", 0.85),
+    ("upl-1.0", "universal permissive", r"universal permissive license(?: v?1 0)?", 0.85),
+    ("afl-3.0", "academic free", r"academic free license(?: version| v)?(?: v?3 0)?", 0.85),
+    ("osl-3.0", "open software", r"open software license(?: version| v)?(?: v?3 0)?", 0.85),
+    ("mulan-2.0", "mulan", r"mulan (?:psl|permissive software license)(?: v2)?", 0.85),
+    ("blueoak-1.0.0", "blue oak", r"blue oak model license(?: 1 0 0)?", 0.85),
+    ("beerware", "beer ware", r"the beer ware license", 0.9),
+    ("llama-community", "llama", r"llama [2-4](?: [0-9])? community license(?: agreement)?", 0.9),
+    ("json", "good not evil", r"the software shall be used for good not evil", 0.95),
+)
+
 #: What a name stands in, by form; priority and weight.
 FORMS = (
     ("spdx license identifier {spdx}", 100, 1.0),
+    # further identifiers of an expression; the look-behind keeps the ones before them
+    ("(?={spdx} )(?<=spdx license identifier [a-z0-9 ]{{1,160}} (?:and|or|with) ){spdx}", 99, 1.0),
+    ("license {spdx}", 75, 0.9),
     ("(?:licensed|released|distributed|available|provided|published|covered|shared) under(?: the)?(?: terms of)?(?: the)? {name}", 90, 1.0),
     ("(?:see|read|copy of|text of|subject to|governed by|pursuant to|terms of)(?: the)? {name}", 80, 0.95),
     ("{name}", 60, 0.85),
 )
 
 #: A text is looked at only if, in lower case, it holds one of these, or both of two words in turn, whatever stands between words.
-TRIGGERS = ("licen", "spdx", "creativecommons", "publicdomain", "redistribut", "gnu", "proprietary", "wtfpl", "mozilla", "opensource", "cc0", "bsd", "rail")
-WORD_TRIGGERS = (("cc", "by"), ("creative", "commons"), ("public", "domain"), ("hereby", "granted"), ("rights", "reserved"), ("no", "attribution"))
+TRIGGERS = ("licen", "spdx", "creativecommons", "publicdomain", "redistribut", "gnu", "proprietary", "wtfpl", "mozilla", "opensource", "cc0", "bsd", "rail", "gpl", "gfdl", "cddl", "eupl", "wtfpl", "sspl", "busl", "mplv", "mpl1", "mpl2", "eplv", "epl1", "epl2", "apache2", "apachev", "classpath", "unencumbered", "mulan")
+WORD_TRIGGERS = (("cc", "by"), ("creative", "commons"), ("public", "domain"), ("hereby", "granted"), ("rights", "reserved"), ("no", "attribution"), ("mpl", "2"), ("mpl", "1"), ("mpl", "version"), ("epl", "2"), ("epl", "1"), ("epl", "v"), ("apache", "2"), ("apache", "v"), ("endorse", "or"), ("advertising", "materials"), ("implied", "warrant"), ("express", "or"), ("all", "warranties"), ("any", "warranty"), ("permission", "notice"), ("terms", "as"), ("library", "exception"), ("good", "not"))
 #: Fixed value: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -139,9 +225,10 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules, in order: each family in each form, then sentences and addresses. 'license' is 'licence' as well."""
-    out = [Rule(label, "spdx" if "{spdx}" in form else keyword, form.format(name=name, spdx=spdx), priority, weight) for form, priority, weight in FORMS for label, keyword, name, spdx in FAMILIES]
+    """All rules, in order: each family in each form, then sentences and addresses, then short names. 'license' is 'licence' as well."""
+    out = [Rule(label, "spdx" if "spdx license" in form else "licen" if "{spdx}" in form else keyword, form.format(name=name, spdx=spdx), priority, weight) for form, priority, weight in FORMS for label, keyword, name, spdx in FAMILIES]
     out += [Rule(label, keyword, pattern, 70, weight) for label, keyword, pattern, weight in SENTENCES]
+    out += [Rule(label, keyword, pattern, 58, weight) for label, keyword, pattern, weight in SHORT]
     return [replace(r, pattern=r.pattern.replace("license", "licen[cs]e")) for r in out]
 
 
