@@ -210,7 +210,7 @@ FORMS = (
 
 #: A text is looked at only if, in lower case, it holds one of these, or both of two words in turn, whatever stands between words.
 TRIGGERS = ("licen", "spdx", "creativecommons", "publicdomain", "redistribut", "gnu", "proprietary", "wtfpl", "mozilla", "opensource", "cc0", "bsd", "rail", "gpl", "gfdl", "cddl", "eupl", "wtfpl", "sspl", "busl", "mplv", "mpl1", "mpl2", "eplv", "epl1", "epl2", "apache2", "apachev", "classpath", "unencumbered", "mulan")
-WORD_TRIGGERS = (("cc", "by"), ("creative", "commons"), ("public", "domain"), ("hereby", "granted"), ("rights", "reserved"), ("no", "attribution"), ("mpl", "2"), ("mpl", "1"), ("mpl", "version"), ("epl", "2"), ("epl", "1"), ("epl", "v"), ("apache", "2"), ("apache", "v"), ("endorse", "or"), ("advertising", "materials"), ("implied", "warrant"), ("express", "or"), ("all", "warranties"), ("any", "warranty"), ("permission", "notice"), ("terms", "as"), ("library", "exception"), ("good", "not"))
+WORD_TRIGGERS = (("cc", "by"), ("creative", "commons"), ("public", "domain"), ("hereby", "granted"), ("rights", "reserved"), ("no", "attribution"), ("mpl", "2"), ("mpl", "1"), ("mpl", "v"), ("epl", "2"), ("epl", "1"), ("epl", "v"), ("apache", "2"), ("apache", "v"), ("endorse", "or"), ("advertising", "materials"), ("implied", "warrant"), ("express", "or"), ("all", "warranties"), ("any", "warranty"), ("permission", "notice"), ("terms", "as"), ("library", "exception"), ("good", "not"))
 #: Fixed value: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
