@@ -41,6 +41,11 @@ BUCKET_TOKENS = 1 << 22
 WORD_BYTES, GRAM_BYTES = 8, 5
 _LOW = np.uint64((1 << (8 * GRAM_BYTES)) - 1)
 
+#: A shard, in rows of at most PIECE_BYTES a column: m tokens, the different ones, numbers of those in order, and of each text whether it is learned from, its number of
+#: tokens and its doc_id.
+_SHARD = "shard int, part int, m long, words binary, codes binary, learn binary, sizes binary, doc_id array<long>"
+#: Small enough for a row to be no large object to the JVM.
+PIECE_BYTES = 1 << 17
 _ASKED = "bucket int, shard int, m int, keys binary, n binary, ctx binary, runs binary, parents binary, hot binary"
 #: An answer: m counts, and for each run of n-grams with the same context whether it stays; hot: contexts of which several buckets hold parts. Or, with shard -1, figures of
 #: such a context (ctx) or, at the root, of words that occur equally often (ctx times).
@@ -85,44 +90,100 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _argsort(key: np.ndarray) -> np.ndarray:
+    """The order of keys: their upper bits and their places are sorted as one number, and what that leaves in disorder by itself, which takes half the time of an argsort."""
+    low = np.uint64((1 << max(1, len(key).bit_length())) - 1)
+    both = np.sort(key & ~low | np.arange(len(key), dtype=np.uint64))
+    order, upper = (both & low).astype(np.int64), both & ~low
+    k = key[order]
+    wrong = np.unique(upper[1:][k[1:] < k[:-1]])
+    if len(wrong):
+        edge = np.zeros(len(key) + 1, np.int8)
+        edge[np.searchsorted(upper, wrong)] += 1
+        edge[np.searchsorted(upper, wrong, side="right")] -= 1
+        mixed = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        order[mixed] = order[mixed][np.argsort(k[mixed], kind="stable")]
+    return order
+
+
+def _released(f, *tables: pa.Table | None) -> pa.Table:
+    """f of tables; freed memory goes back to the system once f's arrays have gone."""
+    out = f(*tables)
+    give_back()
+    return out
+
+
+def _encode(texts: pa.Table) -> pa.Table:
+    texts = texts.sort_by("row").combine_chunks()
+    h, first = tokens(texts.column("text"))
+    order = _argsort(h)
+    new = _runs(h[order])
+    often = np.diff(np.append(new, len(h)))
+    by_count = np.argsort(-often, kind="stable")
+    number = np.empty(len(new), np.int32)
+    number[by_count] = np.arange(len(new), dtype=np.int32)
+    codes = np.empty(len(h), np.int32)
+    codes[order] = np.repeat(number, often)
+    learn = texts.column("learn").to_numpy(zero_copy_only=False).tobytes()
+    columns = [h[order[new]][by_count].tobytes(), pa.compress(codes.tobytes(), "zstd", asbytes=True), learn, _packed(np.diff(first))]
+    ids = pa.concat_arrays(texts.column("doc_id").cast(pa.int64()).chunks)
+    n = max(1, *(-(-len(c) // PIECE_BYTES) for c in columns), -(-len(ids) * 8 // PIECE_BYTES))
+    edges = np.minimum(np.arange(n + 1) * (PIECE_BYTES // 8), len(ids))
+    parts = [pa.array([c[i * PIECE_BYTES : (i + 1) * PIECE_BYTES] for i in range(n)], pa.binary()) for c in columns]
+    head = [pa.array([texts.column("shard")[0].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([len(h)] * n, pa.int64())]
+    return pa.table([*head, *parts, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ids)], names=[f.split()[0] for f in _SHARD.split(", ")])
+
+
+def _encoded(texts: pa.Table) -> pa.Table:
+    """A shard's texts, split into words once: its different tokens, the most frequent first, each place's number among them, and what is known of each text, in pieces."""
+    return _released(_encode, texts)
+
+
 class Walk:
     """Tokens of a shard's texts, in contexts that grow by a word a step.
 
-    At each depth asked() gives the different n-grams that want counts, in a fixed order, and told() takes the counts in that order.
+    At each depth asked() gives the different n-grams that want counts, in a fixed order, and told() takes the counts in that order. at: the places whose context may stay;
+    key, ctx, total and parent are theirs alone.
     """
 
-    def __init__(self, h: np.ndarray, first: np.ndarray, buckets: int, most: int) -> None:
-        self.h, self.buckets, self.most = h, buckets, most
-        self.place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-        self.key, self.open, self.depth = h, np.ones(len(h), bool), 0
+    def __init__(self, words: np.ndarray, codes: np.ndarray, sizes: np.ndarray, buckets: int, most: int) -> None:
+        self.words, self.codes, self.buckets, self.most = words, codes, buckets, most
+        first = np.cumsum(sizes) - sizes
+        self.place = np.arange(len(codes), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+        self.at, self.depth = np.arange(len(codes)), 0
         self._sort()
 
     def _sort(self) -> None:
         """The different n-grams in order of buckets and keys; those of a context stand together, but for contexts whose keys begin alike."""
-        self.at = np.flatnonzero(self.open)
-        key = self.key[self.at]
-        perm = np.argsort(key)
-        key = key[perm]
-        new = _runs(key) if len(key) else np.zeros(0, np.int64)
-        self.u, one = key[new], self.at[perm[new]]
-        self.u_ctx = self.ctx[one] if self.depth else np.zeros(len(one), np.uint64)
-        parts = (-(-self.total[one] // self.most)).astype(np.uint64) if self.depth else np.ones(len(one), np.uint64)
-        self.u_hot = parts > 1
-        with np.errstate(over="ignore"):
-            home = mix(self.u_ctx + ((self.u & _LOW) % np.maximum(parts, np.uint64(1))) * _BASE) if self.depth else self.u
+        if self.depth:
+            perm = _argsort(self.key)
+            key = self.key[perm]
+            new = _runs(key) if len(key) else np.zeros(0, np.int64)
+            one = perm[new]
+            self.u, self.u_ctx = key[new], self.ctx[one]
+            parts = (-(-self.total[one] // self.most)).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                home = mix(self.u_ctx + ((self.u & _LOW) % np.maximum(parts, np.uint64(1))) * _BASE)
+            self.u_hot = parts > 1
+        else:
+            self.u, self.u_ctx, self.u_hot = self.words, np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), bool)
+            home = self.u
         self.u_bucket = (home % np.uint64(self.buckets)).astype(np.int32)
         self.order = np.argsort(self.u_bucket.astype(np.uint16) if self.buckets < 1 << 16 else self.u_bucket, kind="stable")
-        rank = np.empty(len(self.order), np.int64)
-        rank[self.order] = np.arange(len(self.order))
-        self.back = np.empty(len(perm), np.int64)  # of each open place, the n-gram as asked for
-        self.back[perm] = np.repeat(rank, np.diff(np.append(new, len(key))))
+        rank = np.empty(len(self.order), np.int32)
+        rank[self.order] = np.arange(len(self.order), dtype=np.int32)
+        if self.depth:
+            self.back = np.empty(len(perm), np.int32)  # of each open place, the n-gram as asked for
+            self.back[perm] = np.repeat(rank, np.diff(np.append(new, len(key))))
+        else:
+            self.rank, self.back = rank, rank[self.codes]
 
     def asked(self, learn: np.ndarray) -> Iterator[dict]:
         """A row for each bucket: n-grams, their counts where learn holds, and the runs of equal contexts with the sums of the logarithms of their suffixes' probabilities."""
         o = self.order
         learn = learn[self.at]
         n = np.bincount(self.back[learn], minlength=len(o))
-        logs = np.bincount(self.back[learn], weights=np.log(self.parent[self.at[learn]]), minlength=len(o)) if self.depth else np.zeros(len(o))
+        logs = np.bincount(self.back[learn], weights=np.log(self.parent[learn]), minlength=len(o)) if self.depth else np.zeros(len(o))
         bucket, ctx = self.u_bucket[o], self.u_ctx[o]
         run = _runs(bucket, ctx) if len(o) else np.zeros(0, np.int64)
         logs = np.add.reduceat(logs, run) if len(o) else logs
@@ -145,67 +206,73 @@ class Walk:
         """Take the counts of what asked() gave, and step on to contexts that are a word longer."""
         o = self.order
         counts = np.concatenate([_unpacked(a["counts"], a["m"]) for a in answers]) if answers else np.zeros(0, np.int64)
-        n = np.zeros(len(self.h), np.int64)
-        n[self.at] = counts[self.back]
+        n, at = counts[self.back], self.at
         if not self.depth:
-            self.times, self.frequent = n, (n >= root["least"]) & (self.h != END)
-            self.symbol = np.where(self.frequent | (self.h == END), self.h, RARE)
-            self.root = np.where(self.symbol == RARE, root["rare"], (n + 0.5) / root["bottom"])
-            self.gain, self.p = np.zeros(len(self.h)), self.root
+            self.times = counts[self.rank]  # of each different token, as are the symbols
+            end, frequent = self.words == END, (self.times >= root["least"]) & (self.words != END)
+            self.symbol = np.where(frequent | end, self.words, RARE)
+            self.frequent, self.root = frequent[self.codes], np.where(self.symbol == RARE, root["rare"], (self.times + 0.5) / root["bottom"])[self.codes]
+            self.gain, self.p = np.zeros(len(at)), self.root.copy()
         else:
-            self.p = (n + SMOOTHING * self.parent) / (self.total + SMOOTHING)
+            p = (n + SMOOTHING * self.parent) / (self.total + SMOOTHING)
             run = _runs(self.u_bucket[o], self.u_ctx[o]) if len(o) else np.zeros(0, np.int64)
             keep = np.concatenate([np.frombuffer(a["keep"], bool) for a in answers]) if answers else np.zeros(0, bool)
             for a in answers:
                 if a["kept"]:
                     keep = keep | ((self.u_bucket[o[run]] == a["bucket"]) & np.isin(self.u_ctx[o[run]], np.array(a["kept"], np.int64).view(np.uint64)))
-            use = self.at[np.repeat(keep, np.diff(np.append(run, len(o))))[self.back]]
-            self.gain[use] = np.log10(self.p[use] / self.root[use])
+            use = np.repeat(keep, np.diff(np.append(run, len(o))))[self.back]
+            self.gain[at[use]] = np.log10(p[use] / self.root[at[use]])
+            self.p[at] = p
         self.depth += 1
-        # a gram's context is the gram that ends one word before
-        self.ctx, self.total, self.parent = np.roll(self.key, 1), np.roll(n, 1), self.p
-        self.open = np.roll(self.open & self.frequent, 1) & (self.total >= root["least"]) & (self.place >= self.depth)
+        # a gram's context is the gram that ends one word before; an end, after which a text begins, is in none
+        go = np.flatnonzero(self.frequent[at] & (n >= root["least"]))
+        go = go[self.place[at[go] + 1] >= self.depth]
+        self.ctx = self.key[go] if self.depth > 1 else self.words[self.codes[go]]
+        self.at, self.total = at[go] + 1, n[go]
+        self.parent = self.p[self.at]
         with np.errstate(over="ignore"):
-            self.key = mix(self.ctx) & ~_LOW | mix(self.ctx * _BASE + self.symbol + np.uint64(self.depth)) & _LOW
+            self.key = mix(self.ctx) & ~_LOW | mix(self.ctx * _BASE + self.symbol[self.codes[self.at]] + np.uint64(self.depth)) & _LOW
 
 
-def _walked(texts: pa.Table, answers: pa.Table | None, depth: int, buckets: int, most: int, root: dict) -> tuple[Walk, np.ndarray]:
-    """The walk of a shard's texts at depth, after the answers of all depths above, and where the texts begin."""
-    h, first = tokens(texts.column("text"))
-    w = Walk(h, first, buckets, most)
+def _joined(shard: pa.Table, column: str) -> bytes:
+    """A column of a shard from its pieces."""
+    return b"".join(shard.select(["part", column]).sort_by("part").column(column).to_pylist())
+
+
+def _walked(shard: pa.Table, answers: pa.Table | None, depth: int, buckets: int, most: int, root: dict) -> tuple[Walk, np.ndarray]:
+    """The walk of a shard's texts at depth, after the answers of all depths above, and how many tokens each text has."""
+    m = shard.column("m")[0].as_py()
+    words, codes, sizes, learn = (_joined(shard, c) for c in ("words", "codes", "sizes", "learn"))
+    codes = np.frombuffer(pa.decompress(codes, m * 4, "zstd", asbytes=True), np.int32)
+    sizes = _unpacked(sizes, len(learn))
+    w = Walk(np.frombuffer(words, np.uint64), codes, sizes, buckets, most)
     told = answers.select(["depth", "bucket", "m", "counts", "keep", "kept"]).to_pylist() if answers is not None else []
     told.sort(key=lambda a: (a["depth"], a["bucket"]))
     for d in range(depth):
         w.told([a for a in told if a["depth"] == d], root)
         if d < depth - 1:
             w._sort()
-    return w, first
-
-
-def _ordered(texts: pa.Table) -> pa.Table:
-    return texts.sort_by("row").combine_chunks()
+    return w, sizes
 
 
 def _ask(depth: int, buckets: int, most: int, root: dict):
     def asked(left: pa.Table, right: pa.Table | None) -> pa.Table:
-        left = _ordered(left)
-        w, first = _walked(left, right, depth, buckets, most, root)
+        w, sizes = _walked(left, right, depth, buckets, most, root)
         if depth:
             w._sort()
-        learn = np.repeat(left.column("learn").to_numpy(zero_copy_only=False) if len(left) else np.zeros(0, bool), np.diff(first))
-        shard = left.column("shard")[0].as_py() if len(left) else 0
+        learn = np.repeat(np.frombuffer(_joined(left, "learn"), bool), sizes)
+        shard = left.column("shard")[0].as_py()
         rows = [{**r, "shard": shard} for r in w.asked(learn)]
         names = [f.split()[0] for f in _ASKED.split(", ")]
         kinds = [pa.int32()] * 3 + [pa.binary()] * 6
         out = pa.table({c: pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)})
-        give_back()
         return out
 
     def words(left: pa.Table) -> pa.Table:
-        return asked(left, None)
+        return _released(asked, left, None)
 
     def grams(left: pa.Table, right: pa.Table) -> pa.Table:
-        return asked(left, right)
+        return _released(asked, left, right)
 
     return grams if depth else words
 
@@ -213,7 +280,7 @@ def _ask(depth: int, buckets: int, most: int, root: dict):
 def _tell(depth: int):
     width = GRAM_BYTES if depth else WORD_BYTES
 
-    def of(asked: pa.Table) -> pa.Table:
+    def told(asked: pa.Table) -> pa.Table:
         """A bucket's answers: totals of the n-grams, in each shard's order, and which contexts stay."""
         rows = sorted(asked.to_pylist(), key=lambda r: r["shard"])
         edges = np.cumsum([0, *(r["m"] for r in rows)])
@@ -229,8 +296,8 @@ def _tell(depth: int):
         perm = np.argsort(key)
         new = _runs(key[perm])
         u, one, total = key[perm[new]], perm[new], np.add.reduceat(n[perm], new)
-        told = np.empty(len(key), np.int64)
-        told[perm] = np.repeat(total, np.diff(np.append(new, len(key))))
+        back = np.empty(len(key), np.int64)
+        back[perm] = np.repeat(total, np.diff(np.append(new, len(key))))
         if depth:
             c, c_one, c_back = np.unique(run_ctx, return_index=True, return_inverse=True)
             own = np.repeat(c_back, run_len)[one]
@@ -251,14 +318,16 @@ def _tell(depth: int):
             if depth:
                 part = slice(run_edges[i], run_edges[i + 1])
                 keep, hots = run_keep[part].tobytes(), signed(run_ctx[part][run_hot[part]]).tolist() or None
-            out.append((r["shard"], bucket, r["m"], _packed(told[edges[i] : edges[i + 1]]), keep, hots, None, None, None, None))
+            out.append((r["shard"], bucket, r["m"], _packed(back[edges[i] : edges[i + 1]]), keep, hots, None, None, None, None))
         out += [(-1, bucket, None, None, None, None, *f) for f in figures]
         names = [f.split()[0] for f in _TOLD.split(", ")]
         kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         table = pa.table({name: pa.array(list(x), k) for name, x, k in zip(names, zip(*out, strict=True), kinds, strict=True)})
-        give_back()
         return table
 
+    def of(asked: pa.Table) -> pa.Table:
+        return _released(told, asked)
+
     return of
 
 
@@ -299,11 +368,11 @@ def _scored(docs: DataFrame, is_training, depth: int, least: float, most: int) -
     docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("learn"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(chars / SHARD_CHARS))
-    # a table, so that rows keep their shard and place; both go by row, as ids and texts may repeat
+    # by row, as ids and texts may repeat; a table, so that texts are read and split into words once
     dealt = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    dealt = cut(dealt, "dealt", "zstd")
-    texts, root = dealt.select("shard", "row", "learn", "text"), {"least": 0.0, "rare": 1.0, "bottom": 1.0}
-    told = [_told(texts.groupBy("shard").applyInArrow(_ask(0, shards, most, root), _ASKED), 0)]
+    dealt = cut(dealt.groupBy("shard").applyInArrow(_encoded, _SHARD), "dealt")
+    texts, root = dealt.groupBy("shard"), {"least": 0.0, "rare": 1.0, "bottom": 1.0}
+    told = [_told(texts.applyInArrow(_ask(0, shards, most, root), _ASKED), 0)]
     words = told[0].where("shard < 0")
     n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("symbols"), F.lit(0))).first()
     least = max(2.0, float(least))
@@ -318,18 +387,19 @@ def _scored(docs: DataFrame, is_training, depth: int, least: float, most: int) -
         return out.where("shard >= 0").select("shard", "depth", "bucket", "m", "counts", "keep", "kept").groupBy("shard")
 
     for d in range(1, depth + 1):
-        told.append(_told(texts.groupBy("shard").cogroup(answers()).applyInArrow(_ask(d, shards, most, root), _ASKED), d))
+        told.append(_told(texts.cogroup(answers()).applyInArrow(_ask(d, shards, most, root), _ASKED), d))
 
-    def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = _ordered(left)
-        w, first = _walked(left, right, depth + 1, shards, most, root)
-        at, size = first[:-1], np.diff(first)
-        base = np.add.reduceat(np.log10((w.times + 0.5) / bottom), at) if len(at) else np.zeros(0)
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        w, size = _walked(left, right, depth + 1, shards, most, root)
+        at = np.cumsum(size) - size
+        base = np.add.reduceat(np.log10((w.times + 0.5) / bottom)[w.codes], at) if len(at) else np.zeros(0)
         gain = np.add.reduceat(w.gain, at) if len(at) else np.zeros(0)
-        known_ = np.add.reduceat((w.times > 0).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-        out = pa.table({"doc_id": left.column("doc_id"), "n_tokens": size, "n_known": known_, "base_score": base, "score": base + gain})
-        give_back()
-        return out
+        known_ = np.add.reduceat((w.times > 0).astype(np.int64)[w.codes], at) if len(at) else np.zeros(0, np.int64)
+        ids = left.sort_by("part").column("doc_id").combine_chunks().flatten()
+        return pa.table({"doc_id": ids, "n_tokens": size, "n_known": known_, "base_score": base, "score": base + gain})
+
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _released(scores, left, right)
 
-    done = dealt.select("doc_id", "text", "shard", "row").groupBy("shard").cogroup(answers()).applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    done = texts.cogroup(answers()).applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return cut(done.withColumn("train_tokens", F.lit(n).cast("long")), "scores")
