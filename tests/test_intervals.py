@@ -106,3 +106,17 @@ def test_truth_of_hot_ranges(spark, monkeypatch):
     base = spark.createDataFrame([(i, [rnd.random(), rnd.random()], rnd.randrange(100)) for i in range(200)], "vec_id long, vec array<double>, attr long")
     q = spark.createDataFrame([(i, [rnd.random(), rnd.random()], *((10, 60) if i % 3 else (i, i + 20))) for i in range(60)], "query_id long, qvec array<double>, lo long, hi long")
     assert sorted(search.ground_truth(base, q, 4).collect()) == sorted(search.pre_filter(base, q, 4).collect())
+
+
+def test_totals_of_ranges(spark):
+    rows = [(i, float(v)) for i, v in enumerate([3, 3, -5, 0, 8, 8, 8, 2.5, -5, 100])] + [(50, None)]
+    base = spark.createDataFrame(rows, "key long, attr double")
+    inf = float("inf")
+    asked = [(1, -inf, inf), (2, 3.0, 8.0), (3, 3.1, 7.9), (4, 8.0, 3.0), (5, -inf, -5.0), (6, 100.0, inf), (7, 101.0, inf), (8, -6.0, 2.5), (9, None, 3.0), (10, 3.0, 3.0)]
+    got = sorted(tuple(r) for r in intervals.range_totals(base, spark.createDataFrame(asked, "query_id long, lo double, hi double"), "attr", "key").collect())
+    want = []
+    for q, lo, hi in asked:
+        held = [(k, v) for k, v in rows if v is not None and lo is not None and lo <= v <= hi]
+        if held:
+            want.append((q, len(held), min(v for _, v in held), max(v for _, v in held), sum(k for k, _ in held)))
+    assert got == want
