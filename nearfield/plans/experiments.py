@@ -55,7 +55,7 @@ def scores(state: State, queries: DataFrame, k: int, subsets: int | None = None)
     if subsets is None:
         truth = calibrate.true_correlation(base, q, k).withColumn("stderr", F.lit(None).cast("double"))
     else:
-        near = calibrate.nearest_mean(calibrate.distances(base, q), q, k)
+        near = calibrate.admissible(base, q, k)
         truth = near.join(calibrate.drawn_correlation(base, q, k, subsets), "query_id", "left")
     named = {"s": "subset_size", "kk": "k_used", "corr": METRICS["true"], "heuristic": METRICS["heuristic"], "tanh": METRICS["tanh"], "pgap": METRICS["pgap"], "js": "js_divergence", "lift": "lift", "p_c": "p_c", "p_g": "p_g", "e": "expected_random_gk", "g": "admissible_gk", "stderr": "expected_random_gk_stderr"}
     both = parts.join(truth, "query_id")

@@ -81,3 +81,32 @@ def test_no_pair_is_a_row(spark):
     for found in (search.knn(base, q, 3), search.knn_self_by_inner(base, q, 3), search.pre_filter(base, q, 3), search.ground_truth(base, q, 3)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_calibration_without_pairs(spark, tiny, monkeypatch):
+    from nearfield.operators import calibrate
+
+    _, _, base, _, q = cloud(spark)
+    dist = calibrate.distances(base, q)
+    near = calibrate.nearest_mean(dist, q, 3)
+    rows = lambda df: {r[0]: tuple(r)[1:] for r in df.collect()}
+    same = lambda a, b: a.keys() == b.keys() and all(x == (pytest.approx(y) if y is not None else None) for k in a for x, y in zip(a[k], b[k], strict=True))
+    assert same(rows(calibrate.admissible(base, q, 3)), rows(near.select("query_id", "s", "kk", "g")))
+    assert same(rows(calibrate.expected_mean(base, q, calibrate.admissible(base, q, 3))), rows(calibrate.expected_nearest_mean(dist, near)))
+    means = calibrate._subset_means(dist, near.where("s > 0"), 3, 4).groupBy("query_id").agg(calibrate.F.avg("m").alias("e"))
+    assert same(rows(calibrate.sampled_correlation(base, q, 3, 4).select("query_id", "e")), rows(means))
+    # too few rows looked at: the rest is settled from all rows
+    monkeypatch.setattr(calibrate, "reach", lambda kk, n, s, nats: kk)
+    assert same(rows(calibrate.sampled_correlation(base, q, 3, 4).select("query_id", "e")), rows(means))
+
+
+def test_places_by_hash_with_equal_hashes(spark, tiny):
+    from nearfield.operators import calibrate
+
+    ids = [5, 5 + calibrate.MOD, 5 + 2 * calibrate.MOD, 6, 7, 8]
+    base = spark.createDataFrame([(i,) for i in ids], "vec_id long")
+    pairs = spark.createDataFrame([(3, 1)], "query_id long, subset long").crossJoin(base)
+    rows = pairs.withColumn("u", calibrate.draw(calibrate.F.col("vec_id") + calibrate.draw(calibrate.F.col("query_id") + calibrate.draw(calibrate.F.col("subset"), 6), 6), 6))
+    order = [r.vec_id for r in rows.orderBy("u", "vec_id").collect()]
+    assert [r.vec_id for r in calibrate.hash_places(base, rows).orderBy("before").collect()] == order
+    assert sorted(r.before for r in calibrate.hash_places(base, rows).collect()) == list(range(6))
