@@ -1,96 +1,72 @@
-"""A neighbour graph as a table, built by joins of neighbours' neighbours, and filtered search along it.
+"""A neighbour graph as a table, built from overlapping cells, and filtered search along it.
 
-knn_graph() starts from random neighbours and lets every vertex introduce its neighbours to each other, until few lists change. filtered_search() keeps a table of the rows that each query has scored,
-and expands the nearest of them by joins with the graph; a neighbour out of range is passed over to its own neighbours, so that the rows in range stay connected.
+knn_graph() deals rows to the cells of pivots drawn from them, several cells a row, finds neighbours inside cells, and does so again with other pivots until few lists change. filtered_search() keeps a beam of the nearest rows of each
+query and a table of those it has scored, and expands the beam by joins with the graph; where few neighbours are in range, those out of it are passed over to their own neighbours, so that the rows in range stay connected.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.vectors import squared_l2
-from nearfield.operators.ranks import running
-from nearfield.operators.search import all_pairs, top_k
-from nearfield.operators.workload import draw
+from nearfield.operators import blocks
+from nearfield.operators.ranks import counted
+from nearfield.operators.search import in_range, small, top_k
 from nearfield.tables import remove, written
 
-#: Neighbours of each kind that a vertex introduces in a round, and the share of changed edges at which rounds end.
-INTRODUCED, SETTLED = 16, 0.002
-
-_MET = "vec_id long, nbr long, d2 double"
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
-
-
-def _introduce(batches):
-    """Per vertex the pairs of its neighbours of which one at least is new, each in both directions, where that is nearer than the list's farthest."""
-    for b in batches:
-        out = ([], [], [])
-        for row in range(b.num_rows):
-            met = b.column("met")[row].values
-            ids, new, worst = (met.field(n).to_numpy(zero_copy_only=False) for n in ("id", "new", "worst"))
-            x = _matrix(met.field("vec"))
-            norm = np.einsum("ij,ij->i", x, x)
-            d = np.maximum(norm[:, None] + norm[None] - 2 * x @ x.T, 0)
-            i, j = np.nonzero((new[:, None] | new[None]) & (ids[:, None] != ids[None]) & (d < worst[:, None]))
-            for column, values in zip(out, (ids[i], ids[j], np.einsum("ij,ij->i", x[i] - x[j], x[i] - x[j])), strict=True):
-                column.append(values)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["vec_id", "nbr", "d2"])
+#: Rows of a cell, on average; cells that a row is in; pivots at most; nearest pivots among which equal distances are settled by hash, so that copies of one vector are spread over their pivots.
+CELL, OVER, PIVOTS, EVEN = 4096, 3, 4096, 32
+#: Rounds of the graph end when one changes this share of edges or less. Rounds draw their pivots anew: if one finds a share r of the edges, what is still missing then is (1 - r) / r of what it changed.
+SETTLED = 0.1
+#: A vertex with fewer neighbours in range than this is passed on to its neighbours' neighbours; a search starts at a row of so many, up to a number of rows; with fewer known rows in range than LEADS, rows out of it lead on.
+FEW, EVERY, STARTS, LEADS = 8, 24, 4096, 48
+#: Groups in which a round's rows are scored, at least, where there are queries enough.
+TASKS = 24
 
 
-def _few(edges: DataFrame, by: str, n: int, salt: int) -> DataFrame:
-    """n edges at most of each vertex, by hash: what a vertex introduces in a round is a sample, the rest has its turn later."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("vec_id", "nbr", F.lit(salt)), "vec_id", "nbr"))
-    return edges.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+def _cells(vectors: DataFrame, n: int, over: int, turn: int) -> DataFrame:
+    """(vec_id, cell): the cells of the nearest over of this round's pivots. Runs jobs."""
+    pivots = min(PIVOTS, -(-n * over // CELL))
+    drawn = written(vectors.orderBy(F.xxhash64("vec_id", F.lit(turn)), "vec_id").limit(pivots), "pivots")  # a bounded number
+    near = blocks.nearest(*blocks.by_hash(drawn, vectors.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))), min(pivots, max(over, EVEN)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", F.xxhash64("query_id", "vec_id")))
+    return near.withColumn("r", rank).where(F.col("r") <= over).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("cell"))
 
 
-def knn_graph(vectors: DataFrame, k: int = 16, rounds: int = 12, introduced: int = INTRODUCED) -> DataFrame:
-    """(vec_id, nbr, d2): about the k nearest of each row of vectors (vec_id, vec) by distance, itself left out; all others, if there are fewer. Approximate; ties go to the smaller id.
+def knn_graph(vectors: DataFrame, k: int = 16, rounds: int = 12, over: int = OVER) -> DataFrame:
+    """(vec_id, nbr, d2): about the k nearest of each row of vectors (vec_id, vec) by distance, itself left out; all others, if there are fewer. Exact where all rows fit in one cell, else approximate; ties go to the smaller id.
 
-    vec_id is distinct and not null, vectors are of one length. A round sends 4 * introduced vectors a vertex at most and gathers no more than these in a task. Runs jobs: a table a round.
+    vec_id is distinct and not null, vectors are of one length. A round compares a row with those of its over cells, whose mean size does not grow with the table up to PIVOTS cells. Runs jobs: a table or two a round.
     """
     vectors = written(vectors.where("vec_id is not null and vec is not null").select("vec_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "graph-vectors")
     n = vectors.count()
     k = min(k, max(n - 1, 0))
     if not k:
         return vectors.limit(0).select("vec_id", F.col("vec_id").alias("nbr"), F.lit(0.0).alias("d2"))
-    place = running(vectors.select("vec_id"), "vec_id", "place").withColumn("place", F.col("place") - 1)
-    # one more than k, as one may be the row itself, and steps of a draw between, so that none is met twice
-    step = F.greatest(F.lit(1), F.lit(n // (k + 1)).cast("long"))
-    first = place.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k).cast("long")))).withColumn("to", F.pmod(draw(F.col("place"), 21) + F.col("j") * step + F.pmod(draw(F.col("place") * 64 + F.col("j"), 22), step), F.lit(n)))
-    first = first.select("vec_id", "to").join(place.select(F.col("vec_id").alias("nbr"), F.col("place").alias("to")), "to").where("vec_id <> nbr").select("vec_id", "nbr").distinct()
-    far = vectors.select(F.col("vec_id").alias("nbr"), F.col("vec").alias("nvec"))
-    edges = first.join(vectors, "vec_id").join(far, "nbr").select("vec_id", "nbr", squared_l2("vec", "nvec").alias("d2"))
-    edges = written(top_k(edges, k, of="vec_id", tie="nbr").select("vec_id", "nbr", "d2", F.lit(True).alias("new")), "graph")
+    edges = None
     for turn in range(rounds):
-        worst = edges.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(F.lit(float("inf"))).alias("worst"))
-        new = _few(edges.where("new"), "vec_id", introduced, turn).select("vec_id", "nbr", F.lit(True).alias("new"))
-        old = _few(edges.where("not new"), "vec_id", introduced, turn).select("vec_id", "nbr", F.lit(False).alias("new"))
-        ways = new.unionByName(old)
-        back = _few(new, "nbr", introduced, turn + 100).unionByName(_few(old, "nbr", introduced, turn + 200)).select(F.col("nbr").alias("vec_id"), F.col("vec_id").alias("nbr"), "new")
-        meeting = ways.unionByName(back).groupBy("vec_id", "nbr").agg(F.max("new").alias("new"))
-        guest = vectors.join(worst, "vec_id").select(F.col("vec_id").alias("nbr"), "vec", "worst")
-        met = meeting.join(guest, "nbr").groupBy("vec_id").agg(F.collect_list(F.struct(F.col("nbr").alias("id"), "vec", "new", "worst")).alias("met"))
-        found = met.where(F.exists("met", lambda m: m["new"])).select("met").mapInArrow(_introduce, _MET).groupBy("vec_id", "nbr").agg(F.min("d2").alias("d2"))
-        # edges that were introduced are new no more
-        kept = edges.join(new.select("vec_id", "nbr", F.lit(True).alias("_said")), ["vec_id", "nbr"], "left").select("vec_id", "nbr", "d2", (F.col("new") & F.col("_said").isNull()).alias("new"), F.lit(0).alias("_from"))
-        both = kept.unionByName(found.select("vec_id", "nbr", "d2", F.lit(True).alias("new"), F.lit(1).alias("_from")))
-        both = both.groupBy("vec_id", "nbr").agg(F.min_by(F.struct("d2", "new", "_from"), "_from").alias("e")).select("vec_id", "nbr", "e.*")
-        after = written(top_k(both, k, of="vec_id", tie="nbr").select("vec_id", "nbr", "d2", "new", "_from"), "graph")
-        changed = after.where("_from = 1").count()
-        remove(edges)
+        if n <= CELL:
+            members = vectors.withColumn("cell", F.lit(0))
+        else:
+            cells = written(_cells(vectors, n, over, turn), "cells")
+            members = cells.join(vectors, "vec_id")
+        found = blocks.nearest(*blocks.among(members, "cell"), k, others=True).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("nbr"), F.col("score").alias("d2"), F.lit(1).alias("_from"))
+        both = found if edges is None else found.unionByName(edges.withColumn("_from", F.lit(0)))
+        # a pair may have met in several cells, and before
+        both = both.groupBy("vec_id", "nbr").agg(F.min("d2").alias("d2"), F.min("_from").alias("_from"))
+        after = written(top_k(both, k, of="vec_id", tie="nbr").select("vec_id", "nbr", "d2", "_from"), "graph")
+        if n > CELL:
+            remove(cells)
+        if edges is not None:
+            remove(edges)
         edges = after.drop("_from")
         edges.path = after.path
-        if changed <= SETTLED * n * k:
+        if n <= CELL or after.where("_from = 1").count() <= SETTLED * n * k:
             break
     remove(vectors)
-    return edges.select("vec_id", "nbr", "d2")
+    return edges
 
 
 def adjacency(base: DataFrame, graph: DataFrame, attr: str = "attr") -> DataFrame:
@@ -104,41 +80,75 @@ def adjacency(base: DataFrame, graph: DataFrame, attr: str = "attr") -> DataFram
     return named.groupBy("vec_id").agg(F.collect_list(F.struct(F.col("nbr").alias("id"), "attr")).alias("nbrs"))
 
 
-def filtered_search(base: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 48, entries: int = 256, rounds: int = 24, attr: str = "attr") -> DataFrame:
+def filtered_search(base: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 160, entries: int = 256, rounds: int = 24, attr: str = "attr") -> DataFrame:
     """(query_id, rank, vec_id, d2, scored): approximately the k nearest rows in range, found along the graph; scored: how many rows were compared with the query.
 
-    base: vec_id, vec, attr; graph: knn_graph(); queries: query_id, qvec, lo, hi. Each query starts at the nearest of a fixed number of rows and of as many rows in range. A round expands its beam nearest rows that it has not
-    expanded: their neighbours in range, and for those out of range the neighbours' neighbours in range. It ends when all of the beam is expanded. Runs jobs: a table a round.
+    base: vec_id, vec, attr; graph: knn_graph(); queries: query_id, qvec, lo, hi. A query starts at the nearest of a sample of rows (entries, or more in large tables) and at the nearest of those in range. A round expands the beam nearest
+    rows that it has not expanded: their neighbours in range, and where these are few, the neighbours in range of those out of range. While fewer than LEADS rows in range are known, the nearest out of range lead on. It ends when
+    all of the beam is expanded. Ranges of so few rows that the beam holds them, or that the sample may miss them, are scored whole. Runs jobs: two tables a round.
     """
-    links = written(adjacency(base, graph, attr), "adjacency")
-    rows = base.select(F.col("vec_id").alias("id"), "vec", F.col(attr).alias("attr"))
-    start = base.orderBy(F.xxhash64("vec_id", F.lit("entry")), "vec_id").limit(entries)  # a fixed number
+    base = written(base.where("vec_id is not null").select("vec_id", "vec", F.col(attr).alias("attr")), "graph-rows")
     asked = written(queries.select("query_id", "qvec", "lo", "hi"), "asked")
-    pairs = all_pairs(start.select("vec_id", "vec", F.col(attr).alias("attr")), asked)
-    scored = pairs.select("query_id", "vec_id", squared_l2("vec", "qvec").alias("d2"), F.col("attr").between(F.col("lo"), F.col("hi")).alias("within"), F.lit(False).alias("done"))
-    state = written(scored.where("vec_id is not null"), "visited")
-    order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
+    links = written(adjacency(base, graph), "adjacency")
+    n = base.count()
+    starts = max(entries, min(STARTS, n // EVERY))
+    few = max(beam, 8 * n // starts)
+    values = base.groupBy(F.col("attr").alias("v")).agg(F.count("*").alias("n"))
+    held = counted(asked.where("lo <= hi").select("query_id", "lo", "hi"), values, {"hi": ("upto", True), "lo": ("below", False)}).select("query_id", (F.col("upto") - F.col("below")).alias("m"))
+    held = written(held.where("m > 0"), "held")
+    narrow = asked.join(held.where(F.col("m") <= few), "query_id")
+    whole = in_range(base, narrow.drop("m"), k).join(held, "query_id").select("query_id", "vec_id", "d2", F.col("m").alias("scored"))
+    walking = written(asked.join(held.where(F.col("m") > few).select("query_id"), "query_id"), "walking")
+    parts = max(1, -(-n // blocks.ROWS))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    rows = base.withColumn("_part", part("vec_id"))
+    limits = small(walking.select("query_id", "lo", "hi"))
+    within = F.coalesce(F.col("attr").between(F.col("lo"), F.col("hi")), F.lit(False))
+
+    start = written(base.orderBy(F.xxhash64("vec_id", F.lit("entry")), "vec_id").limit(starts), "entries")  # a bounded number
+    anywhere = top_k(blocks.nearest(*blocks.by_hash(start, walking.select("query_id", "qvec")), beam).withColumnRenamed("score", "d2"), beam).select("query_id", "vec_id", "d2")
+    first = top_k(in_range(start, walking, beam), beam).select("query_id", "vec_id", "d2").unionByName(anywhere).distinct()
+    first = first.join(start.select("vec_id", "attr"), "vec_id").join(limits, "query_id").select("query_id", "vec_id", "d2", within.alias("within"))
+    first = written(first, "found")
+    # what each round scores, and its beams; queries that have nothing left to expand stay in the table of their last round
+    named, beams, new = [written(first.groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")), "named")], [], first
     for turn in range(rounds):
-        # rows in range count for the beam; while there are fewer, the nearest out of range lead on
-        lead = state.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "within").orderBy("d2", "vec_id")))
-        n_in = F.sum(F.col("within").cast("long")).over(Window.partitionBy("query_id"))
-        front = lead.withColumn("n_in", n_in).where((F.col("r") <= F.when(F.col("within"), F.lit(beam)).otherwise(F.greatest(F.lit(4), F.lit(beam) - F.col("n_in")))) & ~F.col("done")).select("query_id", "vec_id")
-        front = written(front, "frontier")
-        if not front.limit(1).count():
-            remove(front)
+        known = new.withColumn("done", F.lit(False))
+        if beams:
+            known = known.unionByName(beams[-1].where("active").select("query_id", "vec_id", "d2", "within", (F.col("done") | F.col("front")).alias("done")))
+        r = F.row_number().over(Window.partitionBy("query_id", "within").orderBy("d2", "vec_id"))
+        of = Window.partitionBy("query_id")
+        n_in = F.sum(F.col("within").cast("long")).over(of)
+        best = known.withColumn("r", r).where(F.col("r") <= beam).withColumn("n_in", n_in).withColumn("worst", F.max(F.when(F.col("within"), F.col("d2"))).over(of))
+        # rows in range count for the beam; while there are few, the nearest out of range lead on
+        leads = F.col("within") | (F.col("r") <= F.greatest(F.lit(4), F.lit(LEADS) - F.col("n_in")))
+        # a full beam takes nothing that is farther than its last
+        bound = F.when(F.col("n_in") >= beam, F.col("worst")).otherwise(F.lit(float("inf")))
+        best = best.withColumn("front", ~F.col("done") & leads).withColumn("active", F.max("front").over(of) & F.lit(turn < rounds - 1))
+        beams.append(written(best.select("query_id", "vec_id", "d2", "within", "done", "front", "active", (F.col("n_in") < LEADS).alias("open"), bound.alias("bound")), "beam"))
+        front = beams[-1].where("front and active").select("query_id", "vec_id", "open")
+        active = beams[-1].where("active").groupBy("query_id").agg(F.max("bound").alias("bound"))
+        asking = active.count()
+        if not asking:
             break
-        near = front.join(links, "vec_id").select("query_id", F.explode("nbrs").alias("x")).join(asked.select("query_id", "lo", "hi"), "query_id").select("query_id", "x.id", "x.attr", "lo", "hi").distinct()
-        inside = F.col("attr").between(F.col("lo"), F.col("hi"))
-        second = near.where(~inside | F.col("attr").isNull()).join(links.withColumnRenamed("vec_id", "id"), "id").select("query_id", "lo", "hi", F.explode("nbrs").alias("x")).select("query_id", "x.id", "x.attr", "lo", "hi").where(inside)
-        third = near.where(~inside | F.col("attr").isNull()) if turn < 2 else near.limit(0)  # far from any range, the first rounds walk over rows out of it
-        found = near.where(inside).unionByName(second).unionByName(third).select("query_id", "id").distinct().join(state.select("query_id", F.col("vec_id").alias("id")), ["query_id", "id"], "left_anti")
-        new = found.join(asked, "query_id").join(rows, "id").select("query_id", F.col("id").alias("vec_id"), squared_l2("vec", "qvec").alias("d2"), F.coalesce(inside, F.lit(False)).alias("within"), F.lit(False).alias("done"))
-        said = front.select("query_id", "vec_id", F.lit(True).alias("now"))
-        seen = state.join(said, ["query_id", "vec_id"], "left").select("query_id", "vec_id", "d2", "within", F.coalesce("now", "done").alias("done"))
-        after = written(seen.unionByName(new), "visited")
-        remove(state, front)
-        state = after
-    best = state.withColumn("scored", F.count("*").over(Window.partitionBy("query_id"))).where("within")
-    out = written(top_k(best, k).select("query_id", "rank", "vec_id", "d2", "scored"), "found")
-    remove(links, asked, state)
+        going = small(active)
+        inside = lambda x: F.coalesce(x["attr"].between(F.col("lo"), F.col("hi")), F.lit(False))
+        met = front.join(links, "vec_id").join(limits, "query_id").select("query_id", "lo", "hi", "open", "nbrs", F.filter("nbrs", inside)["id"].alias("near"))
+        found = met.select("query_id", F.when(F.col("open"), F.col("nbrs.id")).otherwise(F.col("near")).alias("ids"))
+        second = met.where(F.size("near") < FEW).select("query_id", "lo", "hi", F.explode(F.filter("nbrs", lambda x: ~inside(x))["id"]).alias("vec_id")).distinct().join(links, "vec_id")
+        found = found.unionByName(second.select("query_id", F.filter("nbrs", inside)["id"].alias("ids"))).where(F.size("ids") > 0)
+        found = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+        seen = reduce(DataFrame.unionByName, named).join(going.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.flatten(F.collect_list("ids")).alias("seen"))
+        named.append(written(found.join(seen, "query_id", "left").select("query_id", F.array_except("ids", F.coalesce("seen", F.array().cast(found.schema["ids"].dataType))).alias("ids")), "named"))
+        # a row is copied to each block of the queries that go on
+        cut = max(-(-asking // blocks.QUERIES), min(-(-TASKS // parts), -(-asking // blocks.LEAST)))
+        to_score = named[-1].select("query_id", F.explode("ids").alias("vec_id")).groupBy("query_id", part("vec_id").alias("_part")).agg(F.collect_list("vec_id").alias("ids"))
+        to_score = to_score.join(going, "query_id").join(small(walking.select("query_id", "qvec")), "query_id")
+        scored = blocks.scored(*blocks.dealt(rows, to_score, cut), "attr").join(limits, "query_id")
+        new = scored.select("query_id", "vec_id", F.col("score").alias("d2"), within.alias("within"))
+    counts = reduce(DataFrame.unionByName, named[1:], named[0].limit(0)).select("query_id", F.size("ids").cast("long").alias("scored"))
+    counts = counts.unionByName(walking.select("query_id", F.lit(min(starts, n)).cast("long").alias("scored"))).groupBy("query_id").agg(F.sum("scored").alias("scored"))
+    walked = reduce(DataFrame.unionByName, [t.where("not active and within") for t in beams]).select("query_id", "vec_id", "d2").join(counts, "query_id")
+    out = written(top_k(walked.unionByName(whole), k).select("query_id", "rank", "vec_id", "d2", "scored"), "found")
+    remove(base, asked, links, held, walking, start, first, *named, *beams)
     return out
